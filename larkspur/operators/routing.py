@@ -85,9 +85,16 @@ def min_max(feature: str, *by: str) -> Column:
 
 def escalate(rows: DataFrame, score: str, rate: float, *by: str) -> DataFrame:
     """With escalated: the round(rate * n) rows (half to even) with the highest score; ties by descending row_uid."""
-    w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(F.desc(score), F.desc("row_uid")))
-    return rows.withColumn("escalated", (rank <= F.bround(F.lit(rate) * F.count("*").over(w))).cast("int"))
+    at = rows.groupBy(*by, _C(score).alias("__s")).agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy(*by).orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumns({"__c": F.sum("__n").over(upto), "__k": F.bround(F.lit(rate) * F.sum("__n").over(Window.partitionBy(*by)))})
+    # distinct scores say how many rows of each score are in; rows are ranked only where a score is in by part
+    quota = F.greatest(F.lit(0), F.least(_C("__n"), _C("__k") - (_C("__c") - _C("__n"))))
+    held = rows.withColumn("__s", _C(score)).join(at.select(*by, "__s", "__n", quota.alias("__q")), [*by, "__s"])
+    part = (_C("__q") > 0) & (_C("__q") < _C("__n"))
+    rank = F.row_number().over(Window.partitionBy(*by, "__s").orderBy(F.desc("row_uid")))
+    edge = held.where(part).withColumn("escalated", (rank <= _C("__q")).cast("int"))
+    return held.where(~part).withColumn("escalated", (_C("__q") > 0).cast("int")).unionByName(edge).drop("__s", "__n", "__q")
 
 
 def triggered(rows: DataFrame, features: list[str], every: bool) -> DataFrame:

@@ -34,12 +34,25 @@ def evaluation(rows: DataFrame, heldout, containing: bool, full: bool) -> DataFr
     return made if full else made.withColumn("labels", keep_aspects(_C("labels"), heldout))
 
 
-def hash_rank(rows: DataFrame, seed: int, n: Column | int, salt: str = "size_matched") -> DataFrame:
-    """The n rows with the least SHA-256 of `seed|salt|row_uid`; ties by row_uid."""
-    key = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), "row_uid"), 256)
-    if isinstance(n, int):
-        return rows.withColumn("__k", key).orderBy("__k", "row_uid").limit(n).drop("__k")
-    raise TypeError("n is a number")
+def hash_rank(rows: DataFrame, seed: int, n: int, salt: str = "size_matched") -> DataFrame:
+    """The n rows with the least SHA-256 of `seed|salt|row_uid`; ties by row_uid.
+
+    No global sort: rows are counted by the first four hex digits, buckets below the n-th row's are whole, and only that
+    one bucket is ranked. The counts (65,536 at most) are what comes to the driver.
+    """
+    keyed = rows.withColumn("__k", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), "row_uid"), 256))
+    bucket = F.substring("__k", 1, 4)
+    counts = {r["b"]: r["n"] for r in keyed.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
+    left, last = n, None
+    for b in sorted(counts):
+        if counts[b] >= left:
+            last = b
+            break
+        left -= counts[b]
+    if last is None:
+        return keyed.drop("__k")
+    edge = keyed.where(bucket == last).withColumn("__r", F.row_number().over(Window.orderBy("__k", "row_uid"))).where(_C("__r") <= left).drop("__r")  # one bucket of many
+    return keyed.where(bucket < last).unionByName(edge).drop("__k")
 
 
 def size_matched(rows: DataFrame, fold: Fold, seed: int) -> DataFrame:

@@ -74,7 +74,7 @@ def best_under_budget(spark, sf_dir):
 @query(_ROWS + """, r AS (SELECT *, row_number() OVER (ORDER BY margin DESC, row_uid DESC) AS k, count(*) OVER () AS n FROM rw), e AS (SELECT row_uid, (k <= round_even(0.3 * n, 0))::INT AS escalated, l, o FROM r)
 SELECT row_uid, escalated, array_to_string(list_sort(CASE WHEN escalated = 1 THEN list_distinct(list_concat(l, o)) ELSE l END), '; ') AS chosen FROM e""")
 def rank_escalation(spark, sf_dir):
-    """FL11, RT6: the rows with the highest feature, by rank; here for one cascade, so its rank runs over all rows."""
+    """FL11, RT6: the rows with the highest feature, by rank."""
     made = R.cascade(R.escalate(rows(spark, sf_dir), "margin", 0.3), "union")
     return made.select("row_uid", "escalated", F.array_join("chosen", "; ").alias("chosen"))
 
