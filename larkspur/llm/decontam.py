@@ -1,14 +1,16 @@
 """Benchmark decontamination.
 
-Texts are words (runs of letters and digits, lower-cased) and their 5-word shingles; a text of fewer words is one shingle. A
-document is cut into windows as long as a benchmark item, for the length of each item, a sixteenth of that length apart and
-one at its end. The SimHash of a window's shingles is compared with those of the items of its length: fingerprints are cut
-into 4 blocks of 16 bits, and an index has, for each block, every value within 3 bits of an item's, so that every
-fingerprint within RADIUS = 15 bits is found by one block at least (15 < 4 * 4). Each window that comes within the radius
-is then moved by up to its step to both sides, and the best weighted Jaccard similarity of shingles (weights: how often
-a shingle occurs; the sum of lesser over the sum of greater weights) decides: THRESHOLD = 0.8 or more is a link.
-
-A document that is shorter than an item, but not by more than a fifth, is one window for it.
+Texts are words (runs of letters and digits, lower-cased) and their 5-word shingles; a text of fewer words is one shingle.
+Items are put into classes of nearly equal length (at most LIKE times the shortest), and documents are cut into windows as
+long as a class's items, a STEP-th of that length apart. The SimHash of a window's shingles is compared with those of the
+class's items: fingerprints are cut into 4 blocks of 16 bits, and an index has, for each block, every value within 4 bits
+of an item's, so that every fingerprint within RADIUS = 17 bits is found by one block at least (17 < 4 * 5). For each window
+within the radius, windows of exactly the item's length around it are compared with the item, and the best weighted Jaccard
+similarity of shingles (weights: how often a shingle occurs; the sum of lesser over the sum of greater weights) decides:
+THRESHOLD = 0.8 or more is a link. Where a document is shorter than an item, it is one window.
+
+A verbatim passage differs from the nearest window by about 7 bits (about 9 at worst), a passage of similarity 0.8 by about
+11, each with a deviation of 3: what lies beyond 17 bits is missed, as it is by any index of that radius.
 
 Items are a broadcast index: BOUND says how many bytes of item text are allowed, and beyond it items are searched in rounds
 of as much, each a pass over the documents. Null and empty texts and items have no words and link with nothing. Items with
@@ -32,17 +34,30 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import text_slices
 
-SHINGLE, THRESHOLD, RADIUS, BLOCK = 5, 0.8, 15, 16
-#: Windows of L words are max(1, L // STEP) apart.
-STEP = 16
+SHINGLE, THRESHOLD, RADIUS, BLOCK, NEAR = 5, 0.8, 17, 16, 4
+#: Windows of L words are max(1, L // STEP) apart; lengths of one class differ by this factor at most.
+STEP, LIKE = 9, 1.12
+#: Words that are searched at once, about.
+CHUNK = 32_768
 #: Bytes of item text in one broadcast index.
 BOUND = 32 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, 64-bit hash of each word): words are runs of letters and digits, lower-cased."""
-    split = pc.split_pattern_regex(pc.utf8_lower(pc.cast(texts, pa.large_string())), r"[^\pL\pN]+")
+    lowered = pc.utf8_lower(pc.cast(texts, pa.large_string()))
+    # beyond ASCII, letters and digits need no table of separators; texts with other characters there get the slow way
+    odd = pc.match_substring_regex(lowered, r"[^\x00-\x7f\pL\pN]").to_numpy(zero_copy_only=False)
+    spaced = [None if o else x.as_buffer().to_pybytes().translate(_PLAIN) for x, o in zip(lowered, odd)]
+    if odd.any():
+        slow = pc.replace_substring_regex(lowered.filter(pa.array(odd)), r"[^\pL\pN]+", " ")
+        for i, x in zip(np.nonzero(odd)[0], slow):
+            spaced[i] = x.as_buffer().to_pybytes()
+    split = pc.ascii_split_whitespace(pa.array(spaced, pa.large_binary()).cast(pa.large_string()))
     flat = split.flatten()
     offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
     full = pc.greater(pc.binary_length(flat), 0)
@@ -56,11 +71,13 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(words: np.ndarray) -> np.ndarray:
     """Hashes of all 5-word shingles in order; fewer words are one shingle, none are none."""
+    return _sequences(words, min(SHINGLE, len(words))) if len(words) else words
+
+
+def _sequences(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all sequences of k words, 5 at most."""
     n = len(words)
-    if not n:
-        return words
-    k = min(SHINGLE, n)
-    mixed = np.zeros(n - k + 1, np.uint64)
+    mixed = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
         mixed = (mixed ^ words[i : n - k + 1 + i]) * _MIX[i]
         mixed ^= mixed >> np.uint64(29)
@@ -74,74 +91,134 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both) if both else 0.0
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
-
-
-def _simhash(votes: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints from rows of votes for each bit, of n shingles each."""
-    return np.packbits(votes * 2 > n, axis=1).view(">u8").astype(np.uint64).ravel()
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
+    votes = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+
+
+class _Class:
+    """Items of nearly equal length, with the index of their fingerprints' blocks."""
+
+    def __init__(self, items: list[tuple[int, int, int]], near: np.ndarray):
+        lengths = [n for _, n, _ in items]
+        self.size = round((min(lengths) + max(lengths)) / 2)
+        self.step = max(1, self.size // STEP)
+        self.spread = max(self.size - min(lengths), max(lengths) - self.size) + self.step
+        self.items = np.array([i for i, _, _ in items])
+        self.fps = np.array([fp for _, _, fp in items], np.uint64)
+        self.blocks = np.zeros((4, 1 << BLOCK), bool)
+        for b in range(4):
+            value = ((self.fps >> np.uint64(BLOCK * b)) & np.uint64(0xFFFF)).astype(np.uint32)
+            self.blocks[b, (value[:, None] ^ near[None, :]).ravel()] = True
+
+    def near(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, items) of windows within the radius; sums are the running votes of each bit over shingles."""
+        k = self.size - SHINGLE + 1
+        votes = (sums[:, k :: self.step] - sums[:, : -k : self.step]) > k // 2
+        bits = votes.view(np.uint8)
+        found, hit = [], None
+        for b in range(4):
+            value = bits[16 * b].astype(np.uint16)
+            for i in range(1, 16):
+                value |= bits[16 * b + i].astype(np.uint16) << np.uint16(i)
+            found.append(value)
+            here = self.blocks[b][value]
+            hit = here if hit is None else hit | here
+        at = np.nonzero(hit)[0]
+        fps = np.zeros(len(at), np.uint64)
+        for b in range(4):
+            fps |= found[b][at].astype(np.uint64) << np.uint64(BLOCK * b)
+        w, item = np.nonzero(np.bitwise_count(fps[:, None] ^ self.fps[None, :]) <= RADIUS)
+        return at[w] * self.step, self.items[item]
 
 
 class Index:
-    """Items by their number of words, each length with its blocks."""
+    """Items (item_id, hashed words), searched for in the hashed words of documents."""
 
     def __init__(self, items: list[tuple[object, np.ndarray]]):
-        by: dict[int, list[tuple[object, Counter, int]]] = defaultdict(list)
-        for item_id, words in items:
-            if len(words):
-                own = shingles(words)
-                by[len(words)].append((item_id, Counter(own.tolist()), int(_simhash(_bits(own).sum(0, dtype=np.int64)[None, :], len(own))[0])))
-        near = [0, *(sum(1 << b for b in c) for r in (1, 2, 3) for c in combinations(range(BLOCK), r))]
-        self.near = np.array(near, np.uint32)
-        self.by = {}
-        for length, held in by.items():
-            fps = np.array([fp for _, _, fp in held], np.uint64)
-            blocks = np.zeros((4, 1 << BLOCK), bool)
-            for b in range(4):
-                value = ((fps >> np.uint64(BLOCK * b)) & np.uint64(0xFFFF)).astype(np.uint32)
-                blocks[b, (value[:, None] ^ self.near[None, :]).ravel()] = True
-            self.by[length] = ([i for i, _, _ in held], [c for _, c, _ in held], fps, blocks)
-
-    def search(self, words: np.ndarray) -> list[tuple[object, int, int, float]]:
-        """(item, first word, words, similarity): the best window of each item that is similar enough."""
-        n, best = len(words), {}
-        if not n:
-            return []
-        own = shingles(words)
-        sums = np.zeros((len(own) + 1, 64), np.int32)
-        np.cumsum(_bits(own), axis=0, dtype=np.int32, out=sums[1:])
-        for length, (ids, counters, fps, blocks) in self.by.items():
-            if n < length * THRESHOLD:
-                continue
-            size = min(length, n)
-            step = max(1, length // STEP)
-            starts = np.arange(0, n - size + 1, step)
-            if starts[-1] != n - size:
-                starts = np.append(starts, n - size)
-            k = size - min(SHINGLE, n) + 1 if size >= SHINGLE else 1
-            if size < SHINGLE < n:  # shorter than a shingle: the item's words are one shingle of their own
-                if size < length:
-                    continue
-                windows = np.lib.stride_tricks.sliding_window_view(words, size)
-                starts = np.arange(len(windows))
-                found = np.array([shingles(w)[0] for w in windows], np.uint64)
-            else:
-                found = _simhash(sums[starts + k] - sums[starts], k)
-            hit = blocks[0, (found & np.uint64(0xFFFF)).astype(np.int64)]
-            for b in range(1, 4):
-                hit |= blocks[b, ((found >> np.uint64(BLOCK * b)) & np.uint64(0xFFFF)).astype(np.int64)]
-            hit = np.nonzero(hit)[0]
-            if not len(hit):
-                continue
-            w, item = np.nonzero(np.bitwise_count(found[hit][:, None] ^ fps[None, :]) <= RADIUS)
-            for at, j in zip(starts[hit[w]].tolist(), item.tolist()):
-                for begin in range(max(0, at - step), min(n - size, at + step) + 1):
-                    here = Counter(shingles(words[begin : begin + size]).tolist())
-                    s = similarity(here, counters[j])
-                    if s >= THRESHOLD and s > best.get((length, j), (0,))[0]:
-                        best[length, j] = (s, begin, size)
-        return [(self.by[length][0][j], begin, size, s) for (length, j), (s, begin, size) in best.items()]
+        near = np.array([0, *(sum(1 << b for b in c) for r in range(1, NEAR + 1) for c in combinations(range(BLOCK), r))], np.uint32)
+        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
+        self.own = [shingles(w) for _, w in items]
+        self.counts = [Counter(x.tolist()) for x in self.own]
+        long = sorted((len(w), i) for i, w in enumerate(self.words) if len(w) >= SHINGLE)
+        self.classes, part = [], []
+        for n, i in [*long, (None, None)]:
+            if part and (n is None or n > part[0][0] * LIKE):
+                self.classes.append(_Class([(j, m, fingerprint(self.own[j])) for m, j in part], near))
+                part = []
+            part.append((n, i))
+        #: Items of fewer words than a shingle, by length: the hash of all their words.
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i, w in enumerate(self.words):
+            if 0 < len(w) < SHINGLE:
+                self.short[len(w)][int(self.own[i][0])].append(i)
+        self.pad = max([c.size + 2 * c.spread for c in self.classes], default=0) + SHINGLE
+
+    def search(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, object, int, int, float]]:
+        """(document, item, first word, words, similarity): the best window of each document for each item."""
+        begin = 0
+        for end in range(1, len(offsets)):
+            if end == len(offsets) - 1 or offsets[end + 1] - offsets[begin] > CHUNK:
+                part = words[offsets[begin] : offsets[end]]
+                if len(part) <= 2 * CHUNK:
+                    found = self._chunk(part, offsets[begin : end + 1] - offsets[begin])
+                else:  # one long document
+                    found = self._long(part)
+                for doc, item, at, n, s in found:
+                    yield begin + doc, self.ids[item], at, n, s
+                begin = end
+
+    def _long(self, words: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+        """A document in parts that overlap by more than any window, for memory."""
+        best: dict[int, tuple[int, int, int, int, float]] = {}
+        for a in range(0, len(words), CHUNK):
+            part = words[a : a + CHUNK + 2 * self.pad]
+            for _, item, at, n, s in self._chunk(part, np.array([0, len(part)])):
+                if item not in best or s > best[item][4]:
+                    best[item] = (0, item, a + at, n, s)
+        return list(best.values())
+
+    def _chunk(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        if not len(words):
+            return
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        # documents stand one after the other; windows over their edges are candidates too, and are verified within one
+        padded = np.concatenate([words, np.zeros(self.pad, np.uint64)])
+        own = shingles(padded)
+        sums = np.zeros((64, len(own) + 1), np.int16)
+        for bit in range(64):
+            np.cumsum(((own >> np.uint64(bit)) & np.uint64(1)).astype(np.int16), out=sums[bit, 1:])
+        for c in self.classes:
+            starts, items = c.near(sums)
+            docs = np.searchsorted(offsets, np.minimum(starts + c.size // 2, len(words) - 1), side="right") - 1
+            for start, item, doc in zip(starts.tolist(), items.tolist(), docs.tolist()):
+                self._verify(best, own, words, doc, int(offsets[doc]), int(offsets[doc + 1]), item, start, c.spread)
+        for length, known in self.short.items():
+            if len(words) >= length:
+                hashed = _sequences(words, length)
+                for at in np.nonzero(np.isin(hashed, np.array(list(known), np.uint64)))[0].tolist():
+                    doc = int(np.searchsorted(offsets, at, side="right")) - 1
+                    if at + length <= offsets[doc + 1]:
+                        for item in known[int(hashed[at])]:
+                            best.setdefault((doc, item), (1.0, at - int(offsets[doc]), length))
+        for (doc, item), (s, at, n) in best.items():
+            yield doc, item, at, n, s
+
+    def _verify(self, best: dict, own: np.ndarray, words: np.ndarray, doc: int, a: int, b: int, item: int, start: int, spread: int) -> None:
+        n, count = len(self.words[item]), self.counts[item]
+        if b - a < SHINGLE or best.get((doc, item), (0.0,))[0] == 1.0:
+            return
+        size = min(n, b - a)
+        first, last = max(a, min(start - spread, b - size)), min(b - size, max(start + spread, a))
+        # of the item's shingles, those that any of these windows could have
+        reach = set(own[first : last + size - SHINGLE + 1].tolist())
+        if sum(k for x, k in count.items() if x in reach) < THRESHOLD * len(self.own[item]):
+            return
+        for at in range(first, last + 1):
+            s = similarity(Counter(own[at : at + size - SHINGLE + 1].tolist()), count)
+            if s >= THRESHOLD and s > best.get((doc, item), (0.0,))[0]:
+                best[doc, item] = (s, at - a, size)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -168,7 +245,7 @@ def _search(docs: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in text_slices(whole):
                 at, words = word_codes(pc.fill_null(batch.column("text"), ""))
-                found = [(i, *x) for i in range(batch.num_rows) for x in index.search(words[at[i] : at[i + 1]])]
+                found = list(index.search(words, at))
                 if found:
                     row, ids, begin, size, s = zip(*found)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(ids, kind), pa.array(begin, pa.int64()), pa.array(size, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])

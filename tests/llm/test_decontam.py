@@ -80,6 +80,15 @@ def test_words_with_other_marks():
     assert offsets.tolist() == [0, 6, 12] and (codes[:6] == codes[6:]).all()
 
 
+def test_long_documents_in_parts(spark, monkeypatch):
+    docs, items = fixture(2)
+    whole = [(1, " ".join(t for _, t in docs if t)), (2, "x " * 500)]
+    d, i = spark.createDataFrame(whole, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {r["item_id"]: (r["similarity"], r["n_words"]) for r in decontam.contaminated(d, i).collect()}
+    monkeypatch.setattr(decontam, "CHUNK", 150)
+    assert {r["item_id"]: (r["similarity"], r["n_words"]) for r in decontam.contaminated(d, i).collect()} == found and len(found) > 40
+
+
 def test_rounds_of_items(spark, monkeypatch):
     docs, items = fixture(1)
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
