@@ -4,7 +4,9 @@ Units of a document are the whole text, its paragraphs (between empty lines, if
 Unit and template are normalised alike: lower case, and everything that is neither letter nor digit is one space. Of their
 sets of word bigrams A and B, Dice is 2 |A and B| / (|A| + |B|); THRESHOLD or more is a match. A match needs
 t / (2 - t) |B| <= |A| <= (2 - t) / t |B|, so units meet only templates for which their size is within these bounds: an
-equality join with the sizes that each template allows, a table that the templates bound. All of it is DataFrame functions.
+equality join with the sizes that each template allows, a table that the templates bound. Before that, documents are left
+out that have none of the templates' anchors: words of a template without all of which too few of its bigrams are left for
+any match (see `anchors`). All of it is DataFrame functions.
 
 Null and empty texts match nothing, nor does a unit of one word. Ties are all reported. Units that repeat within a document
 count each time. Rows repeated under one doc_id, or under a null one, are reported together. An empty table gives an empty
@@ -57,6 +59,25 @@ def bounds(size: int, threshold: float = THRESHOLD) -> range:
     return range(math.ceil(round(size * threshold / (2 - threshold), 9)), math.floor(round(size * (2 - threshold) / threshold, 9)) + 1)
 
 
+def anchors(own: set[str], threshold: float = THRESHOLD) -> set[str]:
+    """Words of which a unit that matches a template with these bigrams has at least one.
+
+    A match shares t / 2 (|A| + |B|) bigrams, and |A| is within its bounds; the anchors are in more of the template's
+    bigrams than a match can lack. Long words come first, as they are rare in other texts.
+    """
+    spare = len(own) - math.ceil(round(threshold / 2 * (bounds(len(own), threshold)[0] + len(own)), 9))
+    chosen: set[str] = set()
+    for word in sorted({w for b in own for w in b.split()}, key=lambda w: (-len(w), w)):
+        if sum(bool(chosen & set(b.split())) for b in own) > spare:
+            break
+        chosen.add(word)
+    return chosen
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+
+
 def _bigrams(words: Column) -> Column:
     rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     head = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
@@ -72,8 +93,7 @@ def units(docs: DataFrame) -> DataFrame:
     tag = lambda parts, kind: F.transform(parts, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("unit")))
     every = F.concat(tag(F.array(text), "text"), tag(paragraphs, "paragraph"), tag(F.when(has_lines, F.split(text, "\n")).otherwise(none), "line"))
     exploded = docs.select("doc_id", "text").where("text is not null").select("doc_id", F.explode(every).alias("u"))
-    flat = F.trim(F.regexp_replace(F.lower("u.unit"), r"[^\p{L}\p{N}]+", " "))
-    return exploded.select("doc_id", F.col("u.kind").alias("kind"), F.split(flat, " ").alias("words"))
+    return exploded.select("doc_id", F.col("u.kind").alias("kind"), _words(F.col("u.unit")).alias("words"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -82,7 +102,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     allowed = [(size, name, sorted(own)) for name, text in templates if (own := bigrams(text)) for size in bounds(len(own), threshold)]
     table = F.broadcast(spark.createDataFrame(allowed, "size int, license string, b array<string>"))  # as many rows as the templates allow sizes
     least = min((size for size, _, _ in allowed), default=1)
-    found = units(docs).where(F.size("words") > least).select("doc_id", "kind", _bigrams(F.col("words")).alias("a")).withColumn("size", F.size("a"))
+    known = sorted(set().union(*(anchors(own, threshold) for _, text in templates if (own := bigrams(text)))))
+    likely = docs.where(F.arrays_overlap(_words(F.col("text")), F.array(*map(F.lit, known)))) if known else docs.limit(0)
+    found = units(likely).where(F.size("words") > least).select("doc_id", "kind", _bigrams(F.col("words")).alias("a")).withColumn("size", F.size("a"))
     dice = 2.0 * F.size(F.array_intersect("a", "b")) / (F.col("size") + F.size("b"))
     met = found.join(table, "size").withColumn("dice", dice).where(F.col("dice") >= threshold)
     return met.groupBy("doc_id", "license").agg(F.max(F.struct("dice", "kind")).alias("best"), F.count("*").alias("n_units")).select("doc_id", "license", F.col("best.kind").alias("kind"), F.round("best.dice", 9).alias("dice"), "n_units")
