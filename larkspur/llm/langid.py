@@ -30,6 +30,8 @@ from larkspur.llm.common import Scratch, add_columns, bucket_of, text_slices
 SAMPLE, ROUNDS, LONGEST = 300, 3, 32
 #: Probability of a letter without a piece; what is added to each piece's expected count; words a worker remembers.
 FLOOR, ADDED, REMEMBERED = 1e-9, 0.02, 200_000
+#: Rows of ids that may be broadcast (an id and a language: below 100 bytes each).
+BROADCAST_ROWS = 200_000
 UNKNOWN = "und"
 MARK = "▁"
 
@@ -196,11 +198,12 @@ class Model:
             if len(self.known) >= REMEMBERED:
                 break
             self.known[words[i]] = x
-        sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[codes], axis=0)])
-        total = sums[offsets[1:]] - sums[offsets[:-1]]
+        some = np.diff(offsets) > 0
+        total = np.zeros((len(texts), table.shape[1]))
+        for k in range(table.shape[1] if some.any() else 0):  # one language at a time, for memory
+            total[some, k] = np.add.reduceat(table[:, k][codes], offsets[:-1][some])
         best = total.argmax(1)
         posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        some = np.diff(offsets) > 0
         return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some)], np.where(some, posterior, 0.0)
 
 
@@ -208,7 +211,10 @@ def sample(train: DataFrame, size: int = SAMPLE) -> DataFrame:
     """Up to `size` training documents of each language: (lang, text)."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = train.where("lang is not null").select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= size)
-    return train.select("doc_id", "lang", "text").where("text is not null").join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    ids = Scratch(ids.select("doc_id", "lang").distinct(), "sample").df
+    # a few hundred ids for each language are sent out, so that no text is shuffled; with very many languages they are joined
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return train.select("doc_id", "lang", "text").where("text is not null").join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
 def fit(train: DataFrame, path: str, size: int = SAMPLE, rounds: int = ROUNDS) -> Model:
