@@ -110,26 +110,77 @@ def kernel_ridge(descriptors, weights, target, alpha: float):
     return w.mean(0) + (t - x.mean(0)) @ centred.T @ dual
 
 
-def diverse(shortlist: DataFrame, query: str, count: int, unique: list[str]) -> DataFrame:
-    """From each query's ranked shortlist, greedily the first rows that share no value of `unique` with those taken before.
+def diverse(shortlist: DataFrame, query: str, count: int, row: str, aspect: str) -> DataFrame:
+    """From each query's ranked shortlist, greedily `count` rows: of new rows and new aspects first, then of new rows only.
 
-    A shortlist is bounded by its k; if too few rows differ, the best of the rest fill up.
+    A shortlist is bounded by its k. A query with too few distinct rows gets what there is.
     """
-    schema = shortlist.schema
     names = shortlist.columns
 
     def run(pdf):
         pdf = pdf.sort_values("rank", kind="stable")
-        taken, used = [], {u: set() for u in unique}
-        for i, row in pdf.iterrows():
-            if len(taken) < count and not any(row[u] in used[u] for u in unique):
-                taken.append(i)
-                for u in unique:
-                    used[u].add(row[u])
-        taken += [i for i in pdf.index if i not in taken][: count - len(taken)]
+        taken, rows, aspects = [], set(), set()
+        for fresh in (True, False):
+            for i, r in pdf.iterrows():
+                if len(taken) < count and r[row] not in rows and not (fresh and r[aspect] in aspects):
+                    taken.append(i)
+                    rows.add(r[row])
+                    aspects.add(r[aspect])
         return pdf.loc[taken][names]
 
-    return shortlist.groupBy(query).applyInPandas(run, schema)
+    return shortlist.groupBy(query).applyInPandas(run, shortlist.schema)
+
+
+def demonstrations(positive: DataFrame, negative: DataFrame, query: str) -> DataFrame:
+    """(query, examples): two positive and then two negative examples, as an ordered array; a query lacking some is an error."""
+    both = positive.withColumn("answer", F.lit("Y")).unionByName(negative.withColumn("answer", F.lit("N")))
+    order = F.array_sort(F.collect_list(F.struct((_C("answer") == "N").alias("last"), "rank", "item", "answer")))
+    made = both.groupBy(query).agg(order.alias("x")).withColumn("answers", F.array_join(F.transform("x", lambda e: e.answer), ""))
+    checked = F.when(_C("answers") == "YYNN", F.transform("x", lambda e: e.item)).otherwise(F.raise_error(F.lit("examples must be Y, Y, N, N")).cast(f"array<{dict(positive.dtypes)['item']}>"))
+    return made.select(query, checked.alias("examples"))
+
+
+def hashed_tfidf(frame: DataFrame, text: str, features: int = 1 << 10) -> DataFrame:
+    """frame with __x: L2-scaled TF-IDF over hashed words and their pairs; terms that meet in a hash share a feature."""
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+
+    seq = token_sequence(_C(text))
+    n = F.greatest(F.size("__w") - 1, F.lit(0))
+    held = frame.withColumn("__w", seq).withColumn("__w", F.concat("__w", F.zip_with(F.slice("__w", 1, n), F.slice("__w", 2, n), lambda a, b: F.concat_ws(" ", a, b))))
+    counted = HashingTF(inputCol="__w", outputCol="__tf", numFeatures=features).transform(held)
+    weighed = IDF(inputCol="__tf", outputCol="__idf").fit(counted).transform(counted)
+    return Normalizer(inputCol="__idf", outputCol="__x", p=2.0).transform(weighed).drop("__w", "__tf", "__idf")
+
+
+def one_versus_rest(train: DataFrame, label: str, svm: bool = False):
+    """A linear model for each class over __x: logistic regression, or an SVM with hinge loss (a dozen iterations)."""
+    from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+
+    kind = LinearSVC(featuresCol="__x", regParam=0.01, maxIter=12) if svm else LogisticRegression(featuresCol="__x", regParam=0.001, maxIter=12)
+    return OneVsRest(classifier=kind, featuresCol="__x", labelCol=label, predictionCol="predicted", parallelism=4).fit(train)
+
+
+def latent(frame: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, z): rows of __x on the k strongest right singular vectors, scaled to length 1; the vectors are features x k."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    held = frame.select(key, "__x")
+    matrix = RowMatrix(held.select("__x").rdd.map(lambda r: Vectors.fromML(r[0])))
+    v = matrix.computeSVD(k).V.toArray()
+    sent = frame.sparkSession.sparkContext.broadcast(v)
+
+    @F.pandas_udf("array<double>")
+    def project(x):
+        import numpy as np
+        import pandas as pd
+
+        z = np.stack(x.to_list()) @ sent.value
+        norm = np.linalg.norm(z, axis=1, keepdims=True)
+        return pd.Series(list(z / np.where(norm > 0, norm, 1)))
+
+    return held.select(key, project(vector_to_array("__x")).alias("z"))
 
 
 def logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0, weight: str | None = None):

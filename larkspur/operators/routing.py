@@ -83,11 +83,15 @@ def min_max(feature: str, *by: str) -> Column:
     return F.when(high == low, F.lit(0.0)).otherwise((_C(feature) - low) / (high - low))
 
 
-def escalate(rows: DataFrame, score: str, rate: float, *by: str) -> DataFrame:
-    """With escalated: the round(rate * n) rows (half to even) with the highest score; ties by descending row_uid."""
+def escalate(rows: DataFrame, score: str, rate: float | Column, *by: str) -> DataFrame:
+    """With escalated: the round(rate * n) rows (half to even) with the highest score; ties by descending row_uid.
+
+    rate may be a column of `by`.
+    """
+    rate = F.lit(rate) if isinstance(rate, float) else rate
     at = rows.groupBy(*by, _C(score).alias("__s")).agg(F.count("*").alias("__n"))
     upto = Window.partitionBy(*by).orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumns({"__c": F.sum("__n").over(upto), "__k": F.bround(F.lit(rate) * F.sum("__n").over(Window.partitionBy(*by)))})
+    at = at.withColumns({"__c": F.sum("__n").over(upto), "__k": F.bround(rate * F.sum("__n").over(Window.partitionBy(*by)))})
     # distinct scores say how many rows of each score are in; rows are ranked only where a score is in by part
     quota = F.greatest(F.lit(0), F.least(_C("__n"), _C("__k") - (_C("__c") - _C("__n"))))
     held = rows.withColumn("__s", _C(score)).join(at.select(*by, "__s", "__n", quota.alias("__q")), [*by, "__s"])
@@ -162,6 +166,37 @@ def uncertainty(rows: DataFrame, pair: DataFrame, aspect: DataFrame, sentiment:
     return made
 
 
-def cascade(rows: DataFrame, mode: str) -> DataFrame:
+def cascade(rows: DataFrame, mode: str | Column) -> DataFrame:
     """Escalated rows combine both sets by mode; the others keep the local one."""
-    return rows.withColumn("chosen", F.when(_C("escalated") == 1, combine(_C("local"), _C("other"), F.lit(mode))).otherwise(F.array_sort("local")))
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    return rows.withColumn("chosen", F.when(_C("escalated") == 1, combine(_C("local"), _C("other"), mode)).otherwise(F.array_sort("local")))
+
+
+def cascade_grid(rows: DataFrame, features: dict[str, Column], rates: list[float], modes: list[str]) -> DataFrame:
+    """(feature, rate, mode, rows, calls, tp, predicted, gold, samples, exact): every rank policy over all rows in one job."""
+    cells = F.array(*(F.struct(F.lit(n).alias("feature"), c.cast("double").alias("value"), F.lit(r).alias("rate")) for n, c in features.items() for r in rates))
+    at = rows.select("row_uid", "gold", "local", "other", F.explode(cells).alias("c")).select("row_uid", "gold", "local", "other", "c.*")
+    made = escalate(at, "value", _C("rate"), "feature", "rate").withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
+    done = cascade(made, _C("mode"))
+    tp, g, p = F.size(F.array_intersect("gold", "chosen")), F.size("gold"), F.size("chosen")
+    samples = F.when(g + p == 0, F.lit(0.0)).otherwise(2.0 * tp / (g + p))
+    return done.groupBy("feature", "rate", "mode").agg(F.count("*").alias("rows"), F.sum("escalated").alias("calls"), F.sum(tp).alias("tp"), F.sum(p).alias("predicted"), F.sum(g).alias("gold"), F.sum(samples).alias("samples"), F.sum(((tp == g) & (tp == p)).cast("long")).alias("exact"))
+
+
+def band_crossfit(both: DataFrame, bands: list[float], part: str) -> DataFrame:
+    """(part, rescue, confirm, f1_chosen, tp, n, gold): for each part the bands with the best F1 on the others, and its own counts.
+
+    Counts by part and policy are summed once; what is chosen for a part comes from the sums of the other parts.
+    """
+    s = aligned(_C("aspect_score"), _C("threshold"))
+    far, present = F.abs(s - 0.5), s >= 0.5
+    cells = F.array(*(F.struct(F.lit(r).alias("rescue"), F.lit(c).alias("confirm")) for r in bands for c in bands))
+    at = both.withColumns({"far": far, "present": present, "b": F.explode(cells)})
+    routed = F.when(_C("present"), (_C("b.confirm") >= 0) & (_C("far") <= _C("b.confirm") + 1e-15)).otherwise((_C("b.rescue") >= 0) & (_C("far") <= _C("b.rescue") + 1e-15))
+    p = F.when(routed, _C("other_p")).otherwise(_C("p"))
+    counts = at.groupBy(part, _C("b.rescue").alias("rescue"), _C("b.confirm").alias("confirm")).agg(F.sum(p * _C("target")).alias("tp"), F.sum(p).alias("n"), F.sum("target").alias("gold"))
+    policy = Window.partitionBy("rescue", "confirm")
+    others = {c: F.sum(c).over(policy) - _C(c) for c in ("tp", "n", "gold")}
+    scored = counts.withColumn("f1_chosen", 2 * others["tp"] / (others["n"] + others["gold"]))
+    best = F.row_number().over(Window.partitionBy(part).orderBy(F.desc("f1_chosen"), "rescue", "confirm"))
+    return scored.withColumn("__r", best).where("__r = 1").drop("__r")

@@ -83,6 +83,31 @@ def fold_splits(rows: DataFrame, folds: list[Fold]) -> DataFrame:
     return made.groupBy("fold_id", "split").agg(F.count("*").alias("rows"), F.sum(kept.cast("long")).alias("kept"), F.sum((kept & _C("hit") & (_C("split") == "train")).cast("long")).alias("leaked"))
 
 
+def audit(rows: DataFrame, folds: list[Fold], aspects) -> DataFrame:
+    """(fold_id, name, bad): named checks of all folds, with the number of rows that break each; 0 means passed."""
+    labels = _C("labels")
+    train = _C("split") == "train"
+
+    def checks(f: Fold) -> dict[str, Column]:
+        hit = has_any_aspect(labels, f.heldout)
+        kept = train & (F.size(labels) > 0) & ~hit
+        masked = keep_aspects(labels, f.seen)
+        return {
+            "known_split": ~F.coalesce(_C("split").isin("train", "validation", "test"), F.lit(False)),
+            "labels_in_taxonomy": F.exists(labels, lambda x: ~x.aspect.isin(*aspects)),
+            "no_heldout_in_filtered_train": kept & hit,
+            "no_heldout_in_masked_train": train & has_any_aspect(masked, f.heldout),
+            "masking_keeps_seen": train & (F.size(masked) + F.size(keep_aspects(labels, f.heldout)) != F.size(labels)),
+            "evaluation_rows_whole": ~train & (F.size(labels) != F.size(F.array_distinct(labels))),
+            "seen_and_heldout_apart": F.lit(bool(set(f.seen) & set(f.heldout))),
+            "taxonomy_covered": F.lit(set(f.seen) | set(f.heldout) != set(aspects)),
+        }
+
+    cells = [F.struct(F.lit(f.fold_id).alias("fold_id"), F.lit(n).alias("name"), F.sum(c.cast("long")).alias("bad")) for f in folds for n, c in checks(f).items()]
+    once = rows.groupBy("row_uid").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(_C("n") - 1), F.lit(0)).alias("bad")).select(F.lit("all").alias("fold_id"), F.lit("rows_once").alias("name"), "bad")
+    return rows.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("x")).select("x.*").unionByName(once)
+
+
 def leakage(rows: DataFrame) -> DataFrame:
     """(kind, left_split, right_split, shared): distinct rows, organisations, aspects and pairs that two splits share."""
     tag = lambda c, kind: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("value")))

@@ -127,10 +127,44 @@ def kernel_ridge_weight(spark, sf_dir):
 
 @query()
 def diverse_retrieval(spark, sf_dir):
-    """SM11, W11: from shortlists of ten, three neighbours whose ids differ modulo 7."""
+    """SM11, W11: from shortlists of ten, three neighbours of rows (ids modulo 97) and aspects (ids modulo 7) that differ."""
     e = table(spark, sf_dir, "embeddings")
-    short = X.nearest(e.where("vec_id % 100 = 0"), e, 10, "vec_id", "vec_id", ["label"]).withColumn("row", F.col("item") % 7)
-    return X.diverse(short, "query", 3, ["row"])
+    short = X.nearest(e.where("vec_id % 100 = 0"), e, 10, "vec_id", "vec_id", ["label"]).withColumns({"row": F.col("item") % 97, "aspect": F.col("item") % 7})
+    return X.diverse(short, "query", 3, "row", "aspect")
+
+
+@query()
+def retrieved_demonstrations(spark, sf_dir):
+    """SM11: two neighbours of a vector's own label and two of the next one, in order, as examples."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 100 = 0")
+    pick = lambda shift: X.diverse(X.nearest(queries.withColumn("label", (F.col("label") + shift) % 10), e, 10, "vec_id", "vec_id", ["label"]).withColumns({"row": F.col("item"), "aspect": F.col("item") % 7}), "query", 2, "row", "aspect").drop("row", "aspect", "score")
+    return X.demonstrations(pick(0), pick(1), "query")
+
+
+def _languages(spark, sf_dir):
+    from larkspur.plans.adapter import hash_bucket
+
+    docs = table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", "text", F.array_position(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("lang")).cast("double").alias("y"))
+    held = X.hashed_tfidf(docs.withColumn("y", F.col("y") - 1).where("y >= 0"), "text")
+    return held.select("doc_id", "y", "__x", (hash_bucket(F.col("doc_id").cast("string"), 5) == 0).alias("held"))
+
+
+@query()
+def one_versus_rest(spark, sf_dir):
+    """ML6: linear models over TF-IDF for four classes, on held-out documents."""
+    rows = _languages(spark, sf_dir).cache()  # each iteration reads them
+    out = [X.one_versus_rest(rows.where("not held"), "y", svm).transform(rows.where("held")).groupBy("y").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("y")).cast("int")).alias("accuracy")).withColumn("model", F.lit(n)) for n, svm in (("logistic", False), ("svm", True))]
+    return out[0].unionByName(out[1])
+
+
+@query()
+def latent_neighbours(spark, sf_dir):
+    """ML7: documents on eight latent dimensions, and how alike those of a language are to its mean."""
+    rows = _languages(spark, sf_dir)
+    z = X.latent(rows, "doc_id", 8).join(rows.select("doc_id", "y"), "doc_id")
+    centre = z.select("y", F.posexplode("z").alias("i", "x")).groupBy("y", "i").agg(F.avg("x").alias("x")).groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("c"))
+    return z.join(F.broadcast(centre), "y").groupBy("y").agg(F.count("*").alias("n"), F.avg(cosine(F.col("z"), F.col("c"))).alias("mean_cosine"))  # one row for each language
 
 
 @query()

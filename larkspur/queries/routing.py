@@ -160,6 +160,31 @@ def min_max_scaled(spark, sf_dir):
     return grid(spark, sf_dir).select("row_uid", "aspect", "sentiment", "score").withColumn("scaled", R.min_max("score", "aspect")).drop("score")
 
 
+@query(_ROWS + """, ft AS (SELECT row_uid, gold, l, o, unnest(['pred_count', 'margin']) AS feature, unnest([len(l)::DOUBLE, margin]) AS value FROM rw), rt AS (SELECT unnest([0.0, 0.1, 0.5, 1.0])::DOUBLE AS rate), md AS (SELECT unnest(['replace', 'union', 'agreement_or_local']) AS mode),
+rk AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value DESC, row_uid DESC) AS k, count(*) OVER (PARTITION BY feature) AS n FROM ft), es AS (SELECT rk.*, rate, (k <= round_even(rate * n, 0))::INT AS e FROM rk, rt),
+ch AS (SELECT feature, rate, mode, e, gold, CASE WHEN e = 0 THEN l WHEN mode = 'replace' THEN o WHEN mode = 'union' THEN list_distinct(list_concat(l, o)) WHEN len(list_intersect(l, o)) > 0 THEN list_intersect(l, o) ELSE l END AS x FROM es, md),
+ct AS (SELECT *, len(list_intersect(gold, x)) AS tp, len(gold) AS g, len(x) AS p FROM ch)
+SELECT feature, rate, mode, count(*) AS rows, sum(e)::BIGINT AS calls, sum(tp)::BIGINT AS tp, sum(p)::BIGINT AS predicted, sum(g)::BIGINT AS gold, round(sum(CASE WHEN g + p = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (g + p) END), 6) AS samples, sum((tp = g AND tp = p)::INT)::BIGINT AS exact FROM ct GROUP BY ALL""")
+def cascade_policy_grid(spark, sf_dir):
+    """RT5, RT6: features by rates by modes, all evaluated at once."""
+    made = R.cascade_grid(rows(spark, sf_dir), {"pred_count": F.size("local"), "margin": F.col("margin")}, [0.0, 0.1, 0.5, 1.0], ["replace", "union", "agreement_or_local"])
+    return made.withColumn("samples", F.round("samples", 6))
+
+
+@query(with_views("pred_a", "pred_b") + """, j AS (SELECT (('0x' || substr(sha256(a.row_uid || '|part'), 1, 16))::UBIGINT % 5)::INT AS part, a.target, a.p, b.p AS q, CASE WHEN a.aspect_score < 0.6 THEN 0.5 * a.aspect_score / 0.6 ELSE 0.5 + 0.5 * (a.aspect_score - 0.6) / (1 - 0.6) END AS s FROM pred_a a JOIN pred_b b USING (row_uid, aspect, sentiment)),
+bd AS (SELECT r.b AS rescue, c.b AS confirm FROM (SELECT unnest([-1.0, 0.05, 0.15])::DOUBLE AS b) r, (SELECT unnest([-1.0, 0.05, 0.15])::DOUBLE AS b) c),
+rt AS (SELECT part, rescue, confirm, target, CASE WHEN (s < 0.5 AND rescue >= 0 AND abs(s - 0.5) <= rescue + 1e-15) OR (s >= 0.5 AND confirm >= 0 AND abs(s - 0.5) <= confirm + 1e-15) THEN q ELSE p END AS x FROM j, bd),
+ct AS (SELECT part, rescue, confirm, sum(x * target) AS tp, sum(x) AS n, sum(target) AS gold FROM rt GROUP BY ALL), ot AS (SELECT *, 2.0::DOUBLE * (sum(tp) OVER w - tp) / ((sum(n) OVER w - n) + (sum(gold) OVER w - gold)) AS f1 FROM ct WINDOW w AS (PARTITION BY rescue, confirm)),
+bs AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY f1 DESC, rescue, confirm) AS k FROM ot) SELECT part, rescue, confirm, tp::BIGINT AS tp, n::BIGINT AS n, gold::BIGINT AS gold, round(f1, 9) AS f1_chosen FROM bs WHERE k = 1""")
+def router_crossfit(spark, sf_dir):
+    """RT9: bands chosen on four fifths of the reviews, for the fifth."""
+    from larkspur.queries.metrics import decoded
+
+    b = decoded(spark, sf_dir, "b").select("row_uid", "aspect", "sentiment", F.col("p").alias("other_p"))
+    both = decoded(spark, sf_dir, "a").join(b, ["row_uid", "aspect", "sentiment"]).withColumns({"threshold": F.lit(0.6), "part": hash_bucket(F.concat("row_uid", F.lit("|part")), 5)})
+    return R.band_crossfit(both, [-1.0, 0.05, 0.15], "part")
+
+
 @query()
 def calibrated_scores(spark, sf_dir):
     """RT11: logistic calibration on other review blocks, cross-fitted."""

@@ -81,6 +81,15 @@ def fold_registry(spark, sf_dir):
     return P.fold_splits(reviews(spark, sf_dir), folds())
 
 
+@query(with_views("aspect_dim", "review", "gold") + """, f AS (SELECT 'L2-' || printf('%02d', a_ord + 1) AS fold_id, aspect AS held FROM aspect_dim), n AS (SELECT unnest(['known_split', 'labels_in_taxonomy', 'no_heldout_in_filtered_train', 'no_heldout_in_masked_train', 'masking_keeps_seen', 'evaluation_rows_whole', 'seen_and_heldout_apart', 'taxonomy_covered']) AS name)
+SELECT fold_id, name, CASE name WHEN 'labels_in_taxonomy' THEN (SELECT count(*) FROM gold WHERE aspect NOT IN (SELECT aspect FROM aspect_dim)) ELSE 0 END::BIGINT AS bad FROM f, n UNION ALL SELECT 'all', 'rows_once', (count(*) - count(DISTINCT row_uid))::BIGINT FROM review""")
+def fold_audit(spark, sf_dir):
+    """OR6: named checks of all folds in one pass."""
+    from larkspur.plans.taxonomy import ASPECTS
+
+    return P.audit(reviews(spark, sf_dir), [f for f in folds() if f.level == "L2"], ASPECTS)
+
+
 @query(with_views("review", "gold") + """, v AS (SELECT DISTINCT split, 'row' AS kind, row_uid AS value FROM review UNION SELECT split, 'org', org::VARCHAR FROM review WHERE org IS NOT NULL
   UNION SELECT split, 'aspect', aspect FROM review JOIN gold USING (row_uid) UNION SELECT split, 'pair', aspect || ' | ' || sentiment FROM review JOIN gold USING (row_uid)),
 c AS (SELECT * FROM (VALUES ('test', 'train'), ('test', 'validation'), ('train', 'validation')) t(left_split, right_split)), k AS (SELECT DISTINCT kind FROM v)

@@ -156,6 +156,21 @@ def test_split_policies(spark):
     assert shared["aspect", "train", "validation"] == 1 and shared["row", "test", "train"] == 0 and shared["pair", "train", "validation"] == 0
 
 
+def test_audit_finds_what_is_wrong(spark):
+    fold = Fold("f", "L2", ("B",), ("A", "C"))
+    count = lambda frame, f: {(r["fold_id"], r["name"]): r["bad"] for r in splits.audit(frame, [f], ("A", "B", "C")).collect()}
+    assert not any(count(reviews(spark), fold).values())
+    bad = reviews(spark).unionByName(spark.createDataFrame([("1", "dev", 1, [("Z", "positive")])], R))
+    got = count(bad, Fold("f", "L2", ("B",), ("A", "B")))
+    assert {k[1] for k, v in got.items() if v} == {"known_split", "labels_in_taxonomy", "rows_once", "seen_and_heldout_apart", "taxonomy_covered", "no_heldout_in_masked_train", "masking_keeps_seen"}
+
+
+def test_diverse_picks(spark):
+    rows = [("q", 1, "r1", "A"), ("q", 2, "r1", "B"), ("q", 3, "r2", "A"), ("q", 4, "r3", "B"), ("p", 1, "r1", "A"), ("p", 2, "r2", "A"), ("p", 3, "r2", "A")]
+    got = lexical.diverse(spark.createDataFrame(rows, "query string, rank int, row string, aspect string"), "query", 2, "row", "aspect").collect()
+    assert {(r["query"], r["rank"]) for r in got} == {("q", 1), ("q", 4), ("p", 1), ("p", 2)}
+
+
 def test_duplicate_texts(spark):
     train = spark.createDataFrame([("same text",), ("",), ("different",), ("same text",)], "normal string")
     rows = spark.createDataFrame([(1, "same text"), (2, ""), (3, "same-text")], "id int, normal string")
