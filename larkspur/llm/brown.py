@@ -9,8 +9,8 @@ is left for words that training lacks. Endings that training lacks share one uni
 
 Words are held as 64-bit hashes (XXH64). Two of n distinct words share one with a chance of about n * n / 4e19.
 
-Counts are of the whole training text: counted by partition, then summed by word in Spark. Only the HEAD most frequent words,
-the units' bigrams (at most (UNITS + ENDINGS) squared) and the endings' totals come to the driver; counts of all other words
+Counts are of the whole training text: counted by partition, then summed by word in Spark. Only the most frequent words (HEAD at most),
+the number of words with each count, the units' bigrams (at most (UNITS + ENDINGS) squared) and the endings' totals come to the driver; counts of all other words
 are joined to the documents that hold them.
 
 Null and empty texts are one token, their end. Documents with a null doc_id are scored, and never learnt from. Repeated rows
@@ -172,7 +172,11 @@ def fit(train: DataFrame) -> tuple[dict, DataFrame]:
     counts = Scratch(train.select("text").mapInArrow(_count, "word long, ending long, c long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("c").alias("c")), "words").df
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where(F.col("word") != int(END))
-    head = words.orderBy(F.desc("c"), "word").limit(HEAD).toPandas().sort_values("word")
+    # how many words have each count says from which count on all words fit into the head
+    sizes = words.groupBy("c").agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)
+    fits = sizes[sizes["n"].cumsum() <= HEAD]
+    least = int(fits["c"].min()) if len(fits) else 1 << 62
+    head = words.where(F.col("c") >= least).toPandas().sort_values("word")
     top = head.sort_values(["c", "word"], ascending=[False, True])["word"].to_numpy()[:UNITS]
     # totals of the words that are no units of their own, by ending: at most 257 * 257 rows
     tails = words.where(~F.col("word").isin([int(w) for w in top])) if len(top) else words
@@ -215,7 +219,7 @@ def fit(train: DataFrame) -> tuple[dict, DataFrame]:
     mass = np.bincount(right, n, units.n) + 1
     in_class = mass / np.bincount(of, mass, CLASSES)[of]
     within = inner_n + inner_v + 1
-    model = {"units": units, "of": of, "step": np.log10(step), "emit": np.log10(in_class), "within": np.log10(within), "total": int(total), "distinct": int(distinct), "ends": int(total and counts.where(F.col("word") == int(END)).first()["c"])}
+    model = {"units": units, "of": of, "step": np.log10(step), "emit": np.log10(in_class), "within": np.log10(within), "total": int(total), "distinct": int(distinct), "least": least if len(fits) < len(sizes) else 0, "ends": int(total and counts.where(F.col("word") == int(END)).first()["c"])}
     return model, words
 
 
@@ -253,8 +257,8 @@ def score(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
     kind = marked.schema["doc_id"].dataType.simpleString()
     made = marked.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
     held = Scratch(made.withColumn("__row", F.monotonically_increasing_id()), "scored").df
-    least = int(units.counts.min()) if len(units.counts) == HEAD else 0
-    rest = words.where(F.col("c") <= least).select("word", F.log10(F.col("c") + 1).alias("gain")) if least else words.limit(0).select("word", F.lit(0.0).alias("gain"))
+    least = model["least"]  # words below it aren't in the head
+    rest = words.where(F.col("c") < least).select("word", F.log10(F.col("c") + 1).alias("gain")) if least else words.limit(0).select("word", F.lit(0.0).alias("gain"))
     met = held.select("__row", F.explode("rare").alias("word")).join(rest, "word")
     gained = met.groupBy("__row").agg(F.sum("gain").alias("gain"), F.count("*").alias("met"))
     gain, n_met = F.coalesce("gain", F.lit(0.0)), F.coalesce("met", F.lit(0))
