@@ -3,9 +3,10 @@
 Reading (`spark.read.format("warc").load(path)`): the files of a folder are dealt into partitions of PARTITION bytes, about.
 Of each record the headers are parsed first; a payload is decoded only if the record passes the predicates that were pushed
 down and the schema has the column payload, and is stepped over by its length otherwise. Predicates reach the source as
-filters (equality, IN, null tests and prefixes on record_type, record_id, target_uri, date, refers_to and payload_digest,
-where spark.sql.python.filterPushdown.enabled is on) or as the options record_types ("response,revisit") and
-"header.<Name>" (a header's exact value). Files that end in .gz are read member by member.
+the options record_types ("response,revisit") and "header.<Name>" (a header's exact value), or as filters (equality, IN,
+null tests and prefixes on record_type, record_id, target_uri, date, refers_to and payload_digest). Filters are pushed by
+`read`, or with the option pushdown; Spark keeps a relation's last filters if a later use of it has none to push, so `read`
+sees to it that there always is one. Files that end in .gz are read member by member.
 
 Writing: one file for each task, and a new one after FILE bytes; files appear under their names when the job commits, so
 a task that is lost or repeated leaves no records. Null payloads are empty ones. Control characters in header values are
@@ -150,13 +151,6 @@ class WarcReader(DataSourceReader):
         self.partition_bytes = int(options.get("partition_bytes", PARTITION))
         self.filters: list[tuple[str, str, object]] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if len(f.attribute if hasattr(f, "attribute") else ()) == 1 and f.attribute[0] in HEADERS and isinstance(f, (EqualTo, EqualNullSafe, In, IsNull, IsNotNull, StringStartsWith)):
-                self.filters.append((type(f).__name__, HEADERS[f.attribute[0]], getattr(f, "value", None)))
-            else:
-                yield f
-
     def wanted(self, headers: dict[str, str]) -> bool:
         if self.types is not None and headers.get("WARC-Type") not in self.types:
             return False
@@ -204,6 +198,15 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist([{n: r[n] for n in schema.names} for r in rows], schema=schema)
 
 
+class WarcFilteringReader(WarcReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, EqualNullSafe, In, IsNull, IsNotNull, StringStartsWith)) and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
+                self.filters.append((type(f).__name__, HEADERS[f.attribute[0]], getattr(f, "value", None)))
+            else:
+                yield f
+
+
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
@@ -276,7 +279,7 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options, schema)
+        return (WarcFilteringReader if self.options.get("pushdown", "false") == "true" else WarcReader)(self.options, schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options, overwrite)
@@ -303,11 +306,14 @@ def archive(pages: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str, payload: bool = True, **options: str) -> DataFrame:
-    """The records under `path`; without payload, payloads are stepped over. Turns the session's filter pushdown on."""
+    """The records under `path`; without payload, payloads are stepped over. Turns the session's filter pushdown on.
+
+    A record without its type, which the format demands, isn't returned.
+    """
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters, and fails without it
-    reader = spark.read.format("warc").options(**options)
-    return (reader if payload else reader.schema(SCHEMA.rsplit(",", 1)[0])).load(path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # a reader that takes filters fails without it
+    reader = spark.read.format("warc").option("pushdown", "true").options(**options)
+    return (reader if payload else reader.schema(SCHEMA.rsplit(",", 1)[0])).load(path).where(F.col("record_type").isNotNull())
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
