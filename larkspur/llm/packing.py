@@ -15,28 +15,33 @@ result. Columns other than doc_id and text are dropped.
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch, text_slices
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of a group, about; bytes of text of a slice that is encoded at once; pre-tokens a worker remembers.
-GROUP, SLICE, REMEMBERED = 20_000, 4 << 20, 250_000
-#: Texts of these characters alone are split by the vocabulary's published pattern here; others by the tokenizer as a whole.
-PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Pieces of a group, about; bytes of text of a slice that is encoded at once; units a worker remembers; units it has seen
+#: lately, of which those that come again are remembered.
+GROUP, SLICE, REMEMBERED, LATELY = 20_000, 8 << 20, 250_000, 400_000
+#: Texts in which each space starts a unit of its own: plain characters, and no space between white space or at the end
+#: after it, where the vocabulary's pattern keeps runs of white space together. Others are encoded as a whole.
+ODD = "[^\t\n\r -~\u00a1-\u024f]|[ \t\n\r] (?:[ \t\n\r]|\\z)"
+#: Where it doesn't match, each line end is a unit of its own, and the next unit has no space in front of it.
+BREAKS = "[ \\t\\r\\n]\\n|\\n[ \\t\\r\\n]"
+#: Units that are encoded in one call, each on a line of its own.
+LINES = 2000
 
 
 class Encoder:
-    """Ids of texts; each distinct pre-token is encoded once and remembered, up to a bound."""
+    """Ids of texts. A text is cut before its spaces; each distinct unit of a slice is encoded once, common ones only once at all."""
 
     held: dict[str, Encoder] = {}
 
@@ -46,9 +51,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.line = self._ids(["\n"])[0]
+        # remembered units with their ids one after the other, and units that came once
+        self.known, self.lately = pa.array([], pa.large_string()), pa.array([], pa.large_string())
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -56,61 +62,122 @@ class Encoder:
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [i for i, x in enumerate(texts) if PLAIN.fullmatch(x)]
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all units, where each one's start, how many they are). Units without line ends or tabs are encoded many in a call, a line each."""
+        size, parts = np.zeros(len(units), np.int64), []
+        odd = pc.or_(pc.match_substring_regex(units, "[\t\n\r]"), pc.less_equal(pc.utf8_length(units), 1)).to_numpy(zero_copy_only=False) | (len(self.line) != 1)
+        clean, rest = np.nonzero(~odd)[0], np.nonzero(odd)[0]
+        words = units.take(pa.array(clean)).to_pylist()
+        for a in range(0, len(words), LINES):
+            part = words[a : a + LINES]
+            ids = self._ids(["\n".join(part)])[0]
+            ends = ids == self.line[0]
+            parts.append(ids[~ends])
+            cut = np.nonzero(ends)[0]
+            if len(cut) != len(part) - 1:
+                raise ValueError("a unit has a line end in it")
+            size[clean[a : a + LINES]] = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+        parts += (alone := self._ids(units.take(pa.array(rest)).to_pylist()))
+        size[rest] = [len(x) for x in alone]
+        # the clean ones' ids come first
+        order = np.concatenate([clean, rest])
+        start = np.zeros(len(units), np.int64)
+        start[order] = np.concatenate([[0], np.cumsum(size[order])])[:-1]
+        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), start, size
+
+    def _remember(self, units: pa.Array, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Keep the ids of units that came lately, as far as there is room."""
+        room = REMEMBERED - len(self.known)
+        if not room:
+            return
+        again = pc.is_in(units, value_set=self.lately)
+        kept = np.nonzero(again.to_numpy(zero_copy_only=False))[0][:room]
+        self.lately = pa.concat_arrays([self.lately, units.filter(pc.invert(again))])[-LATELY:]
+        n = size[kept]
+        ends = np.cumsum(n)
+        self.known = pa.concat_arrays([self.known, units.take(pa.array(kept))])
+        self.start = np.concatenate([self.start, len(self.flat) + ends - n])
+        self.size = np.concatenate([self.size, n])
+        self.flat = np.concatenate([self.flat, flat[np.repeat(start[kept] - (ends - n), n) + np.arange(n.sum())]])
+        if len(self.known) == REMEMBERED:
+            self.lately = self.lately[:0]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (an array of strings without nulls)."""
+        texts = pc.cast(texts, pa.large_string())
+        odd = pc.match_substring_regex(texts, ODD)
         found: list[np.ndarray | None] = [None] * len(texts)
-        odd = sorted(set(range(len(texts))) - set(plain))
-        for i, ids in zip(odd, self._encode([texts[i] for i in odd])):
+        for i, ids in zip(np.nonzero(odd.to_numpy(zero_copy_only=False))[0], self._ids(texts.filter(odd).to_pylist())):
             found[i] = ids
-        parts = [self.split(texts[i]) for i in plain]
-        ends = np.cumsum([0, *map(len, parts)])
-        coded = pa.array([y for x in parts for y in x], pa.large_string()).dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        at = [self.known.get(w, -1) for w in words]
-        new = [k for k, a in enumerate(at) if a < 0]
-        ids = [self.ids[a] if a >= 0 else None for a in at]
-        for k, made in zip(new, self._encode([words[k] for k in new])):
-            ids[k] = made
-            if len(self.ids) < REMEMBERED and len(words[k]) <= 32:
-                self.known[words[k]] = len(self.ids)
-                self.ids.append(made)
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
+        plain = np.nonzero(~odd.to_numpy(zero_copy_only=False))[0]
+        if not len(plain):
+            return found
+        # one more space in front sets a text's first unit apart from what precedes it
+        empty, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        held = texts.take(pa.array(plain))
+        marked = pc.if_else(pc.match_substring_regex(held, BREAKS), held, pc.replace_substring(held, "\n", " \x00 "))
+        split = pc.split_pattern(pc.binary_join_element_wise(empty, marked, space), " ")
+        ends = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        breaks = pc.equal(words, "\x00")
+        after = np.nonzero(breaks.to_numpy(zero_copy_only=False)[codes])[0] + 1
+        bare = np.concatenate([ends[:-1] + 1, after])  # units without a space of their own
+        starters, again = np.unique(codes[bare], return_inverse=True)
+        codes[bare] = len(words) + again
+        spaced = pc.if_else(breaks, pa.scalar("\n", pa.large_string()), pc.binary_join_element_wise(empty, words, space))
+        units = pa.concat_arrays([spaced, words.take(pa.array(starters))])
+        at = pc.fill_null(pc.index_in(units, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        new, old = np.nonzero(at < 0)[0], np.nonzero(at >= 0)[0]
+        fresh = units.take(pa.array(new))
+        flat, start_new, size_new = self._units(fresh)
+        start, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        start[old], size[old] = self.start[at[old]], self.size[at[old]]
+        start[new], size[new] = start_new + len(self.flat), size_new
+        every = np.concatenate([self.flat, flat])
+        self._remember(fresh, flat, start_new, size_new)
         sizes = size[codes]
+        sizes[ends[:-1]] = 0  # what is before the space that was put in front
         out_start = np.concatenate([[0], np.cumsum(sizes)])
-        take = np.repeat(start[codes] - out_start[:-1], sizes) + np.arange(out_start[-1])
-        out = flat[take]
+        out = every[np.repeat(start[codes] - out_start[:-1], sizes) + np.arange(out_start[-1])]
         for i, a, b in zip(plain, ends[:-1], ends[1:]):
             found[i] = out[out_start[a] : out_start[b]]
         return found
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids (an array of ints)."""
+def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder.of(tokenizer)
+    for whole in batches:
+        for batch in text_slices(whole, most=SLICE):
+            rows, piece, start, flat = [], [], [], []
+            for row, ids in enumerate(encoder.encode(pc.fill_null(batch.column("text"), ""))):
+                ids = np.append(ids, np.uint32(END_ID))
+                cuts = list(range(len(ids) % capacity or capacity, len(ids), capacity))
+                cuts = [0, *cuts] if len(ids) > capacity else [0]
+                rows += [row] * len(cuts)
+                piece += range(len(cuts))
+                start += cuts
+                flat.append((ids, cuts))
+            ends = np.cumsum([0] + [n for ids, cuts in flat for n in np.diff([*cuts, len(ids)])])
+            held = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([x for x, _ in flat]).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(np.diff(ends)), held], names=["doc_id", "piece", "start", "length", "ids"])
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, then=None, schema: str = "ids array<int>") -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids (an array of ints).
+
+    then, if given, makes record batches of others, in the same pass, with the columns of schema in place of ids.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
-        for whole in batches:
-            for batch in text_slices(whole, most=SLICE):
-                rows, piece, start, flat = [], [], [], []
-                for row, ids in enumerate(encoder.encode(pc.fill_null(batch.column("text"), "").to_pylist())):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    cuts = list(range(len(ids) % capacity or capacity, len(ids), capacity))
-                    cuts = [0, *cuts] if len(ids) > capacity else [0]
-                    rows += [row] * len(cuts)
-                    piece += range(len(cuts))
-                    start += cuts
-                    flat.append((ids, cuts))
-                ends = np.cumsum([0] + [n for ids, cuts in flat for n in np.diff([*cuts, len(ids)])])
-                held = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([x for x, _ in flat]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(np.diff(ends)), held], names=["doc_id", "piece", "start", "length", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids array<int>")
+        made = _pieces(batches, tokenizer, capacity)
+        return then(made) if then else made
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, {schema}")
 
 
 class Rooms:
@@ -181,20 +248,15 @@ def pack(found: DataFrame, key: list[str], capacity: int = CAPACITY, group: int
     return alone.unionByName(packed)
 
 
-def packed(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """For each piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = pieces(docs, tokenizer)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        flat = b.column("ids").values.to_numpy().astype("<u4", copy=False)
+        at = b.column("ids").offsets.to_numpy()
+        crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:])]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crc, pa.int64())], names=[*b.schema.names[:4], "ids_crc32"])
 
-        for b in batches:
-            ids = b.column("ids")
-            flat = ids.values.to_numpy().astype("<u4", copy=False)
-            at = ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crc, pa.int64())], names=[*b.schema.names[:4], "ids_crc32"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    small = cut.mapInArrow(digest, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+def packed(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """For each piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    small = pieces(docs, tokenizer, then=_digests, schema="ids_crc32 long")
     return pack(Scratch(small, "pieces").df, ["doc_id", "piece", "ids_crc32"])

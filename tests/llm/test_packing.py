@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -16,7 +17,7 @@ def test_encoder_equals_the_tokenizer():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
     encoder = packing.Encoder(PATH)
     for _ in range(2):  # the second time from memory
-        assert [x.tolist() for x in encoder.encode(texts)] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_beyond_its_memory(monkeypatch):
@@ -24,7 +25,7 @@ def test_encoder_beyond_its_memory(monkeypatch):
     encoder = packing.Encoder(PATH)
     texts = ["one two three four five six", "", "six seven one", "two"]
     for _ in range(3):
-        assert [x.tolist() for x in encoder.encode(texts)] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert len(encoder.known) == 3
 
 
