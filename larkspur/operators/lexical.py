@@ -58,6 +58,22 @@ def count_cosine(docs: DataFrame, candidates: DataFrame, doc: str, candidate: st
     return similarity(unit(docs, doc), unit(candidates, candidate), doc, candidate)
 
 
+def overlaps(docs: DataFrame, candidates: DataFrame, doc: str, candidate: str, text: str, stops: list[str]) -> DataFrame:
+    """(doc, candidate, jaccard, coverage, content_coverage, cue_density) of pairs that share a token; all others are 0.
+
+    A join on tokens and one aggregation: its rows are shared tokens, not pairs. Stop words are the cues of cue_density.
+    """
+    stop = _C("term").isin(*stops)
+    seq = token_sequence(_C(text))
+    left = docs.select(doc, seq.alias("seq")).withColumn("cue_density", density(_C("seq"), F.array(*map(F.lit, stops))))
+    left = left.select(doc, "cue_density", F.array_distinct("seq").alias("t")).select(doc, "cue_density", F.size("t").alias("nd"), F.explode("t").alias("term"))
+    right = candidates.select(candidate, token_set(_C(text)).alias("t"))
+    right = right.select(candidate, F.size("t").alias("nc"), F.size(F.array_except("t", F.array(*map(F.lit, stops)))).alias("ns"), F.explode("t").alias("term"))
+    both = left.join(right, "term").groupBy(doc, candidate).agg(F.count("*").alias("k"), F.sum((~stop).cast("long")).alias("ks"), *(F.first(c).alias(c) for c in ("cue_density", "nd", "nc", "ns")))
+    content = F.when(_C("ns") == 0, F.lit(0.0)).otherwise(_C("ks") / _C("ns"))
+    return both.select(doc, candidate, (_C("k") / (_C("nd") + _C("nc") - _C("k"))).alias("jaccard"), (_C("k") / _C("nc")).alias("coverage"), content.alias("content_coverage"), "cue_density")
+
+
 def pair_features(rows: DataFrame, text: str, candidate: str, cues: Column, stops: Column) -> DataFrame:
     """rows with jaccard, coverage, content_coverage, cue_density and length of a text against a candidate's text."""
     t, c = token_set(_C(text)), token_set(_C(candidate))

@@ -97,21 +97,16 @@ def token_sets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(seq).cast("long").alias("n_tokens"), F.size(F.array_distinct(seq)).cast("long").alias("n_types"), F.array_join(F.array_sort(F.array_distinct(seq)), " ").alias("types"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, lang, list_distinct({_TOKENS}) AS s, {_TOKENS} AS seq FROM documents), c AS (SELECT item_id, list_distinct({_TOKENS}) AS b FROM benchmark WHERE item_id < 5),
-st AS (SELECT ['the','of','and'] AS stops)
-SELECT doc_id, item_id, round(CASE WHEN len(s) + len(b) = 0 THEN 1 ELSE len(list_intersect(s, b))::DOUBLE / len(list_distinct(list_concat(s, b))) END, 9) AS jaccard,
-  round(CASE WHEN len(b) = 0 THEN 0 ELSE len(list_intersect(s, b))::DOUBLE / len(b) END, 9) AS coverage,
-  round(CASE WHEN len(list_filter(b, lambda x: NOT list_contains(stops, x))) = 0 THEN 0 ELSE len(list_filter(list_intersect(s, b), lambda x: NOT list_contains(stops, x)))::DOUBLE / len(list_filter(b, lambda x: NOT list_contains(stops, x))) END, 9) AS content_coverage,
-  round(CASE WHEN len(seq) = 0 THEN 0 ELSE len(list_filter(seq, lambda x: list_contains(stops, x)))::DOUBLE / len(seq) END, 9) AS cue_density
-FROM t, c, st""")
+@query(f"""WITH t AS (SELECT doc_id, list_distinct({_TOKENS}) AS s, {_TOKENS} AS seq FROM documents), c AS (SELECT item_id, list_distinct({_TOKENS}) AS b FROM benchmark), st AS (SELECT ['the','of','and'] AS stops)
+SELECT doc_id, item_id, round(len(list_intersect(s, b))::DOUBLE / len(list_distinct(list_concat(s, b))), 9) AS jaccard, round(len(list_intersect(s, b))::DOUBLE / len(b), 9) AS coverage,
+  round(coalesce(len(list_filter(list_intersect(s, b), lambda x: NOT list_contains(stops, x)))::DOUBLE / nullif(len(list_filter(b, lambda x: NOT list_contains(stops, x))), 0), 0), 9) AS content_coverage,
+  round(len(list_filter(seq, lambda x: list_contains(stops, x)))::DOUBLE / len(seq), 9) AS cue_density
+FROM t, c, st WHERE len(list_intersect(s, b)) > 0""")
 def overlap_features(spark, sf_dir):
-    """PR12-PR15, ML3: overlaps of each document with five candidates (the feature's own, fixed dimension)."""
-    items = table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", T.token_set(F.col("text")).alias("b"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.token_set(F.col("text")).alias("s"), T.token_sequence(F.col("text")).alias("seq"))
-    stops = F.array(*map(F.lit, ("the", "of", "and")))
-    made = docs.crossJoin(F.broadcast(items))  # five candidates
-    s, b = F.col("s"), F.col("b")
-    return made.select("doc_id", "item_id", T.jaccard(s, b).alias("jaccard"), T.coverage(s, b).alias("coverage"), T.coverage(s, T.content_tokens(b, stops)).alias("content_coverage"), T.density(F.col("seq"), stops).alias("cue_density"))
+    """PR12-PR15, ML3: overlaps of documents and candidates that share a token, by a join on tokens."""
+    from larkspur.operators.lexical import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", ["the", "of", "and"])
 
 
 @query(r"""SELECT regexp_replace(trim(regexp_replace(lower(industry), '\s+', ' ', 'g')), 'x', 'x') AS normal, count(*) AS n

@@ -7,13 +7,13 @@ from larkspur.operators import lexical as X
 from larkspur.plans.adapter import table, with_views
 from larkspur.queries.registry import query
 
-_DOC = """WITH d0 AS (SELECT doc_id, regexp_extract_all(lower("text"), '[a-z0-9]{2,}') AS w FROM documents), c0 AS (SELECT item_id, regexp_extract_all(lower("text"), '[a-z0-9]{2,}') AS w FROM benchmark WHERE item_id < 10),
+_DOC = """WITH d0 AS (SELECT doc_id, regexp_extract_all(lower("text"), '[a-z0-9]{2,}') AS w FROM documents), c0 AS (SELECT item_id, regexp_extract_all(lower("text"), '[a-z0-9]{2,}') AS w FROM benchmark),
 dt AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM d0) GROUP BY ALL), ct AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest(w) AS term FROM c0) GROUP BY ALL)"""
 
 
 def _docs(spark, sf_dir):
-    """Terms of all documents, and of ten candidates (the feature's fixed dimension)."""
-    return X.terms(table(spark, sf_dir, "documents"), "doc_id", "text"), X.terms(table(spark, sf_dir, "benchmark").where("item_id < 10"), "item_id", "text")
+    """Terms of all documents and of all candidates."""
+    return X.terms(table(spark, sf_dir, "documents"), "doc_id", "text"), X.terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 @query(_DOC + """, t AS (SELECT count(DISTINCT doc_id) AS total FROM dt), i AS (SELECT term, ln((1 + total)::DOUBLE / (1 + count(*))) + 1 AS idf FROM dt, t GROUP BY term, total),
