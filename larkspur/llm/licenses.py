@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,15 +60,16 @@ def bounds(size: int, threshold: float = THRESHOLD) -> range:
     return range(math.ceil(round(size * threshold / (2 - threshold), 9)), math.floor(round(size * (2 - threshold) / threshold, 9)) + 1)
 
 
-def anchors(own: set[str], threshold: float = THRESHOLD) -> set[str]:
+def anchors(own: set[str], threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> set[str]:
     """Words of which a unit that matches a template with these bigrams has at least one.
 
     A match shares t / 2 (|A| + |B|) bigrams, and |A| is within its bounds; the anchors are in more of the template's
-    bigrams than a match can lack. Long words come first, as they are rare in other texts.
+    bigrams than a match can lack. Long words come first, then words of few templates, as they are rare in other texts.
     """
     spare = len(own) - math.ceil(round(threshold / 2 * (bounds(len(own), threshold)[0] + len(own)), 9))
     chosen: set[str] = set()
-    for word in sorted({w for b in own for w in b.split()}, key=lambda w: (-len(w), w)):
+    common = Counter(w for _, text in templates for w in set(normalised(text).split()))
+    for word in sorted({w for b in own for w in b.split()}, key=lambda w: (-len(w), common[w], w)):
         if sum(bool(chosen & set(b.split())) for b in own) > spare:
             break
         chosen.add(word)
@@ -102,7 +104,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     allowed = [(size, name, sorted(own)) for name, text in templates if (own := bigrams(text)) for size in bounds(len(own), threshold)]
     table = F.broadcast(spark.createDataFrame(allowed, "size int, license string, b array<string>"))  # as many rows as the templates allow sizes
     least = min((size for size, _, _ in allowed), default=1)
-    known = sorted(set().union(*(anchors(own, threshold) for _, text in templates if (own := bigrams(text)))))
+    known = sorted(set().union(*(anchors(own, threshold, templates) for _, text in templates if (own := bigrams(text)))))
     likely = docs.where(F.arrays_overlap(_words(F.col("text")), F.array(*map(F.lit, known)))) if known else docs.limit(0)
     found = units(likely).where(F.size("words") > least).select("doc_id", "kind", _bigrams(F.col("words")).alias("a")).withColumn("size", F.size("a"))
     dice = 2.0 * F.size(F.array_intersect("a", "b")) / (F.col("size") + F.size("b"))
