@@ -12,7 +12,9 @@ GROUP = ["row_uid", "aspect"]
 
 
 def ranked(grid: DataFrame, by: str = "sentiment_score", name: str = "rn") -> DataFrame:
-    """With the sentiment's rank within its review and aspect; one shuffle on the review serves all later windows."""
+    """With the sentiment's rank within its review and aspect; grids that come with rn, by sentiment score, need no window."""
+    if by == "sentiment_score" and name in grid.columns:
+        return grid
     return grid.withColumn(name, F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.desc(by), "ord")))
 
 
@@ -31,9 +33,11 @@ def two_stage(grid: DataFrame, threshold: float | Column) -> DataFrame:
 
 
 def multi_sentiment(grid: DataFrame, gate: float | Column, threshold: float | Column) -> DataFrame:
-    """All sentiments that reach the threshold, or else the best one, of each gated aspect."""
-    fallback = (F.max("sentiment_score").over(Window.partitionBy(*GROUP)) < threshold) & (F.col("rn") == 1)
-    chosen = (F.col("sentiment_score") >= threshold) | fallback
+    """All sentiments that reach the threshold, or else the best one, of each gated aspect.
+
+    The best one is in either way: if any reaches the threshold, it does.
+    """
+    chosen = (F.col("sentiment_score") >= threshold) | (F.col("rn") == 1)
     return ranked(grid).withColumn("p", ((F.col("aspect_score") >= gate) & chosen).cast("int"))
 
 

@@ -45,7 +45,7 @@ def unique_claims(conditions: DataFrame, key: list[str], score: Column, name: st
 
 def compose(a: DataFrame, b: DataFrame) -> DataFrame:
     """Aspect scores from one system, sentiment scores from another, on equal keys."""
-    return a.drop("sentiment_score").join(b.select(*PAIR, "sentiment_score"), PAIR)
+    return a.drop("sentiment_score", "rn").join(b.select(*PAIR, "sentiment_score"), PAIR)
 
 
 def share_seen(native: DataFrame, described: DataFrame, heldout: str) -> DataFrame:

@@ -74,8 +74,14 @@ def pair_sweep(grid: DataFrame, *by: str, score: str = "score") -> DataFrame:
 
 def best_sentiments(grid: DataFrame, *by: str, rank: str = "sentiment_score") -> DataFrame:
     """The best sentiment of each review and aspect, with the review's gold pairs."""
-    rn = F.row_number().over(Window.partitionBy(*by, "row_uid", "aspect").orderBy(F.desc(rank), "ord"))
-    return grid.withColumns({"gold_row": _gold(*by), "rn": rn}).where("rn = 1")
+    return _ranked(grid, rank, *by).withColumn("gold_row", _gold(*by)).where("rn = 1")
+
+
+def _ranked(grid: DataFrame, rank: str, *by: str) -> DataFrame:
+    """With rn, the sentiment's rank within its review and aspect, unless the grid comes with it."""
+    if rank == "sentiment_score" and "rn" in grid.columns:
+        return grid
+    return grid.withColumn("rn", F.row_number().over(Window.partitionBy(*by, "row_uid", "aspect").orderBy(F.desc(rank), "ord")))
 
 
 def hierarchical_sweep(grid: DataFrame, *by: str) -> DataFrame:
@@ -99,8 +105,7 @@ def group_sweep(decoded: DataFrame, *by: str) -> DataFrame:
 
 def runner_up_sweep(grid: DataFrame, gate: float | Column, *by: str) -> DataFrame:
     """Thresholds for the second sentiment of gated aspects, whose first one is always predicted."""
-    rn = F.row_number().over(Window.partitionBy(*by, "row_uid", "aspect").orderBy(F.desc("sentiment_score"), "ord"))
-    open_ = grid.withColumns({"gold_row": _gold(*by), "rn": rn}).where(_C("aspect_score") >= gate)
+    open_ = _ranked(grid, "sentiment_score", *by).withColumn("gold_row", _gold(*by)).where(_C("aspect_score") >= gate)
     first = F.sum((_C("rn") == 1).cast("long")).over(Window.partitionBy(*by, "row_uid"))
     first_tp = F.sum(((_C("rn") == 1) & (_C("target") == 1)).cast("long")).over(Window.partitionBy(*by, "row_uid"))
     held = open_.withColumns({"n1": first, "t1": first_tp}).where("rn <= 2")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.plans.taxonomy import candidates
+from larkspur.plans.taxonomy import ASPECTS, SENTIMENTS, strings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,20 +54,22 @@ def reviews(spark: SparkSession, sf_dir: str, facts: bool = False) -> DataFrame:
 
 
 def scored_grid(rows: DataFrame, salt: str = "a") -> DataFrame:
-    """Every review with every candidate pair: row_uid, split, aspect, sentiment, ord, target, aspect_score, sentiment_score, score.
+    """Every review with every candidate pair: row_uid, split, aspect, sentiment, ord, target, aspect_score, sentiment_score, score, rn.
 
-    The product is an explode of the literal candidates, so it needs no join; targets are set membership.
+    The product is an explode of the literal aspects, and of each one's sentiments, ranked in an array (rn): it needs no
+    join, no window and no shuffle. Targets are set membership.
     """
-    cell = rows.select("row_uid", "split", "labels", F.explode(candidates()).alias("c")).select("row_uid", "split", "labels", "c.*")
-    target = F.array_contains("labels", F.struct("aspect", "sentiment")).cast("int")
-    has_aspect = F.exists("labels", lambda x: x.aspect == F.col("aspect")).cast("int")
+    cell = rows.select("row_uid", "split", "labels", F.explode(strings(ASPECTS)).alias("aspect"))
     digest = lambda *parts: F.sha2(F.concat_ws("|", F.lit(salt), "row_uid", *parts), 256)
-    whole = cell.withColumns({"target": target, "has": has_aspect, "d1": digest("aspect"), "d2": digest("aspect", "sentiment")})
-    return whole.select(
-        "row_uid", "split", "aspect", "sentiment", "ord", "target",
-        ((prefix(F.col("d1")) % 6000 + 250 + 3500 * F.col("has")) / F.lit(10000.0)).alias("aspect_score"),
-        ((prefix(F.col("d2")) % 6500 + 3000 * F.col("target")) / F.lit(10000.0)).alias("sentiment_score"),
-        ((prefix(F.col("d2"), 9) % 6500 + 3000 * F.col("target")) / F.lit(10000.0)).alias("score"),
+    own = F.transform(F.filter("labels", lambda x: x.aspect == F.col("aspect")), lambda x: x.sentiment)
+    whole = cell.withColumn("own", own).withColumn("aspect_score", (prefix(digest("aspect")) % 6000 + 250 + 3500 * (F.size("own") > 0).cast("int")) / F.lit(10000.0))
+    every = F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(s).alias("sentiment"), F.array_contains("own", s).cast("int").alias("target"), digest("aspect", F.lit(s)).alias("d")) for k, s in enumerate(SENTIMENTS)))
+    scored = F.transform(every, lambda x: F.struct(
+        (-(prefix(x.d) % 6500 + 3000 * x.target)).alias("by"), x.ord.alias("ord"), x.sentiment.alias("sentiment"), x.target.alias("target"), (prefix(x.d, 9) % 6500 + 3000 * x.target).alias("score")))
+    ranked = whole.select("row_uid", "split", "aspect", "aspect_score", F.posexplode(F.array_sort(scored)).alias("k", "c"))
+    return ranked.select(
+        "row_uid", "split", "aspect", "c.sentiment", "c.ord", "c.target", "aspect_score",
+        (-F.col("c.by") / F.lit(10000.0)).alias("sentiment_score"), (F.col("c.score") / F.lit(10000.0)).alias("score"), (F.col("k") + 1).alias("rn"),
     )
 
 

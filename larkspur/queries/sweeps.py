@@ -103,11 +103,7 @@ def select_joint(spark, sf_dir):
     cal = _cal(spark, sf_dir)
     q = cal.agg(F.percentile("sentiment_score", F.array(*(F.lit(i / 16) for i in range(17)))).alias("q")).first()["q"]
     marked = cal.withColumn("second", F.explode(F.array(*(F.lit(x) for x in sorted(set(q))))))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("second", "row_uid", "aspect")
-    rn = F.row_number().over(w.orderBy(F.desc("sentiment_score"), "ord"))
-    made = marked.withColumn("rn", rn).withColumn("p", ((F.col("sentiment_score") >= F.col("second")) | ((F.max("sentiment_score").over(w) < F.col("second")) & (F.col("rn") == 1))).cast("int"))
+    made = D.multi_sentiment(marked, 0.0, F.col("second"))
     order = [*W.ORDER[:4], "sentiments_per_aspect asc", "threshold desc", "second desc"]
     return W.select(W.group_sweep(made, "second"), order=order)
 
