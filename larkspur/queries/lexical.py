@@ -161,7 +161,7 @@ def one_versus_rest(spark, sf_dir):
 @query()
 def latent_neighbours(spark, sf_dir):
     """ML7: documents on eight latent dimensions, and how alike those of a language are to its mean."""
-    rows = _languages(spark, sf_dir)
+    rows = _languages(spark, sf_dir).cache()
     z = X.latent(rows, "doc_id", 8).join(rows.select("doc_id", "y"), "doc_id")
     centre = z.select("y", F.posexplode("z").alias("i", "x")).groupBy("y", "i").agg(F.avg("x").alias("x")).groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("c"))
     return z.join(F.broadcast(centre), "y").groupBy("y").agg(F.count("*").alias("n"), F.avg(cosine(F.col("z"), F.col("c"))).alias("mean_cosine"))  # one row for each language
