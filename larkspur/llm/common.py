@@ -53,7 +53,7 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of bounded bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin = held = 0
@@ -66,25 +66,32 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
         yield batch.slice(begin)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns of these names, in any case."""
+    lower = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in lower))
+
+
 def add_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """df with further columns that fn makes from its column of text, row by row, whatever else df holds.
 
-    fn gets a null-free array of texts (null: empty) and returns one array for each field.
+    fn gets a null-free array of texts (null: empty) and returns one array for each field. Columns of df with the fields'
+    names, in any case, make way for them.
     """
-    kinds = [f.dataType for f in fields]
-    types = pa.schema([pa.field(f.name, _arrow(k)) for f, k in zip(fields, kinds)]).types
+    df = without(df, *(f.name for f in fields))
+    at = df.columns.index(text)
+    types = [_arrow(f.dataType) for f in fields]
+    names = [f"c{i}" for i in range(len(df.columns) + len(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, text):
-                made = fn(pc.fill_null(batch.column(text), ""))
-                made = [m.cast(t) for m, t in zip(made, types)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in fields)])
-
-    taken = set(df.columns)
-    if clash := [f.name for f in fields if f.name in taken]:
-        raise ValueError(f"columns exist: {clash}")
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+            for batch in text_slices(whole, at):
+                made = fn(pc.fill_null(batch.column(at), ""))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(m.cast(t) for m, t in zip(made, types))], names=names)
+
+    # plain names on the way, as mapInArrow takes a dot in a name for a field of a struct
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, [*df.schema.fields, *fields])])
+    return df.toDF(*names[: len(df.columns)]).mapInArrow(run, schema).toDF(*df.columns, *(f.name for f in fields))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import Scratch, add_columns, bucket_of, text_slices
+from larkspur.llm.common import Scratch, add_columns, bucket_of, text_slices, without
 
 SAMPLE, ROUNDS, LONGEST = 300, 3, 32
 #: Probability of a letter without a piece; what is added to each piece's expected count; words a worker remembers.
@@ -267,7 +267,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, path: str, train: DataFrame | None = None) -> DataFrame:
-    """docs with held_out, lang_pred and score; learnt from the rows of train (docs) that aren't held out."""
+    """docs with held_out, lang_pred and score; learnt from the rows of train (docs) that aren't held out.
+
+    Columns of docs with these names make way for them.
+    """
     source = docs if train is None else train
+    docs = without(docs, "held_out", "lang_pred", "score")
     model = fit(source.where(bucket_of(F.col("doc_id"), 5) != 0), path)
     return predict(docs.withColumn("held_out", F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(True))), model)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import Scratch, add_columns, bucket_of
+from larkspur.llm.common import Scratch, add_columns, bucket_of, without
 
 FEATURES, WIDTH, RIDGE, BINS, CLIP, SEED, CUT = 256, 4.0, 1e-3, 2000, 6.0, 7, 0.3
 STATISTICS = [
@@ -140,18 +140,20 @@ def fit(held: DataFrame, labels: DataFrame, name: str = "__statistics") -> Model
 
 
 def score(docs: DataFrame, labels: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs, without the columns of drop, with held_out, score and predicted; learnt from docs that aren't held out."""
+    """docs, without the columns of drop, with held_out, score and predicted; learnt from docs that aren't held out.
+
+    Columns of docs with these names make way for them.
+    """
+    docs = without(docs, "held_out", "score", "predicted")
     out = F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(True))
     # the statistics are written once, for the fit and for the scores
     held = Scratch(with_statistics(docs).drop(*drop).withColumn("held_out", out), "statistics").df
     model = fit(held.where("not held_out"), labels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index("__statistics")
-            s = model.score(_matrix(batch.column(k))) if batch.num_rows else np.zeros(0)
-            rest = [i for i in range(batch.num_columns) if i != k]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[*(batch.schema.names[i] for i in rest), "score", "predicted"])
+    rest = [f"`{c}`" for c in held.columns if c != "__statistics"]
+    # the statistics are the only column that goes to Python and back
+    @F.arrow_udf(T.DoubleType())
+    def scores(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(_matrix(x)) if len(x) else np.zeros(0), pa.float64())
 
-    schema = T.StructType([f for f in held.schema.fields if f.name != "__statistics"] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return held.mapInArrow(run, schema)
+    return held.select(*rest, scores("__statistics").alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))

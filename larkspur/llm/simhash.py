@@ -12,6 +12,7 @@ reachable, or null. An empty table gives an empty result. Columns other than doc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.cells import chunk_cells
-from larkspur.llm.common import Scratch, add_columns
+from larkspur.llm.common import Scratch, add_columns, without
 from larkspur.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -33,30 +34,44 @@ BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 HOT = 64
 
 
-def shingle_hashes(text: bytes, k: int = SHINGLE) -> list[int]:
-    """XXH64 of the k-word shingles, repeats included; of the whole sequence if there are fewer words."""
-    words, x = text.lower().split(), xxhash.xxh64_intdigest
-    if len(words) <= k:
-        return [x(b" ".join(words), SEED)] if words else []
-    return [x(b" ".join(g), SEED) for g in zip(*(words[i:] for i in range(k)))]
+def _blocks(text: bytes, most: int) -> Iterator[bytes]:
+    """The text in parts of about `most` bytes, cut at spaces or line ends."""
+    begin = 0
+    while len(text) - begin > most:
+        cut = max(text.rfind(b" ", begin, begin + most), text.rfind(b"\n", begin, begin + most))
+        if cut <= begin:  # a word that long: up to where it ends
+            ends = [x for x in (text.find(b" ", begin + most), text.find(b"\n", begin + most)) if x >= 0]
+            if not ends:
+                break
+            cut = min(ends)
+        yield text[begin:cut]
+        begin = cut
+    yield text[begin:]
 
 
-def fingerprint(hashes: list[int]) -> int:
-    """A bit is 1 if it is set in over half of the hashes."""
-    if not hashes:
-        return 0
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], dtype=np.uint64).astype(">u8").view(np.uint8)
-        votes += np.unpackbits(part).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+def fingerprint(text: bytes, k: int = SHINGLE, most: int = 1 << 20) -> int:
+    """Of the XXH64 of the k-word shingles, repeats included, the bits that are set in over half; in bounded memory.
+
+    Fewer words are one shingle, and no words give 0.
+    """
+    x, votes, n, kept = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for block in _blocks(text, most):
+        words = kept + block.lower().split()
+        hashes = [x(b" ".join(g), SEED) for g in zip(*(words[i:] for i in range(k)))]
+        kept = words[-(k - 1) :]
+        if hashes:
+            n += len(hashes)
+            votes += np.unpackbits(np.array(hashes, dtype=np.uint64).astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    if not n:
+        return x(b" ".join(kept), SEED) if kept else 0
+    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
 def with_fingerprints(docs: DataFrame, name: str = "__fp", text: str = "text", k: int = SHINGLE) -> DataFrame:
     """docs with a long column of fingerprints."""
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        found = np.fromiter((fingerprint(shingle_hashes(x.as_buffer().to_pybytes(), k)) for x in texts), np.uint64, len(texts))
+        found = np.fromiter((fingerprint(x.as_buffer().to_pybytes(), k) for x in texts), np.uint64, len(texts))
         return [pa.array(found.view(np.int64))]
 
     return add_columns(docs, text, make, [T.StructField(name, T.LongType())])
@@ -109,8 +124,9 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs, without the columns of drop, and with fingerprint (16 hex digits), component_id and kept, row by row.
 
-    kept marks one row of each class: the first with the smallest doc_id.
+    kept marks one row of each class: the first with the smallest doc_id. Columns of docs with these names make way for them.
     """
+    docs = without(docs, "fingerprint", "component_id", "kept", "__row", "__least", "__node")
     marked = with_fingerprints(docs, "__fp").drop(*drop).withColumn("__row", F.monotonically_increasing_id())
     held = Scratch(marked, "fingerprints").df  # the row numbers hold from here on
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
@@ -120,7 +136,7 @@ def near_duplicates(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     known = joined.join(joined.groupBy("component").agg(F.min("first").alias("__least")), "component").select(F.col("fp").alias("__node"), "__least")
     made = held.join(known, F.col("__fp") == F.col("__node"))
     return made.select(
-        *(c for c in docs.columns if c not in drop),
+        *(F.col(f"`{c}`") for c in docs.columns if c not in drop and c != "__fp"),
         F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"),
         F.col("__least.doc_id").alias("component_id"),
         (F.col("__row") == F.col("__least.__row")).alias("kept"),

@@ -62,6 +62,12 @@ def test_equals_all_pairs(spark, monkeypatch, hot):
     assert all(r["doc_id"] == r["component_id"] for r in found if r["kept"])
 
 
+@pytest.mark.parametrize("most", [1, 7, 40])
+def test_fingerprint_in_blocks(most):
+    for _, text in messy(20, 3):
+        assert simhash.fingerprint((text or "").encode(), most=most) == brute_fingerprint(text)
+
+
 def test_links_found_at_every_distance(spark):
     rng = random.Random(5)
     fps = []
