@@ -17,21 +17,31 @@ from larkspur.llm.queries import _tokenizer
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with all columns but doc_id and text under other names, so that none meets an operator's."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"in_{c}") for c in docs.columns))
+
+
+def _together(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return made.select(*(F.col(f"`{c}`" if c in ("doc_id", "text") else f"`in_{c}`").alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language."""
-    made = langid.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c not in ("doc_id", "text")}), _tokenizer("piece_bpe_32k.model"), docs.select("doc_id", "text", "lang"))
-    return made.where(F.col("lang_pred") != langid.UNKNOWN).select(*(F.col(c if c in ("doc_id", "text") else f"in_{c}").alias(c) for c in docs.columns))
+    made = langid.identify(_apart(docs), _tokenizer("piece_bpe_32k.model"), docs.select("doc_id", "text", "lang"))
+    return _together(made.where(F.col("lang_pred") != langid.UNKNOWN), docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are predicted to be of quality 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return quality.score(docs, labels).where("predicted = 1").select(docs.columns)
+    return _together(quality.score(_apart(docs), labels).where("predicted = 1"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates."""
-    return simhash.near_duplicates(docs).where("kept").select(docs.columns)
+    return _together(simhash.near_duplicates(_apart(docs)).where("kept"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
