@@ -29,6 +29,8 @@ from larkspur.llm.common import Scratch
 from larkspur.llm.components import components
 
 THRESHOLD, BLOCK, SEED = 0.93, 8, 11
+#: Vectors of a slab that meet in one task, about twice as many at most.
+CHUNK = 4096
 #: What rounding may add to a squared distance; pairs that are verified at a time.
 SLACK, PAIRS = 1e-7, 100_000
 
@@ -131,7 +133,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     extra = "block int, slab long, visitor boolean"
     base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
     members = Scratch(nodes.mapInArrow(lambda batches: _slabs(batches, threshold), f"{base}, {extra}"), "slabs")
-    cell = chunk_cells(members.df, ["label", "dims", "block", "slab"], F.col("node"))
+    cell = chunk_cells(members.df, ["label", "dims", "block", "slab"], F.col("node"), CHUNK)
     keys = ["label", "dims", "block", "slab", "i", "j"]
     found = Scratch(cell.groupBy(*keys).applyInPandas(lambda pdf: _cell(pdf, threshold), "node long, links long, least long"), "links").df
     members.drop()

@@ -43,6 +43,17 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted({str(i) for i in ids(after)}) == sorted({str(i) for i in ids(before)})
 
 
+def test_clashing_columns_are_kept(spark):
+    from pyspark.sql import functions as F
+
+    names = ["score", "Held_Out", "lang_pred", "predicted", "kept", "fingerprint", "component_id", "__row", "__fp", "__statistics", "in_lang", "a.b"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("*", *(F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        assert all(r[n] == f"{n}-{r['doc_id']}" for r in out.collect() for n in names)
+
+
 def test_run_and_contract(spark):
     made = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert made.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and made.count() > 0

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from larkspur.llm import cells, vectors
+from larkspur.llm import vectors
 
 
 def fixture(seed=0, n=260, dims=64):
@@ -44,9 +44,9 @@ def brute(rows):
     return sorted(((rows[i][0], len(links[i]), label[i]) for i in range(n)), key=key)
 
 
-@pytest.mark.parametrize("chunk", [2048, 16])
+@pytest.mark.parametrize("chunk", [4096, 16])
 def test_equals_all_pairs(spark, monkeypatch, chunk):
-    monkeypatch.setattr(cells.chunk_cells, "__defaults__", (chunk,))  # 16: slabs go through many cells
+    monkeypatch.setattr(vectors, "CHUNK", chunk)  # 16: slabs go through many cells
     rows = fixture()
     frame = spark.createDataFrame([(i, e, l, 1) for i, l, e in rows], "vec_id long, embedding array<float>, label int, node long")
     key = lambda r: tuple((v is None, v) for v in r)
