@@ -80,7 +80,7 @@ def add_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], list[pa.Array
     """
     df = without(df, *(f.name for f in fields))
     at = df.columns.index(text)
-    types = [_arrow(f.dataType) for f in fields]
+    types = [arrow_type(f.dataType) for f in fields]
     names = [f"c{i}" for i in range(len(df.columns) + len(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def add_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], list[pa.Array
     return df.toDF(*names[: len(df.columns)]).mapInArrow(run, schema).toDF(*df.columns, *(f.name for f in fields))
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
+def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)

@@ -29,10 +29,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from larkspur.llm.common import text_slices
+from larkspur.llm.common import add_columns, arrow_type, text_slices, without
 
 SHINGLE, THRESHOLD, RADIUS, BLOCK, NEAR = 5, 0.8, 17, 16, 4
 #: Windows of L words are max(1, L // STEP) apart; lengths of one class differ by this factor at most.
@@ -125,11 +127,11 @@ class _Class:
             found.append(value)
             here = self.blocks[b][value]
             hit = here if hit is None else hit | here
-        at = np.nonzero(hit)[0]
+        at = np.flatnonzero(hit)
         fps = np.zeros(len(at), np.uint64)
         for b in range(4):
             fps |= found[b][at].astype(np.uint64) << np.uint64(BLOCK * b)
-        w, item = np.nonzero(np.bitwise_count(fps[:, None] ^ self.fps[None, :]) <= RADIUS)
+        w, item = np.divmod(np.flatnonzero(np.bitwise_count(fps[:, None] ^ self.fps[None, :]) <= RADIUS), len(self.fps))
         return at[w] * self.step, self.items[item]
 
 
@@ -141,6 +143,7 @@ class Index:
         self.ids, self.words = [i for i, _ in items], [w for _, w in items]
         self.own = [shingles(w) for _, w in items]
         self.counts = [Counter(x.tolist()) for x in self.own]
+        self.sets = [set(c) for c in self.counts]
         long = sorted((len(w), i) for i, w in enumerate(self.words) if len(w) >= SHINGLE)
         self.classes, part = [], []
         for n, i in [*long, (None, None)]:
@@ -153,6 +156,9 @@ class Index:
         for i, w in enumerate(self.words):
             if 0 < len(w) < SHINGLE:
                 self.short[len(w)][int(self.own[i][0])].append(i)
+        #: Running votes wrap around, which their differences don't show as long as a window's votes fit.
+        longest = max([c.size for c in self.classes], default=0)
+        self.kind = np.int8 if longest < 128 else np.int16 if longest < 1 << 15 else np.int32
         self.pad = max([c.size + 2 * c.spread for c in self.classes], default=0) + SHINGLE
 
     def search(self, words: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, object, int, int, float]]:
@@ -186,14 +192,17 @@ class Index:
         # documents stand one after the other; windows over their edges are candidates too, and are verified within one
         padded = np.concatenate([words, np.zeros(self.pad, np.uint64)])
         own = shingles(padded)
-        sums = np.zeros((64, len(own) + 1), np.int16)
+        sums = np.zeros((64, len(own) + 1), self.kind)
+        by_byte = np.ascontiguousarray(own.astype("<u8").view(np.uint8).reshape(-1, 8).T)
         for bit in range(64):
-            np.cumsum(((own >> np.uint64(bit)) & np.uint64(1)).astype(np.int16), out=sums[bit, 1:])
+            votes = (by_byte[bit >> 3] >> np.uint8(bit & 7)) & np.uint8(1)
+            np.cumsum(votes.view(np.int8).astype(self.kind, copy=False), dtype=self.kind, out=sums[bit, 1:])
+        listed = own.tolist()
         for c in self.classes:
             starts, items = c.near(sums)
             docs = np.searchsorted(offsets, np.minimum(starts + c.size // 2, len(words) - 1), side="right") - 1
             for start, item, doc in zip(starts.tolist(), items.tolist(), docs.tolist()):
-                self._verify(best, own, words, doc, int(offsets[doc]), int(offsets[doc + 1]), item, start, c.spread)
+                self._verify(best, listed, doc, int(offsets[doc]), int(offsets[doc + 1]), item, start, c.spread)
         for length, known in self.short.items():
             if len(words) >= length:
                 hashed = _sequences(words, length)
@@ -205,40 +214,58 @@ class Index:
         for (doc, item), (s, at, n) in best.items():
             yield doc, item, at, n, s
 
-    def _verify(self, best: dict, own: np.ndarray, words: np.ndarray, doc: int, a: int, b: int, item: int, start: int, spread: int) -> None:
+    def _verify(self, best: dict, own: list[int], doc: int, a: int, b: int, item: int, start: int, spread: int) -> None:
         n, count = len(self.words[item]), self.counts[item]
         if b - a < SHINGLE or best.get((doc, item), (0.0,))[0] == 1.0:
             return
         size = min(n, b - a)
         first, last = max(a, min(start - spread, b - size)), min(b - size, max(start + spread, a))
         # of the item's shingles, those that any of these windows could have
-        reach = set(own[first : last + size - SHINGLE + 1].tolist())
-        if sum(k for x, k in count.items() if x in reach) < THRESHOLD * len(self.own[item]):
+        reach = self.sets[item].intersection(own[first : last + size - SHINGLE + 1])
+        if len(reach) < THRESHOLD * len(count) and sum(count[x] for x in reach) < THRESHOLD * len(self.own[item]):
             return
         for at in range(first, last + 1):
-            s = similarity(Counter(own[at : at + size - SHINGLE + 1].tolist()), count)
+            s = similarity(Counter(own[at : at + size - SHINGLE + 1]), count)
             if s >= THRESHOLD and s > best.get((doc, item), (0.0,))[0]:
                 best[doc, item] = (s, at - a, size)
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, similarity): the best window of each document for each item it holds."""
+def _rounds(items: DataFrame) -> Iterator[Broadcast]:
+    """The items with their hashed words, in broadcasts of BOUND bytes of text, about."""
     rows = items.select("item_id", "text").where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     rounds = -(-total // BOUND) or 1
-    parts = [_search(docs, rows if rounds == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r), items) for r in range(rounds)]
-    return reduce(DataFrame.unionByName, parts)
+    for r in range(rounds):
+        part = rows if rounds == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r)
+        held = part.orderBy("item_id", "text").collect()
+        offsets, words = word_codes(pa.array([x["text"] for x in held], pa.large_string()))
+        yield items.sparkSession.sparkContext.broadcast([(x["item_id"], words[offsets[i] : offsets[i + 1]]) for i, x in enumerate(held)])
 
 
-def _search(docs: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
-    held = rows.orderBy("item_id", "text").collect()  # of BOUND bytes, about
-    offsets, words = word_codes(pa.array([r["text"] for r in held], pa.large_string()))
-    listed = [(r["item_id"], words[offsets[i] : offsets[i + 1]]) for i, r in enumerate(held)]
-    sent = docs.sparkSession.sparkContext.broadcast(listed)
-    doc, item = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start_word, n_words, similarity): the best window of each document for each item it holds."""
+    return reduce(DataFrame.unionByName, (_search(docs, sent, items) for sent in _rounds(items)))
+
 
-    kind = to_arrow_type(item)
+def marked(docs: DataFrame, items: DataFrame, name: str = "contaminated") -> DataFrame:
+    """docs with a boolean column: whether a row's text holds an item. No row leaves its place, so nothing is shuffled."""
+    docs, hits = without(docs, name), []
+    for sent in _rounds(items):
+
+        def make(texts: pa.Array, sent: Broadcast = sent) -> list[pa.Array]:
+            offsets, words = word_codes(texts)
+            hit = np.zeros(len(texts), bool)
+            hit[[i for i, *_ in Index(sent.value).search(words, offsets)]] = True
+            return [pa.array(hit)]
+
+        hits.append(f"__hit{len(hits)}")
+        docs = add_columns(docs, "text", make, [T.StructField(hits[-1], T.BooleanType())])
+    return without(docs.withColumn(name, reduce(Column.__or__, map(F.col, hits))), *hits)
+
+
+def _search(docs: DataFrame, sent: Broadcast, items: DataFrame) -> DataFrame:
+    doc, item = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
+    kind = arrow_type(item)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(sent.value)

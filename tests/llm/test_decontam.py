@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from larkspur.llm import decontam
 
@@ -80,6 +81,16 @@ def test_words_with_other_marks():
     assert offsets.tolist() == [0, 6, 12] and (codes[:6] == codes[6:]).all()
 
 
+@pytest.mark.parametrize("bound", [decontam.BOUND, 3000])
+def test_marks_equal_the_search(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BOUND", bound)
+    docs, items = fixture(3)
+    d, i = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, Contaminated int"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.marked(d, i)
+    assert found.columns == ["doc_id", "text", "contaminated"] and found.count() == len(docs)
+    assert {r["doc_id"] for r in found.where("contaminated").collect()} == {r["doc_id"] for r in decontam.contaminated(d, i).collect()}
+
+
 def test_long_documents_in_parts(spark, monkeypatch):
     docs, items = fixture(2)
     whole = [(1, " ".join(t for _, t in docs if t)), (2, "x " * 500)]
