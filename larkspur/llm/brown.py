@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import Scratch, bucket_of, text_slices
 
 #: Words that are units of their own; endings that are units; classes; words whose counts are sent to every task.
-UNITS, ENDINGS, CLASSES, HEAD = 1500, 1000, 48, 1 << 17
+UNITS, ENDINGS, CLASSES, HEAD = 1000, 600, 48, 1 << 17
 #: Rounds of the exchange algorithm over all units; weight of the bigrams against a class's own share.
 ROUNDS, BIGRAM = 4, 0.9
 #: The hash that stands for a document's end, and the ending's number that stands for all endings without a unit.
@@ -167,26 +167,38 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, units: int, cla
     return of
 
 
+def _arrays(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of whole numbers that is small enough for the driver."""
+    table = df.toArrow()
+    return [c.to_numpy().astype(np.int64) for c in table.columns]
+
+
+def _sorted(*columns: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(columns[0])
+    return [c[order] for c in columns]
+
+
 def fit(train: DataFrame) -> tuple[dict, DataFrame]:
     """The model, bounded by the parameters above, and the table of all words' counts (word, ending, c)."""
     counts = Scratch(train.select("text").mapInArrow(_count, "word long, ending long, c long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("c").alias("c")), "words").df
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where(F.col("word") != int(END))
     # how many words have each count says from which count on all words fit into the head
-    sizes = words.groupBy("c").agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)
-    fits = sizes[sizes["n"].cumsum() <= HEAD]
-    least = int(fits["c"].min()) if len(fits) else 1 << 62
-    head = words.where(F.col("c") >= least).toPandas().sort_values("word")
-    top = head.sort_values(["c", "word"], ascending=[False, True])["word"].to_numpy()[:UNITS]
+    count, n_words = _arrays(words.groupBy("c").agg(F.count("*").alias("n")))
+    order = np.argsort(-count)
+    fits = count[order][np.cumsum(n_words[order]) <= HEAD]
+    least = int(fits.min()) if len(fits) else 1 << 62
+    head, head_endings, head_counts = _sorted(*_arrays(words.where(F.col("c") >= least).select("word", "ending", "c")))
+    top = head[np.lexsort((head, -head_counts))][:UNITS]
     # totals of the words that are no units of their own, by ending: at most 257 * 257 rows
     tails = words.where(~F.col("word").isin([int(w) for w in top])) if len(top) else words
-    tails = tails.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas().sort_values(["n", "ending"], ascending=[False, True])
-    ends = np.sort(tails["ending"].to_numpy(np.int64)[:ENDINGS])
-    units = Units(head["word"].to_numpy(np.int64), head["c"].to_numpy(np.int64), head["ending"].to_numpy(np.int64), ends)
+    ending, tail_n, tail_v = _arrays(tails.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")))
+    ends = np.sort(ending[np.lexsort((ending, -tail_n))][:ENDINGS])
+    units = Units(head, head_counts, head_endings, ends)
     inner_n, inner_v = np.zeros(units.n), np.zeros(units.n)
-    at = units.of_ending(tails["ending"].to_numpy(np.int64))
-    np.add.at(inner_n, at, tails["n"].to_numpy(float))
-    np.add.at(inner_v, at, tails["v"].to_numpy(float))
+    at = units.of_ending(ending)
+    np.add.at(inner_n, at, tail_n)
+    np.add.at(inner_v, at, tail_v)
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -208,18 +220,18 @@ def fit(train: DataFrame) -> tuple[dict, DataFrame]:
             k, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["pair", "n"])
 
-    pairs = train.select("text").mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas().sort_values("pair")
-    left, right, n = (pairs["pair"] // units.n).to_numpy(np.int64), (pairs["pair"] % units.n).to_numpy(np.int64), pairs["n"].to_numpy(float)
+    pair, n = _sorted(*_arrays(train.select("text").mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))))
+    left, right, n = pair // units.n, pair % units.n, n.astype(float)
     of = exchange(left, right, n, units.n)
-    count = np.zeros((CLASSES, CLASSES))
-    np.add.at(count, (of[left], of[right]), n)
-    share = (count.sum(0) + 1) / (count.sum() + CLASSES)
-    step = np.where(count.sum(1, keepdims=True) > 0, BIGRAM * count / np.maximum(count.sum(1, keepdims=True), 1) + (1 - BIGRAM) * share, share)
+    moves = np.zeros((CLASSES, CLASSES))
+    np.add.at(moves, (of[left], of[right]), n)
+    share = (moves.sum(0) + 1) / (moves.sum() + CLASSES)
+    step = np.where(moves.sum(1, keepdims=True) > 0, BIGRAM * moves / np.maximum(moves.sum(1, keepdims=True), 1) + (1 - BIGRAM) * share, share)
     # a unit's share of its class; the word's share of its unit follows by (c + 1) / within
     mass = np.bincount(right, n, units.n) + 1
     in_class = mass / np.bincount(of, mass, CLASSES)[of]
     within = inner_n + inner_v + 1
-    model = {"units": units, "of": of, "step": np.log10(step), "emit": np.log10(in_class), "within": np.log10(within), "total": int(total), "distinct": int(distinct), "least": least if len(fits) < len(sizes) else 0, "ends": int(total and counts.where(F.col("word") == int(END)).first()["c"])}
+    model = {"units": units, "of": of, "step": np.log10(step), "emit": np.log10(in_class), "within": np.log10(within), "total": int(total), "distinct": int(distinct), "least": least if len(fits) < len(count) else 0, "ends": int(total and counts.where(F.col("word") == int(END)).first()["c"])}
     return model, words
 
 
