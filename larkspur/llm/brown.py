@@ -1,17 +1,19 @@
 """Language-model scoring by Brown class bigrams.
 
-P(text) is the product over tokens of P(class | class before) * P(unit | class) * P(word | unit). Units are the UNITS most
-frequent words, each a unit of its own, and for all other words their endings (the last two bytes), so that each word of any
-text has a unit, and rare words share one with words that end alike. The exchange algorithm (Martin, Liermann, Ney, 1998)
-assigns units to CLASSES classes by the class bigrams of the whole training text. Class transitions interpolate bigrams
-with the class's share of all tokens; within a unit of endings a word has (c + 1) / (tokens + types + 1), where one share
-is left for words that training lacks. Endings that training lacks share one unit.
+P(text) is the product over tokens of P(class | class before) * P(word | class). Every word of the training text has a class
+that its own neighbours chose. The exchange algorithm (Martin, Liermann, Ney, 1998) assigns units to CLASSES classes by the
+class bigrams of the whole training text: units are the UNITS most frequent words, and for all other words their endings
+(the last two bytes). One pass then places each of the other words by itself: from the counts of the classes to its left and
+right, it moves to the class in which the likelihood of the class bigrams is highest (see `place`). Class bigrams are counted
+anew over these classes, and interpolated with the class's share of all tokens. In a class the frequent words have their
+shares of its tokens, and the other words divide the rest, by (c + 1). Only words that training lacks go by their ending: to its class, where each ending has one share of that rest for them. Endings
+that training lacks share one unit.
 
 Words are held as 64-bit hashes (XXH64). Two of n distinct words share one with a chance of about n * n / 4e19.
 
-Counts are of the whole training text: counted by partition, then summed by word in Spark. Only the most frequent words (HEAD at most),
-the number of words with each count, the units' bigrams (at most (UNITS + ENDINGS) squared) and the endings' totals come to the driver; counts of all other words
-are joined to the documents that hold them.
+Counts are of the whole training text: counted by partition, then summed by word in Spark. Only the most frequent words (HEAD at most)
+and their classes, the number of words with each count, the units' bigrams (at most (UNITS + ENDINGS) squared) and the endings' totals come
+to the driver; counts and classes of all other words are joined to the documents that hold them.
 
 Null and empty texts are one token, their end. Documents with a null doc_id are scored, and never learnt from. Repeated rows
 count as often as they occur. With no training text each class probability is uniform, and the score is finite. An empty
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import Scratch, bucket_of, text_slices
 
 #: Words that are units of their own; endings that are units; classes; words whose counts are sent to every task.
-UNITS, ENDINGS, CLASSES, HEAD = 1000, 600, 48, 1 << 17
+UNITS, ENDINGS, CLASSES, HEAD = 1500, 1000, 48, 1 << 17
 #: Rounds of the exchange algorithm over all units; weight of the bigrams against a class's own share.
 ROUNDS, BIGRAM = 4, 0.9
 #: The hash that stands for a document's end, and the ending's number that stands for all endings without a unit.
@@ -41,6 +43,7 @@ END, OTHER = np.int64(-1), -2
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """(offsets of the texts in codes, distinct words, codes): words are runs of what isn't ASCII white space, lower-cased A-Z."""
+    texts = pc.take(texts, pa.array(np.arange(len(texts))))  # a copy, as ascii_lower reads a slice that begins later at wrong offsets
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.cast(texts, pa.large_string())))
     flat, offsets = split.flatten(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
     full = pc.greater(pc.binary_length(flat), 0)
@@ -118,6 +121,10 @@ def _with_ends(offsets: np.ndarray, values: np.ndarray, end: int) -> np.ndarray:
     return np.insert(values, offsets[1:], end)
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
 def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, units: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Classes of the units 0 to units - 1 from their bigram counts; unit 0 stays alone in class 0.
 
@@ -132,7 +139,7 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, units: int, cla
     np.add.at(pair, (of[left], of[right]), n)
     by_l, by_r = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
     l_at, r_at = np.searchsorted(left[by_l], np.arange(units + 1)), np.searchsorted(right[by_r], np.arange(units + 1))
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    f = _xlogx
     for _ in range(rounds):
         moved = 0
         for u in order:
@@ -178,8 +185,14 @@ def _sorted(*columns: np.ndarray) -> list[np.ndarray]:
     return [c[order] for c in columns]
 
 
+def steps(moves: np.ndarray) -> np.ndarray:
+    """Probabilities of the next class from counts of class bigrams."""
+    share = (moves.sum(0) + 1) / (moves.sum() + CLASSES)
+    return np.where(moves.sum(1, keepdims=True) > 0, BIGRAM * moves / np.maximum(moves.sum(1, keepdims=True), 1) + (1 - BIGRAM) * share, share)
+
+
 def fit(train: DataFrame) -> tuple[dict, DataFrame]:
-    """The model, bounded by the parameters above, and the table of all words' counts (word, ending, c)."""
+    """The units' model, bounded by the parameters above, and the table of all words' counts (word, ending, c)."""
     counts = Scratch(train.select("text").mapInArrow(_count, "word long, ending long, c long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("c").alias("c")), "words").df
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words = counts.where(F.col("word") != int(END))
@@ -225,56 +238,186 @@ def fit(train: DataFrame) -> tuple[dict, DataFrame]:
     of = exchange(left, right, n, units.n)
     moves = np.zeros((CLASSES, CLASSES))
     np.add.at(moves, (of[left], of[right]), n)
-    share = (moves.sum(0) + 1) / (moves.sum() + CLASSES)
-    step = np.where(moves.sum(1, keepdims=True) > 0, BIGRAM * moves / np.maximum(moves.sum(1, keepdims=True), 1) + (1 - BIGRAM) * share, share)
     # a unit's share of its class; the word's share of its unit follows by (c + 1) / within
     mass = np.bincount(right, n, units.n) + 1
     in_class = mass / np.bincount(of, mass, CLASSES)[of]
     within = inner_n + inner_v + 1
-    model = {"units": units, "of": of, "step": np.log10(step), "emit": np.log10(in_class), "within": np.log10(within), "total": int(total), "distinct": int(distinct), "least": least if len(fits) < len(count) else 0, "ends": int(total and counts.where(F.col("word") == int(END)).first()["c"])}
+    model = {"units": units, "of": of, "moves": moves, "step": np.log10(steps(moves)), "emit": np.log10(in_class), "within": np.log10(within), "total": int(total), "distinct": int(distinct), "least": least if len(fits) < len(count) else 0, "ends": int(total and counts.where(F.col("word") == int(END)).first()["c"])}
     return model, words
 
 
+def place(moves: np.ndarray, was: np.ndarray, word: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best class of each word: it leaves its class `was`, and goes where the likelihood of the class bigrams is highest.
+
+    The rest say how often (n) a word has a class to its left (slot below CLASSES) or its right (CLASSES + class), every
+    word with both. Only these entries are looked at. Ties go to the lower class; class 0 is the end's alone, and
+    no word goes to an empty class.
+    """
+    order = np.lexsort((slot, word))
+    word, slot, n = word[order], slot[order], n[order].astype(float)
+    sides = np.zeros((2, len(was), CLASSES))
+    gain, at = np.zeros((len(was), CLASSES)), np.arange(len(was))
+    for side in (0, 1):
+        mine = slot // CLASSES == side
+        sides[side, word[mine], slot[mine] % CLASSES] = n[mine]
+    for side, table in ((0, moves), (1, moves.T)):
+        mine = slot // CLASSES == side
+        w, j, m = word[mine], slot[mine] % CLASSES, n[mine]
+        without = table[j]
+        without[np.arange(len(w)), was[w]] -= m
+        same = j == was[w]
+        without[same] -= sides[1 - side][w[same]]
+        without = np.maximum(without, 0)
+        gain += np.add.reduceat(_xlogx(without + m[:, None]) - _xlogx(without), np.searchsorted(w, at), axis=0)
+        sums = np.tile(table.sum(0), (len(was), 1))
+        c = sides[side].sum(1)
+        sums[at, was] = np.maximum(sums[at, was] - c, 0)
+        gain -= _xlogx(sums + c[:, None]) - _xlogx(sums)
+    # a class next to itself is in both sums
+    into, out = sides
+    both = np.tile(np.diag(moves), (len(was), 1))
+    both[at, was] = np.maximum(both[at, was] - into[at, was] - out[at, was], 0)
+    gain += _xlogx(both + into + out) - _xlogx(both + into) - _xlogx(both + out) + _xlogx(both)
+    gain[:, moves.sum(0) == 0] = -np.inf  # words that choose at the same time would all meet in an empty class
+    gain[:, 0] = -np.inf
+    return gain.argmax(1)
+
+
+def placed(train: DataFrame, model: dict) -> DataFrame:
+    """(word, c, class) of all words of train that are no units of their own."""
+    units, of, moves = model["units"], model["of"], model["moves"]
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole):
+                offsets, words, codes = tokens(pc.fill_null(batch.column("text"), ""))
+                h, _, unit = units.look(words)
+                klass, other = of[unit], unit >= units.first_ending
+                code, seq = _with_ends(offsets, codes, -1), _with_ends(offsets, klass[codes], 0)
+                on = np.nonzero((code >= 0) & other[code])[0]  # an end follows every text, so there is a next one
+                before, after = np.where(on > 0, seq[on - 1], 0), seq[on + 1]
+                width = 2 * CLASSES
+                k, n = np.unique(np.concatenate([code[on] * width + before, code[on] * width + CLASSES + after]), return_counts=True)
+                w = k // width
+                yield pa.RecordBatch.from_arrays([pa.array(h[w]), pa.array(klass[w].astype(np.int32)), pa.array((k % width).astype(np.int32)), pa.array(n)], names=["word", "was", "slot", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 2048):
+                batch = whole.slice(begin, 2048)
+                lists = batch.column("near")
+                word = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                slot, n = (x.to_numpy() for x in lists.flatten().flatten())
+                found = place(moves, batch.column("was").to_numpy(), word, slot, n)
+                c = np.bincount(word, n * (slot < CLASSES), batch.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c), pa.array(found.astype(np.int32))], names=["word", "c", "class"])
+
+    near = train.select("text").mapInArrow(contexts, "word long, was int, slot int, n long").groupBy("word", "slot").agg(F.min("was").alias("was"), F.sum("n").alias("n"))
+    lists = near.groupBy("word").agg(F.min("was").alias("was"), F.collect_list(F.struct("slot", "n")).alias("near"))  # 2 * CLASSES entries at most
+    return Scratch(lists.mapInArrow(choose, "word long, c long, class int"), "placed").df
+
+
+def shares(model: dict, others: DataFrame) -> np.ndarray:
+    """What divides a word's count + 1 in its class, for the units' own words (row 0) and for all others (row 1).
+
+    The other words share what their tokens are of the class by their counts + 1, and each ending has one share more.
+    """
+    units, of = model["units"], model["of"]
+    own, rest = np.zeros(CLASSES), np.zeros(CLASSES)
+    np.add.at(own, of[units.of_head[units.own]], units.counts[units.own] + 1)
+    inner = np.bincount(of[units.first_ending :], minlength=CLASSES).astype(float)
+    klass, n, v = _arrays(others.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")))
+    np.add.at(rest, klass, n)
+    np.add.at(inner, klass, n + v)
+    whole = own + rest + 1
+    return np.stack([whole, whole * np.maximum(inner, 1) / (rest + 1)])
+
+
 def score(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
     """For each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; see the module."""
     marked = docs.select("doc_id", "text", F.coalesce(bucket_of(F.col("doc_id"), of) == held_out, F.lit(True)).alias("held_out"))
-    model, words = fit(marked.where("not held_out"))
-    units, per_class, n_total, n_types = model["units"], model["of"], model["total"], model["distinct"]
-    last = units.first_ending
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    train = marked.where("not held_out")
+    model, _ = fit(train)
+    units, per_class, n_total, n_types, n_ends = model["units"], model["of"], model["total"], model["distinct"], model["ends"]
+    least = model["least"]  # words below it aren't in the head
+    others = placed(train, model)
+    divides = np.log10(shares(model, others))
+    head_class = per_class[units.of_head]
+    word, klass = _arrays(others.where(F.col("c") >= least).select("word", "class")) if len(units.head) else (np.empty(0, np.int64),) * 2
+    head_class[np.searchsorted(units.head, word)] = klass
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes of all tokens, and the hashes of those outside the head, whose class is that of their ending, less CLASSES."""
         for whole in batches:
             for batch in text_slices(whole):
                 offsets, words, codes = tokens(pc.fill_null(batch.column("text"), ""))
                 h, c, unit = units.look(words)
-                klass = per_class[unit]
-                # of each distinct word: its unit's share, its own where the head has its count, and what divides rare words
+                k, hit = per_class[unit], c >= 0
+                if hit.any():
+                    k[hit] = head_class[np.searchsorted(units.head, h[hit])]
                 known = np.log10(np.maximum(c, 0) + 1.0)
-                own = np.where((c >= 0) & (unit < last), model["emit"][unit], model["emit"][unit] - model["within"][unit] + known)
-                seq = _with_ends(offsets, klass[codes], int(per_class[0]))
-                ends = offsets[1:] + np.arange(batch.num_rows)
-                before = np.concatenate([[0], seq[:-1]])
-                sums = lambda x, at: np.diff(np.concatenate([[0.0], np.cumsum(x)])[at])
-                at = np.concatenate([[0], ends + 1])
-                score = sums(model["step"][before, seq], at) + sums(own[codes], offsets) + model["emit"][0]
-                size = np.diff(offsets)
-                base = sums(known[codes], offsets) + np.log10(model["ends"] + 1) - (size + 1) * np.log10(n_total + n_types + 1)
-                rare = c[codes] < 0
+                sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[offsets])
+                size, rare = np.diff(offsets), ~hit[codes]
                 n_rare = np.concatenate([[0], np.cumsum(rare)])[offsets]
+                base = sums(known[codes]) + np.log10(n_ends + 1) - (size + 1) * np.log10(n_total + n_types + 1)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(size + 1), pa.array(size - np.diff(n_rare) + (1 if model["ends"] else 0)), pa.array(base), pa.array(score),
+                    batch.column("doc_id"), batch.column("held_out"), pa.array(size + 1), pa.array(size - np.diff(n_rare) + (1 if n_ends else 0)), pa.array(base),
+                    pa.array(sums(np.where(hit, known - divides[(unit >= units.first_ending).astype(int), k], 0.0)[codes])),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.where(hit, k, k - CLASSES)[codes].astype(np.int8))),
                     pa.ListArray.from_arrays(pa.array(n_rare.astype(np.int32)), pa.array(h[codes[rare]])),
-                ], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                ], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "classes", "rare"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The classes of joined words in place, and what all words outside the head add to the scores."""
+        for batch in batches:
+            lists, met = batch.column("classes"), batch.column("met")
+            offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            k = lists.flatten().to_numpy().astype(np.int64)
+            rare = np.nonzero(k < 0)[0]
+            k[rare] += CLASSES
+            first = np.searchsorted(rare, offsets[:-1])
+            size = pc.fill_null(pc.list_value_length(met), 0).to_numpy()
+            place_of, klass, c = (x.to_numpy().astype(np.int64) for x in met.flatten().flatten())
+            at = np.repeat(first, size) + place_of
+            k[rare[at]] = klass
+            known = np.zeros(len(rare))
+            known[at] = np.log10(c + 1.0)
+            ends = np.append(first, len(rare))
+            sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[ends])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), pa.array(batch.column("n_known").to_numpy() + size),
+                pa.array(batch.column("base_score").to_numpy() + sums(known)), pa.array(batch.column("score").to_numpy() + sums(known - divides[1, k[rare]])),
+                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(k.astype(np.int8))),
+            ], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "classes"])
+
+    def pairs(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(class before * CLASSES + class of all tokens and ends, places after the ends)"""
+        offsets = column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
+        seq = _with_ends(offsets, column.flatten().to_numpy().astype(np.int64), 0)
+        return np.concatenate([[0], seq[:-1]]) * CLASSES + seq, np.concatenate([[0], offsets[1:] + np.arange(1, len(offsets))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            n += np.bincount(pairs(batch.column("classes"))[0], minlength=len(n)) if batch.num_rows else 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["pair", "n"])
 
     kind = marked.schema["doc_id"].dataType.simpleString()
-    made = marked.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
-    held = Scratch(made.withColumn("__row", F.monotonically_increasing_id()), "scored").df
-    least = model["least"]  # words below it aren't in the head
-    rest = words.where(F.col("c") < least).select("word", F.log10(F.col("c") + 1).alias("gain")) if least else words.limit(0).select("word", F.lit(0.0).alias("gain"))
-    met = held.select("__row", F.explode("rare").alias("word")).join(rest, "word")
-    gained = met.groupBy("__row").agg(F.sum("gain").alias("gain"), F.count("*").alias("met"))
-    gain, n_met = F.coalesce("gain", F.lit(0.0)), F.coalesce("met", F.lit(0))
-    return held.drop("rare").join(gained, "__row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + n_met).alias("n_known"), F.lit(n_total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + gain).alias("base_score"), (F.col("score") + gain).alias("score"),
-    )
+    so_far = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    held = Scratch(marked.mapInArrow(sequences, f"{so_far}, classes array<tinyint>, rare array<long>").withColumn("__row", F.monotonically_increasing_id()), "scored").df
+    tail = others.where(F.col("c") < least).select("word", "c", "class")
+    met = held.select("__row", F.posexplode("rare").alias("pos", "word")).join(tail, "word").groupBy("__row").agg(F.collect_list(F.struct("pos", "class", "c")).alias("met"))
+    full = Scratch(held.drop("rare").join(met, "__row", "left").drop("__row").mapInArrow(fill, f"{so_far}, classes array<tinyint>"), "classes").df
+    pair, n = _arrays(full.where("not held_out").select("classes").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    moves = np.bincount(pair, n, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    step = np.log10(steps(moves)).ravel()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                pair, at = pairs(batch.column("classes"))
+                made = batch.column("score").to_numpy() + np.diff(np.concatenate([[0.0], np.cumsum(step[pair])])[at])
+                total = pa.array(np.full(batch.num_rows, n_total, np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], total, batch.column("base_score"), pa.array(made)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return full.mapInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -84,3 +84,78 @@ def test_nothing_to_learn_from(spark):
     assert brown.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = brown.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
     assert only["train_tokens"] == 0 and only["n_known"] == 0 and only["base_score"] == 0 and math.isfinite(only["score"])
+
+
+def test_words_beyond_the_units_are_placed_by_their_neighbours(spark, monkeypatch):
+    """Rare words that end alike but have other neighbours get classes of their own, in the head and beyond it."""
+    monkeypatch.setattr(brown, "UNITS", 8)
+    a, b = [f"a{i}zz" for i in range(30)], [f"b{i}zz" for i in range(30)]
+    out = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    learnt = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2][:300]
+    text = lambda i: f"one two {a[i % 30]} three four {b[i * 7 % 30]} five six" if i % 5 < 3 else "one two apple three four berry five six"
+    data = [(i, text(n)) for n, i in enumerate(learnt)] + [(out[0], "one two a3zz three four b5zz five six"), (out[1], "one two b5zz three four a3zz five six")]
+    for head in (1 << 17, 10):
+        monkeypatch.setattr(brown, "HEAD", head)
+        docs = spark.createDataFrame(data, "doc_id long, text string")
+        found = {r["doc_id"]: r["score"] for r in brown.score(docs).collect()}
+        assert found[out[0]] > found[out[1]] + 1
+
+
+def test_place_equals_trying_every_class():
+    """Each word's class against the likelihood of the whole table, computed anew for every class."""
+    rng = np.random.default_rng(3)
+    k, f = brown.CLASSES, brown._xlogx
+    moves = rng.integers(0, 30, (k, k)).astype(float) * (rng.random((k, k)) < 0.3)
+    was = rng.integers(1, k, 20)
+    word, slot, n = [], [], []
+    for w in range(20):
+        left, right = rng.integers(0, k, 4), rng.integers(0, k, 4)
+        for side, classes in ((0, left), (1, right)):
+            for j, c in Counter(classes.tolist()).items():
+                word.append(w), slot.append(side * k + j), n.append(c)
+        for j in left:
+            moves[j, was[w]] += 1
+        for j in right:
+            moves[was[w], j] += 1
+    word, slot, n = map(np.array, (word, slot, n))
+    found = brown.place(moves, was, word, slot, n)
+    for w in range(20):
+        into, out = np.zeros(k), np.zeros(k)
+        np.add.at(into, slot[(word == w) & (slot < k)], n[(word == w) & (slot < k)])
+        np.add.at(out, slot[(word == w) & (slot >= k)] - k, n[(word == w) & (slot >= k)])
+        values = []
+        for to in range(1, k):
+            now = moves.copy()
+            now[:, was[w]] -= into
+            now[was[w], :] -= out
+            now = np.maximum(now, 0)
+            now[:, to] += into
+            now[to, :] += out
+            values.append(f(now).sum() - f(now.sum(1)).sum() - f(now.sum(0)).sum())
+        assert values[found[w] - 1] >= max(values) - 1e-6
+
+
+def test_words_and_endings_share_their_class(spark):
+    """Over all words, and one unseen word for each ending, the shares of every class sum to one."""
+    docs = spark.createDataFrame(rows(spark), "doc_id long, text string")
+    model, words = brown.fit(docs)
+    others = brown.placed(docs, model)
+    units, of = model["units"], model["of"]
+    own = set(units.head[units.own].tolist())
+    counts = {r["word"]: r["c"] for r in words.collect()}
+    found = {r["word"]: (r["c"], r["class"]) for r in others.collect()}
+    assert {w: c for w, (c, _) in found.items()} == {w: c for w, c in counts.items() if w not in own}
+    divides = brown.shares(model, others)
+    total = np.bincount(of[units.first_ending :], minlength=brown.CLASSES) / divides[1]
+    for w, c in counts.items():
+        k = found[w][1] if w in found else of[units.of_head[np.searchsorted(units.head, w)]]
+        total[k] += (c + 1) / divides[int(w in found), k]
+    filled = np.bincount(of[units.first_ending :], minlength=brown.CLASSES) > 0
+    assert np.allclose(total[filled], 1) and (total < 1 + 1e-9).all()
+
+
+def test_tokens_of_a_slice():
+    """Texts that begin later in their array, as those of all but the first slice of a long batch."""
+    texts = [f"Some{i} WORDS of {'long' * i} text" for i in range(50)]
+    offsets, words, codes = brown.tokens(pa.array(texts).slice(20))
+    assert [[words[c] for c in codes[i:j]] for i, j in zip(offsets[:-1], offsets[1:])] == [t.lower().encode().split() for t in texts[20:]]
