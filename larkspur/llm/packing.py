@@ -5,8 +5,10 @@ documents of more than CAPACITY ids are cut: into pieces of CAPACITY ids, the fi
 even. A full piece is a sequence by itself; all others are packed by best-fit decreasing: longest first, each into the open
 sequence with the least room that still holds it, found by a segment tree over the room left.
 
-Pieces are dealt by hash into groups of about GROUP; a group is packed in one task, so that memory is bounded and each group
-leaves at most a few sequences half empty. Which pieces share a sequence depends on the rows alone, not on their order.
+Pieces of one length are alike, so the packing is worked out on the driver over the counts of the CAPACITY lengths: the tree
+finds the tightest room, and as many pieces as are left of a length go, in one step, into as many sequences as have that
+room (see `plan`). What comes out is what best-fit decreasing makes of all pieces, one by one, in one group. The pieces are
+then numbered within their lengths, in buckets, so that no length is gathered in one task, and each finds its place by its number.
 
 Null and empty texts are one id long. Repeated rows and null ids are packed like others. An empty table gives an empty
 result. Columns other than doc_id and text are dropped.
@@ -15,22 +17,22 @@ result. Columns other than doc_id and text are dropped.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import Scratch, text_slices
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of a group, about; bytes of text of a slice that is encoded at once; units a worker remembers; units it has seen
+#: Pieces that are numbered together, about; bytes of text of a slice that is encoded at once; units a worker remembers; units it has seen
 #: lately, of which those that come again are remembered.
-GROUP, SLICE, REMEMBERED, LATELY = 20_000, 8 << 20, 250_000, 400_000
+BUCKET, SLICE, REMEMBERED, LATELY = 20_000, 8 << 20, 250_000, 400_000
 #: Texts in which each space starts a unit of its own: plain characters, and no space between white space or at the end
 #: after it, where the vocabulary's pattern keeps runs of white space together. Others are encoded as a whole.
 ODD = "[^\t\n\r -~\u00a1-\u024f]|[ \t\n\r] (?:[ \t\n\r]|\\z)"
@@ -50,7 +52,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # texts that hold the string of an added token are encoded as a whole: it is one id, wherever it stands
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.line = self._ids(["\n"])[0]
         # remembered units with their ids one after the other, and units that came once
         self.known, self.lately = pa.array([], pa.large_string()), pa.array([], pa.large_string())
@@ -108,7 +111,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (an array of strings without nulls)."""
         texts = pc.cast(texts, pa.large_string())
-        odd = pc.match_substring_regex(texts, ODD)
+        odd = pc.match_substring_regex(texts, f"{ODD}|{self.added}" if self.added else ODD)
         found: list[np.ndarray | None] = [None] * len(texts)
         for i, ids in zip(np.nonzero(odd.to_numpy(zero_copy_only=False))[0], self._ids(texts.filter(odd).to_pylist())):
             found[i] = ids
@@ -181,25 +184,26 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, then=None,
 
 
 class Rooms:
-    """A segment tree over the room left, 0 to capacity: at each room the open bins with it, in its nodes how many."""
+    """A segment tree over the room left, 0 to capacity: at each room the runs of open sequences with it, in its nodes how many runs."""
 
     def __init__(self, capacity: int):
         self.base = 1 << capacity.bit_length()
         self.count = [0] * (2 * self.base)
-        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-
-    def put(self, room: int, bin_: int) -> None:
-        self.bins[room].append(bin_)
-        k = self.base + room
-        while k:
-            self.count[k] += 1
-            k >>= 1
+        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+
+    def put(self, room: int, first: int, n: int) -> None:
+        if room and n:
+            self.runs[room].append((first, n))
+            k = self.base + room
+            while k:
+                self.count[k] += 1
+                k >>= 1
 
-    def take(self, least: int) -> tuple[int, int] | None:
-        """The latest bin of the least room that is `least` or more, removed; None if there is none."""
+    def take(self, least: int) -> tuple[int, int, int] | None:
+        """(room, first sequence, sequences): the latest run of the least room that is `least` or more, removed; None if there is none."""
         k, count = self.base + least, self.count
         if not count[k]:
-            while k > 1 and (k & 1 or not count[k + 1]):  # up, until there is a right neighbour with bins
+            while k > 1 and (k & 1 or not count[k + 1]):  # up, until there is a right neighbour with runs
                 k >>= 1
             if k <= 1:
                 return None
@@ -207,45 +211,69 @@ class Rooms:
             while k < self.base:
                 k = 2 * k if count[2 * k] else 2 * k + 1
         room = k - self.base
-        bin_ = self.bins[room].pop()
+        first, n = self.runs[room].pop()
         while k:
             count[k] -= 1
             k >>= 1
-        return room, bin_
+        return room, first, n
 
 
-def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each length, given longest first; every length is from 1 to capacity."""
-    rooms, n = Rooms(capacity), 0
-    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for i, length in enumerate(lengths.tolist()):
-        room, bin_ = rooms.take(length) or (capacity, n)
-        n = max(n, bin_ + 1)
-        bins[i], offsets[i] = bin_, capacity - room
-        if room > length:
-            rooms.put(room - length, bin_)
-    return bins, offsets
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
+    """Best-fit decreasing of so many pieces of each length (1 to capacity), in steps.
 
-
-def pack(found: DataFrame, key: list[str], capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """found, a written table with a column length, with sequence_id and offset; key orders pieces of equal length."""
-    full = found.where(F.col("length") == capacity)
+    A row for each step: length, number of its first piece within the length, first sequence, pieces in each sequence, offset
+    of the first of them. Pieces of one length go into the tightest sequence until it holds no more of them, and then into
+    the next one; sequences of equal room are filled alike, so a step covers all that have the same room.
+    """
+    rooms, steps, n = Rooms(capacity), [], 0
+    for length in sorted(counts, reverse=True):
+        done, left = 0, counts[length]
+        while left:
+            found = rooms.take(length)
+            # new sequences are as many as are needed
+            room, first, bins = found or (capacity, n, -(-left // (capacity // length)))
+            each = room // length
+            whole = min(bins, left // each)
+            # so many sequences take as many pieces as they hold, and one more what is left, if that is fewer
+            for m, k in ((each, whole), (left - whole * each, 1)):
+                if m and k and bins:
+                    steps.append((length, done, first, m, capacity - room))
+                    rooms.put(room - m * length, first, k)
+                    first, bins, done, left = first + k, bins - k, done + m * k, left - m * k
+            if found:
+                rooms.put(room, first, bins)
+            else:
+                n = first
+    return np.array(steps, np.int64).reshape(-1, 5)
+
+
+def pack(found: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> DataFrame:
+    """found, a written table with a column length and row numbers __row, with sequence_id and offset in place of __row."""
+    columns = [c for c in found.columns if c != "__row"]
+    full = found.where(F.col("length") == capacity).select(*columns, (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = found.where(F.col("length") < capacity)
-    n = part.count()
-    groups = max(1, round(n / group))
-    columns = found.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", *key], ascending=[False] + [True] * len(key), kind="stable")
-        bins, offsets = best_fit(pdf["length"].to_numpy(), capacity)
-        base = (int(pdf["__group"].iloc[0]) + 1) << 40
-        return pdf.assign(sequence_id=base + bins, offset=offsets)[[*columns, "sequence_id", "offset"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
-    dealt = part.withColumn("__group", F.pmod(F.xxhash64(*key, F.lit("deal")), F.lit(groups)).cast("long"))
-    packed = dealt.groupBy("__group").applyInPandas(run, f"{schema}, sequence_id long, offset long")
-    alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return alone.unionByName(packed)
+    counts = {r["length"]: r["n"] for r in part.groupBy("length").agg(F.count("*").alias("n")).collect()}  # as many rows as there are lengths
+    steps = plan(counts, capacity)
+    buckets = max(1, -(-sum(counts.values()) // bucket))
+    dealt = part.withColumn("__b", F.pmod(F.xxhash64("__row"), F.lit(buckets)))
+    sizes = dealt.groupBy("length", "__b").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("length", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("length", "__b").orderBy("__row")) - 1
+    numbered = dealt.withColumn("__own", own).join(base, ["length", "__b"]).select(*columns, (F.col("__base") + F.col("__own")).alias("sequence_id"))
+    starts = steps[:, 0] << 40 | steps[:, 1]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(starts)
+        for batch in batches:
+            length, number = batch.column("length").to_numpy(), batch.column("sequence_id").to_numpy()
+            at = order[np.searchsorted(starts[order], length << 40 | number, side="right") - 1]
+            _, first, sequence, each, offset = steps[at].T
+            nth, within = np.divmod(number - first, each)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence + nth), pa.array(offset + within * length)], names=[*batch.schema.names, "offset"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields)
+    return full.unionByName(numbered.mapInArrow(place, f"{schema}, offset long"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,4 +287,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def packed(docs: DataFrame, tokenizer: str) -> DataFrame:
     """For each piece of each row of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     small = pieces(docs, tokenizer, then=_digests, schema="ids_crc32 long")
-    return pack(Scratch(small, "pieces").df, ["doc_id", "piece", "ids_crc32"])
+    return pack(Scratch(small.withColumn("__row", F.monotonically_increasing_id()), "pieces").df)

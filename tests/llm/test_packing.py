@@ -1,14 +1,18 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from larkspur.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+PLAIN = Tokenizer.from_file(PATH)
 
 
 def test_encoder_equals_the_tokenizer():
@@ -17,7 +21,7 @@ def test_encoder_equals_the_tokenizer():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
     encoder = packing.Encoder(PATH)
     for _ in range(2):  # the second time from memory
-        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_beyond_its_memory(monkeypatch):
@@ -25,43 +29,77 @@ def test_encoder_beyond_its_memory(monkeypatch):
     encoder = packing.Encoder(PATH)
     texts = ["one two three four five six", "", "six seven one", "two"]
     for _ in range(3):
-        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
     assert len(encoder.known) == 3
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_best_fit_equals_a_scan(seed):
-    rng = np.random.default_rng(seed)
-    lengths = np.sort(rng.integers(1, 65, 300))[::-1]
-    room, bins = [], []
-    for n in lengths:
-        fits = [(r, i) for i, r in enumerate(room) if r >= n]
+def one_by_one(lengths, capacity):
+    """Rooms that best-fit decreasing uses for each length, and how many sequences it makes."""
+    room, used = [], []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in room if r >= n]
+        least = min(fits, default=capacity)
+        used.append((n, least))
         if fits:
-            least = min(r for r, _ in fits)
-            chosen = [i for r, i in fits if r == least]
-            bins.append(least)
-            room[chosen[-1]] -= n
-        else:
-            bins.append(64)
-            room.append(64 - n)
-    got, offsets = packing.best_fit(lengths, 64)
-    # the room of the sequence that each length went to is the least that held it
-    assert [64 - o for o in offsets.tolist()] == bins
-    assert len(set(got.tolist())) == len(room)
+            room.remove(least)
+        room.append(least - n)
+    return sorted(used), len(room)
 
 
-def test_round_trip(spark):
-    from tokenizers import Tokenizer
+def placed(steps, counts):
+    """(length, sequence, offset) of every piece."""
+    out = []
+    for i, (length, number, first, each, offset) in enumerate(steps.tolist()):
+        after = [s[1] for s in steps.tolist() if s[0] == length and s[1] > number]
+        for k in range((after[0] if after else counts[length]) - number):
+            out.append((length, first + k // each, offset + k % each * length))
+    return out
 
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_equals_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(8, 70))
+    lengths = np.minimum(rng.integers(1, capacity + 1, 400), rng.integers(1, capacity + 1, 400)).tolist()
+    counts = Counter(lengths)
+    places = placed(packing.plan(counts, capacity), counts)
+    used, n = one_by_one(lengths, capacity)
+    # in the order of lengths, each piece went where the room was least
+    assert sorted((length, capacity - offset) for length, _, offset in places) == used
+    ends = Counter()
+    for length, sequence, offset in sorted(places, key=lambda x: x[1:]):
+        assert ends[sequence] == offset
+        ends[sequence] += length
+    assert len(ends) == n and max(ends.values()) <= capacity and sorted(ends) == list(range(n))
+
+
+def test_plan_of_many():
+    rng = np.random.default_rng(0)
+    counts = {n: int(rng.integers(0, 10**9)) for n in range(1, 1024)}
+    steps = packing.plan(counts)
+    assert len(steps) < 100_000 and packing.plan({}).shape == (0, 5)
+
+
+def test_one_length_in_many_buckets(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1024 + 1).cast("long").alias("length"), F.col("id").alias("__row"))
+    found = packing.pack(rows, bucket=100).collect()
+    ends = Counter()
+    for r in sorted(found, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert ends[r["sequence_id"]] == r["offset"]
+        ends[r["sequence_id"]] += r["length"]
+    lengths = [r["length"] for r in found]
+    assert len(found) == 5000 and max(ends.values()) <= 1024 and len(ends) == one_by_one(lengths, 1024)[1]
+
+
+def test_round_trip(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gam.", "de\nlta"]) for _ in range(rng.choice([0, 3, 50, 400, 3000])))) for i in range(40)]
-    rows += [(100, None), (100, ""), (None, "no id"), (101, "x" * 3000), (102, "word " * 1023), (103, " word" * 1023)]
+    rows += [(100, None), (100, ""), (104, "an <|endoftext|> inside"), (105, "<|endoftext|>" * 1500), (None, "no id"), (101, "x" * 3000), (102, "word " * 1023), (103, " word" * 1023)]
     docs = spark.createDataFrame([(i, t, 5, "s") for i, t in rows], "doc_id long, text string, piece int, length string")
     found = packing.packed(docs, PATH).collect()
-    tokenizer = Tokenizer.from_file(PATH)
     expected = []
     for i, t in rows:
-        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        ids = [*PLAIN.encode(t or "", add_special_tokens=False).ids, 2]
         head = len(ids) % 1024 or 1024
         cuts = [0, *range(head, len(ids), 1024)] if len(ids) > 1024 else [0]
         for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(ids)])):
@@ -85,7 +123,7 @@ def test_ids_are_whole(spark):
     docs = spark.createDataFrame([(1, "some words " * 700)], "doc_id long, text string")
     rows = sorted(packing.pieces(docs, PATH).collect(), key=lambda r: r["piece"])
     ids = [x for r in rows for x in r["ids"]]
-    assert ids[:-1] == packing.Encoder.of(PATH).tokenizer.encode("some words " * 700, add_special_tokens=False).ids and ids[-1] == 2
+    assert ids[:-1] == PLAIN.encode("some words " * 700, add_special_tokens=False).ids and ids[-1] == 2
 
 
 def test_empty_table(spark):
