@@ -1,16 +1,19 @@
-"""License scans: units of a text compared with license templates by the Dice coefficient of their word bigrams.
-
-Units of a document are the whole text, its paragraphs (between empty lines, if they have several lines) and its lines.
-Unit and template are normalised alike: lower case, and everything that is neither letter nor digit is one space. Of their
-sets of word bigrams A and B, Dice is 2 |A and B| / (|A| + |B|); THRESHOLD or more is a match. A match needs
-t / (2 - t) |B| <= |A| <= (2 - t) / t |B|, so units meet only templates for which their size is within these bounds: an
-equality join with the sizes that each template allows, a table that the templates bound. Before that, documents are left
-out that have none of the templates' anchors: words of a template without all of which too few of its bigrams are left for
-any match (see `anchors`). All of it is DataFrame functions.
-
-Null and empty texts match nothing, nor does a unit of one word. Ties are all reported. Units that repeat within a document
-count each time. Rows repeated under one doc_id, or under a null one, are reported together. An empty table gives an empty
-result. Columns other than doc_id and text are ignored.
+"""License scans: stretches of a text compared with license templates by the Dice coefficient of their word bigrams.
+
+Text and template are normalised alike: lower case, and everything that is neither letter nor digit is one space. Every run
+of words of a document is compared, wherever its lines and paragraphs break. Of the bags of word bigrams A of a run and B of
+a template, Dice is 2 |A and B| / (|A| + |B|); THRESHOLD or more is a match. A match needs t / (2 - t) |B| bigrams in common
+and |A| <= (2 - t) / t |B|, so a run is looked at only where that many of a template's bigrams lie that close together. A run
+that begins or ends with a bigram which isn't the template's is never better than the shorter one, so runs from one shared
+bigram to another are all there is to compare. Before that, documents are left out that have none of the templates' anchors:
+words of a template without all of which too few of its bigrams are left for any match (see `anchors`). Only shared bigrams
+leave a row's place: they are met with the templates' by a broadcast of bounded size, and dealt out by row and template. All
+of it is DataFrame functions.
+
+Of each row and template the best run is returned (of equal ones the first, then the shortest), with the number of separate
+regions that overlapping matches form. Templates that match alike are all reported. Null and empty texts match nothing, nor
+does a text of one word. Rows repeated under one doc_id, or under a null one, are rows of their own. An empty table gives an
+empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Bytes of template bigrams that are broadcast; with more, they are joined by shuffles.
+BROADCAST_BYTES = 8 << 20
 
 # Published notices and licence texts.
 _WARRANTY_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -50,27 +55,27 @@ def normalised(text: str) -> str:
     return re.sub(r"[\W_]+", " ", text.lower()).strip()
 
 
-def bigrams(text: str) -> set[str]:
+def bigrams(text: str) -> Counter[str]:
     words = normalised(text).split()
-    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+    return Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
 
 
-def bounds(size: int, threshold: float = THRESHOLD) -> range:
-    """Sizes whose Dice coefficient with a set of this size can reach the threshold."""
-    return range(math.ceil(round(size * threshold / (2 - threshold), 9)), math.floor(round(size * (2 - threshold) / threshold, 9)) + 1)
+def bounds(size: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(least, most) bigrams of a run that can match a template with this many; it shares the least at least."""
+    return math.ceil(round(size * threshold / (2 - threshold), 9)), math.floor(round(size * (2 - threshold) / threshold, 9))
 
 
-def anchors(own: set[str], threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> set[str]:
-    """Words of which a unit that matches a template with these bigrams has at least one.
+def anchors(own: Counter[str], threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> set[str]:
+    """Words of which a run that matches a template with these bigrams has at least one.
 
-    A match shares t / 2 (|A| + |B|) bigrams, and |A| is within its bounds; the anchors are in more of the template's
-    bigrams than a match can lack. Long words come first, then words of few templates, as they are rare in other texts.
+    The anchors are in more of the template's bigrams than a match can lack. Long words come first, then words of few
+    templates, as they are rare in other texts.
     """
-    spare = len(own) - math.ceil(round(threshold / 2 * (bounds(len(own), threshold)[0] + len(own)), 9))
+    spare = own.total() - bounds(own.total(), threshold)[0]
     chosen: set[str] = set()
     common = Counter(w for _, text in templates for w in set(normalised(text).split()))
     for word in sorted({w for b in own for w in b.split()}, key=lambda w: (-len(w), common[w], w)):
-        if sum(bool(chosen & set(b.split())) for b in own) > spare:
+        if sum(n for b, n in own.items() if chosen & set(b.split())) > spare:
             break
         chosen.add(word)
     return chosen
@@ -83,33 +88,64 @@ def _words(text: Column) -> Column:
 def _bigrams(words: Column) -> Column:
     rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     head = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.array_distinct(F.zip_with(head, rest, lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.zip_with(head, rest, lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, words): the normalised words of each unit."""
-    text = F.col("text")
-    has_lines = F.instr(text, "\n") > 0
-    none = F.array().cast("array<string>")
-    paragraphs = F.when(has_lines, F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: (F.instr(p, "\n") > 0) & (F.length(p) < F.length(text)))).otherwise(none)
-    tag = lambda parts, kind: F.transform(parts, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("unit")))
-    every = F.concat(tag(F.array(text), "text"), tag(paragraphs, "paragraph"), tag(F.when(has_lines, F.split(text, "\n")).otherwise(none), "line"))
-    exploded = docs.select("doc_id", "text").where("text is not null").select("doc_id", F.explode(every).alias("u"))
-    return exploded.select("doc_id", F.col("u.kind").alias("kind"), _words(F.col("u.unit")).alias("words"))
+def hits(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(row, doc_id, license, size, least, most, pos, g, c): where rows have a template's bigram g, which it has c times."""
+    owned = [(name, own) for name, text in templates if (own := bigrams(text))]
+    if len({name for name, _ in owned}) < len(owned):
+        raise ValueError("templates have different names")
+    listed = [(g, name, c, own.total(), *bounds(own.total(), threshold)) for name, own in owned for g, c in own.items()]
+    table = docs.sparkSession.createDataFrame(listed, "g string, license string, c int, size int, least int, most int")
+    if sum(len(g) + len(name) + 40 for g, name, *_ in listed) <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    known = sorted(set().union(*(anchors(own, threshold, templates) for _, own in owned)))
+    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _words(F.col("text")).alias("words"))
+    likely = words.where(F.arrays_overlap("words", F.array(*map(F.lit, known)))) if known else words.limit(0)
+    return likely.select("row", "doc_id", F.posexplode(_bigrams(F.col("words"))).alias("pos", "g")).join(table, "g")
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, kind, dice, n_units): by document and template, the best unit and how many match."""
-    spark = docs.sparkSession
-    allowed = [(size, name, sorted(own)) for name, text in templates if (own := bigrams(text)) for size in bounds(len(own), threshold)]
-    table = F.broadcast(spark.createDataFrame(allowed, "size int, license string, b array<string>"))  # as many rows as the templates allow sizes
-    least = min((size for size, _, _ in allowed), default=1)
-    known = sorted(set().union(*(anchors(own, threshold, templates) for _, text in templates if (own := bigrams(text)))))
-    likely = docs.where(F.arrays_overlap(_words(F.col("text")), F.array(*map(F.lit, known)))) if known else docs.limit(0)
-    found = units(likely).where(F.size("words") > least).select("doc_id", "kind", _bigrams(F.col("words")).alias("a")).withColumn("size", F.size("a"))
-    dice = 2.0 * F.size(F.array_intersect("a", "b")) / (F.col("size") + F.size("b"))
-    met = found.join(table, "size").withColumn("dice", dice).where(F.col("dice") >= threshold)
-    return met.groupBy("doc_id", "license").agg(F.max(F.struct("dice", "kind")).alias("best"), F.count("*").alias("n_units")).select("doc_id", "license", F.col("best.kind").alias("kind"), F.round("best.dice", 9).alias("dice"), "n_units")
+    """(doc_id, license, dice, start_word, n_words, n_regions): by row and template, the best run and how many regions match."""
+    key = ["row", "license"]
+    met = hits(docs, templates, threshold).repartition(*key)
+    # what comes before a bigram by as many of its kind as the template has: a run from there on has one too many
+    times = sorted({c for _, text in templates for c in bigrams(text).values()})
+    same, back = Window.partitionBy(*key, "g").orderBy("pos"), F.lit(None).cast("int")
+    for c in times:
+        back = F.when(F.col("c") == c, F.lag("pos", c).over(same)).otherwise(back)
+    enough = met.withColumn("n", F.count("*").over(Window.partitionBy(*key))).where("n >= least").withColumn("back", F.coalesce(back, F.lit(-1)))
+    rows = enough.groupBy(*key, "doc_id", "size", "least", "most").agg(F.sort_array(F.collect_list(F.struct("pos", "back"))).alias("at"))
+    at, size, least, most = F.col("at"), F.col("size"), F.col("least"), F.col("most")
+    # hits with enough others after them, as close as a match allows
+    places = F.filter(F.sequence(F.lit(1), F.size(at) - least + 1), lambda k: F.get(at, k + least - 2).pos - F.get(at, k - 1).pos < most)
+
+    def best(k: Column) -> Column:
+        """The best run that begins at the k-th hit: its Dice, its first and last bigram."""
+        first = F.get(at, k - 1).pos
+        none = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("dice"), first.alias("last"))
+
+        def add(run: Column, x: Column) -> Column:
+            n = run.n + (x.back < first).cast("int")
+            dice = 2.0 * n / (x.pos - first + 1 + size)
+            better = (dice > run.dice) & (x.pos - first < most)
+            return F.struct(n.alias("n"), F.when(better, dice).otherwise(run.dice).alias("dice"), F.when(better, x.pos).otherwise(run.last).alias("last"))
+
+        return F.aggregate(F.slice(at, k, most), none, add, lambda run: F.struct(run.dice.alias("dice"), first.alias("first"), run.last.alias("last")))
+
+    found = rows.select("doc_id", "license", F.filter(F.transform(places, best), lambda x: x.dice >= threshold).alias("runs")).where(F.size("runs") > 0)
+    none = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("end"), F.lit(0.0).alias("dice"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def merge(s: Column, x: Column) -> Column:
+        pick = lambda name: F.when(x.dice > s.dice, x[name]).otherwise(s[name]).alias(name)
+        return F.struct((s.n + (x["first"] > s.end).cast("int")).alias("n"), F.greatest(s.end, x["last"]).alias("end"), pick("dice"), pick("first"), pick("last"))
+
+    whole = found.select("doc_id", "license", F.aggregate("runs", none, merge).alias("s"))
+    return whole.select(
+        "doc_id", "license", F.round("s.dice", 9).alias("dice"), F.col("s.first").cast("long").alias("start_word"),
+        (F.col("s.last") - F.col("s.first") + 2).cast("long").alias("n_words"), F.col("s.n").cast("long").alias("n_regions"),
+    )
 
 
 def _quoted(value: str) -> str:
@@ -117,20 +153,22 @@ def _quoted(value: str) -> str:
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same scan in SQL, without the size bounds."""
-    rows = ", ".join(f"({_quoted(name)}, [{', '.join(_quoted(b) for b in sorted(own))}])" for name, text in templates if (own := bigrams(text)))
+    """The same scan in SQL, over every two shared bigrams that are close enough, without anchors."""
+    rows = ", ".join(f"({_quoted(g)}, {_quoted(name)}, {c}, {own.total()})" for name, text in templates if (own := bigrams(text)) for g, c in own.items())
     return rf"""
-WITH templates(license, b) AS (VALUES {rows}),
-units AS (
-  SELECT doc_id, 'text' AS kind, "text" AS unit FROM documents WHERE "text" IS NOT NULL
-  UNION ALL
-  SELECT doc_id, 'paragraph', p FROM (SELECT doc_id, "text", unnest(regexp_split_to_array("text", '\n[ \t\r]*\n')) AS p FROM documents WHERE contains("text", chr(10)))
-  WHERE contains(p, chr(10)) AND length(p) < length("text")
-  UNION ALL
-  SELECT doc_id, 'line', unnest(string_split("text", chr(10))) FROM documents WHERE contains("text", chr(10))),
-words AS (SELECT doc_id, kind, string_split(trim(regexp_replace(lower(unit), '[^\pL\pN]+', ' ', 'g')), ' ') AS w FROM units),
-grams AS (SELECT doc_id, kind, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a FROM words WHERE len(w) > 1),
-met AS (SELECT doc_id, license, kind, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM grams, templates
-  WHERE len(a) BETWEEN 0.6 * len(b) AND 1.6 * len(b))
-SELECT doc_id, license, max({{'dice': dice, 'kind': kind}}).kind AS kind, round(max(dice)::DOUBLE, 9) AS dice, count(*) AS n_units
-FROM met WHERE dice >= {threshold} GROUP BY doc_id, license"""
+WITH templates(g, license, c, size) AS (VALUES {rows}),
+words AS (SELECT doc_id, string_split(trim(regexp_replace(lower("text"), '[^\pL\pN]+', ' ', 'g')), ' ') AS w FROM documents WHERE "text" IS NOT NULL),
+places AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words),
+grams AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS g FROM places),
+hits AS (SELECT doc_id, license, size, pos, g, c, row_number() OVER (PARTITION BY doc_id, license, g ORDER BY pos) AS k FROM grams JOIN templates USING (g)),
+backed AS (SELECT a.doc_id, a.license, a.size, a.pos, coalesce(b.pos, -1) AS back FROM hits a
+  LEFT JOIN hits b ON a.doc_id = b.doc_id AND a.license = b.license AND a.g = b.g AND b.k = a.k - a.c),
+runs AS (SELECT a.doc_id, a.license, a.size, a.pos AS first, b.pos AS last,
+    sum((b.back < a.pos)::INT) OVER (PARTITION BY a.doc_id, a.license, a.pos ORDER BY b.pos) AS n
+  FROM backed a JOIN backed b ON a.doc_id = b.doc_id AND a.license = b.license AND b.pos >= a.pos AND b.pos - a.pos < a.size * {2 - threshold} / {threshold}),
+met AS (SELECT *, 2.0 * n / (last - first + 1 + size) AS dice FROM runs WHERE 2.0 * n / (last - first + 1 + size) >= {threshold}),
+own AS (SELECT doc_id, license, first, max(dice) AS dice, arg_min(last, (-dice, last)) AS last FROM met GROUP BY doc_id, license, first),
+ended AS (SELECT *, max(last) OVER (PARTITION BY doc_id, license ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM own)
+SELECT doc_id, license, round(max(dice)::DOUBLE, 9) AS dice, arg_min(first, (-dice, first))::BIGINT AS start_word,
+  arg_min(last - first + 2, (-dice, first))::BIGINT AS n_words, count(*) FILTER (WHERE before IS NULL OR first > before)::BIGINT AS n_regions
+FROM ended GROUP BY doc_id, license"""
