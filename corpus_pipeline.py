@@ -1,7 +1,7 @@
 """A training-data pipeline over `documents`: each stage's rows are written as Parquet and read again as the next one's.
 
 Language ID drops documents whose language is undetermined; the quality classifier drops those it predicts to be of low
-quality; near-duplicates by SimHash leave the document with the smallest id of each group; decontamination drops documents
+quality; near-duplicates by SimHash (five-word shingles, a similarity of 0.8 or more) leave the document with the smallest id of each group; decontamination drops documents
 that hold a benchmark passage; packing lays what is left into sequences of 1024 tokens. No SQL expresses the stages.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontam, langid, packing, quality, simhash
+from larkspur.llm import decontam, langid, packing, quality, similar
 from larkspur.llm.common import Scratch
 from larkspur.llm.queries import _tokenizer
 
@@ -41,7 +41,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates."""
-    return _together(simhash.near_duplicates(_apart(docs)).where("kept"), docs)
+    return _together(similar.near_duplicates(_apart(docs)).where("kept"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
