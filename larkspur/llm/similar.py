@@ -224,7 +224,8 @@ def _verified(table: pa.Table) -> pa.Table:
 def candidates(nodes: DataFrame) -> DataFrame:
     """(node, component) of nodes (node, blocks, bits, size) that share a triple of blocks and 64 bits within RADIUS with another, in groups."""
     keyed = nodes.select("node", "blocks", "bits", "size").mapInArrow(_keyed, "key long, node long, bits long")
-    met = Scratch(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "src long, dst long, key long, bits long"), "met")
+    # in the order of nodes, the forests of a group's keys have the same roots, and so mostly the same edges
+    met = Scratch(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "src long, dst long, key long, bits long"), "met")
     hot = met.df.where("dst is null").select("key", F.col("src").alias("node"), "bits")
     cells = chunk_cells(hot, ["key"], F.col("node"), RUN // 2).groupBy("key", "i", "j").applyInPandas(_cell, "src long, dst long")
     found = components(met.df.where("dst is not null").select("src", "dst").unionByName(cells))
