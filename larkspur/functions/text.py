@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.labels import leaf_of
-from larkspur.plans.taxonomy import DEFINITIONS
+from larkspur.plans.taxonomy import DEFINITIONS, SENTIMENT_DEFINITIONS
 
 
 def token_sequence(text: Column) -> Column:
@@ -62,8 +62,8 @@ def definition(aspect: Column) -> Column:
     return _by_aspect(aspect, {a: d[0] for a, d in DEFINITIONS.items()})
 
 
-def aliases(aspect: Column) -> Column:
-    return _by_aspect(aspect, {a: "; ".join(d[1]) for a, d in DEFINITIONS.items()})
+def aliases(aspect: Column, between: str = "; ") -> Column:
+    return _by_aspect(aspect, {a: between.join(d[1]) for a, d in DEFINITIONS.items()})
 
 
 def boundary(aspect: Column, which: int) -> Column:
@@ -75,39 +75,69 @@ def query_text(aspect: Column) -> Column:
 
 
 def statement(aspect: Column, sentiment: Column, variant: str) -> Column:
-    """A candidate as a statement; `enhanced` adds definition, cues and boundary."""
-    plain = F.concat(F.lit("The review expresses a "), sentiment, F.lit(" opinion about "), aspect, F.lit("."))
+    """A candidate as a statement: control, or enhanced by definition, cues and boundary."""
+    if variant not in ("control", "enhanced"):
+        raise ValueError(f"unknown variant of a statement: {variant}")
+    # fixed values: the registered texts
+    name, last = F.concat(F.lit("Aspect: "), aspect, F.lit(". ")), F.concat(F.lit("Candidate sentiment: "), sentiment, F.lit("."))
     if variant == "control":
-        return plain
-    return F.concat(plain, F.lit(" Definition: "), definition(aspect), F.lit(". Cues: "), aliases(aspect), F.lit(". Boundary: "), boundary(aspect, 1), F.lit("."))
+        return F.concat(name, last)
+    meant = _by_aspect(sentiment, SENTIMENT_DEFINITIONS)
+    return F.concat(name, F.lit("Definition: "), definition(aspect), F.lit(" Lexical cues: "), aliases(aspect, ", "), F.lit(". Boundary: "), boundary(aspect, 1), F.lit(" "), last, F.lit(" Sentiment definition: "), meant)
+
+
+def _described(aspect: Column, contrast: bool) -> Column:
+    """Definition, aliases and boundaries of a rich candidate."""
+    made = [F.lit("Definition: "), definition(aspect), F.lit(" Aliases: "), aliases(aspect), F.lit(". Inclusion boundary: "), boundary(aspect, 0)]
+    return F.concat(*made, *([F.lit(" Contrastive boundary: "), boundary(aspect, 1)] if contrast else []))
 
 
 def claim(aspect: Column, sentiment: Column, variant: Column) -> Column:
     """name_only, minimal (with definition) or rich (with aliases and both boundaries)."""
-    head = F.concat(F.lit("Aspect: "), aspect, F.lit(". Sentiment: "), sentiment, F.lit("."))
-    small = F.concat(head, F.lit(" Definition: "), definition(aspect), F.lit("."))
-    rich = F.concat(small, F.lit(" Aliases: "), aliases(aspect), F.lit(". Includes: "), boundary(aspect, 0), F.lit(". Excludes: "), boundary(aspect, 1), F.lit("."))
-    return F.when(variant == "name_only", head).when(variant == "minimal", small).when(variant == "rich", rich)
+    head, last = F.concat(F.lit("Aspect: "), aspect, F.lit(". ")), F.concat(F.lit("Candidate sentiment: "), sentiment, F.lit("."))
+    made = F.when(variant == "name_only", F.concat(head, last)).when(variant == "minimal", F.concat(head, F.lit("Definition: "), definition(aspect), F.lit(" "), last))
+    return made.when(variant == "rich", F.concat(head, _described(aspect, True), F.lit(" "), last)).otherwise(_unknown(variant))
 
 
 def aspect_candidate(aspect: Column, variant: Column) -> Column:
     """The five variants of a first-stage candidate."""
+    head = F.concat(F.lit("Aspect: "), aspect, F.lit("."))
     return (
-        F.when(variant == "name_only", aspect)
-        .when(variant == "name_and_description", F.concat(aspect, F.lit(": "), definition(aspect)))
-        .when(variant == "description_only", definition(aspect))
-        .when(variant == "name_and_aliases", F.concat(aspect, F.lit(" ("), aliases(aspect), F.lit(")")))
-        .when(variant == "rich", F.concat(aspect, F.lit(": "), definition(aspect), F.lit(" ("), aliases(aspect), F.lit("); "), boundary(aspect, 0), F.lit("; "), boundary(aspect, 1)))
+        F.when(variant == "name_only", head)
+        .when(variant == "name_and_description", F.concat(head, F.lit(" Definition: "), definition(aspect)))
+        .when(variant == "description_only", F.concat(F.lit("Aspect definition: "), definition(aspect)))
+        .when(variant == "rich_positive", F.concat(head, F.lit(" "), _described(aspect, False)))
+        .when(variant == "rich", F.concat(head, F.lit(" "), _described(aspect, True)))
+        .otherwise(_unknown(variant))
     )
 
 
 def sentiment_candidate(aspect: Column, sentiment: Column, variant: Column) -> Column:
-    return F.concat(sentiment, F.lit(" about "), aspect_candidate(aspect, variant))
+    return F.concat(aspect_candidate(aspect, variant), F.lit(" Candidate sentiment: "), sentiment, F.lit("."))
+
+
+def _unknown(variant: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("unknown representation: "), variant)).cast("string")
+
+
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value. Spark's parsers stop after the first value, so it is parsed inside of others."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    last = F.concat(F.lit('{"value":'), text, F.lit(',"end":1}'))
+    keys = F.json_object_keys(last)
+    return F.coalesce(alone & (F.size(keys) == 2) & (F.get(keys, 1) == "end") & F.call_function("try_parse_json", text).isNotNull(), F.lit(False))
 
 
 def json_body(raw: Column) -> Column:
-    """The JSON in a model's answer: without code fences; else the first array or object in it; null without any."""
-    bare = F.trim(F.regexp_replace(raw, r"(?is)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    """The JSON in a model's answer, as a struct: text (null if there is none) and strict (nothing but code fences around it).
+
+    Otherwise it is the first array or object, up to the last bracket of its kind.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    whole = strip(raw)
+    opened = strip(F.regexp_replace(whole, r"(?i)^```(?:json)?", ""))
+    bare = F.when(whole.startswith("```"), strip(F.regexp_replace(opened, r"```$", ""))).otherwise(whole)
     array, object_ = F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    found = F.when(F.substring(bare, 1, 1).isin("[", "{"), bare).when((F.instr(bare, "[") > 0) & ((F.instr(bare, "{") == 0) | (F.instr(bare, "[") < F.instr(bare, "{"))), array).otherwise(object_)
-    return F.when(F.length(found) > 0, found)
+    first = F.when((array != "") & ((object_ == "") | (F.instr(bare, "[") < F.instr(bare, "{"))), array).otherwise(object_)
+    strict = is_json(bare)
+    return F.struct(F.when(strict, bare).when(is_json(first), first).alias("text"), strict.alias("strict"))

@@ -71,9 +71,13 @@ def ensure_one(grid: DataFrame, threshold: float | Column, per_aspect: int = 1,
     return marked.withColumn("p", (F.col("on") & (cap <= per_row)).cast("int")).drop("rb", "on")
 
 
-def lookup(aspects: DataFrame, sentiments: DataFrame) -> DataFrame:
-    """Predicted aspects (row_uid, aspect) with each one's sentiment (row_uid, aspect, sentiment), else neutral."""
-    return aspects.join(sentiments, GROUP, "left").withColumn("sentiment", F.coalesce("sentiment", F.lit("neutral")))
+def lookup(grid: DataFrame, gate: float | Column, threshold: float | Column) -> DataFrame:
+    """(row_uid, aspect, sentiment): each predicted aspect with its best sentiment, if that reaches the threshold, else neutral.
+
+    Aspects and sentiments are of one ranked grid, which has one best sentiment for each aspect: no join is needed.
+    """
+    on = ranked(grid).where((F.col("rn") == 1) & (F.col("aspect_score") >= gate))
+    return on.select(*GROUP, F.when(F.col("sentiment_score") >= threshold, F.col("sentiment")).otherwise("neutral").alias("sentiment"))
 
 
 def sets(decoded: DataFrame, *carry: str) -> DataFrame:

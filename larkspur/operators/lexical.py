@@ -22,13 +22,15 @@ def terms(docs: DataFrame, key: str, text: str, bigrams: bool = False, words: st
 
 
 def char_terms(docs: DataFrame, key: str, text: str, low: int = 3, high: int = 5) -> DataFrame:
-    """(key, term, n): character n-grams within words that are padded by one space."""
-    words = F.transform(token_sequence(_C(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    """(key, term, n): character n-grams within words that are padded by one space; a word shorter than a size counts once."""
+    words = F.filter(F.split(F.lower(F.coalesce(_C(text), F.lit(""))), r"\s+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def of_size(w: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+        some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+        return some if n == low else F.when(F.length(w) >= n, some).otherwise(F.array().cast("array<string>"))
 
-    grams = F.flatten(F.flatten(F.transform(words, lambda w: F.array(*(of_size(w, n) for n in range(low, high + 1))))))
+    grams = F.flatten(F.flatten(F.transform(padded, lambda w: F.array(*(of_size(w, n) for n in range(low, high + 1))))))
     return docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
@@ -156,50 +158,106 @@ def demonstrations(positive: DataFrame, negative: DataFrame, query: str) -> Data
     return made.select(query, checked.alias("examples"))
 
 
-def hashed_tfidf(frame: DataFrame, text: str, features: int = 1 << 10) -> DataFrame:
-    """frame with __x: L2-scaled TF-IDF over hashed words and their pairs; terms that meet in a hash share a feature."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+#: Terms of a vocabulary: the published models keep as many.
+VOCABULARY = 30_000
+
+
+def vocabulary_tfidf(frame: DataFrame, text: str, most: int = VOCABULARY) -> DataFrame:
+    """frame with __x: L2-scaled TF-IDF over the most frequent words and pairs of words, in a sparse vector."""
+    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
 
-    seq = token_sequence(_C(text))
     n = F.greatest(F.size("__w") - 1, F.lit(0))
-    held = frame.withColumn("__w", seq).withColumn("__w", F.concat("__w", F.zip_with(F.slice("__w", 1, n), F.slice("__w", 2, n), lambda a, b: F.concat_ws(" ", a, b))))
-    counted = HashingTF(inputCol="__w", outputCol="__tf", numFeatures=features).transform(held)
+    held = frame.withColumn("__w", token_sequence(_C(text))).withColumn("__w", F.concat("__w", F.zip_with(F.slice("__w", 1, n), F.slice("__w", 2, n), lambda a, b: F.concat_ws(" ", a, b))))
+    counted = CountVectorizer(inputCol="__w", outputCol="__tf", vocabSize=most).fit(held).transform(held)
     weighed = IDF(inputCol="__tf", outputCol="__idf").fit(counted).transform(counted)
     return Normalizer(inputCol="__idf", outputCol="__x", p=2.0).transform(weighed).drop("__w", "__tf", "__idf")
 
 
-def one_versus_rest(train: DataFrame, label: str, svm: bool = False):
-    """A linear model for each class over __x: logistic regression, or an SVM with hinge loss (a dozen iterations)."""
+def one_versus_rest(train: DataFrame, label: str, svm: bool = False, rounds: int = 100):
+    """A linear model for each class over __x: logistic regression, or an SVM with hinge loss; until they converge, or `rounds` iterations."""
     from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 
-    kind = LinearSVC(featuresCol="__x", regParam=0.01, maxIter=12) if svm else LogisticRegression(featuresCol="__x", regParam=0.001, maxIter=12)
+    kind = LinearSVC(featuresCol="__x", regParam=0.01, maxIter=rounds) if svm else LogisticRegression(featuresCol="__x", regParam=0.001, maxIter=rounds)
     return OneVsRest(classifier=kind, featuresCol="__x", labelCol=label, predictionCol="predicted", parallelism=4).fit(train)
 
 
-def latent(frame: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, z): rows of __x on the k strongest right singular vectors, scaled to length 1; the vectors are features x k."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    held = frame.select(key, "__x")
-    matrix = RowMatrix(held.select("__x").rdd.map(lambda r: Vectors.fromML(r[0])))
-    v = matrix.computeSVD(k).V.toArray()
-    sent = frame.sparkSession.sparkContext.broadcast(v)
-
-    @F.pandas_udf("array<double>")
-    def project(x):
-        import numpy as np
-        import pandas as pd
-
-        z = np.stack(x.to_list()) @ sent.value
-        norm = np.linalg.norm(z, axis=1, keepdims=True)
-        return pd.Series(list(z / np.where(norm > 0, norm, 1)))
+def sparse_tfidf(docs: DataFrame, key: str, text: str, most: int = VOCABULARY) -> DataFrame:
+    """(key, i, v): L2-scaled TF-IDF over the `most` most frequent words and pairs, as arrays of term numbers and weights."""
+    found = terms(docs, key, text, bigrams=True)
+    total = found.select(key).distinct().agg(F.count("*").alias("total"))
+    kept = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).orderBy(F.desc("tf"), "term").limit(most)
+    number = F.row_number().over(Window.orderBy(F.desc("tf"), "term")) - 1  # `most` rows
+    weights = kept.withColumn("i", number).crossJoin(F.broadcast(total)).select("term", "i", (F.log((1 + _C("total")) / (1 + _C("df"))) + 1).alias("idf"))  # total is one row
+    made = found.join(weights, "term").select(key, "i", ((1 + F.log("n")) * _C("idf")).alias("w")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("c"), F.sqrt(F.sum(_C("w") * _C("w"))).alias("norm"))
+    return made.select(key, F.transform("c", lambda x: x.i).alias("i"), F.transform("c", lambda x: x.w / _C("norm")).alias("v"))
 
-    return held.select(key, project(vector_to_array("__x")).alias("z"))
 
+def latent(vectors: DataFrame, key: str, k: int, size: int = VOCABULARY, rounds: int = 8, seed: int = 13) -> DataFrame:
+    """(key, z): rows (key, i, v) on the k strongest right singular vectors of size dimensions, scaled to length 1.
 
-def logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0, weight: str | None = None):
+    The vectors come from subspace iteration: each pass multiplies all rows with a thin matrix (size x (k + 8)) and back,
+    summed by partition in Arrow, so no matrix of terms by terms is made.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark, wide = vectors.sparkSession, k + 8
+    rows = vectors.select(key, "i", "v").where(F.size("i") > 0)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, wide)))[0]
+
+    def parts(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                lists = batch.column("i")
+                starts = lists.offsets.to_numpy().astype(np.int64)
+                yield batch, lists.flatten().to_numpy(), batch.column("v").flatten().to_numpy(), starts - starts[0]
+
+    def times(i, v, starts, matrix):
+        return np.add.reduceat(v[:, None] * matrix[i], starts[:-1], axis=0)
+
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(basis)
+
+        def back(batches, sent=sent):
+            total = np.zeros((size, wide))
+            for _, i, v, starts in parts(batches):
+                z = np.repeat(times(i, v, starts, sent.value), np.diff(starts), axis=0) * v[:, None]
+                order = np.argsort(i, kind="stable")
+                first = np.concatenate([[0], np.nonzero(np.diff(i[order]))[0] + 1])
+                total[i[order][first]] += np.add.reduceat(z[order], first, axis=0)
+            on = np.nonzero(total.any(1))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(list(total[on]), pa.list_(pa.float64()))], names=["i", "v"])
+
+        sums = rows.mapInArrow(back, "i int, v array<double>").groupBy("i").agg(*(F.sum(_C("v")[j]).alias(f"c{j}") for j in range(wide))).toArrow()  # size rows at most
+        basis = np.zeros((size, wide))
+        basis[sums.column("i").to_numpy()] = np.stack([sums.column(f"c{j}").to_numpy() for j in range(wide)], axis=1)
+        basis = np.linalg.qr(basis)[0]
+    # within the subspace, the strongest directions come first
+    sent = spark.sparkContext.broadcast(basis)
+
+    def gram(batches):
+        total = np.zeros((wide, wide))
+        for _, i, v, starts in parts(batches):
+            z = times(i, v, starts, sent.value)
+            total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(wide, dtype=np.int32)), pa.array(list(total))], names=["i", "v"])
+
+    table = rows.mapInArrow(gram, "i int, v array<double>").groupBy("i").agg(*(F.sum(_C("v")[j]).alias(f"c{j}") for j in range(wide))).toArrow().sort_by("i")
+    small = np.stack([table.column(f"c{j}").to_numpy() for j in range(wide)], axis=1) if table.num_rows else np.eye(wide)
+    turn = basis @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :k]
+    chosen = spark.sparkContext.broadcast(turn)
+
+    def project(batches):
+        for batch, i, v, starts in parts(batches):
+            z = times(i, v, starts, chosen.value)
+            norm = np.linalg.norm(z, axis=1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(z / np.where(norm > 0, norm, 1)))], names=[key, "z"])
+
+    return rows.mapInArrow(project, f"{key} {dict(vectors.dtypes)[key]}, z array<double>")
+
+
+def logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0, weight: str | None = None, tolerance: float = 1e-6, rounds: int = 100):
     """L2 logistic regression on features scaled by population deviation; regParam is 1 / (C * sum of weights)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -211,7 +269,7 @@ def logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0,
         scaled = frame.withColumns({f"__f_{f}": (_C(f) - m) / s for f, (m, s) in scale.items()})
         return VectorAssembler(inputCols=[f"__f_{f}" for f in features], outputCol="__features").transform(scaled)
 
-    fit = LogisticRegression(featuresCol="__features", labelCol=label, regParam=1 / (c * total[0]), elasticNetParam=0.0, standardization=False, probabilityCol="__pr", rawPredictionCol="__raw", predictionCol="__pred", **({"weightCol": weight} if weight else {})).fit(assemble(train))
+    fit = LogisticRegression(tol=tolerance, maxIter=rounds, featuresCol="__features", labelCol=label, regParam=1 / (c * total[0]), elasticNetParam=0.0, standardization=False, probabilityCol="__pr", rawPredictionCol="__raw", predictionCol="__pred", **({"weightCol": weight} if weight else {})).fit(assemble(train))
 
     def score(frame: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.labels import pair_aspects, pair_sentiments, split_first
 from larkspur.functions.scores import f1, harmonic, ratio
+from larkspur.operators.prefix import running
 from larkspur.plans.taxonomy import strings
 
 _C = F.col
@@ -143,8 +144,7 @@ def partitions(decoded: DataFrame, folds) -> DataFrame:
 def average_precision(scored: DataFrame, score: str, target: str, *by: str) -> DataFrame:
     """Sum over distinct scores, descending, of recall gained times precision; the mean target if only one class occurs."""
     at = scored.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(target).cast("long")).alias("t"), F.count("*").alias("n"))
-    upto = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    step = at.withColumns({"ct": F.sum("t").over(upto), "cn": F.sum("n").over(upto)})
+    step = running(at.withColumns({"ct": _C("t"), "cn": _C("n")}), "s", ["ct", "cn"], *by)
     return step.groupBy(*by).agg(F.sum("t").alias("positives"), F.sum("n").alias("rows"), F.sum(_C("t") * _C("ct") / _C("cn")).alias("x")).select(
         *by, "positives", "rows", F.when((_C("positives") == 0) | (_C("positives") == _C("rows")), _C("positives") / _C("rows")).otherwise(_C("x") / _C("positives")).alias("average_precision")
     )

@@ -13,21 +13,26 @@ _C = F.col
 _ITEM = "struct<aspect:string,aspect_id:string,sentiment:string>"
 
 
-def parse(rows: DataFrame, raw: str, aspects) -> DataFrame:
-    """rows with valid_json, strict_json, schema_valid, labels and counters of what is wrong in an answer.
+def parse(rows: DataFrame, raw: str, aspects, require_aspect_id: bool = False, allow_object_wrapper: bool = True) -> DataFrame:
+    """rows with valid_json, strict_json, extracted_json, top_level_type, parse_error, schema_valid, labels and counters of what is wrong.
 
-    An answer is an array of objects, or an object with such an array under labels, predictions or items, perhaps within
-    other text. An aspect is known by name, by `A<n>`, by `<n>`, or by an id that `A<n>` starts.
+    An answer is an array of objects, or an object with such an array under labels, predictions or items. JSON within other
+    text is extracted, and is never valid by the schema. An aspect is known by name, by `A<n>`, by `<n>`, or by an id that
+    `A<n>` starts.
     """
     body = json_body(_C(raw))
+    first = F.substring("__b", 1, 1)
     # each item stays JSON text until it is known to be an object
-    items = F.coalesce(
-        F.when(F.substring("__b", 1, 1) == "[", F.from_json("__b", "array<string>")),
-        *(F.from_json(F.get_json_object("__b", f"$.{k}"), "array<string>") for k in ("labels", "predictions", "items")),
-    )
-    made = rows.withColumn("__b", body).withColumn("valid_json", F.coalesce(F.call_function("try_parse_json", _C("__b")).isNotNull(), F.lit(False)))
-    made = made.withColumn("__items", F.when(_C("valid_json"), items))
-    made = made.withColumn("strict_json", F.coalesce(_C("valid_json") & (F.substring(F.trim(raw), 1, 1).isin("[", "{", "`")), F.lit(False)))
+    wrapped = [F.when(F.get_json_object("__b", f"$.{k}").startswith("["), F.from_json(F.get_json_object("__b", f"$.{k}"), "array<string>")) for k in ("labels", "predictions", "items")]
+    items = F.when(first == "[", F.from_json("__b", "array<string>")).when((first == "{") & F.lit(allow_object_wrapper), F.coalesce(*wrapped))
+    made = rows.withColumn("__j", body).withColumns({"__b": F.trim("__j.text"), "strict_json": F.coalesce(_C("__j.strict"), F.lit(False))})
+    made = made.withColumn("valid_json", _C("__b").isNotNull()).withColumn("__items", F.when(_C("valid_json"), items)).drop("__j")
+    number = F.when(_C("__b").rlike(r"[.eE]"), "float").otherwise("int")
+    kind = F.when(first == "[", "list").when(first == "{", "dict").when(first == '"', "str").when(first.isin("t", "f"), "bool").when(first == "n", "NoneType").otherwise(number)
+    made = made.withColumns({
+        "extracted_json": _C("valid_json") & ~_C("strict_json"), "top_level_type": F.when(_C("valid_json"), kind),
+        "parse_error": F.when(~_C("valid_json"), "no JSON value").when(_C("__items").isNull(), "neither a list nor an object that holds one"),
+    })
     names = strings(aspects)
     ids = strings([f"A{i + 1}" for i in range(len(aspects))])
     numbers = strings([str(i + 1) for i in range(len(aspects))])
@@ -58,6 +63,8 @@ def parse(rows: DataFrame, raw: str, aspects) -> DataFrame:
         "aspect_name_count": count(lambda x: x.object & (x.how == "name")), "numeric_id_count": count(lambda x: x.object & (x.how == "number")), "prefixed_id_count": count(lambda x: x.object & (x.how == "prefix")),
     })
     bad = [_C(c) for c in ("non_object_count", "invalid_candidate_count", "invalid_sentiment_count", "duplicate_count", "conflict_count", "numeric_id_count", "prefixed_id_count")]
+    if require_aspect_id:
+        bad.append(_C("aspect_name_count"))
     clean = F.coalesce(_C("strict_json") & _C("__items").isNotNull(), F.lit(False))
     for c in bad:
         clean = clean & (c == 0)

@@ -17,18 +17,21 @@ FIXED = ("local_only", "other_only", "local_nonempty_else_other", "other_nonempt
 SYMMETRIC = ("score_abs_replace", "score_abs_other_nonempty_else_local", "score_abs_agreement_other_sentiment", "score_below_rescue", "score_above_confirm")
 ASYMMETRIC = ("confirm", "veto")
 MARGIN = ("sentiment_margin_replace", "sentiment_margin_confirm")
-BANDS = (0.02, 0.05, 0.1, 0.2)
-POLICY = "policy string, kind string, band double, above double"
+# The registered bands of score distances and of sentiment margins.
+BANDS = (0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3)
+MARGIN_BANDS = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
+#: What a policy may choose: one of the sets, none, or both of them met or joined.
+OPTIONS = ("local", "other", "none", "both", "any")
 
 
-def policy_grid(scores: bool = True, margins: bool = True, bands: tuple[float, ...] = BANDS) -> list[tuple[str, str, float | None, float | None]]:
-    """All policies that the available features allow: (name, kind, band, upper band)."""
+def policy_grid(scores: bool = True, margins: bool = True, bands: tuple[float, ...] = BANDS, margin_bands: tuple[float, ...] = MARGIN_BANDS) -> list[tuple[str, str, float | None, float | None]]:
+    """All policies that the available features allow, in order: (name, kind, band, upper band); 229 with both."""
     made: list[tuple[str, str, float | None, float | None]] = [(p, p, None, None) for p in FIXED]
     if scores:
         made += [(f"{k}_le_{b:.2f}", k, b, None) for b in bands for k in SYMMETRIC]
         made += [(f"score_asym_rescue_le_{b:.2f}_{m}_le_{a:.2f}", f"asym_{m}", b, a) for b in bands for a in bands for m in ASYMMETRIC]
     if margins:
-        made += [(f"{k}_le_{b:.2f}", k, b, None) for b in bands for k in MARGIN]
+        made += [(f"{k}_le_{b:.2f}", k, b, None) for b in margin_bands for k in MARGIN]
     return made
 
 
@@ -37,50 +40,138 @@ def family(kind: Column) -> Column:
     return made.when(kind == "score_below_rescue", "below_threshold_rescue_only").when(kind == "score_above_confirm", "above_threshold_confirm_only").when(kind == "asym_confirm", "asymmetric_rescue_confirm").when(kind == "asym_veto", "asymmetric_rescue_veto").when(kind.like("sentiment_margin%"), "sentiment_margin").otherwise("other")
 
 
-def choose(rows: DataFrame) -> DataFrame:
-    """rows (local, other, distance, margin, kind, band, above) with chosen and called.
+def _conditions() -> dict[str, Column]:
+    """What policies ask of a row (has, got, distance, margin, band, above)."""
+    d, band, has = _C("distance"), _C("band"), _C("has")
+    return {
+        "near": F.abs(d) <= band, "below": (d >= -band) & (d < 0), "above": has & (d >= 0) & (d <= band),
+        "upper": has & (d >= 0) & (d <= _C("above")), "close": has & (_C("margin") <= band),
+    }
 
-    distance is the local score minus its threshold. A policy asks the other system for a row (called) or keeps what is local.
-    """
-    local, other, d, k, band = _C("local"), _C("other"), _C("distance"), _C("kind"), _C("band")
-    has, got, none = F.size(local) > 0, F.size(other) > 0, F.array().cast("array<string>")
-    near, below, above = F.abs(d) <= band, (d >= -band) & (d < 0), has & (d >= 0) & (d <= band)
-    upper, close = has & (d >= 0) & (d <= _C("above")), has & (_C("margin") <= band)
-    pick = lambda c, a, b: F.when(c, a).otherwise(b)
-    chosen = (
+
+def option() -> Column:
+    """Which of the OPTIONS a policy (kind, band, above) chooses for a row (has, got, distance, margin)."""
+    k, has, got, c = _C("kind"), _C("has"), _C("got"), _conditions()
+    pick = lambda on, a, b: F.when(on, F.lit(a)).otherwise(F.lit(b))
+    local, other = F.lit("local"), F.lit("other")
+    rescue = F.when(c["below"], pick(got, "other", "local"))
+    return (
         F.when(k == "local_only", local).when(k == "other_only", other)
-        .when(k == "local_nonempty_else_other", pick(has, local, other)).when(k == "other_nonempty_else_local", pick(got, other, local))
-        .when(k == "pair_agreement", F.array_intersect(local, other)).when(k == "aspect_agreement_local_sentiment", pick(has & got, local, none))
-        .when(k == "aspect_agreement_other_sentiment", pick(has & got, other, none)).when(k == "union_pairs", F.array_union(local, other))
-        .when(k == "score_abs_replace", pick(near, other, local)).when(k == "score_abs_other_nonempty_else_local", pick(near & got, other, local))
-        .when(k == "score_abs_agreement_other_sentiment", pick(near & has, other, local)).when(k == "score_below_rescue", pick(~has & below, other, local))
-        .when(k == "score_above_confirm", pick(above, other, local))
-        .when(k == "asym_confirm", F.when(below, pick(got, other, local)).when(upper, other).otherwise(local))
-        .when(k == "asym_veto", F.when(below, pick(got, other, local)).when(upper, pick(got, local, none)).otherwise(local))
-        .when(k == "sentiment_margin_replace", pick(close & got, other, local)).when(k == "sentiment_margin_confirm", pick(close, other, local))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown policy: "), k)).cast("array<string>"))
+        .when(k == "local_nonempty_else_other", pick(has, "local", "other")).when(k == "other_nonempty_else_local", pick(got, "other", "local"))
+        .when(k == "pair_agreement", F.lit("both")).when(k == "aspect_agreement_local_sentiment", pick(has & got, "local", "none"))
+        .when(k == "aspect_agreement_other_sentiment", pick(has & got, "other", "none")).when(k == "union_pairs", F.lit("any"))
+        .when(k == "score_abs_replace", pick(c["near"], "other", "local")).when(k == "score_abs_other_nonempty_else_local", pick(c["near"] & got, "other", "local"))
+        .when(k == "score_abs_agreement_other_sentiment", pick(c["near"] & has, "other", "local")).when(k == "score_below_rescue", pick(~has & c["below"], "other", "local"))
+        .when(k == "score_above_confirm", pick(c["above"], "other", "local"))
+        .when(k == "asym_confirm", rescue.when(c["upper"], other).otherwise(local)).when(k == "asym_veto", rescue.when(c["upper"], pick(got, "local", "none")).otherwise(local))
+        .when(k == "sentiment_margin_replace", pick(c["close"] & got, "other", "local")).when(k == "sentiment_margin_confirm", pick(c["close"], "other", "local"))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown policy: "), k)).cast("string"))
     )
-    called = (
+
+
+def called() -> Column:
+    """1 if the policy asks the other system for the row."""
+    k, has, c = _C("kind"), _C("has"), _conditions()
+    made = (
         F.when(k == "local_only", F.lit(False)).when(k.isin("other_only", "other_nonempty_else_local", "union_pairs"), F.lit(True))
         .when(k == "local_nonempty_else_other", ~has).when(k.isin("pair_agreement", "aspect_agreement_local_sentiment", "aspect_agreement_other_sentiment"), has)
-        .when(k.isin("score_abs_replace", "score_abs_other_nonempty_else_local"), near).when(k == "score_abs_agreement_other_sentiment", has & near)
-        .when(k == "score_below_rescue", ~has & below).when(k == "score_above_confirm", above).when(k.isin("asym_confirm", "asym_veto"), below | upper).otherwise(close)
+        .when(k.isin("score_abs_replace", "score_abs_other_nonempty_else_local"), c["near"]).when(k == "score_abs_agreement_other_sentiment", has & c["near"])
+        .when(k == "score_below_rescue", ~has & c["below"]).when(k == "score_above_confirm", c["above"]).when(k.isin("asym_confirm", "asym_veto"), c["below"] | c["upper"]).otherwise(c["close"])
     )
-    return rows.withColumns({"chosen": F.array_sort(F.array_distinct(chosen)), "called": called.cast("int")})
+    return F.coalesce(made, F.lit(False)).cast("int")
+
+
+def _sets() -> dict[str, Column]:
+    local, other = _C("local"), _C("other")
+    return {"local": local, "other": other, "none": F.array().cast("array<string>"), "both": F.array_intersect(local, other), "any": F.array_union(local, other)}
+
+
+def choose(rows: DataFrame) -> DataFrame:
+    """rows (local, other, distance, margin, kind, band, above) with chosen and called.
+
+    distance is the local score minus its threshold. A policy asks the other system for a row (called) or keeps what is local.
+    """
+    held = rows.withColumns({"has": F.size("local") > 0, "got": F.size("other") > 0}).withColumns({"__o": option(), "called": called()})
+    chosen = F.array_sort(F.array_distinct(_picked(_sets())))
+    return held.withColumn("chosen", chosen).drop("has", "got", "__o")
+
+
+def _picked(by_option: dict[str, Column]) -> Column:
+    made = F.when(_C("__o") == OPTIONS[0], by_option[OPTIONS[0]])
+    for o in OPTIONS[1:]:
+        made = made.when(_C("__o") == o, by_option[o])
+    return made
+
+
+#: Of a row's chosen set against its gold set; all of them are sums.
+_PARTS = ("tp", "predicted", "samples", "exact", "false_positive_rows", "false_negative_rows")
+
+
+def signatures(rows: DataFrame, *by: str, bands: tuple[float, ...] = BANDS, margin_bands: tuple[float, ...] = MARGIN_BANDS) -> DataFrame:
+    """rows (gold, local, other, distance, margin) summed by all that policies ask: a table that the bands bound.
+
+    Policies see a distance's sign and the least band that it is within, a margin's least band, and which sets are empty;
+    rows alike in these are treated alike by each policy, so what each option would give is summed once for all policies.
+    """
+    far = 1 + max(*bands, *margin_bands)
+    least = lambda x, known: F.coalesce(F.array_min(F.filter(F.array(*map(F.lit, sorted(known))), lambda b: x <= b)), F.when(x.isNotNull(), F.lit(far)))
+    d, g = _C("distance"), F.size("gold")
+    made = rows.withColumns({"has": F.size("local") > 0, "got": F.size("other") > 0, "__d": F.when(d < 0, -least(F.abs(d), bands)).otherwise(least(F.abs(d), bands)), "__m": least(_C("margin"), margin_bands)})
+    parts, names = [], []
+    for o, chosen in _sets().items():
+        tp, p = F.size(F.array_intersect("gold", chosen)), F.size(F.array_distinct(chosen))
+        each = (tp, p, F.when(g + p == 0, F.lit(0.0)).otherwise(2.0 * tp / (g + p)), ((tp == g) & (tp == p)).cast("long"), ((g == 0) & (p > 0)).cast("long"), ((g > 0) & (p == 0)).cast("long"))
+        parts += [F.sum(c).alias(f"{o}_{n}") for n, c in zip(_PARTS, each)]
+        names.append(o)
+    return made.groupBy(*by, "has", "got", _C("__d").alias("distance"), _C("__m").alias("margin")).agg(F.count("*").alias("rows"), F.sum(g).alias("gold"), *parts)
+
+
+def evaluate(rows: DataFrame, policies: list[tuple], *by: str) -> DataFrame:
+    """(policy, kind, place[, by], rows, calls, call_rate, f1, precision, recall, ...) of every policy, from one pass over the rows."""
+    bands = tuple(sorted({x for p in policies for x in p[2:] if x is not None and not p[1].startswith("sentiment_margin")})) or (0.0,)
+    margins = tuple(sorted({p[2] for p in policies if p[1].startswith("sentiment_margin")})) or (0.0,)
+    made = with_policies(signatures(rows, *by, bands=bands, margin_bands=margins), policies).withColumns({"__o": option(), "called": called()})
+    sums = [F.sum(_picked({o: _C(f"{o}_{n}") for o in OPTIONS})).alias(n) for n in _PARTS]
+    total = made.groupBy("policy", "kind", "place", *by).agg(F.sum("rows").alias("rows"), F.sum("gold").alias("gold"), F.sum(_C("called") * _C("rows")).alias("calls"), *sums)
+    share = lambda a, b: F.when(b != 0, a / b).otherwise(0.0)
+    tp, p, g, n = _C("tp"), _C("predicted"), _C("gold"), _C("rows")
+    return total.select(
+        "policy", "kind", "place", *by, "rows", "calls", share(_C("calls"), n).alias("call_rate"), share(2 * tp, p + g).alias("f1"), share(tp, p).alias("precision"), share(tp, g).alias("recall"),
+        share(_C("samples"), n).alias("samples_f1"), share(_C("exact"), n).alias("exact"), share(100 * _C("false_positive_rows"), n).alias("false_positive_rows_per_100"),
+        share(100 * _C("false_negative_rows"), n).alias("false_negative_rows_per_100"), share(p, n).alias("predicted_per_row"),
+    )
+
+
+def rounded_metrics(evaluated: DataFrame, places: int = 12) -> DataFrame:
+    """Metrics to so many places, so that equal ones compare as equal however they were summed."""
+    return evaluated.select(*(F.round(c, places).alias(c) if t == "double" else c for c, t in evaluated.dtypes))
+
+
+def best_policies(evaluated: DataFrame, *by: str) -> DataFrame:
+    """The best policy of each group: by F1, precision, fewer false positive rows, fewer calls; then the first in the grid."""
+    order = [F.desc("f1"), F.desc("precision"), "false_positive_rows_per_100", "call_rate", "place"]
+    n = F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order))  # as many rows as there are policies
+    return evaluated.withColumn("__n", n).where("__n = 1").drop("__n")
+
+
+def mean_over(evaluated: DataFrame, *by: str) -> DataFrame:
+    """Policies with their metrics averaged over whatever isn't in by (held-out aspects)."""
+    names = ("f1", "precision", "recall", "samples_f1", "exact", "false_positive_rows_per_100", "false_negative_rows_per_100", "call_rate", "predicted_per_row")
+    return evaluated.groupBy("policy", "kind", "place", *by).agg(*(F.avg(n).alias(n) for n in names))
 
 
 def with_policies(rows: DataFrame, policies: list[tuple]) -> DataFrame:
-    """Every row with every policy, as an explode of literals."""
+    """Every row with every policy and its place in the grid, as an explode of literals."""
     value = lambda x: F.lit(None).cast("double") if x is None else F.lit(float(x))
-    cells = F.array(*(F.struct(F.lit(p).alias("policy"), F.lit(k).alias("kind"), value(b).alias("band"), value(a).alias("above")) for p, k, b, a in policies))
+    cells = F.array(*(F.struct(F.lit(p).alias("policy"), F.lit(k).alias("kind"), value(b).alias("band"), value(a).alias("above"), F.lit(i).alias("place")) for i, (p, k, b, a) in enumerate(policies)))
     return rows.withColumn("__p", F.explode(cells)).select("*", "__p.*").drop("__p")
 
 
-def min_max(feature: str, *by: str) -> Column:
-    """The feature scaled to [0, 1] over all rows of a group; 0 where it is flat."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(feature).over(w), F.max(feature).over(w)
-    return F.when(high == low, F.lit(0.0)).otherwise((_C(feature) - low) / (high - low))
+def min_max(rows: DataFrame, feature: str, name: str, *by: str) -> DataFrame:
+    """rows with the feature scaled to [0, 1] over all rows of a group; 0 where it is flat. The ends are a row for each group."""
+    ends = rows.groupBy(*by).agg(F.min(feature).alias("__low"), F.max(feature).alias("__high"))
+    held = rows.join(ends, list(by)) if by else rows.crossJoin(F.broadcast(ends))  # one row
+    return held.withColumn(name, F.when(_C("__high") == _C("__low"), F.lit(0.0)).otherwise((_C(feature) - _C("__low")) / (_C("__high") - _C("__low")))).drop("__low", "__high")
 
 
 def escalate(rows: DataFrame, score: str, rate: float | Column, *by: str) -> DataFrame:
@@ -110,10 +201,19 @@ def triggered(rows: DataFrame, features: list[str], every: bool) -> DataFrame:
 
 
 def cutoff(rows: DataFrame, present: int, fraction: float, *by: str) -> DataFrame:
-    """(cutoff[, by]): the ceil(fraction * n)-th least distance among rows that are locally present, or absent."""
+    """(cutoff[, by]): the ceil(fraction * n)-th least distance among rows that are locally present, or absent.
+
+    Rows are counted by distance, and distances by ranges of 1 / 4096, so that only the range with the cutoff is put in order.
+    """
+    at = rows.where(_C("local_present") == present).groupBy(*by, "distance").agg(F.count("*").alias("__n"))
+    lower = F.floor(_C("distance") * 4096)
+    coarse = at.groupBy(*by, lower.alias("__b")).agg(F.sum("__n").alias("__m"))
     w = Window.partitionBy(*by)
-    held = rows.where(_C("local_present") == present).withColumns({"__r": F.row_number().over(w.orderBy("distance", "row_uid")), "__m": F.ceil(F.lit(fraction) * F.count("*").over(w))})
-    return held.where("__r = __m").select(*by, _C("distance").alias("cutoff"))
+    upto = F.sum("__m").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+    held = coarse.withColumns({"__c": upto - _C("__m"), "__k": F.ceil(F.lit(fraction) * F.sum("__m").over(w))}).where((_C("__k") > _C("__c")) & (_C("__k") <= _C("__c") + _C("__m")))
+    fine = at.withColumn("__b", lower).join(held.select(*by, "__b", "__c", "__k"), [*by, "__b"])
+    within = F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy("distance").rowsBetween(Window.unboundedPreceding, 0)) + _C("__c")
+    return fine.withColumn("__u", within).where((_C("__u") >= _C("__k")) & (_C("__u") - _C("__n") < _C("__k"))).select(*by, _C("distance").alias("cutoff"))
 
 
 def distance_route(rows: DataFrame, rescue: DataFrame, confirm: DataFrame, *by: str) -> DataFrame:

@@ -1,74 +1,166 @@
 """Paired inference: cluster bootstraps, exact sign flips, step-down adjustment, contrasts.
 
-Bootstrap weights are drawn with numpy's default generator on the driver, in the call form that each function names, since
-forms aren't interchangeable; they are sent as blocks of rows and multiplied with the evidence in tasks. Weights given as a
-table (draw, cluster, w) are joined instead, for evidence of any size.
+Evidence is a table (cluster, v): for each cluster an array of additive statistics, of all systems, folds and partitions that
+are to be resampled together. `resampled` gives the sums of such arrays for every draw; all metrics, contrasts and intervals
+are expressions over these sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.scores import f1, ratio
+from larkspur.functions.scores import f1, harmonic, ratio
 
 _C = F.col
+#: Clusters that one task resamples; draws that it holds at a time; clusters that one stream of random numbers may have.
+PART, BATCH, STREAM = 4096, 100, 1 << 20
 
 
-def multinomial_weights(clusters: int, draws: int, seed: int, batch: int = 200) -> Iterator[np.ndarray]:
+def _shares(sizes: np.ndarray, part: int, draws: int, seed: int) -> np.ndarray:
+    """How many clusters of each draw fall into a part: one multinomial draw over all parts, which every task makes alike.
+
+    It is halved down to the part, each half's share by a binomial of its own stream, so a task looks at a few halves only.
+    """
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    low, high, count = 0, len(sizes), np.full(draws, ends[-1], np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, whole = ends[middle] - ends[low], ends[high] - ends[low]
+        first = np.random.default_rng([seed, 1, low, high]).binomial(count, left / whole if whole else 0.0)
+        count, low, high = (first, low, middle) if part < middle else (count - first, middle, high)
+    return count
+
+
+def _weights(n: int, counts: np.ndarray, rng: np.random.Generator):
+    """Weights (draws x clusters) of draws of so many among n clusters, BATCH draws at a time."""
+    for begin in range(0, len(counts), BATCH):
+        part = counts[begin : begin + BATCH]
+        drawn = rng.integers(0, n, part.sum()) + np.repeat(np.arange(len(part)) * n, part)
+        yield np.bincount(drawn, minlength=len(part) * n).reshape(len(part), n)
+
+
+def _stream(n: int, draws: int, seed: int, form: str, batch: int):
+    """Weights from one stream, in the call form that is named: forms aren't interchangeable."""
     rng = np.random.default_rng(seed)
-    for start in range(0, draws, batch):
-        yield rng.multinomial(clusters, np.full(clusters, 1 / clusters), size=min(batch, draws - start))
+    for begin in range(0, draws, batch):
+        size = min(batch, draws - begin)
+        if form == "multinomial":
+            yield rng.multinomial(n, np.full(n, 1 / n), size=size)
+        else:
+            yield np.stack([np.bincount(d, minlength=n) for d in rng.integers(0, n, size=(size, n))])
 
 
-def index_weights(clusters: int, draws: int, seed: int, batch: int = 512) -> Iterator[np.ndarray]:
-    rng = np.random.default_rng(seed)
-    for start in range(0, draws, batch):
-        drawn = rng.integers(0, clusters, size=(min(batch, draws - start), clusters))
-        yield np.stack([np.bincount(d, minlength=clusters) for d in drawn])
+def resampled(evidence: DataFrame, draws: int = 20_000, seed: int = 13, form: str | None = None, batch: int = 200, part: int = PART) -> DataFrame:
+    """(draw, v): for each draw the sums of the arrays of as many clusters as there are, drawn with replacement.
+
+    Draw -1 takes each cluster once. Clusters are dealt into parts by hash. Every task makes its part's share of each draw from
+    the seed, and sums its own clusters; the parts' sums are added by draw. Neither evidence nor weights are on the driver.
 
+    With a form (multinomial, in batches; or indices), the weights are those of one stream of numpy's generator over the
+    clusters in their order, as published intervals have them; one task makes them, so clusters are bounded by STREAM.
+    """
+    if draws < 1 or form not in (None, "multinomial", "indices"):
+        raise ValueError("draws must be positive, and the form multinomial, indices or None")
+    total = evidence.count()
+    if form and total > STREAM:
+        raise ValueError(f"a single stream is for {STREAM} clusters at most, and there are {total}")
+    parts = 1 if form else max(1, -(-total // part))
+    held = evidence.select(F.pmod(F.xxhash64("cluster"), F.lit(parts)).alias("part"), "cluster", "v")
+    sizes = np.zeros(parts, np.int64)
+    for r in held.groupBy("part").agg(F.count("*").alias("n")).collect():  # a number for each part
+        sizes[r["part"]] = r["n"]
+
+    def sums(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cluster")
+        k, n = table.column("part")[0].as_py(), table.num_rows
+        own = table.column("v").combine_chunks()
+        own = own.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+        weights = _stream(n, draws, seed, form, batch) if form else _weights(n, _shares(sizes, k, draws, seed), np.random.default_rng([seed, 2, k]))
+        found = np.concatenate([own.sum(0, keepdims=True), *(w @ own for w in weights)])
+        at = pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1])
+        return pa.table({"draw": pa.array(np.arange(-1, len(found) - 1, dtype=np.int32)), "v": pa.ListArray.from_arrays(at, pa.array(found.ravel()))})
+
+    made = held.groupBy("part").applyInArrow(sums, "draw int, v array<double>")
+    if parts == 1:
+        return made
+    # adding arrays place by place; the sums of a task's parts are added before the shuffle
+    width = F.max(F.size("v"))
+    size = evidence.agg(width.alias("n")).first()["n"]
+    return made.groupBy("draw").agg(F.array(*(F.sum(_C("v")[i]) for i in range(size))).alias("v"))
+
+
+def evidence(rows: DataFrame, cells: list[dict], parts: tuple[str, ...] = ("tp", "fp", "fn")) -> DataFrame:
+    """(cluster, v): for each row_uid the sums of the parts in each cell, a cell being {column: value}; see `cell`."""
+    inside = lambda c: reduce(Column.__and__, [_C(k) == v for k, v in c.items()])
+    sums = [F.sum(F.when(inside(c), _C(p)).otherwise(0)).cast("double") for c in cells for p in parts]
+    return rows.groupBy(_C("row_uid").alias("cluster")).agg(F.array(*sums).alias("v"))
+
+
+def cell_f1(at: int | list[int]) -> Column:
+    """F1 of a cell of v, or of several pooled."""
+    places = [at] if isinstance(at, int) else at
+    return f1(*(reduce(Column.__add__, [_C("v")[3 * i + k] for i in places]) for k in range(3)))
+
+
+def balanced_f1(cells: list[int]) -> Column:
+    """F1 averaged over cells."""
+    return reduce(Column.__add__, [cell_f1(i) for i in cells]) / len(cells)
+
+
+def estimates(samples: DataFrame, values: dict[str, Column], name: str = "estimate") -> DataFrame:
+    """(estimate, point, ci_lower, ci_upper, draws): each value at all clusters once, and its 2.5 and 97.5 percentiles over draws."""
+    cells = F.array(*(F.struct(F.lit(n).alias(name), c.alias("value")) for n, c in values.items()))
+    rows = samples.select("draw", F.explode(cells).alias("x")).select("draw", "x.*")
+    on = _C("draw") >= 0
+    q = F.percentile(F.when(on, _C("value")), F.array(F.lit(0.025), F.lit(0.975)))
+    made = rows.groupBy(name).agg(F.max(F.when(~on, _C("value"))).alias("point"), q.alias("q"), F.sum(on.cast("int")).alias("draws"))
+    return made.select(name, "point", _C("q")[0].alias("ci_lower"), _C("q")[1].alias("ci_upper"), "draws")
+
+
+#: The additive statistics of a review, before those of its classes.
+REVIEW = ("pair_tp", "pair_fp", "pair_fn", "rows", "sample_f1", "exact", "false_positive_rows", "false_negative_rows", "presence_tp", "presence_fp", "presence_fn")
+
+
+def review_evidence(decoded: DataFrame, classes: list[tuple[str, str]], *by: str) -> DataFrame:
+    """(cluster, v): the REVIEW statistics of each row_uid, then tp, fp and fn of each class (aspect, sentiment).
+
+    by splits a review into several observations (folds, units), whose statistics are added.
+    """
+    t, p = _C("target"), _C("p")
+    per = decoded.groupBy("row_uid", *by).agg(
+        F.sum(t * p).alias("tp"), F.sum(t).alias("g"), F.sum(p).alias("n"),
+        *(F.sum(F.when((_C("aspect") == a) & (_C("sentiment") == s), x).otherwise(0)).alias(f"c{i}_{k}") for i, (a, s) in enumerate(classes) for k, x in enumerate((t * p, (1 - t) * p, t * (1 - p)))),
+    )
+    tp, g, n = _C("tp"), _C("g"), _C("n")
+    own = [tp, n - tp, g - tp, F.lit(1), ratio(2 * tp, g + n), (tp == g) & (tp == n), (g == 0) & (n > 0), (g > 0) & (n == 0), (g > 0) & (n > 0), (g == 0) & (n > 0), (g > 0) & (n == 0)]
+    own += [_C(f"c{i}_{k}") for i in range(len(classes)) for k in range(3)]
+    return per.groupBy(_C("row_uid").alias("cluster")).agg(F.array(*(F.sum(c.cast("double")) for c in own)).alias("v"))
 
-def _blocks(spark: SparkSession, weights: Iterator[np.ndarray]) -> DataFrame:
-    rows = [(i, block.tolist()) for i, block in enumerate(weights)]
-    return spark.createDataFrame(rows, "block int, weights array<array<long>>").repartition(max(1, len(rows)))
 
+def review_metrics(classes: int) -> dict[str, Column]:
+    """The eleven metrics of review_evidence's sums."""
+    at = {n: _C("v")[i] for i, n in enumerate(REVIEW)}
+    each = [f1(*(_C("v")[len(REVIEW) + 3 * i + k] for k in range(3))) for i in range(classes)]
+    tp, fp, fn = at["pair_tp"], at["pair_fp"], at["pair_fn"]
+    a, b, c = at["presence_tp"], at["presence_fp"], at["presence_fn"]
+    return {
+        "pair_micro_precision": ratio(tp, tp + fp), "pair_micro_recall": ratio(tp, tp + fn), "pair_micro_f1": f1(tp, fp, fn), "pair_samples_f1": ratio(at["sample_f1"], at["rows"]),
+        "pair_exact_match_rate": ratio(at["exact"], at["rows"]), "pair_false_positive_rows_per_100": 100 * ratio(at["false_positive_rows"], at["rows"]),
+        "pair_false_negative_rows_per_100": 100 * ratio(at["false_negative_rows"], at["rows"]), "pair_macro_f1": reduce(Column.__add__, each) / classes,
+        "presence_precision": ratio(a, a + b), "presence_recall": ratio(a, a + c), "presence_f1": f1(a, b, c),
+    }
 
-def cluster_bootstrap(confusion: DataFrame, draws: int = 20_000, seed: int = 13, batch: int = 200) -> DataFrame:
-    """(draw, system, balanced, pooled): F1 averaged over folds, and of pooled counts, for evidence (system, fold, cluster, tp, fp, fn).
 
-    Draws are shared by systems and folds. The evidence is pivoted to one row of counts for each cluster, which the tasks
-    multiply with their block of weights.
-    """
-    spark = confusion.sparkSession
-    cells = [tuple(r) for r in confusion.select("system", "fold").distinct().orderBy("system", "fold").collect()]
-    at = F.struct("system", "fold", "tp", "fp", "fn")
-    rows = confusion.groupBy("cluster").agg(F.array_sort(F.collect_list(at)).alias("cells")).orderBy("cluster").collect()  # clusters x systems x folds: what the method multiplies
-    place = {c: i for i, c in enumerate(cells)}
-    matrix = np.zeros((len(rows), len(cells), 3))
-    for i, r in enumerate(rows):
-        for c in r["cells"]:
-            matrix[i, place[c["system"], c["fold"]]] += (c["tp"], c["fp"], c["fn"])
-    sent = spark.sparkContext.broadcast(matrix.reshape(len(rows), -1))
-    systems = sorted({s for s, _ in cells})
-    folds = len(cells) // len(systems)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for block, weights in zip(pdf["block"], pdf["weights"]):
-            total = (np.stack([np.asarray(w) for w in weights]) @ sent.value).reshape(-1, len(systems), folds, 3)
-            one = lambda t: np.divide(2 * t[..., 0], 2 * t[..., 0] + t[..., 1] + t[..., 2], out=np.zeros(t.shape[:-1]), where=(2 * t[..., 0] + t[..., 1] + t[..., 2]) != 0)
-            balanced, pooled = one(total).mean(2), one(total.sum(2))
-            for d in range(len(total)):
-                for s, name in enumerate(systems):
-                    out.append((block * batch + d, name, balanced[d, s], pooled[d, s]))
-        return pd.DataFrame(out, columns=["draw", "system", "balanced", "pooled"])
-
-    blocks = _blocks(spark, multinomial_weights(len(rows), draws, seed, batch))
-    return blocks.groupBy("block").applyInPandas(run, "draw int, system string, balanced double, pooled double")
+def side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(cluster, v): both systems' arrays, one after the other; a cluster that one of them lacks is an error."""
+    both = one.join(other.select("cluster", _C("v").alias("w")), "cluster", "full")
+    fail = F.raise_error(F.concat(F.lit("clusters differ: "), _C("cluster").cast("string"))).cast("array<double>")
+    return both.select("cluster", F.when(_C("v").isNull() | _C("w").isNull(), fail).otherwise(F.concat("v", "w")).alias("v"))
 
 
 def weighted_f1(confusion: DataFrame, weights: DataFrame, *by: str) -> DataFrame:
@@ -78,20 +170,6 @@ def weighted_f1(confusion: DataFrame, weights: DataFrame, *by: str) -> DataFrame
     return made.select("draw", *by, ratio(_C("tp"), _C("tp") + _C("fp")).alias("pair_micro_precision"), ratio(_C("tp"), _C("tp") + _C("fn")).alias("pair_micro_recall"), f1(_C("tp"), _C("fp"), _C("fn")).alias("pair_micro_f1"), ratio(_C("s"), _C("rows")).alias("pair_samples_f1"), ratio(_C("e"), _C("rows")).alias("pair_exact_match_rate"))
 
 
-def weight_table(spark: SparkSession, clusters: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Poisson(1) weights (draw, cluster, w) from hashes: for evidence that is too large for the driver's draws."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "cluster"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    edges = np.cumsum([np.exp(-1.0) / m for m in (1, 1, 2, 6, 24, 120, 720)]).tolist()
-    w = sum(((u >= e).cast("int") for e in edges[1:]), (u >= edges[0]).cast("int"))
-    return clusters.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", w)
-
-
-def interval(samples: DataFrame, value: str, *by: str) -> DataFrame:
-    """The 2.5 and 97.5 percentiles, linearly interpolated, and the mean."""
-    q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return samples.groupBy(*by).agg(F.avg(value).alias("mean"), q.alias("q"), F.count("*").alias("draws")).select(*by, "mean", _C("q")[0].alias("ci_lower"), _C("q")[1].alias("ci_upper"), "draws")
-
-
 def sign_flip(differences: DataFrame, *by: str, tolerance: float = 1e-15) -> DataFrame:
     """(units, mean_difference, p_value[, by]): the share of all 2^n sign patterns whose mean is as far from 0; n <= 20.
 
@@ -120,6 +198,23 @@ def outcomes(differences: DataFrame, *by: str, tolerance: float = 1e-12) -> Data
     return differences.groupBy(*by).agg(F.count("*").alias("units"), F.avg(d).alias("mean_difference"), F.percentile(d, F.lit(0.5)).alias("median_difference"), on(d > tolerance).alias("wins"), on(F.abs(d) <= tolerance).alias("ties"), on(d < -tolerance).alias("losses"))
 
 
+def pilot_gate(enhanced: DataFrame, control: DataFrame, unit: str, least_gain: float = 0.02, least_wins: int = 2, recall_share: float = 0.5) -> DataFrame:
+    """(mean_delta, wins, recall_floor_passed, passed) of two tables (unit, f1, recall) with the same units."""
+    side = lambda df, n: df.select(unit, _C("f1").alias(f"f{n}"), _C("recall").alias(f"r{n}"))
+    both = side(enhanced, 0).join(side(control, 1), unit, "full")
+    fail = F.raise_error(F.lit("enhanced and control units differ")).cast("double")
+    d = F.when(_C("f0").isNull() | _C("f1").isNull(), fail).otherwise(_C("f0") - _C("f1"))
+    made = both.agg(F.avg(d).alias("mean_delta"), F.sum((d > 0).cast("long")).alias("wins"), F.min(_C("r0") >= recall_share * _C("r1")).alias("recall_floor_passed"))
+    return made.withColumn("passed", (_C("mean_delta") >= least_gain) & (_C("wins") >= least_wins) & _C("recall_floor_passed"))
+
+
+def promoted(estimated: DataFrame, name: str = "estimate") -> DataFrame:
+    """Estimated gains (point, ci_lower) with promoted, decision and rank: promoted if gain and interval are above 0."""
+    on = (_C("point") > 0) & (_C("ci_lower") > 0)
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round("point", 12)), name))  # a row for each system
+    return estimated.withColumns({"promoted": on, "decision": F.when(on, "promote").otherwise("do_not_promote"), "rank": rank})
+
+
 def holm(tests: DataFrame, p: str, order: str, *family: str) -> DataFrame:
     """With p_holm: step-down adjusted within each family, running maximum, 1 at most."""
     by = Window.partitionBy(*family)

@@ -2,7 +2,8 @@
 
 Every pair that enters the prediction as a threshold falls is an event at its score; events are summed by distinct score,
 thresholds are rows among them, and running sums over falling values give each threshold the sums of all events at or above
-it. The running sums are partitioned by `by` (fold, method); within one group they run over distinct scores only.
+it. The running sums have two levels: over ranges of values, which are few, and within each range, so that no group's
+distinct scores meet in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.scores import f1, ratio
+from larkspur.operators.prefix import following, running
 
 _C = F.col
 
@@ -18,7 +20,7 @@ _C = F.col
 def candidates(scores: DataFrame, score: str, *by: str) -> DataFrame:
     """(threshold[, by]): 0.01 to 0.99, and the midpoints of neighbouring distinct scores, within [0, 1], to 12 places."""
     distinct = scores.select(*by, F.col(score).alias("s")).distinct()
-    mid = distinct.withColumn("threshold", (_C("s") + F.lead("s").over(Window.partitionBy(*by).orderBy("s"))) / 2).where("threshold is not null").select(*by, "threshold")
+    mid = following(distinct, "s", "next", *by).select(*by, ((_C("s") + _C("next")) / 2).alias("threshold")).where("threshold is not null")
     regular = F.transform(F.sequence(F.lit(1), F.lit(99)), lambda i: i / 100.0)
     grid = (distinct.select(*by).distinct() if by else scores.sparkSession.range(1).select()).select(*by, F.explode(regular).alias("threshold"))
     return mid.unionByName(grid).where("threshold between 0 and 1").select(*by, F.round("threshold", 12).alias("threshold")).distinct()
@@ -46,8 +48,7 @@ def sweep(found: DataFrame, thresholds: DataFrame, totals: DataFrame, score: str
     at = found.groupBy(*by, F.col(score).alias("v")).agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"), F.sum("samples").alias("samples"), F.sum("fp_row").alias("fp_row"), F.count("*").alias("groups"))
     zero = F.lit(0).cast("long")
     marks = thresholds.select(*by, F.col("threshold").alias("v"), zero.alias("n"), zero.alias("tp"), F.lit(0.0).alias("samples"), zero.alias("fp_row"), zero.alias("groups"), F.lit(1).alias("kind"))
-    w = Window.partitionBy(*by).orderBy(F.desc("v"), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    sums = at.withColumn("kind", F.lit(0)).unionByName(marks).withColumns({c: F.sum(c).over(w) for c in ("n", "tp", "samples", "fp_row", "groups")}).where("kind = 1")
+    sums = running(at.withColumn("kind", F.lit(0)).unionByName(marks), "v", ["n", "tp", "samples", "fp_row", "groups"], *by, then=("kind",)).where("kind = 1")
     joined = sums.join(totals, list(by)) if by else sums.crossJoin(F.broadcast(totals))  # totals is one row
     return joined.select(
         *by, F.col("v").alias("threshold"), f1(_C("tp"), _C("n") - _C("tp"), _C("gold") - _C("tp")).alias("pair_micro_f1"), F.round(_C("samples") / _C("rows"), 12).alias("pair_samples_f1"),
@@ -139,11 +140,11 @@ def select(swept: DataFrame, *by: str, order: list[str] = ORDER) -> DataFrame:
 def f1_boundary(scored: DataFrame, score: str, target: str, *by: str) -> DataFrame:
     """(threshold, f1[, by]): the distinct score that maximises the F1 of what reaches it; the highest among ties."""
     at = scored.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(F.col(target).cast("long")).alias("t"), F.count("*").alias("n"))
-    upto = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    made = at.withColumns({"ct": F.sum("t").over(upto), "cn": F.sum("n").over(upto), "g": F.sum("t").over(whole)}).withColumn("f1", ratio(2 * _C("ct"), _C("cn") + _C("g")))
-    best = F.row_number().over(whole.orderBy(F.desc("f1"), F.desc("threshold")))
-    return made.withColumn("__n", best).where("__n = 1").select(*by, "threshold", "f1")
+    g = at.groupBy(*by).agg(F.sum("t").alias("g"))
+    sums = running(at.withColumnsRenamed({"t": "ct", "n": "cn"}), "threshold", ["ct", "cn"], *by)
+    sums = sums.join(g, list(by)) if by else sums.crossJoin(F.broadcast(g))  # one row
+    best = F.max(F.struct(ratio(2 * _C("ct"), _C("cn") + _C("g")).alias("f1"), "threshold")).alias("best")
+    return sums.groupBy(*by).agg(best).where("best is not null").select(*by, "best.threshold", "best.f1")
 
 
 def grid_sweep(scored: DataFrame, score: Column, thresholds: list[float], *by: str) -> DataFrame:

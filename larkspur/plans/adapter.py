@@ -90,7 +90,7 @@ SQL = {
   CASE WHEN b <= 6 THEN 'train' WHEN b = 7 THEN 'validation' ELSE 'test' END AS split
   FROM (SELECT *, ('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 16))::UBIGINT % 10 AS b FROM orders) LEFT JOIN customer ON o_custkey = c_custkey""",
 }
-for _s in ("a", "b"):
+for _s in ("a", "b", "c"):
     SQL[f"grid_{_s}"] = f"""SELECT row_uid, split, aspect, sentiment, ord, target,
   ((('0x' || substr(d1, 1, 8))::UBIGINT::BIGINT % 6000) + 250 + 3500 * has) / 10000.0::DOUBLE AS aspect_score,
   ((('0x' || substr(d2, 1, 8))::UBIGINT::BIGINT % 6500) + 3000 * target) / 10000.0::DOUBLE AS sentiment_score,
@@ -111,7 +111,7 @@ def with_views(*names: str) -> str:
 
     def add(name: str) -> None:
         kind, _, salt = name.partition("_")
-        for need in _NEEDS.get(kind, []) if salt in ("a", "b") else []:
+        for need in _NEEDS.get(kind, []) if salt in ("a", "b", "c") else []:
             add(need if need in SQL else f"{need}_{salt}")
         if name not in order:
             order.append(name)

@@ -12,14 +12,16 @@ SEPARATOR = " | "
 SENTIMENTS = ("negative", "neutral", "positive")
 #: The closed taxonomy of the test tables: part types under three parents, in order.
 ASPECTS = ("Grade: ECONOMY", "Grade: STANDARD", "Offer: PROMO", "Size: LARGE", "Size: MEDIUM", "Size: SMALL")
+#: By aspect: definition, aliases (which are its cues), inclusion boundary, contrastive boundary.
 DEFINITIONS = {
-    "Grade: ECONOMY": ("low price over finish", ("economy", "budget", "cheap"), "price led", "not standard grade"),
-    "Grade: STANDARD": ("usual grade and finish", ("standard", "regular"), "usual grade", "not economy grade"),
-    "Offer: PROMO": ("sold under a promotion", ("promo", "offer", "discount"), "promotion led", "not grade led"),
-    "Size: LARGE": ("large size of the part", ("large", "big"), "size led", "not medium size"),
-    "Size: MEDIUM": ("medium size of the part", ("medium", "mid"), "size led", "not large size"),
-    "Size: SMALL": ("small size of the part", ("small", "little"), "size led", "not medium size"),
+    "Grade: ECONOMY": ("Low price over finish.", ("economy", "budget", "cheap"), "Price led parts.", "Not parts of standard grade."),
+    "Grade: STANDARD": ("Usual grade and finish.", ("standard", "regular"), "Parts of usual grade.", "Not parts of economy grade."),
+    "Offer: PROMO": ("Sold under a promotion.", ("promo", "offer", "discount"), "Parts on offer.", "Not parts by grade."),
+    "Size: LARGE": ("Large size of the part.", ("large", "big"), "Parts by size.", "Not parts of medium size."),
+    "Size: MEDIUM": ("Medium size of the part.", ("medium", "mid"), "Parts by size.", "Not parts of large size."),
+    "Size: SMALL": ("Small size of the part.", ("small", "little"), "Parts by size.", "Not parts of medium size."),
 }
+SENTIMENT_DEFINITIONS = {"negative": "Returned with a fault.", "neutral": "Neither returned nor refunded.", "positive": "Returned and refunded."}
 
 
 def parent(aspect: str) -> str:

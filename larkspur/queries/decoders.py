@@ -70,12 +70,10 @@ def decode_ensure_one(spark, sf_dir):
     return _on(D.ensure_one(grid(spark, sf_dir), 0.8))
 
 
-@query(with_views("ranked_a") + """, a AS (SELECT row_uid, aspect FROM grid_a WHERE ord = 0 AND aspect_score >= 0.7), s AS (SELECT row_uid, aspect, sentiment FROM ranked_a WHERE rn = 1 AND sentiment_score >= 0.4)
-SELECT row_uid, aspect, coalesce(sentiment, 'neutral') AS sentiment FROM a LEFT JOIN s USING (row_uid, aspect)""")
+@query(with_views("ranked_a") + """SELECT row_uid, aspect, coalesce(max(CASE WHEN rn = 1 AND sentiment_score >= 0.4 THEN sentiment END), 'neutral') AS sentiment FROM ranked_a WHERE aspect_score >= 0.7 GROUP BY row_uid, aspect""")
 def decode_lookup(spark, sf_dir):
     """DK10."""
-    g = D.ranked(grid(spark, sf_dir))
-    return D.lookup(g.where((F.col("ord") == 0) & (F.col("aspect_score") >= 0.7)).select("row_uid", "aspect"), g.where((F.col("rn") == 1) & (F.col("sentiment_score") >= 0.4)).select("row_uid", "aspect", "sentiment"))
+    return D.lookup(grid(spark, sf_dir), 0.7, 0.4)
 
 
 _SUM = "round(coalesce(sum(target * {0})::DOUBLE / nullif(sum({0}), 0), 0), 9)"

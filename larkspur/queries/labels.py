@@ -6,9 +6,10 @@ from larkspur.functions import labels as L
 from larkspur.functions import scores as S
 from larkspur.functions import text as T
 from larkspur.plans.adapter import reviews, table, with_views
-from larkspur.plans.taxonomy import ASPECTS
+from larkspur.plans.taxonomy import ASPECTS, DEFINITIONS, SENTIMENT_DEFINITIONS
 from larkspur.queries.registry import query
 
+
 @query(with_views("review", "gold") + """
 SELECT r.row_uid, split, org, industry, data_source, coalesce(array_to_string(list_sort(list(aspect || ' | ' || sentiment) FILTER (WHERE aspect IS NOT NULL)), '; '), '') AS pairs,
   coalesce(array_to_string(list_sort(list(DISTINCT aspect) FILTER (WHERE aspect IS NOT NULL)), '; '), '') AS aspects
@@ -123,15 +124,29 @@ def nfkc_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.xxhash64(T.nfkc("text")).alias("digest"))
 
 
-@query(with_views("aspect_dim", "sentiment_dim") + """SELECT aspect, sentiment, 'The review expresses a ' || sentiment || ' opinion about ' || aspect || '.' AS statement,
-  'Aspect: ' || aspect || '. Sentiment: ' || sentiment || '.' AS claim, lower(sentiment) || ' about ' || aspect AS stage FROM aspect_dim, sentiment_dim""")
+_TEXTS = ", ".join(f"('{a}', '{d}', ['{"', '".join(al)}'], '{i}', '{c}')" for a, (d, al, i, c) in DEFINITIONS.items())
+_MEANT = ", ".join(f"('{s}', '{d}')" for s, d in SENTIMENT_DEFINITIONS.items())
+
+
+@query(f"""WITH a AS (SELECT * FROM (VALUES {_TEXTS}) v(aspect, d, al, incl, contr)), s AS (SELECT * FROM (VALUES {_MEANT}) v(sentiment, meant)),
+r AS (SELECT *, 'Definition: ' || d || ' Aliases: ' || array_to_string(al, '; ') || '. Inclusion boundary: ' || incl AS pos FROM a)
+SELECT kind, aspect, sentiment, CASE kind WHEN 'control' THEN 'Aspect: ' || aspect || '. Candidate sentiment: ' || sentiment || '.'
+  WHEN 'enhanced' THEN 'Aspect: ' || aspect || '. Definition: ' || d || ' Lexical cues: ' || array_to_string(al, ', ') || '. Boundary: ' || contr || ' Candidate sentiment: ' || sentiment || '. Sentiment definition: ' || meant
+  WHEN 'name_only' THEN 'Aspect: ' || aspect || '. Candidate sentiment: ' || sentiment || '.' WHEN 'minimal' THEN 'Aspect: ' || aspect || '. Definition: ' || d || ' Candidate sentiment: ' || sentiment || '.'
+  WHEN 'rich' THEN 'Aspect: ' || aspect || '. ' || pos || ' Contrastive boundary: ' || contr || ' Candidate sentiment: ' || sentiment || '.'
+  WHEN 'stage name_only' THEN 'Aspect: ' || aspect || '. Candidate sentiment: ' || sentiment || '.' WHEN 'stage name_and_description' THEN 'Aspect: ' || aspect || '. Definition: ' || d || ' Candidate sentiment: ' || sentiment || '.'
+  WHEN 'stage description_only' THEN 'Aspect definition: ' || d || ' Candidate sentiment: ' || sentiment || '.' WHEN 'stage rich_positive' THEN 'Aspect: ' || aspect || '. ' || pos || ' Candidate sentiment: ' || sentiment || '.'
+  ELSE 'Aspect: ' || aspect || '. ' || pos || ' Contrastive boundary: ' || contr || ' Candidate sentiment: ' || sentiment || '.' END AS text
+FROM r, s, (SELECT unnest(['control', 'enhanced', 'name_only', 'minimal', 'rich', 'stage name_only', 'stage name_and_description', 'stage description_only', 'stage rich_positive', 'stage rich']) AS kind)""")
 def rendered_candidates(spark, sf_dir):
-    """PR19-PR21 over the candidate dimension."""
+    """PR19-PR21 over the candidate dimension: statements, claims and second-stage candidates, in all variants."""
     from larkspur.plans.taxonomy import candidates
 
     made = spark.range(1).select(F.explode(candidates()).alias("c")).select("c.aspect", "c.sentiment")
     a, s = F.col("aspect"), F.col("sentiment")
-    return made.select("aspect", "sentiment", T.statement(a, s, "control").alias("statement"), T.claim(a, s, F.lit("name_only")).alias("claim"), T.sentiment_candidate(a, s, F.lit("name_only")).alias("stage"))
+    texts = {v: T.statement(a, s, v) for v in ("control", "enhanced")} | {v: T.claim(a, s, F.lit(v)) for v in ("name_only", "minimal", "rich")}
+    texts |= {f"stage {v}": T.sentiment_candidate(a, s, F.lit(v)) for v in ("name_only", "name_and_description", "description_only", "rich_positive", "rich")}
+    return made.select("aspect", "sentiment", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in texts.items()))).alias("x")).select("aspect", "sentiment", "x.*")
 
 
 @query(with_views("aspect_dim") + """SELECT aspect, h.aspect_h AS heldout, CASE WHEN aspect = aspect_h THEN 'rich' ELSE 'minimal' END AS variant FROM aspect_dim, (SELECT aspect AS aspect_h FROM aspect_dim) h""")
@@ -143,9 +158,12 @@ def representation_map(spark, sf_dir):
     return made.withColumn("variant", F.when(F.col("aspect") == F.col("heldout"), "rich").otherwise("minimal"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT * FROM (VALUES {_TEXTS}) v(aspect, d, al, incl, contr))
+SELECT aspect, field, CASE field WHEN 'name' THEN aspect WHEN 'definition' THEN d WHEN 'aliases' THEN array_to_string(al, '; ') WHEN 'inclusion' THEN incl WHEN 'exclusion' THEN contr
+  ELSE 'Aspect: ' || aspect || '. Definition: ' || d || ' Aliases: ' || array_to_string(al, '; ') || '. Inclusion boundary: ' || incl || ' Contrastive boundary: ' || contr END AS text
+FROM a, (SELECT unnest(['name', 'definition', 'aliases', 'inclusion', 'exclusion', 'all']) AS field)""")
 def rich_fields(spark, sf_dir):
-    """PR20, PR23: the fields of rich candidates, one row each."""
+    """PR23: the fields of rich candidates, one row each."""
     from larkspur.plans.taxonomy import strings
 
     a = F.col("aspect")

@@ -50,7 +50,7 @@ def word_bigram_terms(spark, sf_dir):
     return X.terms(table(spark, sf_dir, "benchmark"), "item_id", "text", bigrams=True)
 
 
-@query("""WITH w AS (SELECT item_id, ' ' || unnest(regexp_extract_all(lower("text"), '[a-z0-9]+')) || ' ' AS t FROM benchmark), g AS (SELECT item_id, substr(t, i::INT, k::INT) AS term FROM w, range(1, 100) r(i), range(3, 6) s(k) WHERE i <= greatest(length(t) - k + 1, 1))
+@query("""WITH w AS (SELECT item_id, ' ' || unnest(list_filter(regexp_split_to_array(lower("text"), '\\s+'), lambda x: x <> '')) || ' ' AS t FROM benchmark), g AS (SELECT item_id, substr(t, i::INT, k::INT) AS term FROM w, range(1, 200) r(i), range(3, 6) s(k) WHERE i <= greatest(length(t) - k + 1, 1) AND (k = 3 OR length(t) >= k))
 SELECT item_id, term, count(*) AS n FROM g GROUP BY ALL""")
 def char_ngram_terms(spark, sf_dir):
     """ML2: character n-grams within padded words, three to five."""
@@ -146,30 +146,97 @@ def _languages(spark, sf_dir):
     from larkspur.plans.adapter import hash_bucket
 
     docs = table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", "text", F.array_position(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("lang")).cast("double").alias("y"))
-    held = X.hashed_tfidf(docs.withColumn("y", F.col("y") - 1).where("y >= 0"), "text")
+    held = X.vocabulary_tfidf(docs.withColumn("y", F.col("y") - 1).where("y >= 0"), "text")
     return held.select("doc_id", "y", "__x", (hash_bucket(F.col("doc_id").cast("string"), 5) == 0).alias("held"))
 
 
 @query()
 def one_versus_rest(spark, sf_dir):
     """ML6: linear models over TF-IDF for four classes, on held-out documents."""
-    rows = _languages(spark, sf_dir).cache()  # each iteration reads them
-    out = [X.one_versus_rest(rows.where("not held"), "y", svm).transform(rows.where("held")).groupBy("y").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("y")).cast("int")).alias("accuracy")).withColumn("model", F.lit(n)) for n, svm in (("logistic", False), ("svm", True))]
-    return out[0].unionByName(out[1])
+    rows = _languages(spark, sf_dir).persist()  # each iteration reads them
+    try:
+        out = [X.one_versus_rest(rows.where("not held"), "y", svm).transform(rows.where("held")).groupBy("y").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("y")).cast("int")).alias("accuracy")).withColumn("model", F.lit(n)) for n, svm in (("logistic", False), ("svm", True))]
+        done = out[0].unionByName(out[1]).collect()  # a row for each model and class
+    finally:
+        rows.unpersist()
+    return spark.createDataFrame(done, out[0].schema)
 
 
 @query()
 def latent_neighbours(spark, sf_dir):
     """ML7: documents on eight latent dimensions, and how alike those of a language are to its mean."""
-    rows = _languages(spark, sf_dir).cache()
-    z = X.latent(rows, "doc_id", 8).join(rows.select("doc_id", "y"), "doc_id")
-    centre = z.select("y", F.posexplode("z").alias("i", "x")).groupBy("y", "i").agg(F.avg("x").alias("x")).groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("c"))
-    return z.join(F.broadcast(centre), "y").groupBy("y").agg(F.count("*").alias("n"), F.avg(cosine(F.col("z"), F.col("c"))).alias("mean_cosine"))  # one row for each language
+    docs = table(spark, sf_dir, "documents").where("lang is not null")
+    z = X.latent(X.sparse_tfidf(docs, "doc_id", "text"), "doc_id", 8).join(docs.select("doc_id", "lang"), "doc_id")
+    centre = z.select("lang", F.posexplode("z").alias("i", "x")).groupBy("lang", "i").agg(F.avg("x").alias("x")).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("c"))
+    return z.join(F.broadcast(centre), "lang").groupBy("lang").agg(F.count("*").alias("n"), F.avg(cosine(F.col("z"), F.col("c"))).alias("mean_cosine"))  # one row for each language
+
+
+def _manifest(spark, sf_dir):
+    """Documents with the languages as candidates, one of them its own: text, candidate_text, candidate_aspect, candidate_sentiment, target, held."""
+    from larkspur.plans.adapter import hash_bucket
+
+    names = {"de": "der die und", "en": "the and of", "es": "el la de", "fr": "le la et"}
+    cells = F.array(*(F.struct(F.lit(a).alias("candidate_aspect"), F.lit(t).alias("candidate_text")) for a, t in names.items()))
+    docs = table(spark, sf_dir, "documents").where("lang is not null and text is not null").select("doc_id", "lang", "text", F.explode(cells).alias("c"))
+    held = hash_bucket(F.col("doc_id").cast("string"), 5) == 0
+    return docs.select("doc_id", "text", "c.*", F.lit("positive").alias("candidate_sentiment"), (F.col("lang") == F.col("c.candidate_aspect")).cast("int").alias("target"), held.alias("held"))
+
+
+def _scored(scorer, rows):
+    made = scorer.fit(rows.where("not held")).score(rows.where("held"))
+    return made.groupBy("target").agg(F.count("*").alias("n"), F.avg("probability").alias("mean_probability"))
+
+
+@query()
+def pair_scorer(spark, sf_dir):
+    """ML3: six features and both ablations, on held-out documents."""
+    from larkspur.operators.scorers import PairScorer
+
+    rows = _manifest(spark, sf_dir)
+    out = [_scored(PairScorer(a), rows).withColumn("features", F.lit(a)) for a in PairScorer.ABLATIONS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query()
+def presence_scorer(spark, sf_dir):
+    """ML4: four features of a text and an aspect."""
+    from larkspur.operators.scorers import PresenceScorer
+
+    return _scored(PresenceScorer(), _manifest(spark, sf_dir))
+
+
+@query()
+def two_stage_scorer(spark, sf_dir):
+    """ML5: presence and sentiment models together."""
+    from larkspur.operators.scorers import TwoStage
+
+    rows = _manifest(spark, sf_dir)
+    train, held = rows.where("not held"), rows.where("held")
+    made = TwoStage().fit(train, train).score(held, held, "doc_id", "candidate_aspect")
+    return made.groupBy("target").agg(F.count("*").alias("n"), F.avg("aspect_score").alias("mean_aspect_score"), F.avg("sentiment_score").alias("mean_sentiment_score"))
+
+
+@query()
+def lexical_baseline(spark, sf_dir):
+    """ML8: a linear model over TF-IDF, and the constant that stands for it where training has one label only."""
+    from larkspur.operators.scorers import ConstantFallback
+
+    rows = _languages(spark, sf_dir)
+
+    def fit(train):
+        model = X.one_versus_rest(train, "y")
+        return lambda frame: model.transform(frame)
+
+    out = []
+    for name, part in (("all", rows), ("one", rows.where("y = 1"))):
+        made = ConstantFallback("text", "y", fit).fit(part.where("not held")).predict(part.where("held"))
+        out.append(made.groupBy("y").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col("y")).cast("int")).alias("accuracy")).withColumn("trained_on", F.lit(name)))
+    return out[0].unionByName(out[1])
 
 
 @query()
 def lexical_logistic(spark, sf_dir):
-    """ML3-ML6, ML8: logistic regression on lexical features, scored on held-out documents."""
+    """ML6: logistic regression on three statistics of texts, scored on held-out documents."""
     from larkspur.functions.text import token_sequence
     from larkspur.plans.adapter import hash_bucket
 

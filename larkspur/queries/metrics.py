@@ -197,7 +197,7 @@ def reference_comparison(spark, sf_dir):
 
 @query(_CONTRAST + ", r AS (SELECT aspect, described - native AS gain FROM f) SELECT aspect, round(gain, 9) AS gain, gain > 0 AS promoted, row_number() OVER (ORDER BY round(gain, 12) DESC, aspect)::INT AS rank FROM r")
 def promotion_table(spark, sf_dir):
-    """AG28, AG48: a promotion rule and a rank."""
+    """AG28: gains with a rank; `promotion_by_interval` has the rule with the interval."""
     made = _two(spark, sf_dir).select("aspect", (F.col("described") - F.col("native")).alias("gain"))
     return made.withColumns({"promoted": F.col("gain") > 0, "rank": F.row_number().over(Window.orderBy(F.desc(F.round("gain", 12)), "aspect"))})  # one row for each aspect
 

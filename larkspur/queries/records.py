@@ -8,28 +8,29 @@ from larkspur.plans.adapter import reviews, table, with_views
 from larkspur.plans.taxonomy import ASPECTS
 from larkspur.queries.registry import query
 
-#: Answers of several shapes, by order number: clean, wrapped, fenced, broken, unknown labels, repeats.
-_RAW = """CASE o_orderkey % 6 WHEN 0 THEN '[{"aspect_id":"A' || (o_orderkey % 7 + 1) || '","sentiment":"positive"}]' WHEN 1 THEN '{"labels":[{"aspect":"Size: LARGE","sentiment":"' || lower(o_orderstatus) || '"}]}'
-  WHEN 2 THEN '[{"aspect_id":"2","sentiment":"Neutral"},{"aspect_id":"A2","sentiment":"neutral"},{"aspect_id":"A2","sentiment":"negative"}]' WHEN 3 THEN '[{"aspect_id":' WHEN 4 THEN '[]' ELSE '["x",{"aspect_id":"A3: promo","sentiment":"negative"}]' END"""
+#: Answers of several shapes, by order number: clean, wrapped, repeats, broken, empty, not an object, text after JSON, two values.
+_RAW = """CASE o_orderkey % 8 WHEN 0 THEN '[{"aspect_id":"A' || (o_orderkey % 7 + 1) || '","sentiment":"positive"}]' WHEN 1 THEN '{"labels":[{"aspect":"Size: LARGE","sentiment":"' || lower(o_orderstatus) || '"}]}'
+  WHEN 2 THEN '[{"aspect_id":"2","sentiment":"Neutral"},{"aspect_id":"A2","sentiment":"neutral"},{"aspect_id":"A2","sentiment":"negative"}]' WHEN 3 THEN '[{"aspect_id":' WHEN 4 THEN '[]' WHEN 5 THEN '["x",{"aspect_id":"A3: promo","sentiment":"negative"}]'
+  WHEN 6 THEN '[{"aspect_id":"A1","sentiment":"positive"}] as asked' ELSE '[{"aspect_id":"A1","sentiment":"positive"}] [2]' END"""
 
 
 def answers(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_RAW).alias("raw"), (F.col("o_orderkey") % 10 / 10).alias("seconds"), (F.col("o_orderkey") % 100).alias("input_tokens"), (F.col("o_orderkey") % 30).alias("output_tokens"), (F.col("o_totalprice") * 0).alias("cost"))
 
 
-_P = f"""WITH a AS (SELECT o_orderkey, o_orderkey % 6 AS m, o_orderkey % 7 + 1 AS i, lower(o_orderstatus) AS st FROM orders), names AS (SELECT ['{"','".join(ASPECTS)}'] AS n),
-p AS (SELECT o_orderkey, m, CASE m WHEN 0 THEN CASE WHEN i <= 6 THEN n[i] || ' | positive' ELSE '' END WHEN 1 THEN '' WHEN 2 THEN n[2] || ' | neutral; ' || n[2] || ' | negative' WHEN 5 THEN n[3] || ' | negative' ELSE '' END AS labels, i FROM a, names)"""
+_P = f"""WITH a AS (SELECT o_orderkey, o_orderkey % 8 AS m, o_orderkey % 7 + 1 AS i, lower(o_orderstatus) AS st FROM orders), names AS (SELECT ['{"','".join(ASPECTS)}'] AS n),
+p AS (SELECT o_orderkey, m, CASE m WHEN 0 THEN CASE WHEN i <= 6 THEN n[i] || ' | positive' ELSE '' END WHEN 1 THEN '' WHEN 2 THEN n[2] || ' | neutral; ' || n[2] || ' | negative' WHEN 5 THEN n[3] || ' | negative' WHEN 6 THEN n[1] || ' | positive' ELSE '' END AS labels, i FROM a, names)"""
 
 
-@query(_P + """ SELECT o_orderkey, m <> 3 AS valid_json, labels, (CASE m WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 5 THEN 2 ELSE 0 END)::INT AS item_count, (m = 5)::INT AS non_object_count, (m = 0 AND i > 6)::INT AS invalid_candidate_count, (m = 1)::INT AS invalid_sentiment_count,
+@query(_P + """ SELECT o_orderkey, m NOT IN (3, 7) AS valid_json, m = 6 AS extracted_json, CASE WHEN m IN (3, 7) THEN NULL WHEN m = 1 THEN 'dict' ELSE 'list' END AS top_level_type, labels, (CASE m WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE 0 END)::INT AS item_count, (m = 5)::INT AS non_object_count, (m = 0 AND i > 6)::INT AS invalid_candidate_count, (m = 1)::INT AS invalid_sentiment_count,
   (m = 2)::INT AS duplicate_count, (m = 2)::INT AS conflict_count, (m = 1)::INT AS aspect_name_count, (m = 2)::INT AS numeric_id_count, (m = 5)::INT AS prefixed_id_count, (m = 4 OR (m = 0 AND i <= 6)) AS schema_valid FROM p""")
 def parse_llm_json(spark, sf_dir):
     """PR32, PR33."""
     made = R.parse(answers(spark, sf_dir), "raw", ASPECTS)
-    return made.select("o_orderkey", "valid_json", F.array_join("labels", "; ").alias("labels"), "item_count", "non_object_count", "invalid_candidate_count", "invalid_sentiment_count", "duplicate_count", "conflict_count", "aspect_name_count", "numeric_id_count", "prefixed_id_count", "schema_valid")
+    return made.select("o_orderkey", "valid_json", "extracted_json", "top_level_type", F.array_join("labels", "; ").alias("labels"), "item_count", "non_object_count", "invalid_candidate_count", "invalid_sentiment_count", "duplicate_count", "conflict_count", "aspect_name_count", "numeric_id_count", "prefixed_id_count", "schema_valid")
 
 
-@query(_P + """, o AS (SELECT *, o_orderkey % 10 / 10 AS seconds FROM p) SELECT round(avg((m <> 3)::INT), 9) AS valid_json_rate, round(avg((m = 4 OR (m = 0 AND i <= 6))::INT), 9) AS schema_valid_rate, sum((m = 3)::INT)::BIGINT AS parse_failure_count, sum((labels = '')::INT)::BIGINT AS empty_prediction_count,
+@query(_P + """, o AS (SELECT *, o_orderkey % 10 / 10 AS seconds FROM p) SELECT round(avg((m NOT IN (3, 7))::INT), 9) AS valid_json_rate, round(avg((m = 4 OR (m = 0 AND i <= 6))::INT), 9) AS schema_valid_rate, sum((m IN (3, 7))::INT)::BIGINT AS parse_failure_count, sum((labels = '')::INT)::BIGINT AS empty_prediction_count,
   sum((m = 0 AND i > 6)::INT)::BIGINT AS invalid_candidate_count, sum((m = 1)::INT)::BIGINT AS invalid_sentiment_count, sum((m = 2)::INT)::BIGINT AS duplicate_count, sum((m = 2)::INT)::BIGINT AS conflict_count, sum((m = 5)::INT)::BIGINT AS non_object_count, sum((m = 1)::INT)::BIGINT AS aspect_name_count,
   sum((m = 2)::INT)::BIGINT AS numeric_id_count, sum((m = 5)::INT)::BIGINT AS prefixed_id_count, sum(o_orderkey % 100)::BIGINT AS input_tokens, sum(o_orderkey % 30)::BIGINT AS output_tokens, round(avg(o_orderkey % 10 / 10.0), 9) AS mean_latency_seconds, round(quantile_cont((o_orderkey % 10 / 10.0)::DOUBLE, 0.5), 9) AS median_latency_seconds, 0.0::DOUBLE AS estimated_cost FROM p""")
 def llm_diagnostics(spark, sf_dir):
@@ -75,7 +76,7 @@ def json_recovery(spark, sf_dir):
     fence = F.concat(F.lit("```json\n["), F.col("conv_id").cast("string"), F.lit("]\n```"))
     prose = F.concat(F.lit('so {"a":'), F.col("conv_id").cast("string"), F.lit("} it is"))
     raw = F.when(F.col("turn") % 3 == 0, fence).when(F.col("turn") % 3 == 1, prose).otherwise("none")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", json_body(raw).alias("body"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", json_body(raw)["text"].alias("body"))
 
 
 @query("""WITH t AS (SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'), u AS (SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R')

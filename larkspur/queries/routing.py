@@ -24,10 +24,12 @@ def rows(spark, sf_dir):
     return a.join(predictions(spark, sf_dir, "b").select("row_uid", F.col("pred").alias("other")), "row_uid").join(per, "row_uid")
 
 
-_POLICIES = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', {'NULL' if b is None else b}::DOUBLE, {'NULL' if a is None else a}::DOUBLE)" for p, k, b, a in R.policy_grid(bands=(0.05, 0.2))) + ") t(policy, kind, band, above)"
-_CHOICE = _ROWS + f""", pl AS ({_POLICIES}), y AS (SELECT *, len(l) > 0 AS has, len(o) > 0 AS got, abs(distance) <= band AS near, distance >= -band AND distance < 0 AS below, len(l) > 0 AND distance >= 0 AND distance <= band AS abv,
-  len(l) > 0 AND distance >= 0 AND distance <= above AS up, len(l) > 0 AND margin <= band AS cl FROM rw, pl),
-z AS (SELECT row_uid, gold, policy, kind, CASE kind WHEN 'local_only' THEN l WHEN 'other_only' THEN o WHEN 'local_nonempty_else_other' THEN CASE WHEN has THEN l ELSE o END WHEN 'other_nonempty_else_local' THEN CASE WHEN got THEN o ELSE l END
+_POLICIES = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', {'NULL' if b is None else b}::DOUBLE, {'NULL' if a is None else a}::DOUBLE, {i})" for i, (p, k, b, a) in enumerate(R.policy_grid())) + ") t(policy, kind, band, above, place)"
+
+
+def _chosen(source: str) -> str:
+    """SQL: the rows of a source (gold, l, o, distance, margin, kind, band, above) with what their policy chooses (x) and called."""
+    return f"""SELECT *, CASE kind WHEN 'local_only' THEN l WHEN 'other_only' THEN o WHEN 'local_nonempty_else_other' THEN CASE WHEN has THEN l ELSE o END WHEN 'other_nonempty_else_local' THEN CASE WHEN got THEN o ELSE l END
   WHEN 'pair_agreement' THEN list_intersect(l, o) WHEN 'aspect_agreement_local_sentiment' THEN CASE WHEN has AND got THEN l ELSE [] END WHEN 'aspect_agreement_other_sentiment' THEN CASE WHEN has AND got THEN o ELSE [] END WHEN 'union_pairs' THEN list_distinct(list_concat(l, o))
   WHEN 'score_abs_replace' THEN CASE WHEN near THEN o ELSE l END WHEN 'score_abs_other_nonempty_else_local' THEN CASE WHEN near AND got THEN o ELSE l END WHEN 'score_abs_agreement_other_sentiment' THEN CASE WHEN near AND has THEN o ELSE l END
   WHEN 'score_below_rescue' THEN CASE WHEN NOT has AND below THEN o ELSE l END WHEN 'score_above_confirm' THEN CASE WHEN abv THEN o ELSE l END
@@ -35,21 +37,69 @@ z AS (SELECT row_uid, gold, policy, kind, CASE kind WHEN 'local_only' THEN l WHE
   WHEN 'sentiment_margin_replace' THEN CASE WHEN cl AND got THEN o ELSE l END ELSE CASE WHEN cl THEN o ELSE l END END AS x,
   CASE WHEN kind = 'local_only' THEN 0 WHEN kind IN ('other_only', 'other_nonempty_else_local', 'union_pairs') THEN 1 WHEN kind = 'local_nonempty_else_other' THEN (NOT has)::INT WHEN kind IN ('pair_agreement', 'aspect_agreement_local_sentiment', 'aspect_agreement_other_sentiment') THEN has::INT
   WHEN kind IN ('score_abs_replace', 'score_abs_other_nonempty_else_local') THEN near::INT WHEN kind = 'score_abs_agreement_other_sentiment' THEN (near AND has)::INT WHEN kind = 'score_below_rescue' THEN (NOT has AND below)::INT WHEN kind = 'score_above_confirm' THEN abv::INT
-  WHEN kind IN ('asym_confirm', 'asym_veto') THEN (below OR up)::INT ELSE cl::INT END AS called FROM y),
-ev AS (SELECT policy, kind, avg(called) AS rate, 2.0::DOUBLE * sum(len(list_intersect(gold, x))) / sum(len(gold) + len(x)) AS f1, avg((len(gold) = len(x) AND len(list_intersect(gold, x)) = len(gold))::INT) AS exact FROM z GROUP BY policy, kind)"""
+  WHEN kind IN ('asym_confirm', 'asym_veto') THEN (below OR up)::INT ELSE cl::INT END AS called
+FROM (SELECT *, len(l) > 0 AS has, len(o) > 0 AS got, abs(distance) <= band AS near, distance >= -band AND distance < 0 AS below, len(l) > 0 AND distance >= 0 AND distance <= band AS abv,
+  len(l) > 0 AND distance >= 0 AND distance <= above AS up, len(l) > 0 AND margin <= band AS cl FROM {source})"""
+
+
+#: Metrics of chosen sets, as sums over rows.
+_MEASURED = """avg(called) AS rate, coalesce(2.0::DOUBLE * sum(len(list_intersect(gold, x))) / nullif(sum(len(gold) + len(x)), 0), 0) AS f1, coalesce(sum(len(list_intersect(gold, x)))::DOUBLE / nullif(sum(len(x)), 0), 0) AS precision,
+  avg((len(gold) = len(x) AND len(list_intersect(gold, x)) = len(gold))::INT) AS exact, 100.0::DOUBLE * sum((len(gold) = 0 AND len(x) > 0)::INT) / count(*) AS fp100"""
+_CHOICE = _ROWS + f", pl AS ({_POLICIES}), z AS ({_chosen('rw, pl')}), ev AS (SELECT policy, kind, place, {_MEASURED} FROM z GROUP BY policy, kind, place)"
+#: Per review and aspect: sentiments of both systems, the aspect score's distance to 0.5, and the margin of the two best sentiments.
+_CELLS = with_views("pred_a", "pred_b") + f""", cells AS (SELECT a.row_uid, a.split, a.aspect, list(a.sentiment) FILTER (WHERE a.target = 1) AS g0, list(a.sentiment) FILTER (WHERE a.p = 1) AS l0, list(b.sentiment) FILTER (WHERE b.p = 1) AS o0, round(max(a.aspect_score) - 0.5, 9) AS distance,
+  round(max(CASE WHEN a.rn = 1 THEN a.sentiment_score END) - max(CASE WHEN a.rn = 2 THEN a.sentiment_score END), 9) AS margin FROM pred_a a JOIN pred_b b USING (row_uid, aspect, sentiment) GROUP BY a.row_uid, a.split, a.aspect),
+src AS (SELECT row_uid, split, aspect, coalesce(g0, []) AS gold, coalesce(l0, []) AS l, coalesce(o0, []) AS o, distance, margin FROM cells), pl AS ({_POLICIES}), va AS (SELECT * FROM src WHERE split = 'validation'), te AS (SELECT * FROM src WHERE split = 'test'),
+z AS ({_chosen("va, pl")}), ev AS (SELECT policy, kind, place, band, above, aspect, {_MEASURED} FROM z GROUP BY ALL)"""
 
 
 def evaluated(spark, sf_dir):
-    made = R.choose(R.with_policies(rows(spark, sf_dir), R.policy_grid(bands=(0.05, 0.2))))
-    tp = F.size(F.array_intersect("gold", "chosen"))
-    per = made.select("policy", "kind", "called", tp.alias("tp"), (F.size("gold") + F.size("chosen")).alias("n"), ((tp == F.size("gold")) & (tp == F.size("chosen"))).cast("int").alias("exact"))
-    return per.groupBy("policy", "kind").agg(F.avg("called").alias("rate"), ratio(2 * F.sum("tp"), F.sum("n")).alias("f1"), F.avg("exact").alias("exact"))
+    return R.evaluate(rows(spark, sf_dir), R.policy_grid()).withColumnRenamed("call_rate", "rate")
 
 
-@query(_CHOICE + " SELECT policy, round(rate, 9) AS rate, round(f1, 9) AS f1, round(exact, 9) AS exact FROM ev")
+def cells(spark, sf_dir, *splits):
+    """A row for each review and aspect, with the sentiments of both systems."""
+    from larkspur.queries.metrics import decoded
+
+    b = decoded(spark, sf_dir, "b").select("row_uid", "aspect", "sentiment", F.col("p").alias("q"))
+    both = decoded(spark, sf_dir, "a").where(F.col("split").isin(*splits)).join(b, ["row_uid", "aspect", "sentiment"])
+    on = lambda c: F.array_sort(F.collect_list(F.when(F.col(c) == 1, F.col("sentiment"))))
+    top = lambda k: F.max(F.when(F.col("rn") == k, F.col("sentiment_score")))
+    return both.groupBy("row_uid", "split", "aspect").agg(on("target").alias("gold"), on("p").alias("local"), on("q").alias("other"), F.round(F.max("aspect_score") - 0.5, 9).alias("distance"), F.round(top(1) - top(2), 9).alias("margin"))
+
+
+def _held(evaluated, chosen, *by):
+    """What the chosen policies do on other rows, evaluated."""
+    return evaluated.join(chosen.select(*by, "policy"), [*by, "policy"])
+
+
+@query(_CHOICE + " SELECT policy, round(rate, 9) AS rate, round(f1, 9) AS f1, round(precision, 9) AS precision, round(exact, 9) AS exact, round(fp100, 9) AS false_positive_rows_per_100 FROM ev")
 def policy_choice(spark, sf_dir):
-    """RT0-RT3, PR37: all policies over all rows in one job, with their call rates."""
-    return evaluated(spark, sf_dir).drop("kind")
+    """RT0-RT2, PR37: all 229 policies over all rows, from one pass, with their call rates."""
+    return evaluated(spark, sf_dir).select("policy", "rate", "f1", "precision", "exact", "false_positive_rows_per_100")
+
+
+@query(_CELLS + f""", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY round(f1, 12) DESC, round(precision, 12) DESC, round(fp100, 12), round(rate, 12), place) AS k FROM ev) WHERE k = 1),
+tz AS ({_chosen("(SELECT te.*, best.policy, best.kind, best.band, best.above FROM te JOIN best USING (aspect))")}), tm AS (SELECT aspect, policy, {_MEASURED} FROM tz GROUP BY ALL)
+SELECT aspect, policy, round(best.f1, 9) AS validation_f1, round(tm.f1, 9) AS test_f1, round(tm.rate, 9) AS test_rate, round(tm.fp100, 9) AS test_false_positive_rows_per_100 FROM best JOIN tm USING (aspect, policy)""")
+def policy_by_aspect(spark, sf_dir):
+    """RT3: for each held-out aspect the policy that is best on validation rows, and what it does on test rows."""
+    made = R.rounded_metrics(R.evaluate(cells(spark, sf_dir, "validation", "test"), R.policy_grid(), "aspect", "split"))
+    best = R.best_policies(made.where("split = 'validation'"), "aspect").select("aspect", "policy", F.col("f1").alias("validation_f1"))
+    test = made.where("split = 'test'").select("aspect", "policy", F.col("f1").alias("test_f1"), F.col("call_rate").alias("test_rate"), F.col("false_positive_rows_per_100").alias("test_false_positive_rows_per_100"))
+    return best.join(test, ["aspect", "policy"])
+
+
+@query(_CELLS + f""", mean AS (SELECT policy, kind, place, band, above, avg(round(f1, 12)) AS f1, avg(round(precision, 12)) AS precision, avg(round(fp100, 12)) AS fp100, avg(round(rate, 12)) AS rate FROM ev GROUP BY ALL),
+best AS (SELECT * FROM mean ORDER BY round(f1, 12) DESC, round(precision, 12) DESC, round(fp100, 12), round(rate, 12), place LIMIT 1),
+tz AS ({_chosen("(SELECT te.*, best.policy, best.kind, best.band, best.above FROM te, best)")}), tm AS (SELECT aspect, policy, {_MEASURED} FROM tz GROUP BY ALL)
+SELECT any_value(policy) AS policy, round((SELECT f1 FROM best), 9) AS validation_f1, count(*) AS aspects, round(avg(f1), 9) AS test_f1, round(min(f1), 9) AS test_f1_least, round(max(f1), 9) AS test_f1_most, round(avg(rate), 9) AS test_rate FROM tm""")
+def policy_for_all(spark, sf_dir):
+    """RT3: one policy for all aspects, by means over their validation rows, and its test rows."""
+    made = R.rounded_metrics(R.evaluate(cells(spark, sf_dir, "validation", "test"), R.policy_grid(), "aspect", "split"))
+    best = R.best_policies(R.rounded_metrics(R.mean_over(made.where("split = 'validation'")))).select("policy", F.col("f1").alias("validation_f1"))
+    test = _held(made.where("split = 'test'"), best).join(best, "policy")
+    return test.groupBy("policy", "validation_f1").agg(F.count("*").alias("aspects"), F.avg("f1").alias("test_f1"), F.min("f1").alias("test_f1_least"), F.max("f1").alias("test_f1_most"), F.avg("call_rate").alias("test_rate"))
 
 
 @query(_CHOICE + """ SELECT CASE WHEN kind IN ('local_only', 'other_only') THEN kind WHEN kind LIKE 'score_abs%' THEN 'symmetric_score_distance' WHEN kind = 'score_below_rescue' THEN 'below_threshold_rescue_only' WHEN kind = 'score_above_confirm' THEN 'above_threshold_confirm_only'
@@ -157,7 +207,7 @@ def relative_logit(spark, sf_dir):
 @query(with_views("grid_a") + """SELECT row_uid, aspect, sentiment, round((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 9) AS scaled FROM grid_a WINDOW w AS (PARTITION BY aspect)""")
 def min_max_scaled(spark, sf_dir):
     """W8, by aspect."""
-    return grid(spark, sf_dir).select("row_uid", "aspect", "sentiment", "score").withColumn("scaled", R.min_max("score", "aspect")).drop("score")
+    return grid(spark, sf_dir).select("row_uid", "aspect", "sentiment", "score").transform(lambda g: R.min_max(g, "score", "scaled", "aspect")).drop("score")
 
 
 @query(_ROWS + """, ft AS (SELECT row_uid, gold, l, o, unnest(['pred_count', 'margin']) AS feature, unnest([len(l)::DOUBLE, margin]) AS value FROM rw), rt AS (SELECT unnest([0.0, 0.1, 0.5, 1.0])::DOUBLE AS rate), md AS (SELECT unnest(['replace', 'union', 'agreement_or_local']) AS mode),

@@ -47,9 +47,8 @@ def read_config(path: str) -> dict:
     return found
 
 
-def read_aggregates(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV of numbers: its header must match, its rows be complete, its numbers finite."""
-    frame = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+def _finite(frame: DataFrame) -> DataFrame:
+    """frame; a double that is null, NaN or infinite is an error."""
     for name, kind in frame.dtypes:
         if kind == "double":
             bad = F.col(name).isNull() | F.isnan(F.col(name)) | (F.abs(F.col(name)) == float("inf"))
@@ -57,6 +56,27 @@ def read_aggregates(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return frame
 
 
+def read_aggregates(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV of numbers: its header must match, its rows be complete, its numbers finite."""
+    return _finite(spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path))
+
+
 def read_scores(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Score files (CSV, or CSV in gzip) of a glob, with the file each row is from."""
-    return spark.read.schema(schema).option("header", True).csv(pattern).withColumn("source_file", F.input_file_name())
+    """Score files (CSV, or CSV in gzip) of a glob, with the file each row is from; broken rows and numbers are an error."""
+    return _finite(spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(pattern)).withColumn("source_file", F.input_file_name())
+
+
+def read_evidence(spark: SparkSession, pattern: str, schema: str, unit: list[str], expected: DataFrame) -> DataFrame:
+    """The evidence files of a glob as one frame, checked against the units that are expected.
+
+    A unit that is missing, unknown, or in two files is an error, and so is one whose rows differ in number from `rows` of
+    expected (unit columns, rows). The check is a join of counts, and is part of the plan.
+    """
+    found = read_scores(spark, pattern, schema)
+    held = found.groupBy(*unit).agg(F.count("*").alias("have"), F.count_distinct("source_file").alias("files"))
+    both = expected.select(*unit, "rows").join(held, unit, "full")
+    bad = F.coalesce((F.col("have") != F.col("rows")) | (F.col("files") != 1), F.lit(True))
+    name = F.concat_ws(", ", *(F.col(c).cast("string") for c in unit))
+    checked = both.select(*unit, F.when(bad, F.raise_error(F.concat(F.lit("evidence of "), name, F.lit(" isn't what is expected"))).cast("long")).otherwise(F.col("rows")).alias("rows"))
+    total = checked.agg(F.sum("rows").alias("__rows"))  # one row, which looks at every unit
+    return found.crossJoin(F.broadcast(total)).where("__rows >= 0").drop("__rows")

@@ -76,16 +76,40 @@ def test_tokens_and_overlaps(spark):
 
 
 @pytest.mark.parametrize(
-    ("raw", "expected"),
-    [("```json\n[1]\n```", "[1]"), ("[1]", "[1]"), ('so {"a":1} it', '{"a":1}'), ("so [1] and {2}", "[1]"), ("nothing", None)],
-)
-def test_json_recovery(spark, raw, expected):
-    assert one(spark, T.json_body(F.lit(raw))) == expected
-
-
-def test_rendering(spark):
+    ("raw", "text", "strict"),
+    [
+        ("```json\n[1]\n```", "[1]", True), ("```JSON [1]```", "[1]", True), ("[1]", "[1]", True), (' {"a": [1, {"b": "]"}]} ', '{"a": [1, {"b": "]"}]}', True), ("3", "3", True), ("null", "null", True),
+        ('so {"a":1} it', '{"a":1}', False), ("so [1] and {2}", "[1]", False), ("[1] and more", "[1]", False), ('{"a":1} [2]', '{"a":1}', False),
+        ("nothing", None, False), ("[1] [2]", None, False), ("[1],[2]", None, False), ("1],[2", None, False), ('1,"end":1} {', None, False), ('1,"x":2', None, False), ("[1", None, False), ("", None, False),
+    ],
+)
+def test_json_recovery(spark, raw, text, strict):
+    found = one(spark, T.json_body(F.lit(raw)))
+    assert (found["text"], found["strict"]) == (text, strict)
+
+
+def test_registered_texts(spark):
     a, s = F.lit("Offer: PROMO"), F.lit("positive")
-    variants = {v: one(spark, T.claim(a, s, F.lit(v))) for v in ("name_only", "minimal", "rich")}
-    assert variants["rich"].startswith(variants["minimal"]) and variants["minimal"].startswith(variants["name_only"])
-    assert "promo; offer; discount" in variants["rich"] and one(spark, T.claim(a, s, F.lit("other"))) is None
-    assert len({one(spark, T.aspect_candidate(a, F.lit(v))) for v in ("name_only", "name_and_description", "description_only", "name_and_aliases", "rich")}) == 5
+    assert one(spark, T.statement(a, s, "control")) == "Aspect: Offer: PROMO. Candidate sentiment: positive."
+    assert one(spark, T.statement(a, s, "enhanced")) == (
+        "Aspect: Offer: PROMO. Definition: Sold under a promotion. Lexical cues: promo, offer, discount. Boundary: Not parts by grade. Candidate sentiment: positive. Sentiment definition: Returned and refunded."
+    )
+    rich = "Definition: Sold under a promotion. Aliases: promo; offer; discount. Inclusion boundary: Parts on offer."
+    claims = {
+        "name_only": "Aspect: Offer: PROMO. Candidate sentiment: positive.", "minimal": "Aspect: Offer: PROMO. Definition: Sold under a promotion. Candidate sentiment: positive.",
+        "rich": f"Aspect: Offer: PROMO. {rich} Contrastive boundary: Not parts by grade. Candidate sentiment: positive.",
+    }
+    for v, text in claims.items():
+        assert one(spark, T.claim(a, s, F.lit(v))) == text
+    stages = {
+        "name_only": "Aspect: Offer: PROMO.", "name_and_description": "Aspect: Offer: PROMO. Definition: Sold under a promotion.", "description_only": "Aspect definition: Sold under a promotion.",
+        "rich_positive": f"Aspect: Offer: PROMO. {rich}", "rich": f"Aspect: Offer: PROMO. {rich} Contrastive boundary: Not parts by grade.",
+    }
+    for v, text in stages.items():
+        assert one(spark, T.aspect_candidate(a, F.lit(v))) == text
+        assert one(spark, T.sentiment_candidate(a, s, F.lit(v))) == f"{text} Candidate sentiment: positive."
+    for bad in (T.claim(a, s, F.lit("other")), T.aspect_candidate(a, F.lit("name_and_aliases"))):
+        with pytest.raises(Exception, match="unknown representation"):
+            one(spark, bad)
+    with pytest.raises(ValueError, match="unknown variant"):
+        T.statement(a, s, "rich")

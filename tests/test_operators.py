@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import contracts, decode, grids, lexical, metrics, records, routing, sampling, splits, stats, sweep
+from larkspur.operators import contracts, decode, grids, lexical, metrics, prefix, records, routing, sampling, splits, stats, sweep
 from larkspur.plans.taxonomy import ASPECTS, SENTIMENTS, Fold, folds
 
 S = "row_uid string, aspect string, sentiment string, ord int, target int, aspect_score double, sentiment_score double, score double"
@@ -206,22 +206,87 @@ def test_quotas():
         sampling.quotas({"Y": 1}, ["Y", "N"], 3)
 
 
-def test_bootstrap_equals_a_numpy_loop(spark):
-    rng = np.random.default_rng(1)
-    counts = rng.integers(0, 5, (3, 4, 7, 3))
-    rows = [(f"s{s}", f"f{f}", r, *map(int, counts[s, f, r])) for s in range(3) for f in range(4) for r in range(7)]
-    got = stats.cluster_bootstrap(spark.createDataFrame(rows, "system string, fold string, cluster int, tp long, fp long, fn long"), draws=9, seed=13, batch=4).toPandas()
-    rng, n = np.random.default_rng(13), 0
+def _evidence(spark, counts):
+    """(cluster, v) of an array systems x folds x reviews x 3."""
+    rows = [(r, [float(x) for x in counts[:, :, r].ravel()]) for r in range(counts.shape[2])]
+    return spark.createDataFrame(rows, "cluster int, v array<double>")
+
+
+def _f1s(total):
+    """F1 averaged over folds, and pooled, of an array systems x folds x 3."""
+    one = lambda t: np.divide(2 * t[..., 0], 2 * t[..., 0] + t[..., 1] + t[..., 2], out=np.zeros(t.shape[:-1]), where=2 * t[..., 0] + t[..., 1] + t[..., 2] != 0)
+    return one(total).mean(1), one(total.sum(1))
+
+
+@pytest.mark.parametrize("form", ["multinomial", "indices"])
+def test_bootstrap_of_one_stream_equals_a_numpy_loop(spark, form):
+    counts = np.random.default_rng(1).integers(0, 5, (3, 4, 7, 3)).astype(float)
+    made = stats.resampled(_evidence(spark, counts), draws=9, seed=13, form=form, batch=4).toPandas().sort_values("draw")
+    rng, expected = np.random.default_rng(13), [counts.sum(2)]
     for size in (4, 4, 1):
-        weights = rng.multinomial(7, np.full(7, 1 / 7), size=size)
-        for w in weights:
-            for s in range(3):
-                total = np.tensordot(w, counts[s], axes=(0, 1))
-                f1 = [2 * a / (2 * a + b + c) if 2 * a + b + c else 0.0 for a, b, c in total]
-                a, b, c = total.sum(0)
-                row = got[(got["draw"] == n) & (got["system"] == f"s{s}")].iloc[0]
-                assert np.isclose(row["balanced"], np.mean(f1), atol=1e-15) and np.isclose(row["pooled"], 2 * a / (2 * a + b + c), atol=1e-15)
-            n += 1
+        weights = rng.multinomial(7, np.full(7, 1 / 7), size=size) if form == "multinomial" else [np.bincount(d, minlength=7) for d in rng.integers(0, 7, (size, 7))]
+        expected += [np.tensordot(counts, w, axes=(2, 0)) for w in weights]
+    assert np.array_equal(np.stack(made["v"].to_list()).reshape(10, 3, 4, 3), np.stack(expected))
+    values = {f"{k} {s}": f([4 * s + i for i in range(4)]) for k, f in (("balanced", stats.balanced_f1), ("pooled", stats.cell_f1)) for s in range(3)}
+    got = {r["estimate"]: r for r in stats.estimates(stats.resampled(_evidence(spark, counts), draws=9, seed=13, form=form, batch=4), values).collect()}
+    for k, kind in enumerate(("balanced", "pooled")):
+        each = np.stack([_f1s(t)[k] for t in expected])
+        for s in range(3):
+            row = got[f"{kind} {s}"]
+            assert row["point"] == pytest.approx(each[0, s], abs=1e-14) and row["draws"] == 9
+            assert (row["ci_lower"], row["ci_upper"]) == pytest.approx(tuple(np.quantile(each[1:, s], [0.025, 0.975])), abs=1e-14)
+
+
+def test_bootstrap_in_parts_is_a_bootstrap(spark):
+    """Each draw takes as many clusters as there are; weights have a multinomial's mean, variance and covariance; parts don't show."""
+    n, draws = 40, 4000
+    eye = spark.createDataFrame([(i, [float(i == j) for j in range(n)]) for i in range(n)], "cluster int, v array<double>")
+    made = stats.resampled(eye, draws=draws, seed=5, part=7)
+    rows = made.toPandas().sort_values("draw")
+    weights = np.stack(rows["v"].to_list())
+    assert rows["draw"].tolist() == list(range(-1, draws)) and (weights[0] == 1).all()
+    weights = weights[1:]
+    assert (weights.sum(1) == n).all()
+    assert abs(weights.mean(0) - 1).max() < 0.08 and abs(weights.var(0) - (1 - 1 / n)).max() < 0.12
+    covariance = np.cov(weights.T) - np.diag(np.diag(np.cov(weights.T)))
+    assert abs(covariance.sum() / (n * (n - 1)) + 1 / n) < 0.002
+    again = stats.resampled(eye.repartition(3), draws=draws, seed=5, part=7).toPandas().sort_values("draw")
+    assert np.array_equal(np.stack(again["v"].to_list())[1:], weights)
+    # its intervals are those of one stream, but for chance
+    values = spark.createDataFrame([(i, [float((i * 7) % 13), 1.0]) for i in range(n)], "cluster int, v array<double>")
+    mean = {"mean": F.col("v")[0] / F.col("v")[1]}
+    a, b = (stats.estimates(stats.resampled(values, 4000, 3, **o), mean).first() for o in ({"part": 9}, {"form": "indices"}))
+    assert a["point"] == b["point"] and abs(a["ci_lower"] - b["ci_lower"]) < 0.15 and abs(a["ci_upper"] - b["ci_upper"]) < 0.15
+    with pytest.raises(ValueError, match="draws"):
+        stats.resampled(values, 0)
+
+
+def test_metrics_of_resampled_reviews(spark):
+    """All eleven metrics of the sums equal those of the reviews themselves."""
+    classes = [("A", "n"), ("A", "p"), ("B", "n"), ("B", "p")]
+    rng = random.Random(3)
+    rows = [(f"u{i}", a, s, int(rng.random() < 0.3), int(rng.random() < 0.3)) for i in range(60) for a, s in classes]
+    decoded = spark.createDataFrame(rows, "row_uid string, aspect string, sentiment string, target int, p int")
+    got = {r["estimate"]: r["point"] for r in stats.estimates(stats.resampled(stats.review_evidence(decoded, classes), 3), stats.review_metrics(4)).collect()}
+    one = metrics.multilabel(decode.sets(decoded), [f"{a} | {s}" for a, s in classes]).first()
+    expected = {"pair_micro_f1": "micro_f1", "pair_micro_precision": "micro_precision", "pair_micro_recall": "micro_recall", "pair_samples_f1": "samples_f1", "pair_exact_match_rate": "exact_match_rate", "pair_macro_f1": "macro_f1", "pair_false_positive_rows_per_100": "false_positive_rows_per_100", "pair_false_negative_rows_per_100": "false_negative_rows_per_100"}
+    for k, v in expected.items():
+        assert got[k] == pytest.approx(one[v], abs=1e-12), k
+    there = metrics.presence(decode.sets(decoded)).first()
+    assert got["presence_f1"] == pytest.approx(there["presence_f1"], abs=1e-12)
+    with pytest.raises(Exception, match="clusters differ"):
+        stats.side_by_side(stats.review_evidence(decoded, classes), stats.review_evidence(decoded.where("row_uid <> 'u1'"), classes)).collect()
+
+
+def test_pilot_gate_and_promotion(spark):
+    side = lambda *rows: spark.createDataFrame(rows, "unit string, f1 double, recall double")
+    control = side(("a", 0.5, 0.4), ("b", 0.5, 0.4), ("c", 0.5, 0.4))
+    assert tuple(stats.pilot_gate(side(("a", 0.6, 0.2), ("b", 0.6, 0.4), ("c", 0.4, 0.4)), control, "unit").first())[1:] == (2, True, True)
+    assert not stats.pilot_gate(side(("a", 0.6, 0.19), ("b", 0.6, 0.4), ("c", 0.5, 0.4)), control, "unit").first()["passed"]
+    with pytest.raises(Exception, match="units differ"):
+        stats.pilot_gate(side(("a", 0.6, 0.2)), control, "unit").collect()
+    gains = spark.createDataFrame([("x", 0.1, 0.01), ("y", 0.2, -0.01), ("z", -0.1, -0.2)], "estimate string, point double, ci_lower double")
+    assert {r["estimate"]: (r["promoted"], r["rank"]) for r in stats.promoted(gains).collect()} == {"x": (True, 2), "y": (False, 1), "z": (False, 3)}
 
 
 def test_sign_flips_and_holm(spark):
@@ -250,6 +315,50 @@ def test_escalation_and_cutoffs(spark):
     assert got == {"d", "b"}  # 2.5 rounds to 2, and the tie goes to the later key
     held = spark.createDataFrame([("a", 0, 0.03), ("b", 0, 0.01), ("c", 0, 0.02), ("d", 0, 0.02)], "row_uid string, local_present int, distance double")
     assert [routing.cutoff(held, 0, f).first()["cutoff"] for f in (0.25, 0.5)] == [0.01, 0.02]
+    rng = random.Random(6)
+    many = [(str(i), i % 2, round(rng.random(), 4), "ab"[i % 3 == 0]) for i in range(700)]
+    got = {r["g"]: r["cutoff"] for r in routing.cutoff(spark.createDataFrame(many, "row_uid string, local_present int, distance double, g string"), 1, 0.3, "g").collect()}
+    for g in "ab":
+        own = sorted(d for _, p, d, x in many if p == 1 and x == g)
+        assert got[g] == own[math.ceil(0.3 * len(own)) - 1]
+
+
+def test_running_sums_equal_a_loop(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), round(rng.uniform(-2, 3), rng.choice([1, 6])), rng.randrange(5), i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "g string, v double, n long, i long")
+    got = {r["i"]: r["n"] for r in prefix.running(frame, "v", ["n"], "g", then=("i",)).collect()}
+    assert got == {i: sum(n for h, w, n, j in rows if h == g and (w > v or (w == v and j <= i))) for g, v, _, i in rows}
+    distinct = frame.select("g", "v").distinct()
+    after = {(r["g"], r["v"]): r["next"] for r in prefix.following(distinct, "v", "next", "g").collect()}
+    assert after == {(g, v): min((w for h, w, *_ in rows if h == g and w > v), default=None) for g, v, *_ in rows}
+
+
+def test_policy_grid_is_whole():
+    grid = routing.policy_grid()
+    assert len(grid) == 229 and len({p[0] for p in grid}) == 229 and len(routing.policy_grid(scores=False)) == 22 and len(routing.policy_grid(margins=False)) == 215
+    assert grid[8][0] == "score_abs_replace_le_0.01" and grid[-1][0] == "sentiment_margin_confirm_le_0.50"
+
+
+def test_policies_by_signature_equal_policies_by_row(spark):
+    rng = random.Random(8)
+    labels = ["x", "y", "z"]
+    some = lambda: sorted(rng.sample(labels, rng.randrange(3)))
+    edge = [0.0, 0.05, -0.05, 0.1, -0.1, 0.3, -0.3, 0.31, -0.31, None]
+    rows = [(str(i), some(), some(), some(), rng.choice(edge + [rng.uniform(-0.4, 0.4)] * 8), rng.choice([None, 0.05, 0.5, 0.51, rng.random()]), "ab"[i % 2]) for i in range(300)]
+    held = spark.createDataFrame(rows, "row_uid string, gold array<string>, local array<string>, other array<string>, distance double, margin double, aspect string")
+    policies = routing.policy_grid()
+    got = {(r["policy"], r["aspect"]): r for r in routing.evaluate(held, policies, "aspect").collect()}
+    each = routing.choose(routing.with_policies(held, policies)).select("policy", "aspect", "gold", "chosen", "called").toPandas()
+    assert len(got) == 2 * 229
+    for (policy, aspect), part in each.groupby(["policy", "aspect"]):
+        row = got[policy, aspect]
+        gold, chosen = [set(x) for x in part["gold"]], [set(x) for x in part["chosen"]]
+        tp, p, g = sum(len(a & b) for a, b in zip(gold, chosen)), sum(map(len, chosen)), sum(map(len, gold))
+        assert row["calls"] == part["called"].sum() and row["rows"] == len(part)
+        assert row["f1"] == pytest.approx(2 * tp / (p + g) if p + g else 0.0) and row["precision"] == pytest.approx(tp / p if p else 0.0)
+        assert row["exact"] == pytest.approx(np.mean([a == b for a, b in zip(gold, chosen)])) and row["false_positive_rows_per_100"] == pytest.approx(100 * np.mean([not a and bool(b) for a, b in zip(gold, chosen)]))
+        assert row["samples_f1"] == pytest.approx(np.mean([2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0 for a, b in zip(gold, chosen)]))
 
 
 def test_two_policy_rules(spark):
@@ -270,12 +379,18 @@ def test_answers(spark):
         '[{"aspect_id":"A1","sentiment":"positive"}]': (["Online: App | positive"], True, True),
         '{"items":[{"aspect":"Value: Price","sentiment":" Negative "}]}': (["Value: Price | negative"], True, True),
         '```json\n[{"aspect_id":"A2","sentiment":"neutral"}]\n```': (["Staff: Attitude | neutral"], True, True),
-        "not json": ([], False, False), '{"other":1}': ([], True, False), "[1]": ([], True, False),
+        "not json": ([], False, False), '[{"aspect_id":"A1","sentiment":"positive"}] as asked': (["Online: App | positive"], True, False), '[{"aspect_id":"A1","sentiment":"positive"}] [1]': ([], False, False), "7": ([], True, False), '{"other":1}': ([], True, False), "[1]": ([], True, False),
         '[{"aspect_id":"A9","sentiment":"positive"}]': ([], True, False), '[{"aspect_id":"A1","sentiment":"good"}]': ([], True, False),
         '[{"aspect_id":"2","sentiment":"positive"}]': (["Staff: Attitude | positive"], True, False), '[{"aspect_id":"A3: price","sentiment":"positive"}]': (["Value: Price | positive"], True, False),
     }
     got = {r["raw"]: (r["labels"], r["valid_json"], r["schema_valid"]) for r in records.parse(spark.createDataFrame([(c,) for c in cases], "raw string"), "raw", aspects).collect()}
     assert got == cases
+    kinds = {r["raw"]: (r["strict_json"], r["extracted_json"], r["top_level_type"], r["parse_error"] is None) for r in records.parse(spark.createDataFrame([(c,) for c in cases], "raw string"), "raw", aspects).collect()}
+    assert kinds["7"] == (True, False, "int", False) and kinds["not json"] == (False, False, None, False) and kinds["[1]"] == (True, False, "list", True)
+    assert kinds['[{"aspect_id":"A1","sentiment":"positive"}] as asked'] == (False, True, "list", True) and kinds['{"items":[{"aspect":"Value: Price","sentiment":" Negative "}]}'][2] == "dict"
+    named = spark.createDataFrame([('[{"aspect":"Value: Price","sentiment":"neutral"}]',), ('{"labels":[]}',)], "raw string")
+    assert [r["schema_valid"] for r in records.parse(named, "raw", aspects, require_aspect_id=True).collect()] == [False, True]
+    assert [r["schema_valid"] for r in records.parse(named, "raw", aspects, allow_object_wrapper=False).collect()] == [True, False]
     twice = records.parse(spark.createDataFrame([('[{"aspect_id":"A1","sentiment":"positive"},{"aspect_id":"A1","sentiment":"positive"},{"aspect_id":"A1","sentiment":"negative"}]',)], "raw string"), "raw", aspects).first()
     assert (twice["duplicate_count"], twice["conflict_count"], twice["valid_item_count"]) == (1, 1, 3)
     usage = spark.createDataFrame([('{"usage":{"prompt_tokens":3,"completion_tokens":4,"completion_tokens_details":{"reasoning_tokens":2}}}',), ('{"usageMetadata":{"promptTokenCount":5,"totalTokenCount":11}}',), ("{}",)], "r string").select(records.usage(F.col("r")).alias("u")).collect()
