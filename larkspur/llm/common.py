@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,15 +33,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables of the scopes that are open, from the outermost to the innermost.
+_SCOPES: list[list[Scratch]] = []
+
+
+@contextmanager
+def freeing() -> Iterator[None]:
+    """Scratch tables that are made inside are deleted at its end; those that were kept go over to the scope around it."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for made in _SCOPES.pop():
+            if not made.kept:
+                made.drop()
+            elif _SCOPES:
+                made.kept = False
+                _SCOPES[-1].append(made)
+
+
 class Scratch:
     """A table written to the shared folder and read again: it cuts lineage and outlives executors."""
 
     def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
+        self.spark, self.kept = df.sparkSession, False
+        if _SCOPES:
+            _SCOPES[-1].append(self)
         self.path = scratch_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def keep(self) -> Scratch:
+        """It outlives the scope that it was made in."""
+        self.kept = True
+        return self
+
     def drop(self) -> None:
         """Delete the files; only after everything that reads them has been written."""
         jvm = self.spark.sparkContext._jvm
