@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import Scratch, add_columns, bucket_of, text_slices, without
+from larkspur.llm.common import Scratch, add_columns, bucket_of, freeing, text_slices, without
 
 SAMPLE, ROUNDS, LONGEST = 300, 3, 32
 #: Probability of a letter without a piece; what is added to each piece's expected count; words a worker remembers.
@@ -208,10 +208,17 @@ class Model:
 
 
 def sample(train: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """Up to `size` training documents of each language: (lang, text)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = train.where("lang is not null").select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= size)
-    ids = Scratch(ids.select("doc_id", "lang").distinct(), "sample").df
+    """Up to `size` training documents of each language, those with the least hashes of their ids: (lang, text).
+
+    Rows whose hash is above a bound are left out before ids are put in order; the bound leaves four times as many ids as are
+    needed, by an estimate of how many a language has. Repeated rows of an id count once.
+    """
+    known = train.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").withColumn("__h", F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53)))
+    bounds = known.groupBy("lang").agg((F.lit(4.0 * size) / F.approx_count_distinct("doc_id", 0.02)).alias("__bound"))  # a row for each language
+    near = known.join(bounds, "lang").where(F.col("__h") < F.col("__bound")).select("lang", "__h", "doc_id").distinct()
+    order = Window.partitionBy("lang").orderBy("__h", "doc_id")
+    ids = near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= size)
+    ids = Scratch(ids.select("doc_id", "lang"), "sample").df
     # a few hundred ids for each language are sent out, so that no text is shuffled; with very many languages they are joined
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     return train.select("doc_id", "lang", "text").where("text is not null").join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
@@ -273,5 +280,6 @@ def identify(docs: DataFrame, path: str, train: DataFrame | None = None) -> Data
     """
     source = docs if train is None else train
     docs = without(docs, "held_out", "lang_pred", "score")
-    model = fit(source.where(bucket_of(F.col("doc_id"), 5) != 0), path)
+    with freeing():
+        model = fit(source.where(bucket_of(F.col("doc_id"), 5) != 0), path)
     return predict(docs.withColumn("held_out", F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(True))), model)
