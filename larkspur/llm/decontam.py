@@ -10,7 +10,9 @@ similarity of shingles (weights: how often a shingle occurs; the sum of lesser o
 THRESHOLD = 0.8 or more is a link. Where a document is shorter than an item, it is one window.
 
 A verbatim passage differs from the nearest window by about 7 bits (about 9 at worst), a passage of similarity 0.8 by about
-11, each with a deviation of 3: what lies beyond 17 bits is missed, as it is by any index of that radius.
+11, each with a deviation of 3: what lies beyond 17 bits is missed, as it is by any index of that radius. The blocks pass most
+windows once a class has a few dozen items, as 17 of 64 bits is far; each window is then compared with all items of its class,
+an XOR and a count of bits each, COMPARED at a time.
 
 Items are a broadcast index: BOUND says how many bytes of item text are allowed, and beyond it items are searched in rounds
 of as much, each a pass over the documents. Null and empty texts and items have no words and link with nothing. Items with
@@ -41,8 +43,8 @@ SHINGLE, THRESHOLD, RADIUS, BLOCK, NEAR = 5, 0.8, 17, 16, 4
 STEP, LIKE = 9, 1.12
 #: Words that are searched at once, about.
 CHUNK = 32_768
-#: Bytes of item text in one broadcast index.
-BOUND = 32 << 20
+#: Bytes of item text in one broadcast index; windows times items that are compared at once.
+BOUND, COMPARED = 32 << 20, 1 << 21
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -131,8 +133,23 @@ class _Class:
         fps = np.zeros(len(at), np.uint64)
         for b in range(4):
             fps |= found[b][at].astype(np.uint64) << np.uint64(BLOCK * b)
-        w, item = np.divmod(np.flatnonzero(np.bitwise_count(fps[:, None] ^ self.fps[None, :]) <= RADIUS), len(self.fps))
-        return at[w] * self.step, self.items[item]
+        found = []
+        for begin in range(0, len(at), rows := max(1, COMPARED // len(self.fps))):
+            w, item = np.divmod(np.flatnonzero(np.bitwise_count(fps[begin : begin + rows, None] ^ self.fps[None, :]) <= RADIUS), len(self.fps))
+            found.append((at[w + begin] * self.step, self.items[item]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (at, at)
+
+
+class Items:
+    """Items (item_id, hashed words) as they are sent out, with their index, which a worker builds once."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray]]):
+        self.items, self.built = items, None
+
+    def index(self) -> Index:
+        if self.built is None:
+            self.built = Index(self.items)
+        return self.built
 
 
 class Index:
@@ -239,7 +256,7 @@ def _rounds(items: DataFrame) -> Iterator[Broadcast]:
         part = rows if rounds == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r)
         held = part.orderBy("item_id", "text").collect()
         offsets, words = word_codes(pa.array([x["text"] for x in held], pa.large_string()))
-        yield items.sparkSession.sparkContext.broadcast([(x["item_id"], words[offsets[i] : offsets[i + 1]]) for i, x in enumerate(held)])
+        yield items.sparkSession.sparkContext.broadcast(Items([(x["item_id"], words[offsets[i] : offsets[i + 1]]) for i, x in enumerate(held)]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -255,7 +272,7 @@ def marked(docs: DataFrame, items: DataFrame, name: str = "contaminated") -> Dat
         def make(texts: pa.Array, sent: Broadcast = sent) -> list[pa.Array]:
             offsets, words = word_codes(texts)
             hit = np.zeros(len(texts), bool)
-            hit[[i for i, *_ in Index(sent.value).search(words, offsets)]] = True
+            hit[[i for i, *_ in sent.value.index().search(words, offsets)]] = True
             return [pa.array(hit)]
 
         hits.append(f"__hit{len(hits)}")
@@ -268,7 +285,7 @@ def _search(docs: DataFrame, sent: Broadcast, items: DataFrame) -> DataFrame:
     kind = arrow_type(item)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value)
+        index = sent.value.index()
         for whole in batches:
             for batch in text_slices(whole):
                 at, words = word_codes(pc.fill_null(batch.column("text"), ""))
