@@ -6,8 +6,8 @@ product of the pieces' probabilities, which a forward pass over the word gives.
 words (runs of letters, lower-cased, with the vocabulary's word mark in front); the languages have equal priors, and the
 score is the posterior of the language that is predicted. Piece probabilities are fitted by ROUNDS rounds of expectation and
 maximisation (forward-backward) over the words of up to SAMPLE training documents for each language, those with the least
-hashes of their ids; SAMPLE is the bound of the sample. Words of over LONGEST letters are cut into parts that long, and
-a letter outside the vocabulary has the same small probability in each language.
+hashes of their ids; SAMPLE is the bound of the sample. Words are whole, however long: over LONGEST letters the sums are of
+logarithms, as products would vanish. A letter outside the vocabulary has the same small probability in each language.
 
 Documents with a null doc_id, a null text or a null language are never learnt from. A text that is null or has no letter
 is `und` with score 0; with no training documents at all, so is every text. Repeated rows are predicted alike. Ties between
@@ -100,31 +100,33 @@ class Pieces:
             at[left] = (at[left] + 1) & (len(self.key) - 1)
         return to, ids
 
-    def matches(self, words: list[str]) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int, np.ndarray, np.ndarray]]]]:
-        """Words by their length: (their places, length with the mark, [(begin, end, rows, pieces)] by begin and end)."""
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words by their length: (their places, their letters with the mark, a row for each word)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(sizes):
             places = np.nonzero(sizes == n)[0]
             marked = "".join(MARK + words[i] for i in places)
             points = np.frombuffer(marked.encode("utf-32-le"), np.uint32).reshape(len(places), n + 1)
             at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-            letters = np.where(self.letters[at] == points, at + 1, 0)
-            spans = []
-            for begin in range(n + 1):
-                rows, node = np.arange(len(places)), np.ones(len(places), np.int32)
-                for end in range(begin + 1, min(n + 1, begin + self.longest) + 1):
-                    node, ids = self.step(node, letters[rows, end - 1])
-                    hit = ids >= 0
-                    if end == begin + 1:
-                        lone = ~hit  # a letter without a piece
-                        hit |= lone
-                    if hit.any():
-                        spans.append((begin, end, rows[hit], ids[hit]))
-                    on = node > 0
-                    rows, node = rows[on], node[on]
-                    if not len(rows):
-                        break
-            yield places, int(n + 1), spans
+            yield places, np.where(self.letters[at] == points, at + 1, 0)
+
+    def spans(self, letters: np.ndarray, begin: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, rows, pieces) of the pieces that begin at one place; -1 is a letter without a piece."""
+        rows, node = np.arange(len(letters)), np.ones(len(letters), np.int32)
+        for end in range(begin + 1, min(letters.shape[1], begin + self.longest) + 1):
+            node, ids = self.step(node, letters[rows, end - 1])
+            hit = ids >= 0
+            if end == begin + 1:
+                hit[:] = True
+            if hit.any():
+                yield begin, end, rows[hit], ids[hit]
+            on = node > 0
+            rows, node = rows[on], node[on]
+            if not len(rows):
+                return
+
+    def every_span(self, letters: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        return [span for begin in range(letters.shape[1]) for span in self.spans(letters, begin)]
 
 
 def _forward(n: int, size: int, spans: list, p: np.ndarray) -> np.ndarray:
@@ -136,19 +138,47 @@ def _forward(n: int, size: int, spans: list, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _long_forward(pieces: Pieces, letters: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums that _forward makes."""
+    n, size = letters.shape
+    alpha = np.full((size + 1, n, logs.shape[1]), -np.inf)
+    alpha[0] = 0
+    for at in range(size):
+        for begin, end, rows, ids in pieces.spans(letters, at):
+            alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[begin, rows] + logs[ids])
+    return alpha
+
+
 def word_scores(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
     """Natural logarithm of each word's probability by language."""
     out = np.zeros((len(words), p.shape[1]))
-    for places, size, spans in pieces.matches(words):
-        out[places] = np.log(np.maximum(_forward(len(places), size, spans, p)[size], 1e-300))
+    for places, letters in pieces.groups(words):
+        n, size = letters.shape
+        if size > LONGEST + 1:
+            out[places] = _long_forward(pieces, letters, np.log(p))[size]
+        else:
+            out[places] = np.log(np.maximum(_forward(n, size, pieces.every_span(letters), p)[size], 1e-300))
     return out
 
 
 def expected(pieces: Pieces, words: list[str], n: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Expected count of each piece over the segmentations of the words, for one language (p has one column)."""
     out = np.zeros(len(p))
-    for places, size, spans in pieces.matches(words):
-        alpha = _forward(len(places), size, spans, p)[:, :, 0]
+    for places, letters in pieces.groups(words):
+        rows_n, size = letters.shape
+        if size > LONGEST + 1:
+            logs = np.log(p)
+            alpha = _long_forward(pieces, letters, logs)[:, :, 0]
+            beta = np.full_like(alpha, -np.inf)
+            beta[size] = 0
+            for at in reversed(range(size)):
+                for begin, end, rows, ids in pieces.spans(letters, at):
+                    inner = logs[ids, 0] + beta[end, rows]
+                    beta[begin, rows] = np.logaddexp(beta[begin, rows], inner)
+                    np.add.at(out, ids, np.exp(alpha[begin, rows] + inner - alpha[size, rows]) * n[places][rows])
+            continue
+        spans = pieces.every_span(letters)
+        alpha = _forward(rows_n, size, spans, p)[:, :, 0]
         beta = np.zeros_like(alpha)
         beta[size] = 1
         for begin, end, rows, ids in reversed(spans):
@@ -160,13 +190,9 @@ def expected(pieces: Pieces, words: list[str], n: np.ndarray, p: np.ndarray) ->
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(offsets of the texts in codes, distinct words, codes): runs of letters, lower-cased, LONGEST at most."""
+    """(offsets of the texts in codes, distinct words, codes): runs of letters, lower-cased."""
     split = pc.split_pattern_regex(pc.utf8_lower(pc.cast(texts, pa.large_string())), r"\PL+")
     flat, offsets = split.flatten(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-    if pc.any(pc.greater(pc.utf8_length(flat), LONGEST)).as_py():
-        cut = [[w[i : i + LONGEST] for i in range(0, len(w), LONGEST)] or [w] for w in flat.to_pylist()]
-        at = np.cumsum([0, *map(len, cut)])
-        flat, offsets = pa.array([w for x in cut for w in x], pa.large_string()), at[offsets]
     full = pc.greater(pc.binary_length(flat), 0)
     offsets = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[offsets]
     coded = flat.filter(full).dictionary_encode()
@@ -214,7 +240,9 @@ def sample(train: DataFrame, size: int = SAMPLE) -> DataFrame:
     needed, by an estimate of how many a language has. Repeated rows of an id count once.
     """
     known = train.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").withColumn("__h", F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53)))
-    bounds = known.groupBy("lang").agg((F.lit(4.0 * size) / F.approx_count_distinct("doc_id", 0.02)).alias("__bound"))  # a row for each language
+    bounds = known.groupBy("lang").agg((F.lit(4.0 * size) / F.approx_count_distinct("doc_id", 0.02)).alias("__bound"))
+    bounds = Scratch(bounds, "bounds").df  # a row for each language
+    bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_ROWS else bounds
     near = known.join(bounds, "lang").where(F.col("__h") < F.col("__bound")).select("lang", "__h", "doc_id").distinct()
     order = Window.partitionBy("lang").orderBy("__h", "doc_id")
     ids = near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= size)
