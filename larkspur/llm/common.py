@@ -70,6 +70,9 @@ class Scratch:
 
     def drop(self) -> None:
         """Delete the files; only after everything that reads them has been written."""
+        for scope in _SCOPES:
+            if self in scope:
+                scope.remove(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import Scratch, add_columns, bucket_of, without
+from larkspur.llm.common import Scratch, add_columns, bucket_of, freeing, without
 
 FEATURES, WIDTH, RIDGE, BINS, CLIP, SEED, CUT = 256, 4.0, 1e-3, 2000, 6.0, 7, 0.3
 STATISTICS = [
@@ -147,8 +147,9 @@ def score(docs: DataFrame, labels: DataFrame, drop: tuple[str, ...] = ()) -> Dat
     docs = without(docs, "held_out", "score", "predicted")
     out = F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(True))
     # the statistics are written once, for the fit and for the scores
-    held = Scratch(with_statistics(docs).drop(*drop).withColumn("held_out", out), "statistics").df
-    model = fit(held.where("not held_out"), labels)
+    with freeing():
+        held = Scratch(with_statistics(docs).drop(*drop).withColumn("held_out", out), "statistics").keep().df
+        model = fit(held.where("not held_out"), labels)
 
     rest = [f"`{c}`" for c in held.columns if c != "__statistics"]
     # the statistics are the only column that goes to Python and back

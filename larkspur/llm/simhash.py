@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.cells import chunk_cells
-from larkspur.llm.common import Scratch, add_columns, without
+from larkspur.llm.common import Scratch, add_columns, freeing, without
 from larkspur.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -128,11 +128,12 @@ def near_duplicates(docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     """
     docs = without(docs, "fingerprint", "component_id", "kept", "__row", "__least", "__node")
     marked = with_fingerprints(docs, "__fp").drop(*drop).withColumn("__row", F.monotonically_increasing_id())
-    held = Scratch(marked, "fingerprints").df  # the row numbers hold from here on
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
-    nodes = Scratch(held.groupBy(F.col("__fp").alias("fp")).agg(first), "nodes").df
-    found = components(links(nodes)).withColumnRenamed("node", "fp")
-    joined = Scratch(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "classes").df
+    with freeing():
+        held = Scratch(marked, "fingerprints").keep().df  # the row numbers hold from here on
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
+        nodes = Scratch(held.groupBy(F.col("__fp").alias("fp")).agg(first), "nodes").df
+        found = components(links(nodes)).withColumnRenamed("node", "fp")
+        joined = Scratch(nodes.join(found, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "classes").keep().df
     known = joined.join(joined.groupBy("component").agg(F.min("first").alias("__least")), "component").select(F.col("fp").alias("__node"), "__least")
     made = held.join(known, F.col("__fp") == F.col("__node"))
     return made.select(

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm.brown import hashes, tokens
 from larkspur.llm.cells import chunk_cells
-from larkspur.llm.common import Scratch, add_columns, without
+from larkspur.llm.common import Scratch, add_columns, freeing, without
 from larkspur.llm.components import components
 
 SHINGLE, SIMILARITY, POINTS, WIDTH, RADIUS = 5, 0.8, 62, 7, 20
@@ -221,16 +221,24 @@ def _verified(table: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(node[a], pa.int64()), "dst": pa.array(node[b], pa.int64())})
 
 
+def _rooted(forests: DataFrame) -> DataFrame:
+    """Edges that connect what the forests of all keys connect: each node's least root, and that root's edges to its other ones.
+
+    A node has a root for each of its keys at most, and mostly the same one.
+    """
+    per = forests.groupBy("dst").agg(F.min("src").alias("least"), F.collect_set("src").alias("roots"))
+    roots = per.select(F.explode("roots").alias("dst"), F.col("least").alias("src")).where("dst <> src").distinct()
+    return per.select(F.col("least").alias("src"), "dst").unionByName(roots.select("src", "dst"))
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """(node, component) of nodes (node, blocks, bits, size) that share a triple of blocks and 64 bits within RADIUS with another, in groups."""
     keyed = nodes.select("node", "blocks", "bits", "size").mapInArrow(_keyed, "key long, node long, bits long")
     # in the order of nodes, the forests of a group's keys have the same roots, and so mostly the same edges
-    met = Scratch(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "src long, dst long, key long, bits long"), "met")
-    hot = met.df.where("dst is null").select("key", F.col("src").alias("node"), "bits")
+    met = Scratch(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "src long, dst long, key long, bits long"), "met").df
+    hot = met.where("dst is null").select("key", F.col("src").alias("node"), "bits")
     cells = chunk_cells(hot, ["key"], F.col("node"), RUN // 2).groupBy("key", "i", "j").applyInPandas(_cell, "src long, dst long")
-    found = components(met.df.where("dst is not null").select("src", "dst").unionByName(cells))
-    met.drop()
-    return found
+    return components(_rooted(met.where("dst is not null").select("src", "dst").unionByName(cells)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -238,23 +246,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = without(docs, "component_id", "kept", "__row", "__k1", "__k2", "__blocks", "__bits", "__size", "__least")
     long = T.LongType()
     fields = [T.StructField(n, long) for n in ("__k1", "__k2")] + [T.StructField("__blocks", T.BinaryType()), T.StructField("__bits", long), T.StructField("__size", long)]
-    held = Scratch(add_columns(docs, "text", _marks, fields).withColumn("__row", F.monotonically_increasing_id()), "marks").df
-    key = ["__k1", "__k2"]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__row").alias("row")))
-    same = held.groupBy(*key).agg(F.min("__row").alias("node"), first.alias("first"), F.count("*").alias("rows"), *(F.min(f"__{c}").alias(c) for c in ("blocks", "bits", "size")))
-    nodes = Scratch(same, "nodes").df
-    groups = Scratch(candidates(nodes.where("size > 0")).select("node", F.col("component").alias("group")), "groups")
-    texts = held.select(F.col("__row").alias("node"), "text").join(groups.df, "node")
-    cells = chunk_cells(texts, ["group"], F.col("node"), CHUNK, F.octet_length("text"))
-    links = cells.groupBy("group", "i", "j").applyInArrow(_verified, "src long, dst long")
-    found = components(links)
-    groups.drop()
-    classes = Scratch(nodes.drop("blocks", "bits", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes").df
-    least = classes.groupBy("component").agg(F.min("first").alias("__least"), F.sum("rows").alias("rows"))
-    # rows that are alone in their class need no look
-    known = classes.drop("rows").join(least.where("rows > 1"), "component").select(*key, "__least")
-    known = Scratch(known, "known").df
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    with freeing():
+        held = Scratch(add_columns(docs, "text", _marks, fields).withColumn("__row", F.monotonically_increasing_id()), "marks").keep().df
+        key = ["__k1", "__k2"]
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__row").alias("row")))
+        same = held.groupBy(*key).agg(F.min("__row").alias("node"), first.alias("first"), F.count("*").alias("rows"), *(F.min(f"__{c}").alias(c) for c in ("blocks", "bits", "size")))
+        nodes = Scratch(same, "nodes").df
+        groups = Scratch(candidates(nodes.where("size > 0")).select("node", F.col("component").alias("group")), "groups").df
+        texts = held.select(F.col("__row").alias("node"), "text").join(groups, "node")
+        cells = chunk_cells(texts, ["group"], F.col("node"), CHUNK, F.octet_length("text"))
+        links = cells.groupBy("group", "i", "j").applyInArrow(_verified, "src long, dst long")
+        found = components(links)
+        classes = Scratch(nodes.drop("blocks", "bits", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes").df
+        least = classes.groupBy("component").agg(F.min("first").alias("__least"), F.sum("rows").alias("rows"))
+        # rows that are alone in their class need no look
+        known = classes.drop("rows").join(least.where("rows > 1"), "component").select(*key, "__least")
+        known = Scratch(known, "known").keep().df
+        known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     made = held.join(known, key, "left")
     return made.select(
         *(F.col(f"`{c}`") for c in docs.columns), F.when(F.col("__least").isNull(), F.col("doc_id")).otherwise(F.col("__least.doc_id")).alias("component_id"),

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -28,6 +30,32 @@ def test_normal_equations_equal_one_solve(spark):
     assert np.allclose(model.beta, beta, atol=1e-6)
 
 
+def test_scores_equal_brute_force(spark):
+    """The whole model from plain arrays: standardised statistics, one ridge system, blocks of means under order, interpolation."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows, known = docs.select("doc_id", "text").collect(), {r["doc_id"]: r["quality"] for r in labels.collect()}
+    extra = [(10**6, "tie " * 9), (10**6 + 1, "tie " * 9), (10**6 + 2, "a long one. " * 60_000)]
+    made = {r["doc_id"]: r["score"] for r in quality.score(docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string")), labels).collect()}
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    x = {r[0]: np.array(quality.statistics((r[1] or "").encode())) for r in [*rows, *extra]}
+    train = [i for i in x if i in known and crc(i) != 0]
+    mean, spread = np.mean([x[i] for i in train], 0), np.std([x[i] for i in train], 0)
+    model = quality.Model(mean, spread)
+    fit, left = [i for i in train if crc(i) != 1], [i for i in train if crc(i) == 1]
+    z = model.features(np.stack([x[i] for i in fit]))
+    beta = np.linalg.solve(z.T @ z + quality.RIDGE * len(fit) / quality.FEATURES * np.eye(z.shape[1]), z.T @ np.array([known[i] for i in fit], float))
+    raw = lambda ids: model.features(np.stack([x[i] for i in ids])) @ beta
+    bins = np.clip(np.round((raw(left) + 1) / 3 * quality.BINS), 0, quality.BINS).astype(int)
+    at = sorted(set(bins.tolist()))
+    n, ones = [int((bins == b).sum()) for b in at], [sum(known[i] for i, c in zip(left, bins) if c == b) for b in at]
+    level = np.round(brute_isotonic(n, ones), 12)
+    blocks = [[k for k in range(len(at)) if level[k] == v] for v in sorted(set(level))]
+    middle = [sum(n[k] * (at[k] / quality.BINS * 3 - 1) for k in b) / sum(n[k] for k in b) for b in blocks]
+    expected = np.interp(raw(list(x)), middle, [level[b[0]] for b in blocks])
+    assert np.allclose([made[i] for i in x], expected, atol=1e-6)
+    assert made[10**6] == made[10**6 + 1]
+
+
 def test_features_approximate_the_kernel():
     model = quality.Model(np.zeros(len(quality.STATISTICS)), np.ones(len(quality.STATISTICS)))
     x = np.random.default_rng(0).normal(0, 1, (30, len(quality.STATISTICS)))

@@ -82,6 +82,15 @@ def test_links_found_at_every_distance(spark):
     assert got >= {tuple(sorted(signed[i : i + 2])) for i in range(0, 80, 2)}
 
 
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(400_000))
+    rows = [(1, long), (2, long.upper()), (3, long + " end"), (4, "other words are here")]
+    found = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1]["fingerprint"] == f"{brute_fingerprint(long):016x}" == found[2]["fingerprint"]
+    assert [found[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -35,6 +35,13 @@ def test_round_trip(spark):
     assert sorted((tuple(r) for r in found), key=key) == sorted(brute(rows), key=key)
 
 
+def test_payloads_beyond_a_batch(spark):
+    big = "é<p>" + "long " * 2_000_000
+    rows = [(1, "u", big), (2, "u", big), (3, "u", big + "x"), (4, "u", "tail" * 300)]
+    found = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((tuple(r) for r in found), key=key) == sorted(brute(rows), key=key)
+
+
 def test_predicates_and_payloads(spark, monkeypatch):
     rows, frame = pages(spark)
     path = scratch_path(spark, "warc-test")
