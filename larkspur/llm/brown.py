@@ -31,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, bucket_of, text_slices
+from larkspur.llm.common import Scratch, bucket_of, freeing, text_slices
 
-#: Words that are units of their own; endings that are units; classes; words whose counts are sent to every task.
-UNITS, ENDINGS, CLASSES, HEAD = 1500, 1000, 48, 1 << 17
+#: Words that are units of their own; endings that are units; classes (63 at most); words whose counts are sent to every task;
+#: bytes of text that are looked at together.
+UNITS, ENDINGS, CLASSES, HEAD, SLICE = 1500, 1000, 48, 1 << 17, 4 << 20
 #: Rounds of the exchange algorithm over all units; weight of the bigrams against a class's own share.
 ROUNDS, BIGRAM = 4, 0.9
 #: The hash that stands for a document's end, and the ending's number that stands for all endings without a unit.
@@ -77,7 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(e[first]), pa.array(np.bincount(at, n).astype(np.int64))], names=["word", "ending", "c"])
 
     for whole in batches:
-        for batch in text_slices(whole):
+        for batch in text_slices(whole, most=SLICE):
             _, words, codes = tokens(pc.fill_null(batch.column("text"), ""))
             held.append((np.append(hashes(words), END), np.append(endings(words), -1), np.append(np.bincount(codes, minlength=len(words)), batch.num_rows)))
             if sum(len(h) for h, _, _ in held) > 1_000_000:
@@ -222,7 +223,7 @@ def fit(train: DataFrame) -> tuple[dict, DataFrame]:
             return k, np.bincount(at, n).astype(np.int64)
 
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, most=SLICE):
                 offsets, words, codes = tokens(pc.fill_null(batch.column("text"), ""))
                 seq = _with_ends(offsets, units.look(words)[2][codes], 0)
                 k = np.concatenate([[0], seq[:-1]]) * units.n + seq
@@ -288,33 +289,58 @@ def placed(train: DataFrame, model: dict) -> DataFrame:
     units, of, moves = model["units"], model["of"], model["moves"]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each word of a slice of texts a row, with its slots and their counts packed: a count times 128, and the slot."""
+        width = 2 * CLASSES
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, most=SLICE):
                 offsets, words, codes = tokens(pc.fill_null(batch.column("text"), ""))
                 h, _, unit = units.look(words)
                 klass, other = of[unit], unit >= units.first_ending
                 code, seq = _with_ends(offsets, codes, -1), _with_ends(offsets, klass[codes], 0)
                 on = np.nonzero((code >= 0) & other[code])[0]  # an end follows every text, so there is a next one
                 before, after = np.where(on > 0, seq[on - 1], 0), seq[on + 1]
-                width = 2 * CLASSES
                 k, n = np.unique(np.concatenate([code[on] * width + before, code[on] * width + CLASSES + after]), return_counts=True)
-                w = k // width
-                yield pa.RecordBatch.from_arrays([pa.array(h[w]), pa.array(klass[w].astype(np.int32)), pa.array((k % width).astype(np.int32)), pa.array(n)], names=["word", "was", "slot", "n"])
+                own, first = np.unique(k // width, return_index=True)
+                packed = (n << 7 | k % width).astype(np.int32)
+                ends = np.append(first, len(k)).astype(np.int32) * 4
+                near = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(klass[own].astype(np.int32)), near], names=["word", "was", "near"])
+
+    def chosen(word: np.ndarray, was: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The classes of words, 2048 at a time; key is a word's number times 2 * CLASSES and a slot, in order and without repeats."""
+        width = 2 * CLASSES
+        for begin in range(0, len(word), 2048):
+            part = slice(*np.searchsorted(key, [begin * width, (begin + 2048) * width]))
+            at, slot = np.divmod(key[part] - begin * width, width)
+            found = place(moves, was[begin : begin + 2048], at, slot, n[part])
+            c = np.bincount(at, n[part] * (slot < CLASSES), len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word[begin : begin + 2048]), pa.array(c), pa.array(found.astype(np.int32))], names=["word", "c", "class"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 2048):
-                batch = whole.slice(begin, 2048)
-                lists = batch.column("near")
-                word = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-                slot, n = (x.to_numpy() for x in lists.flatten().flatten())
-                found = place(moves, batch.column("was").to_numpy(), word, slot, n)
-                c = np.bincount(word, n * (slot < CLASSES), batch.num_rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c), pa.array(found.astype(np.int32))], names=["word", "c", "class"])
-
-    near = train.select("text").mapInArrow(contexts, "word long, was int, slot int, n long").groupBy("word", "slot").agg(F.min("was").alias("was"), F.sum("n").alias("n"))
-    lists = near.groupBy("word").agg(F.min("was").alias("was"), F.collect_list(F.struct("slot", "n")).alias("near"))  # 2 * CLASSES entries at most
-    return Scratch(lists.mapInArrow(choose, "word long, c long, class int"), "placed").df
+        """Of rows in the order of their words: each word's counts, summed as its rows come, give its class."""
+        width, last = 2 * CLASSES, None  # the last word's rows may go on in the next batch: (word, was, slots, counts)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word, was, near = batch.column("word").to_numpy(), batch.column("was").to_numpy(), batch.column("near")
+            ends = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + batch.num_rows + 1] // 4
+            packed = np.frombuffer(near.buffers()[2], np.int32)[ends[0] : ends[-1]]
+            row, slot, n = np.repeat(np.arange(batch.num_rows), np.diff(ends)), packed & 127, (packed >> 7).astype(np.int64)
+            if last:
+                word, was = np.append(last[0], word), np.append(last[1], was)
+                row, slot, n = np.concatenate([np.zeros(len(last[2]), np.int64), row + 1]), np.concatenate([last[2], slot]), np.concatenate([last[3], n])
+            new = np.append(True, word[1:] != word[:-1])
+            key, at = np.unique((np.cumsum(new) - 1)[row] * width + slot, return_inverse=True)
+            n = np.bincount(at, n).astype(np.int64)
+            word, was = word[new], was[new]
+            cut = np.searchsorted(key, (len(word) - 1) * width)
+            last = (word[-1], was[-1], key[cut:] % width, n[cut:])
+            yield from chosen(word[:-1], was[:-1], key[:cut], n[:cut])
+        if last:
+            yield from chosen(np.array([last[0]]), np.array([last[1]]), last[2], last[3])
+
+    near = train.select("text").mapInArrow(contexts, "word long, was int, near binary").repartition("word").sortWithinPartitions("word")
+    return Scratch(near.mapInArrow(choose, "word long, c long, class int"), "placed").df
 
 
 def shares(model: dict, others: DataFrame) -> np.ndarray:
@@ -335,6 +361,11 @@ def shares(model: dict, others: DataFrame) -> np.ndarray:
 
 def score(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
     """For each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; see the module."""
+    with freeing():
+        return _scored(docs, held_out, of)
+
+
+def _scored(docs: DataFrame, held_out: int, of: int) -> DataFrame:
     marked = docs.select("doc_id", "text", F.coalesce(bucket_of(F.col("doc_id"), of) == held_out, F.lit(True)).alias("held_out"))
     train = marked.where("not held_out")
     model, _ = fit(train)
@@ -349,7 +380,7 @@ def score(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Classes of all tokens, and the hashes of those outside the head, whose class is that of their ending, less CLASSES."""
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, most=SLICE):
                 offsets, words, codes = tokens(pc.fill_null(batch.column("text"), ""))
                 h, c, unit = units.look(words)
                 k, hit = per_class[unit], c >= 0
@@ -407,7 +438,7 @@ def score(docs: DataFrame, held_out: int = 2, of: int = 7) -> DataFrame:
     held = Scratch(marked.mapInArrow(sequences, f"{so_far}, classes array<tinyint>, rare array<long>").withColumn("__row", F.monotonically_increasing_id()), "scored").df
     tail = others.where(F.col("c") < least).select("word", "c", "class")
     met = held.select("__row", F.posexplode("rare").alias("pos", "word")).join(tail, "word").groupBy("__row").agg(F.collect_list(F.struct("pos", "class", "c")).alias("met"))
-    full = Scratch(held.drop("rare").join(met, "__row", "left").drop("__row").mapInArrow(fill, f"{so_far}, classes array<tinyint>"), "classes").df
+    full = Scratch(held.drop("rare").join(met, "__row", "left").drop("__row").mapInArrow(fill, f"{so_far}, classes array<tinyint>"), "classes").keep().df
     pair, n = _arrays(full.where("not held_out").select("classes").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     moves = np.bincount(pair, n, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
     step = np.log10(steps(moves)).ravel()

@@ -47,6 +47,53 @@ def test_scores_do_not_depend_on_the_head(spark, monkeypatch):
     assert out[0] == out[1]
 
 
+@pytest.mark.parametrize(("head", "units"), [(1 << 17, 1500), (300, 40)])
+def test_scores_equal_brute_force(spark, monkeypatch, head, units):
+    """Every score anew, token by token, from the words' classes and plain counts."""
+    monkeypatch.setattr(brown, "HEAD", head)
+    monkeypatch.setattr(brown, "UNITS", units)
+    data = rows(spark) + [(9010, "tie tie tie"), (9011, "tie tie tie"), (9012, "w " * 30_000), (9013, "unseenword " * 3 + "w")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    learnt = [split(t) for i, t in data if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    train = docs.where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2")
+    model, _ = brown.fit(train)
+    placed = {r["word"]: r["class"] for r in brown.placed(train, model).collect()}
+    u, of = model["units"], model["of"]
+    words = sorted({w for _, t in data for w in split(t)})
+    hashed, unit = dict(zip(words, brown.hashes(words).tolist())), dict(zip(words, u.look(words)[2].tolist()))
+    count = Counter(w for t in learnt for w in t)
+    klass = {w: int(placed.get(hashed[w], of[unit[w]])) if count[w] else int(of[unit[w]]) for w in words}
+    own = {w for w in words if 0 < unit[w] < u.first_ending}
+    k, bigram = brown.CLASSES, brown.BIGRAM
+    moves = np.zeros((k, k))
+    for t in learnt:
+        seq = [0, *(klass[w] for w in t), 0]
+        for a, b in zip(seq[:-1], seq[1:]):
+            moves[a, b] += 1
+    share = [(moves[:, j].sum() + 1) / (moves.sum() + k) for j in range(k)]
+    step = lambda a, b: bigram * moves[a, b] / moves[a].sum() + (1 - bigram) * share[b] if moves[a].sum() else share[b]
+    of_own, of_rest, inner = np.zeros(k), np.zeros(k), np.zeros(k)
+    for w in words:
+        if w in own:
+            of_own[klass[w]] += count[w] + 1
+        elif count[w]:
+            of_rest[klass[w]] += count[w]
+            inner[klass[w]] += count[w] + 1
+    for c in of[u.first_ending :]:
+        inner[c] += 1
+    whole = of_own + of_rest + 1
+
+    def emit(w):
+        c = klass[w]
+        return (count[w] + 1) / whole[c] if w in own else (count[w] + 1) / (whole[c] * max(inner[c], 1) / (of_rest[c] + 1))
+
+    expected = Counter()
+    for i, t in data:
+        seq = [0, *(klass[w] for w in split(t)), 0]
+        expected[i, round(sum(math.log10(step(a, b)) for a, b in zip(seq[:-1], seq[1:])) + sum(math.log10(emit(w)) for w in split(t)), 5)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in brown.score(docs).collect()) == expected
+
+
 def test_probabilities_sum_to_one(spark):
     """Of all known words, the end, and one unseen word for each unit of endings, after any class."""
     docs = spark.createDataFrame(rows(spark), "doc_id long, text string")
