@@ -46,7 +46,7 @@ def brute(rows):
 
 @pytest.mark.parametrize("chunk", [4096, 16])
 def test_equals_all_pairs(spark, monkeypatch, chunk):
-    monkeypatch.setattr(vectors, "CHUNK", chunk)  # 16: slabs go through many cells
+    monkeypatch.setattr(vectors, "CHUNK", chunk)  # 16: labels go through many cells
     rows = fixture()
     frame = spark.createDataFrame([(i, e, l, 1) for i, l, e in rows], "vec_id long, embedding array<float>, label int, node long")
     key = lambda r: tuple((v is None, v) for v in r)
@@ -61,5 +61,26 @@ def test_rotation_and_budgets():
     assert len(vectors.budgets(20)) == 3 and np.isclose(vectors.budgets(20).sum(), 0.14, atol=1e-5)
 
 
+@pytest.mark.parametrize("dims", [64, 20, 3])
+def test_few_pairs_are_tested_and_no_link_is_lost(dims):
+    """Of random vectors, and of near ones among them: what the range joins bring together, against all pairs."""
+    rng = np.random.default_rng(dims)
+    raw = rng.normal(size=(4000 if dims == 64 else 600, dims))
+    raw[1::7] = raw[::7][: len(raw[1::7])] + rng.normal(size=raw[1::7].shape) * 0.35
+    x = vectors.turned(raw)
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    links = {(int(u), int(v)) for u, v in np.argwhere(np.triu(unit @ unit.T >= 0.93, 1))}
+    every = np.arange(len(x))
+    found, tested = [], 0
+    for u, v, n in vectors.pairs(x, every, every):
+        found += list(zip(u.tolist(), v.tolist()))
+        tested += n
+    assert len(found) == len(set(found)) and links <= set(found) and len(links) > 30
+    if dims == 64:
+        assert tested < 0.1 * len(x) * (len(x) - 1) / 2, tested / (len(x) * (len(x) - 1) / 2)
+    two = [set(zip(u.tolist(), v.tolist())) for u, v, _ in vectors.pairs(x, every[::2], every[1::2])]
+    assert {tuple(sorted(p)) for s in two for p in s} >= {p for p in links if (p[0] + p[1]) % 2}
+
+
 def test_empty_table(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
