@@ -51,6 +51,44 @@ def fixture(seed=0):
     return docs, items
 
 
+def test_recall_by_similarity(spark):
+    """Edited passages of items, within other words and as whole documents, at each similarity from the threshold on."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(text(rng.randint(20, 120)))) for i in range(300)]
+    docs, wanted = [], {}
+    for k in range(2400):
+        i, item = items[k % 300]
+        v = item.split()
+        for _ in range(rng.randrange(1 + len(v) // 25)):
+            at, how = rng.randrange(len(v)), rng.randrange(3)
+            v[at : at + (how < 2)] = text(how > 0)
+        around = (text(rng.randrange(150)), text(rng.randrange(150))) if k % 4 else ([], [])
+        n = len(item.split())
+        w = [*around[0], *v, *around[1]]
+        s = max((decontam.similarity(grams(w[a : a + n]), grams(item.split())) for a in range(max(0, len(around[0]) - 8), min(len(w) - n, len(around[0]) + 8) + 1)), default=decontam.similarity(grams(w), grams(item.split())))
+        docs.append((k, " ".join(w)))
+        if s >= 0.8:
+            wanted[k, i] = s
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for low in (0.8, 0.85, 0.9, 0.95):
+        band = [k for k, s in wanted.items() if low <= s < low + 0.05 + (low == 0.95)]
+        assert len(band) > 50 and sum(k in got for k in band) >= 0.98 * len(band), (low, len(band), sum(k in got for k in band))
+    assert all(s >= 0.8 for s in got.values())
+
+
+def test_comparisons_of_bounded_size(monkeypatch):
+    """However few windows are compared with the items at a time, the same are found."""
+    docs, items = fixture(3)
+    offsets, words = decontam.word_codes(pa.array([t or "" for _, t in items]))
+    index = decontam.Index([(i, words[offsets[k] : offsets[k + 1]]) for k, (i, _) in enumerate(items)])
+    at, own = decontam.word_codes(pa.array([t or "" for _, t in docs]))
+    every = sorted(index.search(own, at), key=str)
+    monkeypatch.setattr(decontam, "COMPARED", 50)
+    assert sorted(index.search(own, at), key=str) == every and len(every) > 100
+
+
 def test_equals_all_windows(spark):
     docs, items = fixture()
     d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item_id string")

@@ -1,6 +1,6 @@
 import corpus_pipeline
 
-from larkspur.llm import decontam, quality, simhash
+from larkspur.llm import common, decontam, quality, similar
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -32,7 +32,7 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(map(str, ids(kept))) == sorted(map(str, ids(after)))
     # near-duplicates: one row of each class, and every class has one
     before, after = seen["near_dedup"]
-    classes = {r["component_id"] for r in simhash.near_duplicates(before.select("doc_id", "text")).collect()}
+    classes = {r["component_id"] for r in similar.near_duplicates(before.select("doc_id", "text")).collect()}
     assert set(ids(after)) == classes and len(ids(after)) == len(classes) and not {9002, 9003} <= set(ids(after))
     # decontamination: all documents with a passage go, all others stay
     before, after = seen["decontamination"]
@@ -61,6 +61,30 @@ def test_run_and_contract(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_very_long_documents_and_what_is_left_behind(spark, tmp_path, monkeypatch):
+    """Long documents and an edited copy of one go through whole; only the last stage's rows stay on disk."""
+    import os
+    import random
+
+    rng, at = random.Random(1), "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    words = [w for r in docs.where("lang = 'en'").collect() for w in r["text"].split()]
+    long = " ".join(rng.choice(words) for _ in range(150_000))
+    edited = long.split()
+    for _ in range(900):
+        edited[rng.randrange(len(edited))] = "changed"
+    docs.unionByName(spark.createDataFrame([(9100, long, "en", "s", 1), (9101, " ".join(edited), "en", "s", 1)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{at}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{shared}")
+    made = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").count().collect()
+    pieces = {r["doc_id"]: r["count"] for r in made}
+    assert 9101 not in pieces
+    left = [d.rsplit("-", 1)[0] for d in os.listdir(shared / "larkspur")]
+    assert left == ["best_fit_packing"]
+
+
 def test_empty_documents(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
