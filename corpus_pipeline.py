@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontam, langid, packing, quality, similar
-from larkspur.llm.common import Scratch
+from larkspur.llm.common import Scratch, freeing
 from larkspur.llm.queries import _tokenizer
 
 ORACLE_SQL = None
@@ -65,7 +65,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = Scratch(stage(spark, docs, sf_dir), name).df
+        with freeing():  # what a stage wrote for itself goes when its rows are written
+            made = Scratch(stage(spark, docs, sf_dir), name).keep()
+        if before:
+            before.drop()
+        docs, before = made.df, made
     return docs
