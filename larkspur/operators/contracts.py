@@ -45,6 +45,28 @@ def coverage(expected: DataFrame, observed: DataFrame, *key: str) -> DataFrame:
     return missing.unionByName(observed.select(*key).join(expected.select(*key), list(key), "left_anti").withColumn("problem", F.lit("unexpected")))
 
 
+def registry_problems(registry: DataFrame, source: DataFrame, order: list[str], retired: list[str], terms: list[str], values: list[float], tolerance: float = 1e-12) -> DataFrame:
+    """(method_id, problem) of a registry (place, method_id, value, formulation) against its source (method_id, value).
+
+    Problems: missing, not in the registered order, retired, a retired formulation or value, a value that isn't finite, and
+    one that disagrees with its source.
+    """
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("method_id"))
+    none = F.lit(None).cast("string")
+    v = F.col("value")
+    bad_term = F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower("formulation"), F.lower(t))) if terms else F.lit(False)
+    bad_value = F.exists(F.array(*map(F.lit, values)), lambda x: F.abs(v - x) <= 5e-7) if values else F.lit(False)
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    found = registry.join(source.select("method_id", F.col("value").alias("source")), "method_id", "left")
+    problems = F.array_compact(F.array(
+        F.when(place != F.col("place"), "not in the registered order").otherwise(none), F.when(F.col("method_id").isin(*retired), "retired").otherwise(none), F.when(bad_term, "retired formulation").otherwise(none),
+        F.when(bad_value, "retired value").otherwise(none), F.when(~finite, "not finite").otherwise(none), F.when(finite & ~F.coalesce(F.abs(v - F.col("source")) <= tolerance, F.lit(False)), "disagrees with its source").otherwise(none),
+    ))
+    wrong = found.select("method_id", F.explode(problems).alias("problem"))
+    listed = registry.sparkSession.createDataFrame([(m,) for m in order], "method_id string")
+    return wrong.unionByName(listed.join(registry.select("method_id"), "method_id", "left_anti").withColumn("problem", F.lit("missing")))
+
+
 def aligned(left: DataFrame, right: DataFrame, key: list[str], same: str) -> DataFrame:
     """Rows of both sides by key; a key that one side lacks, or values of `same` that differ, are errors."""
     renamed = right.withColumnsRenamed({c: f"other_{c}" for c in right.columns if c not in key})

@@ -277,3 +277,19 @@ def logistic(train: DataFrame, features: list[str], label: str, c: float = 1.0,
         return fit.transform(assemble(frame)).withColumn("probability", vector_to_array("__pr")[1]).drop("__features", "__pr", "__raw", "__pred", *(f"__f_{f}" for f in features))
 
     return fit, score
+
+
+def select_interface(scored: DataFrame, baseline: str, simplest: list[str], near_tie: float = 0.005) -> DataFrame:
+    """(interface, mean_delta, near, selected): mean gains in average precision over the baseline, the same aspects for each.
+
+    Interfaces within near_tie of the best are near; of these the first of `simplest` is selected.
+    """
+    base = scored.where(_C("interface") == baseline).select("aspect", _C("average_precision").alias("b"))
+    means = scored.where(_C("interface") != baseline).join(base, "aspect", "full").groupBy("interface").agg(F.avg(_C("average_precision") - _C("b")).alias("mean_delta"), F.count("*").alias("__n"), F.count(_C("average_precision") - _C("b")).alias("__k"))
+    whole = Window.partitionBy(F.lit(0))  # a row for each interface
+    fail = F.raise_error(F.lit("interfaces aren't scored on the same aspects")).cast("double")
+    made = means.withColumn("mean_delta", F.when((F.min("__k").over(whole) != F.max("__n").over(whole)) | _C("interface").isNull(), fail).otherwise(_C("mean_delta")))
+    made = made.withColumn("near", _C("mean_delta") >= F.max("mean_delta").over(whole) - near_tie - 1e-12)
+    place = F.array_position(F.array(*map(F.lit, simplest)), _C("interface"))
+    first = F.min(F.when(_C("near"), place)).over(whole)
+    return made.withColumn("selected", _C("near") & (place == first)).select("interface", "mean_delta", "near", "selected")

@@ -178,3 +178,23 @@ def spread(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, median (linear interpolation), population and sample deviation, least, greatest and their distance."""
     v = F.col(value)
     return rows.groupBy(*by).agg(F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_pop(v).alias("sd_pop"), F.stddev_samp(v).alias("sd_samp"), F.min(v).alias("least"), F.max(v).alias("greatest"), (F.max(v) - F.min(v)).alias("spread"))
+
+
+def tuned(observations: DataFrame, complexity: dict[str, float], folds: list[str], metrics: list[tuple[str, str]]) -> DataFrame:
+    """(candidate_id, mean_<metric>..., rank): registered candidates by their metrics' means over folds; rank 1 is selected.
+
+    metrics are (name, "desc" or "asc") in the order that decides; then the less complex candidate wins, then its name. A
+    candidate or fold that isn't registered, is missing or comes twice, and a metric that isn't finite, are errors.
+    """
+    known = observations.sparkSession.createDataFrame(list(complexity.items()), "candidate_id string, complexity double")
+    bad = F.lit(False)
+    for n, _ in metrics:
+        bad = bad | _C(n).isNull() | F.isnan(n) | (F.abs(_C(n)) == float("inf"))
+    per = observations.groupBy("candidate_id").agg(*(F.avg(n).alias(f"mean_{n}") for n, _ in metrics), F.count("*").alias("__n"), F.count_distinct("fold_id").alias("__f"), F.sum((~F.col("fold_id").isin(*folds)).cast("int")).alias("__u"), F.max(bad.cast("int")).alias("__b"))
+    both = known.join(per, "candidate_id", "full")
+    wrong = F.coalesce((_C("__n") != len(folds)) | (_C("__f") != len(folds)) | (_C("__u") > 0) | (_C("__b") > 0), F.lit(True)) | _C("complexity").isNull()
+    fail = F.raise_error(F.concat(F.lit("observations of "), "candidate_id", F.lit(" aren't what is registered"))).cast("string")
+    made = both.withColumn("candidate_id", F.when(wrong, fail).otherwise(_C("candidate_id")))
+    keys = [(F.desc if way == "desc" else F.asc)(F.round(f"mean_{n}", 12)) for n, way in metrics]
+    rank = F.row_number().over(Window.orderBy(*keys, "complexity", "candidate_id"))  # a row for each candidate
+    return made.withColumn("rank", rank).select("candidate_id", *(f"mean_{n}" for n, _ in metrics), "rank")

@@ -86,6 +86,12 @@ def cost(read: Column, wrote: Column, per_input: float, per_output: float) -> Co
     return read * per_input / 1e6 + wrote * per_output / 1e6
 
 
+def forecast(counted: DataFrame, items: str, per_second: float, margin: float, price: float) -> DataFrame:
+    """counted with hours at a rate, hours with a margin, and their cost at a price an hour."""
+    hours = _C(items) / per_second / 3600
+    return counted.withColumns({"hours": hours, "hours_with_margin": hours * margin, "cost": hours * margin * price})
+
+
 def diagnostics(rows: DataFrame, *by: str) -> DataFrame:
     """Rates and sums of parsed answers (with seconds, input_tokens, output_tokens, cost)."""
     n = F.greatest(F.lit(1), F.count("*"))

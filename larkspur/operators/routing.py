@@ -300,3 +300,10 @@ def band_crossfit(both: DataFrame, bands: list[float], part: str) -> DataFrame:
     scored = counts.withColumn("f1_chosen", 2 * others["tp"] / (others["n"] + others["gold"]))
     best = F.row_number().over(Window.partitionBy(part).orderBy(F.desc("f1_chosen"), "rescue", "confirm"))
     return scored.withColumn("__r", best).where("__r = 1").drop("__r")
+
+
+def distinct_policies(policies: list[dict]) -> list[dict]:
+    """The policies without repeats, in order; equal means equal in every field."""
+    import json
+
+    return list({json.dumps(p, sort_keys=True): p for p in reversed(policies)}.values())[::-1]

@@ -181,3 +181,13 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     at = rows.groupBy(label).agg(F.count("*").alias("n"))
     whole = Window.partitionBy()
     return at.withColumn("weight", F.sum("n").over(whole) / (F.count("*").over(whole) * _C("n"))).withColumn("sqrt_weight", F.sqrt("weight"))  # one row for each class
+
+
+def manifest(rows: DataFrame) -> DataFrame:
+    """(split, rows, uids_sha256, shared_rows): what a split holds, whatever the order of its rows, and how many rows splits share.
+
+    The digest is over a split's sorted uids, which are gathered: a manifest lists them. For larger splits take contracts.fingerprint.
+    """
+    shared = rows.groupBy("row_uid").agg(F.count_distinct("split").alias("n")).agg(F.sum((F.col("n") > 1).cast("long")).alias("shared_rows"))
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("row_uid")), "\n"), 256)
+    return rows.groupBy("split").agg(F.count("*").alias("rows"), digest.alias("uids_sha256")).crossJoin(F.broadcast(shared))  # one row

@@ -153,3 +153,10 @@ def grid_sweep(scored: DataFrame, score: Column, thresholds: list[float], *by: s
     sums = [F.struct(F.lit(t).alias("threshold"), total((score >= t) & (F.col("target") == 1)).alias("tp"), total(score >= t).alias("n"), total(F.col("target") == 1).alias("g")) for t in thresholds]
     made = scored.groupBy(*by).agg(F.array(*sums).alias("a")).select(*by, F.explode("a").alias("x")).select(*by, "x.*")
     return made.withColumns({"precision": ratio(_C("tp"), _C("n")), "recall": ratio(_C("tp"), _C("g")), "f1": ratio(2 * _C("tp"), _C("n") + _C("g"))})
+
+
+def shared_threshold(chosen: DataFrame, name: str, tolerance: float = 1e-12) -> DataFrame:
+    """(threshold, conditions, spread) of a row for each condition; thresholds that differ, or are missing, are an error."""
+    made = chosen.agg(F.max(name).alias("threshold"), (F.max(name) - F.min(name)).alias("spread"), F.count("*").alias("conditions"), F.count(name).alias("__k"))
+    bad = F.coalesce((_C("spread") > tolerance) | (_C("__k") < _C("conditions")), F.lit(True))
+    return made.withColumn("threshold", F.when(bad, F.raise_error(F.lit("conditions don't share a threshold")).cast("double")).otherwise(_C("threshold"))).drop("__k")

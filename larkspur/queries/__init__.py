@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("labels", "splits", "joins", "metrics", "decoders", "sweeps", "sampling", "stats", "routing", "lexical", "records", "extensions")
+MODULES = ("labels", "splits", "joins", "metrics", "decoders", "sweeps", "sampling", "stats", "routing", "lexical", "records", "tables", "sources", "extensions")
 
 
 def load():

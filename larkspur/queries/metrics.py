@@ -197,7 +197,7 @@ def reference_comparison(spark, sf_dir):
 
 @query(_CONTRAST + ", r AS (SELECT aspect, described - native AS gain FROM f) SELECT aspect, round(gain, 9) AS gain, gain > 0 AS promoted, row_number() OVER (ORDER BY round(gain, 12) DESC, aspect)::INT AS rank FROM r")
 def promotion_table(spark, sf_dir):
-    """AG28: gains with a rank; `promotion_by_interval` has the rule with the interval."""
+    """AG48 without its interval: gains with a rank; see `promotion_by_interval`."""
     made = _two(spark, sf_dir).select("aspect", (F.col("described") - F.col("native")).alias("gain"))
     return made.withColumns({"promoted": F.col("gain") > 0, "rank": F.row_number().over(Window.orderBy(F.desc(F.round("gain", 12)), "aspect"))})  # one row for each aspect
 
@@ -324,3 +324,15 @@ def aspect_rank_mrr(spark, sf_dir):
     rk = F.row_number().over(Window.partitionBy("row_uid").orderBy(F.desc("aspect_score"), "aspect"))
     r = D.oracle_lines(grid(spark, sf_dir)).withColumn("rk", rk).where("target = 1")
     return r.agg(F.avg("rk").alias("mean_rank"), F.percentile("rk", F.lit(0.5)).alias("median_rank"), F.avg(1 / F.col("rk")).alias("mrr"), F.avg((F.col("rk") == 1).cast("int")).alias("top_1"), F.avg((F.col("rk") <= 3).cast("int")).alias("top_3"))
+
+
+@query(with_views("grid_a") + """, t AS (SELECT unnest([0.5, 0.6, 0.7])::DOUBLE AS th), o AS (SELECT th, aspect, sum((score >= th AND target = 1)::INT) AS tp, sum((score >= th)::INT) AS n, sum(target) AS g FROM grid_a, t GROUP BY ALL),
+m AS (SELECT 'threshold ' || th AS candidate_id, avg(coalesce(2.0::DOUBLE * tp / nullif(n + g, 0), 0)) AS f, avg(coalesce(tp::DOUBLE / nullif(n, 0), 0)) AS p FROM o GROUP BY th)
+SELECT candidate_id, round(f, 9) AS mean_f1, round(p, 9) AS mean_precision, row_number() OVER (ORDER BY round(f, 12) DESC, round(p, 12) DESC, candidate_id)::INT AS rank FROM m""")
+def tuning_selection(spark, sf_dir):
+    """AG28: registered candidates (thresholds) over folds (aspects), ranked; the first is selected."""
+    from larkspur.operators.sweep import grid_sweep
+
+    swept = grid_sweep(grid(spark, sf_dir), F.col("score"), [0.5, 0.6, 0.7], "aspect")
+    seen = swept.select(F.concat(F.lit("threshold "), F.col("threshold").cast("string")).alias("candidate_id"), F.col("aspect").alias("fold_id"), "f1", "precision")
+    return M.tuned(seen, {f"threshold {t}": 0.0 for t in (0.5, 0.6, 0.7)}, list(ASPECTS), [("f1", "desc"), ("precision", "desc")])

@@ -1,4 +1,4 @@
-"""Language-model records (PR32-PR36, AG22, AG32, SK8)."""
+"""Language-model records and reports (PR32-PR36, AG22, AG32, AG49, SK8, OR8)."""
 
 from pyspark.sql import functions as F
 
@@ -89,16 +89,44 @@ def manifest_change(spark, sf_dir):
     return l.agg(on(a & b).alias("kept"), on(a & ~b).alias("dropped"), on(~a & b).alias("added"))
 
 
-@query("""SELECT r_name AS name, count(n_nationkey) AS nations, round(avg(s_acctbal), 9) AS mean_balance FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name""")
-def report_numbers(spark, sf_dir):
-    """SK8, AG49: numbers of a report."""
-    r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
-    return r.join(n, n.n_regionkey == r.r_regionkey, "left").join(s, s.s_nationkey == n.n_nationkey, "left").groupBy(F.col("r_name").alias("name")).agg(F.count("n_nationkey").alias("nations"), F.avg("s_acctbal").alias("mean_balance"))
+_REPORT = with_views("pred_a") + """, f AS (SELECT aspect, coalesce(sum(target * p)::DOUBLE / nullif(sum(p), 0), 0) AS precision, coalesce(sum(target * p)::DOUBLE / nullif(sum(target), 0), 0) AS recall, coalesce(2.0::DOUBLE * sum(target * p) / nullif(sum(target + p), 0), 0) AS f1 FROM pred_a GROUP BY aspect)"""
 
 
-@query("""WITH j AS (SELECT n_nationkey AS job, 1.0 + n_nationkey % 4 AS seconds, 100 * (n_nationkey + 1) AS items FROM nation) SELECT sum(items)::BIGINT AS items, round(sum(items * seconds)::DOUBLE / 3600, 9) AS hours, round(sum(items * seconds)::DOUBLE / 3600 * 1.25 * 0.4, 9) AS cost_with_margin FROM j""")
+@query(_REPORT + """ SELECT aspect, '| ' || aspect || ' | ' || printf('%.3f', round(precision, 9)) || ' | ' || printf('%.3f', round(recall, 9)) || ' | ' || printf('%.3f', round(f1, 9)) || ' |' AS line FROM f""")
+def report_lines(spark, sf_dir):
+    """SK8: a report's numbers as the lines of a Markdown table."""
+    from larkspur.operators import metrics as M
+    from larkspur.queries.metrics import decoded
+
+    made = M.pooled(decoded(spark, sf_dir), "aspect")
+    show = lambda c: F.format_string("%.3f", F.round(c, 9))
+    return made.select("aspect", F.concat(F.lit("| "), "aspect", F.lit(" | "), show("precision"), F.lit(" | "), show("recall"), F.lit(" | "), show("f1"), F.lit(" |")).alias("line"))
+
+
+@query(_REPORT + """, r AS (SELECT row_number() OVER (ORDER BY aspect) AS place, aspect AS method_id, f1 + CASE WHEN aspect = 'Offer: PROMO' THEN 1e-6 ELSE 0 END AS value, CASE WHEN aspect LIKE 'Grade%' THEN 'Independent heads' ELSE 'conditioned' END AS formulation FROM f)
+SELECT method_id, unnest(list_filter([CASE WHEN method_id = 'Size: SMALL' THEN 'retired' END, CASE WHEN contains(lower(formulation), 'independent') THEN 'retired formulation' END, CASE WHEN method_id = 'Offer: PROMO' THEN 'disagrees with its source' END], lambda x: x IS NOT NULL)) AS problem FROM r
+UNION ALL SELECT 'Size: TINY', 'missing'""")
+def registry_check(spark, sf_dir):
+    """AG49: a registry of results against its order, what is retired, and the export it comes from; here with planted faults."""
+    from larkspur.operators import metrics as M
+    from larkspur.operators.contracts import registry_problems
+    from larkspur.plans.taxonomy import ASPECTS
+    from larkspur.queries.metrics import decoded
+
+    source = M.pooled(decoded(spark, sf_dir), "aspect").select(F.col("aspect").alias("method_id"), F.col("f1").alias("value"))
+    off = F.when(F.col("method_id") == "Offer: PROMO", 1e-6).otherwise(0.0)
+    at = F.array_position(F.array(*map(F.lit, sorted(ASPECTS))), F.col("method_id"))
+    registry = source.select(at.alias("place"), "method_id", (F.col("value") + off).alias("value"), F.when(F.col("method_id").startswith("Grade"), "Independent heads").otherwise("conditioned").alias("formulation"))
+    return registry_problems(registry, source, [*sorted(ASPECTS), "Size: TINY"], retired=["Size: SMALL"], terms=["independent"], values=[2.0])
+
+
+_FORECAST = with_views("review", "aspect_dim", "sentiment_dim") + """SELECT split, count(*) * 18 AS items, round(count(*) * 18 / 26.5 / 3600, 9) AS hours, round(count(*) * 18 / 26.5 / 3600 * 1.25, 9) AS hours_with_margin, round(count(*) * 18 / 26.5 / 3600 * 1.25 * 0.4, 9) AS cost FROM review GROUP BY split"""
+
+
+@query(_FORECAST)
 def runtime_forecast(spark, sf_dir):
-    """OR8: items by seconds, with a margin and a price."""
-    j = table(spark, sf_dir, "nation").select((1.0 + F.col("n_nationkey") % 4).alias("seconds"), (100 * (F.col("n_nationkey") + 1)).cast("long").alias("items"))
-    hours = F.sum(F.col("items") * F.col("seconds")) / 3600
-    return j.agg(F.sum("items").alias("items"), hours.alias("hours"), (hours * 1.25 * 0.4).alias("cost_with_margin"))
+    """OR8: how long scoring every candidate of every review takes at a measured rate, with a margin and a price."""
+    from larkspur.plans.taxonomy import SENTIMENTS
+
+    counted = reviews(spark, sf_dir).groupBy("split").agg((F.count("*") * len(ASPECTS) * len(SENTIMENTS)).alias("items"))
+    return R.forecast(counted, "items", per_second=26.5, margin=1.25, price=0.4)

@@ -38,13 +38,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def object_of(text: str, name: str) -> dict:
+    """A text's JSON object; anything else is an error."""
+    found = json.loads(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{name} is no JSON object")
+    return found
+
+
 def read_config(path: str) -> dict:
     """A JSON object; anything else is an error."""
     with open(path, encoding="utf-8") as f:
-        found = json.load(f)
-    if not isinstance(found, dict):
-        raise ValueError(f"{path} is no JSON object")
-    return found
+        return object_of(f.read(), path)
 
 
 def _finite(frame: DataFrame) -> DataFrame:

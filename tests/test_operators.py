@@ -438,3 +438,78 @@ def test_logistic_equals_gradient_zero(spark):
     p = 1 / (1 + np.exp(-(z @ w + fit.intercept)))
     assert np.allclose(w + 2.0 * z.T @ (p - y), 0, atol=0.05) and abs((p - y).sum()) < 0.05
     assert np.allclose(sorted(r["probability"] for r in score(frame).collect()), np.sort(p), atol=1e-6)
+
+
+def test_registry_problems(spark):
+    schema = "place int, method_id string, value double, formulation string"
+    registry = spark.createDataFrame([(1, "a", 0.5, "conditioned"), (3, "b", 0.6, "Independent x"), (2, "c", float("nan"), "x"), (4, "d", 0.7, "x")], schema)
+    source = spark.createDataFrame([("a", 0.5), ("b", 0.6 + 1e-9), ("c", 0.1)], "method_id string, value double")
+    got = {(r["method_id"], r["problem"]) for r in contracts.registry_problems(registry, source, ["a", "b", "c", "d", "e"], ["d"], ["independent"], [0.5]).collect()}
+    assert got == {("a", "retired value"), ("b", "not in the registered order"), ("b", "retired formulation"), ("b", "disagrees with its source"), ("c", "not in the registered order"), ("c", "not finite"), ("d", "retired"), ("d", "disagrees with its source"), ("e", "missing")}
+
+
+def test_tuning(spark):
+    schema = "candidate_id string, fold_id string, f1 double, fp double"
+    rows = [("a", "x", 0.5, 1.0), ("a", "y", 0.7, 1.0), ("b", "x", 0.6, 0.0), ("b", "y", 0.6, 2.0), ("c", "x", 0.9, 9.0), ("c", "y", 0.2, 9.0)]
+    order = [("f1", "desc"), ("fp", "asc")]
+    tune = lambda rows, known=("a", "b", "c"): [r["candidate_id"] for r in metrics.tuned(spark.createDataFrame(rows, schema), {k: {"a": 2.0, "b": 1.0}.get(k, 3.0) for k in known}, ["x", "y"], order).orderBy("rank").collect()]
+    assert tune(rows) == ["b", "a", "c"]  # equal means: the less complex first
+    for wrong in (rows[:-1], rows + rows[:1], [*rows[:-1], ("c", "z", 0.2, 9.0)], [*rows[:-1], ("c", "y", float("nan"), 9.0)], [*rows, ("d", "x", 0.1, 1.0), ("d", "y", 0.1, 1.0)]):
+        with pytest.raises(Exception, match="registered"):
+            tune(wrong)
+    with pytest.raises(Exception, match="registered"):
+        tune(rows, ("a", "b", "c", "e"))
+
+
+def test_latent_directions_are_singular_vectors(spark):
+    rng = np.random.default_rng(0)
+    strong = rng.normal(size=(120, 3)) @ (rng.normal(size=(3, 40)) * np.array([[9], [5], [3]]))
+    x = strong + rng.normal(size=(120, 40)) * 0.05
+    x[rng.random(x.shape) < 0.3] = 0
+    rows = [(i, [int(j) for j in np.nonzero(r)[0]], [float(v) for v in r[r != 0]]) for i, r in enumerate(x)]
+    got = {r["k"]: np.array(r["z"]) for r in lexical.latent(spark.createDataFrame(rows, "k int, i array<int>, v array<double>"), "k", 3, size=40, rounds=30).collect()}
+    v = np.linalg.svd(x)[2][:3].T
+    z = x @ v
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    assert all(np.allclose(np.abs(got[i]), np.abs(z[i]), atol=1e-6) for i in range(120))
+
+
+def test_sparse_tfidf_equals_the_joined_one(spark):
+    docs = spark.createDataFrame([(1, "ab cd ab"), (2, "cd ef"), (3, ""), (4, None), (5, "ab gh ij")], "k int, text string")
+    found = lexical.terms(docs, "k", "text", bigrams=True)
+    expected = {}
+    for r in lexical.tfidf(found, lexical.idf(found, "k"), "k").collect():
+        expected.setdefault(r["k"], []).append(round(r["w"], 12))
+    got = {r["k"]: sorted(round(v, 12) for v in r["v"]) for r in lexical.sparse_tfidf(docs, "k", "text").collect()}
+    assert got == {k: sorted(v) for k, v in expected.items()}
+
+
+def test_shared_thresholds(spark):
+    rows = lambda *t: spark.createDataFrame([(x,) for x in t], "threshold double")
+    assert sweep.shared_threshold(rows(0.5, 0.5), "threshold").first()["conditions"] == 2
+    for bad in (rows(0.5, 0.6), rows(0.5, None), rows()):
+        with pytest.raises(Exception, match="share a threshold"):
+            sweep.shared_threshold(bad, "threshold").collect()
+
+
+def test_distinct_policies():
+    a, b = {"mode": "union", "rate": 0.1}, {"rate": 0.2, "mode": "union"}
+    assert routing.distinct_policies([a, b, {"rate": 0.1, "mode": "union"}, b]) == [a, b]
+
+
+def test_interface_selection(spark):
+    schema = "interface string, aspect string, average_precision double"
+    rows = [("D", "a", 0.5), ("D", "b", 0.5), ("max", "a", 0.7), ("max", "b", 0.5), ("mean", "a", 0.6), ("mean", "b", 0.592), ("far", "a", 0.1), ("far", "b", 0.1)]
+    got = {r["interface"]: (round(r["mean_delta"], 9), r["near"], r["selected"]) for r in lexical.select_interface(spark.createDataFrame(rows, schema), "D", ["mean", "max", "far"]).collect()}
+    assert got == {"max": (0.1, True, False), "mean": (0.096, True, True), "far": (-0.4, False, False)}
+    with pytest.raises(Exception, match="same aspects"):
+        lexical.select_interface(spark.createDataFrame(rows[:-1], schema), "D", ["mean", "max", "far"]).collect()
+
+
+def test_singletons(spark):
+    rows = spark.createDataFrame([(str(i), [("A", "positive"), ("A", "negative")] if i % 2 else []) for i in range(200)], "row_uid string, labels array<struct<aspect:string,sentiment:string>>")
+    count = lambda ratio: {r["target"]: r["count"] for r in sampling.singletons(rows, ("A", "B", "C", "D"), ratio, 13).groupBy("target").count().collect()}
+    assert count(0) == {1: 100} and count(2) == {1: 100, 0: 400} and count(9) == {1: 100, 0: 700}
+    assert abs(count(0.25)[0] - 50) < 20
+    made = sampling.singletons(rows, ("A", "B", "C", "D"), 1.5, 13)
+    assert made.select("place").distinct().count() == made.count() and sorted(map(tuple, made.collect())) == sorted(map(tuple, sampling.singletons(rows.orderBy(F.desc("row_uid")), ("A", "B", "C", "D"), 1.5, 13).collect()))
