@@ -306,30 +306,33 @@ def archive(pages: DataFrame, path: str) -> None:
         ).write.format("warc").mode("append").save(path)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True, **options: str) -> DataFrame:
-    """The records under `path`; without payload, payloads are stepped over. Turns the session's filter pushdown on.
+def read(spark: SparkSession, path: str, payload: bool = True, pushdown: bool = True, **options: str) -> DataFrame:
+    """The records under `path`; without payload, payloads are stepped over. With pushdown, the session's filter pushdown is turned on.
 
     A record without its type, which the format demands, isn't returned.
     """
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # a reader that takes filters fails without it
-    reader = spark.read.format("warc").option("pushdown", "true").options(**options)
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # a reader that takes filters fails without it
+    reader = spark.read.format("warc").option("pushdown", str(pushdown).lower()).options(**options)
     return (reader if payload else reader.schema(SCHEMA.rsplit(",", 1)[0])).load(path).where(F.col("record_type").isNotNull())
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to, from the archive that holds the pages.
 
-    A response's length and digest are taken from the payload that was read, a revisit's from its headers.
+    A response's length and digest are taken from the payload that was read. Revisits are read by their type and without
+    payloads, which are stepped over; theirs are from the headers.
     """
     path = path or scratch_path(pages.sparkSession, "warc")
     archive(pages, path)
-    kind = pages.schema["page_id"].dataType
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
     number = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1).cast(kind)
-    found, response = read(pages.sparkSession, path), F.col("record_type") == "response"
-    return found.select(
-        F.when(F.col("record_id") != "<urn:page:>", number("record_id")).alias("page_id"),
-        F.when(response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
-        F.when(response, F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
-        "record_type", F.when(~response, number("refers_to")).alias("refers_to"),
+    own = F.when(F.col("record_id") != "<urn:page:>", number("record_id")).alias("page_id")
+    responses = read(spark, path, pushdown=False, record_types="response").select(
+        own, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"),
     )
+    revisits = read(spark, path, payload=False, pushdown=False, record_types="revisit").select(
+        own, F.col("payload_bytes").cast("long").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"),
+    )
+    return responses.unionByName(revisits)
