@@ -43,12 +43,22 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
+@F.arrow_udf(T.StringType())
 def nfkc(text):
-    """NFKC, case folding, white space collapsed: Spark has no such function."""
+    """NFKC, case folding, white space collapsed: Spark has no such function. Texts of ASCII are done as one array."""
     import unicodedata
 
-    return text.fillna("").map(lambda x: " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = pc.fill_null(text, "")
+    plain = pc.replace_substring_regex(pc.ascii_lower(held), "[\t-\r\x1c- ]+", " ")
+    made = pc.ascii_trim(plain, " ")
+    other = pc.match_substring_regex(held, "[^\x00-\x7f]")
+    if not pc.any(other).as_py():
+        return made
+    slow = pa.array([" ".join(unicodedata.normalize("NFKC", x).casefold().split()) for x in held.filter(other).to_pylist()], pa.string())
+    return pc.replace_with_mask(made.cast(pa.string()), other, slow)
 
 
 def _by_aspect(aspect: Column, values: dict[str, str]) -> Column:

@@ -18,6 +18,14 @@ def require_forbidden(frame: DataFrame, *names: str) -> DataFrame:
     return frame
 
 
+def few(frame: DataFrame, most: int = 10_000) -> DataFrame:
+    """The frame, to be broadcast; more than `most` rows are an error."""
+    n = frame.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows to broadcast")
+    return F.broadcast(frame)
+
+
 def duplicates(frame: DataFrame, *key: str) -> DataFrame:
     """(key, n) of keys with several rows."""
     return frame.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

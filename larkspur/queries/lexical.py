@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.scores import cosine
 from larkspur.operators import lexical as X
+from larkspur.operators.contracts import few
 from larkspur.plans.adapter import table, with_views
 from larkspur.queries.registry import query
 
@@ -74,7 +75,7 @@ def prototype_top2(spark, sf_dir):
     """ML11: each vector against the ten labels' mean vectors."""
     e = table(spark, sf_dir, "embeddings")
     c = X.prototypes(e, "label").withColumnRenamed("label", "prototype")
-    scored = e.select("vec_id", "embedding").crossJoin(F.broadcast(c)).select("vec_id", cosine(F.col("embedding"), F.col("centre")).alias("score"))  # one row for each label
+    scored = e.select("vec_id", "embedding").crossJoin(few(c)).select("vec_id", cosine(F.col("embedding"), F.col("centre")).alias("score"))  # one row for each label
     return X.interfaces(scored, "vec_id")
 
 

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.plans.adapter import hash_bucket
+from larkspur.sources.bundles import exists, read_text, write_text
 
 UNIT = ["method", "level", "fold_id", "condition"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_scores(scores: DataFrame, path: str, shards: int) -> None:
     """Score rows by unit and hash shard of their review; a review is never split."""
     made = scores.withColumn("shard", hash_bucket(F.col("row_uid"), shards))
@@ -28,7 +26,7 @@ def read_scores(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def resume_state(expected: DataFrame, path: str, schema: str, *key: str) -> DataFrame:
     """(unit, state): missing, complete or corrupt by comparing the expected keys with those that are stored."""
     spark = expected.sparkSession
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return expected.select(*UNIT).distinct().withColumn("state", F.lit("missing"))
     stored = read_scores(spark, path, schema).groupBy(*UNIT, *key).agg(F.count("*").alias("n"))
     both = expected.select(*UNIT, *key).withColumn("e", F.lit(1)).join(stored, [*UNIT, *key], "full")
@@ -37,20 +35,40 @@ def resume_state(expected: DataFrame, path: str, schema: str, *key: str) -> Data
 
 
 class ScoreCache:
-    """A table of scores by key: only keys that it lacks are scored, and are appended."""
-
-    def __init__(self, spark: SparkSession, path: str, key: list[str]):
-        self.spark, self.path, self.key = spark, path, key
+    """A table of scores by key: only keys that it lacks are scored, and are appended.
+
+    A cache is made under a contract (model, prompt, parameters); opening it under another one is an error. A read-only cache
+    never scores: a key that it lacks is an error.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], contract: dict | None = None, read_only: bool = False):
+        self.spark, self.path, self.key, self.read_only = spark, f"{path}/data", key, read_only
+        held, wanted = f"{path}/contract.json", json.dumps({"key": key, "contract": contract or {}}, sort_keys=True)
+        if exists(spark, held):
+            if read_text(spark, held) != wanted:
+                raise ValueError(f"{path} was made under another contract")
+        elif read_only:
+            raise FileNotFoundError(path)
+        else:
+            write_text(spark, held, wanted)
 
     def table(self, like: DataFrame) -> DataFrame:
+        """The scores; a key that came twice with different scores is an error."""
         schema = like.select(*self.key).schema.add("score", "double")
-        return self.spark.read.schema(schema).parquet(self.path) if _exists(self.spark, self.path) else self.spark.createDataFrame([], schema)
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], schema)
+        per = self.spark.read.schema(schema).parquet(self.path).groupBy(*self.key).agg(F.min("score").alias("score"), F.max("score").alias("__most"))
+        same = F.col("score").eqNullSafe(F.col("__most"))
+        return per.select(*self.key, F.when(same, F.col("score")).otherwise(F.raise_error(F.lit("a key has two scores")).cast("double")).alias("score"))
 
     def misses(self, claims: DataFrame) -> DataFrame:
         return claims.select(*self.key).distinct().join(self.table(claims), self.key, "left_anti")
 
-    def score(self, claims: DataFrame, scorer: Column) -> DataFrame:
+    def score(self, claims: DataFrame, scorer: Column | None = None) -> DataFrame:
         """claims with scores. What the scorer makes is written first, so that it runs once for each key."""
+        if self.read_only:
+            lacking = F.raise_error(F.lit("a key isn't in the read-only cache")).cast("double")
+            return claims.join(self.table(claims).withColumn("__hit", F.lit(1)), self.key, "left").withColumn("score", F.when(F.col("__hit").isNull(), lacking).otherwise(F.col("score"))).drop("__hit")
         self.misses(claims).withColumn("score", scorer).write.mode("append").parquet(self.path)
         return claims.join(self.table(claims), self.key)
 

@@ -75,6 +75,17 @@ def test_tokens_and_overlaps(spark):
     assert one(spark, T.nfkc(F.lit(" Ａ\tß  x "))) == "a ss x" and one(spark, T.normalised(F.lit(" SAME\tText "))) == "same text"
 
 
+def test_nfkc_equals_python(spark):
+    import random
+    import unicodedata
+
+    rng = random.Random(2)
+    parts = ["A", "b", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\u00a0", "\u2003", "ß", "Ａ", "é", "e\u0301", "ﬁ", "İ", "Σ", "0"]
+    texts = ["".join(rng.choice(parts if i % 2 else parts[:11]) for _ in range(rng.randrange(12))) for i in range(400)] + [None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.nfkc("t").alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: " ".join(unicodedata.normalize("NFKC", t or "").casefold().split()) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize(
     ("raw", "text", "strict"),
     [

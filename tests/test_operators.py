@@ -415,6 +415,9 @@ def test_joins_that_must_fail(spark):
     with pytest.raises(ValueError, match="bad_s"):
         contracts.audit(spark.createDataFrame([(1, float("nan"))], "k int, s double"), ["k"], ["s"])
     assert contracts.audit(spark.createDataFrame([(1, 0.5)], "k int, s double"), ["k"], ["s"], 1)["rows"] == 1
+    assert contracts.few(spark.range(5), 5).count() == 5
+    with pytest.raises(ValueError, match="more than 4"):
+        contracts.few(spark.range(5), 4)
 
 
 def test_kernel_ridge_recovers_a_linear_map():

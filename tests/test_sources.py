@@ -75,6 +75,17 @@ def test_score_cache(spark, tmp_path):
     assert [r["claim"] for r in cache.misses(second).collect()] == ["c"]
     cache.score(second, F.lit(9.0))
     assert {r["claim"]: r["score"] for r in cache.table(second).collect()} == {"a": 1.0, "b": 1.0, "c": 9.0}
+    with pytest.raises(ValueError, match="another contract"):
+        store.ScoreCache(spark, f"{tmp_path}/cache", ["claim"], {"model": "other"})
+    fixed = store.ScoreCache(spark, f"{tmp_path}/cache", ["claim"], read_only=True)
+    assert {r["claim"]: r["score"] for r in fixed.score(second).collect()} == {"a": 1.0, "c": 9.0}
+    with pytest.raises(Exception, match="read-only cache"):
+        fixed.score(spark.createDataFrame([("z",)], "claim string")).collect()
+    with pytest.raises(FileNotFoundError):
+        store.ScoreCache(spark, f"{tmp_path}/none", ["claim"], read_only=True)
+    spark.createDataFrame([("a", 2.0)], "claim string, score double").write.mode("append").parquet(f"{tmp_path}/cache/data")
+    with pytest.raises(Exception, match="two scores"):
+        cache.table(second).collect()
 
 
 def test_reports(spark, tmp_path):
