@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -33,23 +34,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
 
 
-#: Scratch tables of the scopes that are open, from the outermost to the innermost.
-_SCOPES: list[list[Scratch]] = []
+class _Scopes(threading.local):
+    """Scratch tables of a thread's open scopes, from the outermost to the innermost."""
+
+    def __init__(self):
+        self.open: list[list[Scratch]] = []
+
+
+_SCOPES = _Scopes()
 
 
 @contextmanager
 def freeing() -> Iterator[None]:
     """Scratch tables that are made inside are deleted at its end; those that were kept go over to the scope around it."""
-    _SCOPES.append([])
+    _SCOPES.open.append([])
     try:
         yield
     finally:
-        for made in _SCOPES.pop():
+        for made in _SCOPES.open.pop():
             if not made.kept:
                 made.drop()
-            elif _SCOPES:
+            elif _SCOPES.open:
                 made.kept = False
-                _SCOPES[-1].append(made)
+                _SCOPES.open[-1].append(made)
 
 
 class Scratch:
@@ -57,8 +64,8 @@ class Scratch:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.kept = df.sparkSession, False
-        if _SCOPES:
-            _SCOPES[-1].append(self)
+        if _SCOPES.open:
+            _SCOPES.open[-1].append(self)
         self.path = scratch_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -70,7 +77,7 @@ class Scratch:
 
     def drop(self) -> None:
         """Delete the files; only after everything that reads them has been written."""
-        for scope in _SCOPES:
+        for scope in _SCOPES.open:
             if self in scope:
                 scope.remove(self)
         jvm = self.spark.sparkContext._jvm
