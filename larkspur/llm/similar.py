@@ -42,13 +42,17 @@ from larkspur.llm.components import components
 
 SHINGLE, SIMILARITY, POINTS, WIDTH, RADIUS = 5, 0.8, 62, 7, 20
 #: Nodes of a triple that one task compares; bytes of text of a cell's side; shingles whose bits are counted at a time.
-RUN, CHUNK, PART = 1 << 16, 4 << 20, 4096
+RUN, CHUNK, PART = 1 << 16, 4 << 20, 255
 #: Rows of texts with others in their class that may be broadcast (five numbers: below 100 bytes each).
 BROADCAST_ROWS = 200_000
 #: Blocks i, i + a, i + a + b around a circle; no two blocks are together in two triples.
 TRIPLES = np.array([(i, (i + a) % POINTS, (i + a + b) % POINTS) for a, b in ((1, 3), (2, 6), (5, 9)) for i in range(POINTS)])
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
+_WORDS = _ODD[2] * np.arange(8, dtype=np.uint64)
+#: Each byte's bits in the eight bytes of a number: up to 255 of them add up without a carry.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
 
 def _mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * by
@@ -56,22 +60,25 @@ def _mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
-    """The set of hashes of all k-word shingles; fewer words are one, none are none."""
-    k = min(k, len(words))
-    made = np.full(len(words) - k + 1 if k else 0, k, np.uint64)
+def _sequences(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-word sequences, in order."""
+    made = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
         made = _mixed(made ^ words[i : len(words) - k + 1 + i], _ODD[0])
-    return np.unique(made)
+    return made
+
+
+def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """The set of hashes of all k-word shingles; fewer words are one, none are none."""
+    return np.unique(_sequences(words, min(k, len(words)))) if len(words) else words
 
 
 def fingerprint(shingle_set: np.ndarray) -> tuple[np.ndarray, int]:
     """(blocks, 64 more bits): a bit is 1 if it is set in over half of the shingles' hashes."""
     votes, used = np.zeros(512, np.int64), POINTS * WIDTH
     for at in range(0, len(shingle_set), PART):
-        part = shingle_set[at : at + PART]
-        wide = np.stack([_mixed(part + _ODD[2] * np.uint64(i), _ODD[3]) for i in range(8)], axis=1)
-        votes += np.unpackbits(wide.view(np.uint8), axis=1).sum(0, dtype=np.uint16)
+        wide = _mixed(shingle_set[at : at + PART, None] + _WORDS, _ODD[3])
+        votes += _LANES[wide.view(np.uint8)].sum(0).view(np.uint8)
     bits = votes * 2 > len(shingle_set)
     blocks = bits[:used].reshape(POINTS, WIDTH) @ (1 << np.arange(WIDTH))
     return blocks.astype(np.uint8), int(np.packbits(bits[used : used + 64]).view(np.int64)[0])
@@ -81,8 +88,10 @@ def shingled(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[np.ndarray, np
     """(words' hashes, shingles) of each text (strings without nulls)."""
     offsets, words, codes = tokens(texts)
     hashed = hashes(words).view(np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
+    # over all texts at once; a text's own are those that don't reach into the next one
+    every = _sequences(hashed, k) if len(hashed) >= k else hashed[:0]
     for a, b in zip(offsets[:-1], offsets[1:]):
-        yield hashed[a:b], shingles(hashed[a:b], k)
+        yield hashed[a:b], np.unique(every[a : b - k + 1]) if b - a >= k else shingles(hashed[a:b], k)
 
 
 def _marks(texts: pa.Array) -> list[pa.Array]:
