@@ -17,13 +17,13 @@ def brute(rows, templates=licenses.TEMPLATES):
             t = re.findall(r"[^\W_]+", template.lower())
             want = Counter(zip(t, t[1:]))
             size, met = want.total(), []
-            for a in range(len(own)):
+            for a in (a for a in range(len(own)) if own[a] in want):
                 run, both, best = Counter(), 0, (0, 0, 0)
                 for b in range(a, min(len(own), a + int(1.5 * size + 1e-9))):
                     run[own[b]] += 1
                     both += run[own[b]] <= want[own[b]]
                     best = max(best, (2 * both / (b - a + 1 + size), -b, b))
-                if best[0] >= 0.8 and own[a] in want:
+                if best[0] >= 0.8:
                     met.append((best[0], a, best[2]))
             if met:
                 dice, first, last = max(met, key=lambda x: (x[0], -x[1]))
