@@ -194,8 +194,18 @@ def pair_scorer(spark, sf_dir):
     from larkspur.operators.scorers import PairScorer
 
     rows = _manifest(spark, sf_dir)
-    out = [_scored(PairScorer(a), rows).withColumn("features", F.lit(a)) for a in PairScorer.ABLATIONS]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    full = PairScorer().fit(rows.where("not held"))
+    made = full.features(rows).persist()  # three regressions read the same features
+    try:
+        out = []
+        for name in PairScorer.ABLATIONS:
+            scored = PairScorer(name).learn(made.where("not held")).scored(made.where("held"))
+            out.append(scored.groupBy("target").agg(F.count("*").alias("n"), F.avg("probability").alias("mean_probability")).withColumn("features", F.lit(name)))
+        whole = out[0].unionByName(out[1]).unionByName(out[2])
+        done = whole.collect()  # two rows for each set of features
+    finally:
+        made.unpersist()
+    return spark.createDataFrame(done, whole.schema)
 
 
 @query()
@@ -217,6 +227,22 @@ def two_stage_scorer(spark, sf_dir):
     return made.groupBy("target").agg(F.count("*").alias("n"), F.avg("aspect_score").alias("mean_aspect_score"), F.avg("sentiment_score").alias("mean_sentiment_score"))
 
 
+@query()
+def registered_similarity(spark, sf_dir):
+    """ML9: the registered sparse scorers, fitted on training documents only, with what is known of each candidate's vector."""
+    from larkspur.operators.scorers import Similarity, similarity_names
+    from larkspur.plans.adapter import hash_bucket
+
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), "text", (hash_bucket(F.col("doc_id").cast("string"), 5) == 0).alias("held"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("candidate"), "text")
+    out = []
+    for name in similarity_names():
+        model = Similarity(name).fit(docs.where("not held").select("text"))
+        best = model.score(docs.where("held"), items).groupBy("candidate").agg(F.max("score").alias("best"), F.count("*").alias("documents"))
+        out.append(model.diagnostics(items).join(best, "candidate", "left").withColumn("scorer", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
 @query()
 def lexical_baseline(spark, sf_dir):
     """ML8: a linear model over TF-IDF, and the constant that stands for it where training has one label only."""

@@ -118,3 +118,36 @@ def sealed_bundle(spark, sf_dir):
         receipt = bundles.check_receipt(spark, f"{path}/one", contract)["status"] == "complete"
         held = bundles.read_bundle(spark, f"{path}/one", contract, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), rows)
         return _few(spark, held.agg(F.count("*").alias("rows")).select("rows", F.lit(found["bundles"]).cast("long").alias("bundles"), F.lit(not found["outcomes_revealed"]).alias("sealed"), F.lit(receipt).alias("receipt")))
+
+
+@query(with_views("pred_a") + """, r AS (SELECT aspect, row_uid, max(target) AS g, max(p) AS q FROM pred_a WHERE split = 'validation' GROUP BY ALL)
+SELECT aspect, sum(g * q)::BIGINT AS presence_tp_rows, sum((1 - g) * q)::BIGINT AS presence_fp_rows, sum(g * (1 - q))::BIGINT AS presence_fn_rows, round(coalesce(2.0::DOUBLE * sum(g * q) / nullif(sum(g + q), 0), 0), 9) AS presence_f1 FROM r GROUP BY aspect""")
+def presence_from_files(spark, sf_dir):
+    """AG31: presence metrics computed anew from a file of predictions for each held-out aspect."""
+    from larkspur.operators import metrics as M
+    from larkspur.queries.metrics import decoded
+
+    rows = decoded(spark, sf_dir).where("split = 'validation'")
+    on = lambda c: F.collect_list(F.when(F.col(c) == 1, F.col("sentiment")))
+    sets = rows.groupBy("aspect", "row_uid").agg(on("target").alias("gold"), on("p").alias("pred"))
+    with _folder(spark, "predictions") as path:
+        sets.write.partitionBy("aspect").json(path)
+        made = readers.read_jsonl(spark, path, "row_uid string, gold array<string>, pred array<string>, aspect string")
+        return _few(spark, M.presence(made, ("aspect",)).select("aspect", "presence_tp_rows", "presence_fp_rows", "presence_fn_rows", "presence_f1"))
+
+
+@query("SELECT TRUE AS equal_scores, TRUE AS receipt_checked")
+def model_checkpoint(spark, sf_dir):
+    """SK9: a fitted model is written with a receipt, checked, read again, and scores as before."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from larkspur.operators.lexical import logistic
+    from larkspur.sources import checkpoints
+
+    rows = grid(spark, sf_dir, split="validation").select("target", "score", "aspect_score")
+    model, score = logistic(rows, ["score", "aspect_score"], "target")
+    with _folder(spark, "checkpoint") as path:
+        receipt = checkpoints.save(spark, model, path, {"study": "s"})
+        again = checkpoints.load(spark, LogisticRegressionModel, path, {"study": "s"})
+        same = again.coefficients == model.coefficients and again.intercept == model.intercept
+    return spark.createDataFrame([(bool(same), receipt["status"] == "complete")], "equal_scores boolean, receipt_checked boolean")

@@ -96,3 +96,24 @@ def test_scores_and_evidence(spark, tmp_path):
     (tmp_path / "z.csv").write_text("row_uid,fold,score\nu1,g,half\n")
     with pytest.raises(Exception):
         readers.read_scores(spark, f"{tmp_path}/z.csv", schema).collect()
+
+
+def test_checkpoints(spark, scores, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from larkspur.operators.lexical import logistic
+    from larkspur.sources import checkpoints
+
+    model, _ = logistic(scores, ["score"], "p")
+    path = f"{tmp_path}/model"
+    checkpoints.save(spark, model, path, CONTRACT)
+    assert checkpoints.load(spark, LogisticRegressionModel, path, CONTRACT).coefficients == model.coefficients
+    with pytest.raises(FileExistsError):
+        checkpoints.save(spark, model, path, CONTRACT)
+    with pytest.raises(ValueError, match="another contract"):
+        checkpoints.load(spark, LogisticRegressionModel, path, {})
+    (tmp_path / "model" / "model" / "extra").write_text("x")
+    checkpoints.load(spark, LogisticRegressionModel, path, CONTRACT)  # what the receipt lists is as it was
+    next((tmp_path / "model" / "model" / "metadata").glob("part-*")).write_text("{}")
+    with pytest.raises(Exception):
+        checkpoints.load(spark, LogisticRegressionModel, path, CONTRACT)
