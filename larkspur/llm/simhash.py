@@ -83,30 +83,30 @@ def _keys(fp):
     return F.array(*(F.shiftleft(F.lit(n).cast("long"), 26) + F.shiftleft(parts[a], 13) + parts[b] for n, (a, b) in enumerate(pairs)))
 
 
+def near(bits: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that connects what Hamming distances within the radius connect, as pairs of places.
+
+    A fingerprint is compared with those that it isn't connected to yet, so memory is that of the fingerprints, and a group of
+    near ones costs a look at each.
+    """
+    left, a, b = np.arange(len(bits)), [], []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            hit = np.bitwise_count(bits[left] ^ bits[x]) <= radius
+            found, left = left[hit], left[~hit]
+            queue += found.tolist()
+            a.append(np.full(len(found), x))
+            b.append(found)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
 def _stars(cell: pd.DataFrame) -> pd.DataFrame:
-    """Links within a cell as a forest: every linked node with the least of its component here."""
-    a = np.unique(cell.fp[cell.side == "a"].to_numpy(np.int64))
-    b = np.unique(cell.fp[cell.side == "b"].to_numpy(np.int64)) if (cell.side == "b").any() else a
-    nodes = np.unique(np.concatenate([a, b]))
-    least = np.arange(len(nodes))
-    at, bt = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
-    links = []
-    for i in range(0, len(a), 256):
-        near = np.bitwise_count((a[i : i + 256, None] ^ b[None, :]).view(np.uint64)) <= RADIUS
-        x, y = np.nonzero(near)
-        x, y = at[x + i], bt[y]
-        links.append(np.stack([x[x != y], y[x != y]]))
-    x, y = np.concatenate(links, axis=1)
-    while True:  # least label over links, with pointer jumping
-        new = least.copy()
-        np.minimum.at(new, x, least[y])
-        np.minimum.at(new, y, least[x])
-        new = new[new]
-        if (new == least).all():
-            break
-        least = new
-    on = np.nonzero(least != np.arange(len(nodes)))[0]
-    return pd.DataFrame({"src": nodes[on], "dst": nodes[least[on]]})
+    """Links within a cell as a forest."""
+    nodes = np.unique(cell["fp"].to_numpy(np.int64))
+    a, b = near(nodes.view(np.uint64))
+    return pd.DataFrame({"src": nodes[b], "dst": nodes[a]})
 
 
 def links(nodes: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ from larkspur.llm.brown import hashes, tokens
 from larkspur.llm.cells import chunk_cells
 from larkspur.llm.common import Scratch, add_columns, freeing, without
 from larkspur.llm.components import components
+from larkspur.llm.simhash import near
 
 SHINGLE, SIMILARITY, POINTS, WIDTH, RADIUS = 5, 0.8, 62, 7, 20
 #: Nodes of a triple that one task compares; bytes of text of a cell's side; shingles whose bits are counted at a time.
@@ -132,21 +133,6 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("node").take(take), batch.column("bits").take(take)], names=["key", "node", "bits"])
 
 
-def near(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest that connects what Hamming distances within RADIUS connect, as pairs of places."""
-    left, a, b = np.arange(len(bits)), [], []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            hit = np.bitwise_count(bits[left] ^ bits[x]) <= RADIUS
-            found, left = left[hit], left[~hit]
-            queue += found.tolist()
-            a.append(np.full(len(found), x))
-            b.append(found)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
-
-
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in the order of their keys: pairs that connect near nodes of a key, and the rows of keys with over RUN nodes."""
     hot, names = None, ["src", "dst", "key", "bits"]
@@ -167,7 +153,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key[a] == hot or b - a > RUN:
                 yield rows(slice(a, b))
             else:
-                p, q = near(bits[a:b].view(np.uint64))
+                p, q = near(bits[a:b].view(np.uint64), RADIUS)
                 src.append(node[a:b][p])
                 dst.append(node[a:b][q])
         if sum(map(len, src)):
@@ -190,7 +176,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    a, b = near(pdf["bits"].to_numpy().view(np.uint64))
+    a, b = near(pdf["bits"].to_numpy().view(np.uint64), RADIUS)
     node = pdf["node"].to_numpy()
     return pd.DataFrame({"src": node[a], "dst": node[b]})
 
