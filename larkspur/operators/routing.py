@@ -115,15 +115,17 @@ def signatures(rows: DataFrame, *by: str, bands: tuple[float, ...] = BANDS, marg
     """
     far = 1 + max(*bands, *margin_bands)
     least = lambda x, known: F.coalesce(F.array_min(F.filter(F.array(*map(F.lit, sorted(known))), lambda b: x <= b)), F.when(x.isNotNull(), F.lit(far)))
-    d, g = _C("distance"), F.size("gold")
+    d = _C("distance")
     made = rows.withColumns({"has": F.size("local") > 0, "got": F.size("other") > 0, "__d": F.when(d < 0, -least(F.abs(d), bands)).otherwise(least(F.abs(d), bands)), "__m": least(_C("margin"), margin_bands)})
-    parts, names = [], []
-    for o, chosen in _sets().items():
-        tp, p = F.size(F.array_intersect("gold", chosen)), F.size(F.array_distinct(chosen))
+    # set sizes first, so that the sums are over numbers
+    sizes = {f"{o}_{n}": c for o, chosen in _sets().items() for n, c in (("t", F.size(F.array_intersect("gold", chosen))), ("p", F.size(F.array_distinct(chosen))))}
+    made = made.select(*by, "has", "got", _C("__d").alias("distance"), _C("__m").alias("margin"), F.size("gold").alias("gold"), *(c.alias(n) for n, c in sizes.items()))
+    g, parts = _C("gold"), []
+    for o in OPTIONS:
+        tp, p = _C(f"{o}_t"), _C(f"{o}_p")
         each = (tp, p, F.when(g + p == 0, F.lit(0.0)).otherwise(2.0 * tp / (g + p)), ((tp == g) & (tp == p)).cast("long"), ((g == 0) & (p > 0)).cast("long"), ((g > 0) & (p == 0)).cast("long"))
         parts += [F.sum(c).alias(f"{o}_{n}") for n, c in zip(_PARTS, each)]
-        names.append(o)
-    return made.groupBy(*by, "has", "got", _C("__d").alias("distance"), _C("__m").alias("margin")).agg(F.count("*").alias("rows"), F.sum(g).alias("gold"), *parts)
+    return made.groupBy(*by, "has", "got", "distance", "margin").agg(F.count("*").alias("rows"), F.sum(g).alias("gold"), *parts)
 
 
 def evaluate(rows: DataFrame, policies: list[tuple], *by: str) -> DataFrame:

@@ -97,8 +97,10 @@ def resampled(evidence: DataFrame, draws: int = 20_000, seed: int = 13, form: st
 def evidence(rows: DataFrame, cells: list[dict], parts: tuple[str, ...] = ("tp", "fp", "fn")) -> DataFrame:
     """(cluster, v): for each row_uid the sums of the parts in each cell, a cell being {column: value}; see `cell`."""
     inside = lambda c: reduce(Column.__and__, [_C(k) == v for k, v in c.items()])
-    sums = [F.sum(F.when(inside(c), _C(p)).otherwise(0)).cast("double") for c in cells for p in parts]
-    return rows.groupBy(_C("row_uid").alias("cluster")).agg(F.array(*sums).alias("v"))
+    cell = reduce(lambda made, c: made.when(inside(c[1]), c[0]), enumerate(cells), F.when(F.lit(False), 0))
+    sums = [F.sum(F.when(_C("__cell") == i, _C(p))) for i in range(len(cells)) for p in parts]
+    numbered = rows.select(_C("row_uid").alias("cluster"), cell.alias("__cell"), *parts)
+    return numbered.groupBy("cluster").agg(F.array(*(F.coalesce(s, F.lit(0)).cast("double") for s in sums)).alias("v"))
 
 
 def cell_f1(at: int | list[int]) -> Column:
@@ -132,9 +134,10 @@ def review_evidence(decoded: DataFrame, classes: list[tuple[str, str]], *by: str
     by splits a review into several observations (folds, units), whose statistics are added.
     """
     t, p = _C("target"), _C("p")
-    per = decoded.groupBy("row_uid", *by).agg(
-        F.sum(t * p).alias("tp"), F.sum(t).alias("g"), F.sum(p).alias("n"),
-        *(F.sum(F.when((_C("aspect") == a) & (_C("sentiment") == s), x).otherwise(0)).alias(f"c{i}_{k}") for i, (a, s) in enumerate(classes) for k, x in enumerate((t * p, (1 - t) * p, t * (1 - p)))),
+    kind = reduce(lambda made, c: made.when((_C("aspect") == c[1][0]) & (_C("sentiment") == c[1][1]), c[0]), enumerate(classes), F.when(F.lit(False), 0))
+    marked = decoded.select("row_uid", *by, kind.alias("__k"), "target", "p", (t * p).alias("x0"), ((1 - t) * p).alias("x1"), (t * (1 - p)).alias("x2"))
+    per = marked.groupBy("row_uid", *by).agg(
+        F.sum("x0").alias("tp"), F.sum(t).alias("g"), F.sum(p).alias("n"), *(F.coalesce(F.sum(F.when(_C("__k") == i, _C(f"x{k}"))), F.lit(0)).alias(f"c{i}_{k}") for i in range(len(classes)) for k in range(3)),
     )
     tp, g, n = _C("tp"), _C("g"), _C("n")
     own = [tp, n - tp, g - tp, F.lit(1), ratio(2 * tp, g + n), (tp == g) & (tp == n), (g == 0) & (n > 0), (g > 0) & (n == 0), (g > 0) & (n > 0), (g == 0) & (n > 0), (g > 0) & (n == 0)]
