@@ -55,25 +55,50 @@ def _stream(n: int, draws: int, seed: int, form: str, batch: int):
             yield np.stack([np.bincount(d, minlength=n) for d in rng.integers(0, n, size=(size, n))])
 
 
-def resampled(evidence: DataFrame, draws: int = 20_000, seed: int = 13, form: str | None = None, batch: int = 200, part: int = PART) -> DataFrame:
+def _parts(evidence: DataFrame, part: int) -> tuple[np.ndarray, Column]:
+    """(clusters of each part, the part of a cluster): runs of hash buckets with about `part` clusters each; one pass over the clusters' names."""
+    buckets = 256
+    while True:
+        found = evidence.groupBy(F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()  # a number for each bucket
+        counts = np.zeros(buckets, np.int64)
+        for r in found:
+            counts[r["b"]] = r["n"]
+        if counts.max() <= 2 * part or buckets >= 1 << 20:
+            break
+        buckets = 1 << int(np.ceil(np.log2(2 * counts.sum() / part)))
+    # a bucket goes to the part in which its middle falls, if all clusters stand in one line
+    which = ((np.cumsum(counts) - counts / 2) // part).astype(int)
+    known, which = np.unique(which, return_inverse=True)
+    starts = [int(np.argmax(which == k)) for k in range(len(known))]  # parts are runs, so a part is how many of them begin up to a bucket
+    b = F.pmod(F.xxhash64("cluster"), F.lit(buckets))
+    if len(starts) <= 64:
+        place = reduce(Column.__add__, [(b >= k).cast("int") for k in starts[1:]], F.lit(0))
+    else:
+        place = F.element_at(F.array(*(F.lit(int(k)) for k in which)), (b + 1).cast("int"))
+    return np.bincount(which, counts, len(known)).astype(np.int64), place
+
+
+def resampled(evidence: DataFrame, draws: int = 20_000, seed: int = 13, form: str | None = None, batch: int = 200, part: int = PART, width: int | None = None) -> DataFrame:
     """(draw, v): for each draw the sums of the arrays of as many clusters as there are, drawn with replacement.
 
     Draw -1 takes each cluster once. Clusters are dealt into parts by hash. Every task makes its part's share of each draw from
     the seed, and sums its own clusters; the parts' sums are added by draw. Neither evidence nor weights are on the driver.
 
+    width is the length of the arrays; without it, it is read from the evidence.
+
     With a form (multinomial, in batches; or indices), the weights are those of one stream of numpy's generator over the
     clusters in their order, as published intervals have them; one task makes them, so clusters are bounded by STREAM.
     """
     if draws < 1 or form not in (None, "multinomial", "indices"):
         raise ValueError("draws must be positive, and the form multinomial, indices or None")
-    total = evidence.count()
-    if form and total > STREAM:
-        raise ValueError(f"a single stream is for {STREAM} clusters at most, and there are {total}")
-    parts = 1 if form else max(1, -(-total // part))
-    held = evidence.select(F.pmod(F.xxhash64("cluster"), F.lit(parts)).alias("part"), "cluster", "v")
-    sizes = np.zeros(parts, np.int64)
-    for r in held.groupBy("part").agg(F.count("*").alias("n")).collect():  # a number for each part
-        sizes[r["part"]] = r["n"]
+    sizes, bucket = _parts(evidence, part)
+    total = int(sizes.sum())
+    if form:
+        if total > STREAM:
+            raise ValueError(f"a single stream is for {STREAM} clusters at most, and there are {total}")
+        sizes, bucket = np.array([total]), F.lit(0)
+    parts = len(sizes)
+    held = evidence.select(bucket.alias("part"), "cluster", "v")
 
     def sums(table: pa.Table) -> pa.Table:
         table = table.sort_by("cluster")
@@ -89,9 +114,8 @@ def resampled(evidence: DataFrame, draws: int = 20_000, seed: int = 13, form: st
     if parts == 1:
         return made
     # adding arrays place by place; the sums of a task's parts are added before the shuffle
-    width = F.max(F.size("v"))
-    size = evidence.agg(width.alias("n")).first()["n"]
-    return made.groupBy("draw").agg(F.array(*(F.sum(_C("v")[i]) for i in range(size))).alias("v"))
+    width = width or evidence.select(F.size("v").alias("n")).first()["n"]
+    return made.groupBy("draw").agg(F.array(*(F.sum(_C("v")[i]) for i in range(width))).alias("v"))
 
 
 def evidence(rows: DataFrame, cells: list[dict], parts: tuple[str, ...] = ("tp", "fp", "fn")) -> DataFrame:

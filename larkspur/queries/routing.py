@@ -17,11 +17,16 @@ rw AS (SELECT a.row_uid, a.gold, a.pred AS l, b.pred AS o, round(distance, 9) AS
 
 
 def rows(spark, sf_dir):
-    g = D.ranked(grid(spark, sf_dir, "a"))
+    """row_uid, gold, local, other, distance and margin of each review; system a's grid is read once for all of them."""
+    from larkspur.queries.metrics import decoded
+
+    pair = F.concat("aspect", F.lit(" | "), "sentiment")
+    on = lambda c: F.collect_list(F.when(F.col(c) == 1, pair))
     top = lambda k: F.max(F.when(F.col("rn") == k, F.col("sentiment_score")))
-    per = g.groupBy("row_uid", "aspect").agg(F.max("aspect_score").alias("s"), (top(1) - top(2)).alias("m")).groupBy("row_uid").agg(F.round(F.max("s") - 0.5, 9).alias("distance"), F.round(F.min("m"), 9).alias("margin"))
-    a = predictions(spark, sf_dir, "a").select("row_uid", "gold", F.col("pred").alias("local"))
-    return a.join(predictions(spark, sf_dir, "b").select("row_uid", F.col("pred").alias("other")), "row_uid").join(per, "row_uid")
+    per = decoded(spark, sf_dir, "a").groupBy("row_uid", "aspect").agg(on("target").alias("g"), on("p").alias("l"), F.max("aspect_score").alias("s"), (top(1) - top(2)).alias("m"))
+    flat = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    a = per.groupBy("row_uid").agg(flat("g").alias("gold"), flat("l").alias("local"), F.round(F.max("s") - 0.5, 9).alias("distance"), F.round(F.min("m"), 9).alias("margin"))
+    return a.join(predictions(spark, sf_dir, "b").select("row_uid", F.col("pred").alias("other")), "row_uid")
 
 
 _POLICIES = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', {'NULL' if b is None else b}::DOUBLE, {'NULL' if a is None else a}::DOUBLE, {i})" for i, (p, k, b, a) in enumerate(R.policy_grid())) + ") t(policy, kind, band, above, place)"

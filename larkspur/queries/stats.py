@@ -85,7 +85,7 @@ def _counts(spark, sf_dir):
 
 
 def _samples(spark, sf_dir):
-    return R.resampled(R.evidence(_counts(spark, sf_dir), CELLS))
+    return R.resampled(R.evidence(_counts(spark, sf_dir), CELLS), width=3 * len(CELLS))
 
 
 _POINT = with_views("pred_a", "pred_b") + """, u AS (SELECT 'a' AS system, aspect, target, p FROM pred_a WHERE split = 'test' UNION ALL SELECT 'b', aspect, target, p FROM pred_b WHERE split = 'test'),
@@ -130,7 +130,7 @@ def promotion_by_interval(spark, sf_dir):
 @query()
 def cluster_intervals(spark, sf_dir):
     """RS5: all eleven metrics of one system."""
-    return R.estimates(R.resampled(R.review_evidence(_test(spark, sf_dir, "a"), PAIRS)), R.review_metrics(len(PAIRS)))
+    return R.estimates(R.resampled(R.review_evidence(_test(spark, sf_dir, "a"), PAIRS), width=len(R.REVIEW) + 3 * len(PAIRS)), R.review_metrics(len(PAIRS)))
 
 
 @query()
@@ -143,7 +143,7 @@ def _paired(one, other):
     """(draw, v) with the differences of all metrics between two decoded tables, whose reviews are resampled together; their names."""
     both = R.side_by_side(R.review_evidence(one, PAIRS), R.review_evidence(other, PAIRS))
     width, metrics = len(R.REVIEW) + 3 * len(PAIRS), R.review_metrics(len(PAIRS))
-    samples = R.resampled(both).select("draw", F.slice("v", 1, width).alias("v"), F.slice("v", 1 + width, width).alias("w"))
+    samples = R.resampled(both, width=2 * width).select("draw", F.slice("v", 1, width).alias("v"), F.slice("v", 1 + width, width).alias("w"))
     first = samples.select("draw", F.array(*metrics.values()).alias("one"), F.col("w").alias("v"))
     second = first.select("draw", "one", F.array(*metrics.values()).alias("other"))
     return second.select("draw", F.zip_with("one", "other", lambda x, y: x - y).alias("v")), list(metrics)
