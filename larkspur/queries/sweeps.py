@@ -27,6 +27,26 @@ _EV_GROUP = """, d AS (SELECT *, row_number() OVER (PARTITION BY row_uid, aspect
 ev AS (SELECT row_uid, aspect_score AS s, n, tp, sum(ng) OVER (PARTITION BY row_uid) AS g, aspect AS o1, 0 AS o2 FROM gr0)"""
 
 
+#: The same by fold: events `ev` and calibration rows `c2` have a column fold; `best` has each fold's choice.
+_BY_FOLD = """, th AS (SELECT DISTINCT fold, round(t, 12) AS threshold FROM (SELECT fold, (s + lead(s) OVER (PARTITION BY fold ORDER BY s)) / 2 AS t FROM (SELECT DISTINCT fold, s FROM ev) UNION ALL SELECT fold, i / 100.0::DOUBLE FROM (SELECT DISTINCT fold FROM ev), range(1, 100) r(i)) WHERE t BETWEEN 0 AND 1),
+w AS (SELECT *, sum(n) OVER x AS k, sum(tp) OVER x AS q FROM ev WINDOW x AS (PARTITION BY fold, row_uid ORDER BY s DESC, o1, o2 ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT fold, s, sum(n) AS n, sum(tp) AS tp, sum(coalesce(2.0::DOUBLE * q / nullif(g + k, 0), 0) - coalesce(2.0::DOUBLE * (q - tp) / nullif(g + k - n, 0), 0)) AS d, sum((g = 0 AND k = n AND n > 0)::INT) AS fr, count(*) AS gr FROM w GROUP BY fold, s),
+m AS (SELECT fold, threshold, kind, sum(n) OVER y AS n, sum(tp) OVER y AS tp, sum(d) OVER y AS d, sum(fr) OVER y AS fr, sum(gr) OVER y AS gr FROM (SELECT fold, s AS threshold, 0 AS kind, n, tp, d, fr, gr FROM e UNION ALL SELECT fold, threshold, 1, 0, 0, 0, 0, 0 FROM th) WINDOW y AS (PARTITION BY fold ORDER BY threshold DESC, kind ROWS UNBOUNDED PRECEDING)),
+tot AS (SELECT fold, sum(target) AS g, count(DISTINCT row_uid) AS r FROM c2 GROUP BY fold),
+sw AS (SELECT fold, threshold, coalesce(2.0 * tp / nullif(n + g, 0), 0)::DOUBLE AS f1, round(d / r, 12) AS sf, coalesce(tp::DOUBLE / nullif(n, 0), 0) AS pr, fr * 100.0::DOUBLE / r AS fp, n, tp, gr FROM m JOIN tot USING (fold) WHERE kind = 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, sf DESC, pr DESC, fp, threshold DESC) AS kk FROM sw) WHERE kk = 1)"""
+_EV_PAIR_FOLD = ", ev AS (SELECT fold, row_uid, score AS s, 1 AS n, target AS tp, sum(target) OVER (PARTITION BY fold, row_uid) AS g, aspect AS o1, ord AS o2 FROM c2)"
+_EV_TWO_FOLD = ", ev AS (SELECT fold, row_uid, aspect_score AS s, 1 AS n, target AS tp, g, aspect AS o1, 0 AS o2 FROM (SELECT *, sum(target) OVER (PARTITION BY fold, row_uid) AS g, row_number() OVER (PARTITION BY fold, row_uid, aspect ORDER BY sentiment_score DESC, ord) AS rn FROM c2) WHERE rn = 1)"
+
+
+def _crossfit(name: str, events: str, predicted: str) -> str:
+    """SQL: each part's counts under the threshold that the other parts chose."""
+    return _V + f""", c AS (SELECT *, (('0x' || substr(sha256(row_uid || '|part'), 1, 16))::UBIGINT % 5)::INT AS part, row_number() OVER (PARTITION BY row_uid, aspect ORDER BY sentiment_score DESC, ord) AS rk FROM grid_a WHERE split = 'validation'),
+c2 AS (SELECT f::INT AS fold, c.* FROM c, range(0, 5) r(f) WHERE part <> f){events}{_BY_FOLD}, h AS (SELECT c.part, c.target, ({predicted})::INT AS p FROM c JOIN best ON best.fold = c.part)
+SELECT '{name}' AS decoder, part, round(coalesce(sum(target * p)::DOUBLE / nullif(sum(p), 0), 0), 9) AS precision, round(coalesce(sum(target * p)::DOUBLE / nullif(sum(target), 0), 0), 9) AS recall, round(coalesce(2.0::DOUBLE * sum(target * p) / nullif(sum(p + target), 0), 0), 9) AS f1,
+  sum(target * p)::BIGINT AS tp, sum((1 - target) * p)::BIGINT AS fp, sum(target * (1 - p))::BIGINT AS fn FROM h GROUP BY part"""
+
+
 def _cal(spark, sf_dir):
     return grid(spark, sf_dir, split="validation")
 
@@ -73,7 +93,7 @@ def select_strict_seen(spark, sf_dir):
     return W.select(W.pair_sweep(_cal(spark, sf_dir).where("aspect <> 'Size: LARGE'")))
 
 
-@query()
+@query(with_views("grid_a", "aspect_dim") + _CAL + ", c2 AS (SELECT a.aspect AS fold, c.* FROM c, aspect_dim a WHERE c.aspect <> a.aspect)" + _EV_PAIR_FOLD + _BY_FOLD + _OUT.replace("SELECT threshold", "SELECT fold, threshold").replace("FROM sw", "FROM best"))
 def select_threshold_by_fold(spark, sf_dir):
     """DK11 for all folds at once: the fold is a column of one sweep."""
     from larkspur.plans.taxonomy import ASPECTS, strings
@@ -123,7 +143,7 @@ def grid_thresholds(spark, sf_dir):
     return W.grid_sweep(grid(spark, sf_dir), F.col("score"), [i / 20 for i in range(1, 20)])
 
 
-@query()
+@query(f"""SELECT * FROM ({_crossfit("pair", _EV_PAIR_FOLD, "score >= threshold")}) UNION ALL SELECT * FROM ({_crossfit("two_stage", _EV_TWO_FOLD, "rk = 1 AND aspect_score >= threshold")})""")
 def crossfit_compare(spark, sf_dir):
     """DK14: thresholds chosen on four fifths and used on the fifth, for two decoders, all folds in one job."""
     base = _cal(spark, sf_dir).withColumn("part", hash_bucket(F.concat("row_uid", F.lit("|part")), 5))
