@@ -117,7 +117,10 @@ def select_runner_up(spark, sf_dir):
     return W.select(W.runner_up_sweep(_cal(spark, sf_dir), 0.5), order=order)
 
 
-@query()
+@query(_V + _CAL + """, qs AS (SELECT DISTINCT unnest(quantile_cont(sentiment_score, [""" + ", ".join(str(i / 16) for i in range(17)) + """])) AS fold FROM c), rk AS (SELECT *, row_number() OVER (PARTITION BY row_uid, aspect ORDER BY sentiment_score DESC, ord) AS k1 FROM c),
+c2 AS (SELECT fold, rk.*, (k1 = 1 OR sentiment_score >= fold)::INT AS pp FROM rk, qs), g0 AS (SELECT fold, row_uid, aspect, aspect_score, sum(pp) AS n, sum(pp * target) AS tp, sum(target) AS ng FROM c2 GROUP BY ALL),
+ev AS (SELECT fold, row_uid, aspect_score AS s, n, tp, sum(ng) OVER (PARTITION BY fold, row_uid) AS g, aspect AS o1, 0 AS o2 FROM g0)""" + _BY_FOLD + """ SELECT threshold, round(f1, 9) AS pair_micro_f1, round(sf, 9) AS pair_samples_f1, round(pr, 9) AS pair_micro_precision, round(fp, 9) AS fp_rows_per_100, n::BIGINT AS predicted, tp::BIGINT AS tp, gr::BIGINT AS groups, round(coalesce(n::DOUBLE / nullif(gr, 0), 0), 9) AS sentiments_per_aspect, round(fold, 9) AS second
+FROM sw ORDER BY f1 DESC, sf DESC, pr DESC, fp, coalesce(n::DOUBLE / nullif(gr, 0), 0), threshold DESC, fold DESC LIMIT 1""")
 def select_joint(spark, sf_dir):
     """DK13: sentiment thresholds at quantiles, each with its own sweep of aspect thresholds, in one job."""
     cal = _cal(spark, sf_dir)
